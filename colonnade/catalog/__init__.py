@@ -26,4 +26,4 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    from colonnade.catalog import cleaning, quality, univariate  # noqa: F401
+    from colonnade.catalog import cleaning, features, quality, univariate  # noqa: F401

@@ -3,6 +3,7 @@ transform is a lazy expression that can be replayed on other data."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -183,19 +184,38 @@ def stratified_sample(df: DataFrame, id_col: str, size: int, group: str, bins: i
     return hash_sample(df, id_col, frac, [group], seed)
 
 
+def sortable(df: DataFrame, name: str) -> Column:
+    """A double that orders like the numeric or timestamp column."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.unix_micros(col(name).cast("timestamp")).cast("double")
+    if not isinstance(kind, T.NumericType):
+        raise ValueError(f"{name}: only numeric and datetime keys can be cut into ranges")
+    return col(name).cast("double")
+
+
 def row_index(df: DataFrame, keys: Sequence[str], out: str = "id") -> DataFrame:
     """Dense 0-based row number in the order of `keys`, which must identify a row.
 
-    The leading key must be numeric or a timestamp; it is cut into range buckets whose
-    counts give each bucket its first number, so there is no single-task sort.
+    The leading key is cut into range buckets and a second one again into sub-buckets
+    wherever the leading key repeats so often that it fills whole buckets on its own.
+    Bucket counts give each bucket its first number: there is no single-task sort.
     """
-    lead = df.withColumn("_lead", col(keys[0]).cast("timestamp").cast("double") if "timestamp" in df.schema[keys[0]].dataType.simpleString() else col(keys[0]).cast("double"))
-    cut = with_bucket(lead, "_lead", range_edges(lead, "_lead"))
-    totals = cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_t")).withColumn("_one", F.lit(0))
-    offsets = totals.select(
-        "_bucket",
-        F.coalesce(F.sum("_t").over(W.partitionBy("_one").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"),
-    )
-    local = W.partitionBy("_bucket").orderBy(*[col(k) for k in keys])
-    numbered = cut.withColumn("_r", F.row_number().over(local)).join(offsets, "_bucket")
+    lead = df.withColumn("_k0", sortable(df, keys[0]))
+    edges = range_edges(lead, "_k0")
+    # a value that spans several quantiles gets a bucket of its own: [v, next double)
+    alone = sorted(edges + [math.nextafter(e, math.inf) for e in edges])
+    cut = with_bucket(lead, "_k0", alone, "_b0")
+    if len(keys) > 1 and edges:
+        single = F.array_contains(F.array(*[F.lit(e) for e in edges]), F.col("_k0"))
+        second = cut.withColumn("_k1", sortable(df, keys[1]))
+        cut = with_bucket(second, "_k1", range_edges(second, "_k1"), "_s")
+        cut = cut.withColumn("_b1", F.when(single, F.col("_s")).otherwise(0))
+    else:
+        cut = cut.withColumn("_b1", F.lit(0))
+    totals = cut.groupBy("_b0", "_b1").agg(F.count(F.lit(1)).alias("_t"))
+    earlier = W.partitionBy(F.lit(0)).orderBy("_b0", "_b1").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("_b0", "_b1", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_o"))
+    local = W.partitionBy("_b0", "_b1").orderBy(*[col(k) for k in keys])
+    numbered = cut.withColumn("_r", F.row_number().over(local)).join(offsets, ["_b0", "_b1"])
     return numbered.select((F.col("_r") - 1 + F.col("_o")).cast("long").alias(out), *[col(c) for c in df.columns])
