@@ -155,6 +155,11 @@ def kde_curves(
     """
     names = list(columns or shared_numeric(frames))
     cells = long_values(label_union(frames, names), names, ["label"], "double").where("value is not null")
+    return kde_from_cells(cells, bins, points)
+
+
+def kde_from_cells(cells: DataFrame, bins: int | None = None, points: int = KDE_POINTS) -> DataFrame:
+    """The density curves of a long frame (label, column, value)."""
     base = cells.groupBy("label", "column").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("lo"), F.max("value").alias("hi"),

@@ -87,7 +87,7 @@ def main() -> int:
         folder, args = args[1], args[2:]
     load_all()
     spark = build_session("parity", "local[8]", 8)
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = duck(folder)
     failed = 0
     for name, fn in QUERIES.items():
@@ -104,7 +104,7 @@ def main() -> int:
                 problem = None if rows else "no rows"
                 state = f"rows-only {len(rows)} {rows[:1]}"[:300]
         except Exception as e:  # report and go on with the next query
-            problem = state = "ERROR " + repr(e)[:1200]
+            problem = state = "ERROR " + (type(e).__name__ + " " + str(e))[:700]
         failed += problem is not None
         print(f"{name:32s} {time.time() - start:6.2f}s {state}", flush=True)
     print("failed:", failed)
