@@ -15,7 +15,8 @@ from colonnade.operators.ordering import prefix_sum, skew_join
 from colonnade.operators.quality import cardinalities, quality_counts
 
 PAIRS_PER_JOB = 150  # aggregates in one generated stage
-RADIX = 16           # digits of the Kendall decomposition
+RADIX_BITS = 2       # bits per digit of the Kendall decomposition
+RADIX = 2 ** RADIX_BITS
 
 
 def fit_binary_categories(df: DataFrame) -> dict[str, list[str]]:
@@ -95,6 +96,11 @@ def spearman_pairs(ranked: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataF
     return pearson_pairs(plain, pairs).withColumnRenamed("pearson", "spearman")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Compute a result that has one row per column pair now, while its inputs are cached."""
+    return literal_rows(df.sparkSession, [tuple(r) for r in df.collect()], ", ".join(f"{n} {t}" for n, t in df.dtypes))
+
+
 def kendall_pairs(ranked: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """(column_1, column_2, kendall): exact tau-b without comparing rows with each other.
 
@@ -107,13 +113,14 @@ def kendall_pairs(ranked: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
     names = sorted({c for p in pairs for c in p})
     dense = ranked.select(*[col(c)["dense"].alias(c) for c in names])
     top = dense.agg(*[F.max(col(c)).alias(f"c{i}") for i, c in enumerate(names)]).first()
-    levels = {c: max(1, len(f"{top[i] or 0:x}")) for i, c in enumerate(names)}  # hex digits
+    levels = {c: max(1, -(-int(top[i] or 0).bit_length() // RADIX_BITS)) for i, c in enumerate(names)}
+    # tau-b is symmetric: the column with fewer digits is the one that is decomposed
+    sides = [(a, b) if levels[b] <= levels[a] else (b, a) for a, b in pairs]
     listed = F.array(*[
-        F.struct(F.lit(i).alias("pair"), col(a).alias("x"), col(b).alias("y"), F.lit(levels[b]).alias("digits")) for i, (a, b) in enumerate(pairs)
+        F.struct(F.lit(i).alias("pair"), col(a).alias("x"), col(b).alias("y"), F.lit(levels[b]).alias("digits")) for i, (a, b) in enumerate(sides)
     ])
-    cells = dense.select(F.inline(listed)).groupBy("pair", "x", "y", "digits").agg(F.count(F.lit(1)).alias("n"))
-    shift = (4 * F.col("level")).cast("int")
-    power = F.pow(F.lit(2.0), shift).cast("long")
+    cells = dense.select(F.inline(listed)).groupBy("pair", "x", "y", "digits").agg(F.count(F.lit(1)).alias("n")).persist()
+    power = F.pow(F.lit(float(RADIX)), F.col("level")).cast("long")
     placed = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("digits") - 1)).alias("level")).select(
         "pair", "level", "x", "n", F.floor(F.col("y") / (power * RADIX)).alias("prefix"), F.pmod(F.floor(F.col("y") / power), F.lit(RADIX)).alias("digit")
     )
@@ -132,7 +139,10 @@ def kendall_pairs(ranked: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
     n0 = F.col("rows_x") * (F.col("rows_x") - 1) / 2
     scale = F.sqrt((n0 - F.col("tied_x")) * (n0 - F.col("tied_y")))
     joined = names_of.join(score, "pair", "left").join(tied("x"), "pair", "left").join(tied("y"), "pair", "left")
-    return joined.select("column_1", "column_2", F.when(scale > 0, F.col("s") / scale).alias("kendall"))
+    try:
+        return settled(joined.select("column_1", "column_2", F.when(scale > 0, F.col("s") / scale).alias("kendall")))
+    finally:
+        cells.unpersist()
 
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -157,9 +167,10 @@ def correlation_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], methods:
         whole = [p for p in pairs if not holed & set(p)]
         groups = ([whole] if whole else []) + [[p] for p in pairs if holed & set(p)]
         for group in groups:
-            ranked = rank_frame(df, sorted({c for p in group for c in p}))
+            ranked = rank_frame(df, sorted({c for p in group for c in p})).persist()
             for m, fn in ranked_methods:
-                parts[m].append(fn(ranked, group))
+                parts[m].append(settled(fn(ranked, group)))
+            ranked.unpersist()
     frames = [reduce(DataFrame.unionByName, parts[m]) for m in methods]
     return reduce(lambda a, b: a.join(b, keys), frames)
 
