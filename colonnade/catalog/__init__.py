@@ -26,4 +26,4 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    from colonnade.catalog import bivariate, cleaning, features, predictions, quality, univariate  # noqa: F401
+    from colonnade.catalog import bivariate, cleaning, features, models, predictions, quality, univariate  # noqa: F401

@@ -181,10 +181,10 @@ def qcut_bins(spark, d):
     return S.quantile_bins(orders(spark, d).select("o_orderkey", "o_totalprice"), "o_totalprice", 10)
 
 
-def folds_sql(target, source, k=5):
+def folds_sql(target, source, k=5, key="o_orderkey"):
     return f"""(with c as (select {target} as cls, count(*) as n from {source} group by 1),
  s as (select cls, coalesce(sum(n) over (order by cls rows between unbounded preceding and 1 preceding), 0) as start from c)
- select o.*, cast((start + {md5_rank(target)} - 1) % {k} as int) as fold from {source} o join s on o.{target} = s.cls)"""
+ select o.*, cast((start + {md5_rank(target, key=key)} - 1) % {k} as int) as fold from {source} o join s on o.{target} = s.cls)"""
 
 
 @query("cv_stratified_folds", f"select o_orderkey, o_orderstatus, fold from {folds_sql('o_orderstatus', 'orders')}")

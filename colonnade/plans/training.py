@@ -15,6 +15,7 @@ from colonnade.operators import features as X
 from colonnade.operators.metrics import classification_metrics, regression_metrics
 from colonnade.operators.models import bayes, linear, trees
 from colonnade.operators.models.common import LABEL, Scored
+from colonnade.operators.models.neighbours_model import knn
 from colonnade.operators.splitting import cross_validation_folds, split_fold
 from colonnade.plans.features import FeatureOptions, FeaturePlan
 from colonnade.sources.models import load_model, save_model
@@ -22,14 +23,14 @@ from colonnade.sources.models import load_model, save_model
 CLASSIFIERS: dict[str, Callable[..., Scored]] = {
     "Logistic Regression": linear.logistic_regression, "Linear Discriminant Analysis": linear.linear_discriminant,
     "Bernoulli Naive Bayes": bayes.bernoulli_nb, "Gaussian Naive Bayes": bayes.gaussian_nb,
-    "SVC": linear.rbf_svc, "Linear SVC": linear.linear_svc,
+    "SVC": linear.rbf_svc, "Linear SVC": linear.linear_svc, "KNN": knn,
     "Decision Tree": trees.decision_tree, "Extra Trees": trees.extra_trees, "Random Forest": trees.random_forest,
     "AdaBoost": trees.adaboost, "Gradient Boosting": trees.gradient_boosting,
     **{name: (lambda df, name=name, **o: trees.boosted_preset(df, name, **o)) for name in trees.PRESETS},
 }
 REGRESSORS: dict[str, Callable[..., Scored]] = {
     "Linear Regression": linear.least_squares, "Ridge": linear.ridge, "Lasso": linear.lasso, "Elastic Net": linear.elastic_net,
-    "SVR": linear.rbf_svr, "Linear SVR": linear.linear_svr, "Decision Tree": trees.decision_tree_regressor,
+    "SVR": linear.rbf_svr, "Linear SVR": linear.linear_svr, "KNN": knn, "Decision Tree": trees.decision_tree_regressor,
     "Extra Trees": lambda df, **o: trees.extra_trees(df, "regression", **o), "Random Forest": trees.random_forest_regressor,
     "AdaBoost": trees.adaboost_r2, "Gradient Boosting": trees.gradient_boosting_regressor,
     **{name: (lambda df, name=name, **o: trees.boosted_preset_regressor(df, name, **o)) for name in trees.PRESETS},
@@ -81,6 +82,8 @@ def fit_one(spec: ModelSpec, config: TrainingConfig, train: DataFrame) -> tuple[
     options = dict(spec.params)
     if config.balanced and config.task == "classification" and spec.family in WEIGHTED:
         options["weight"] = "weight"
+    if spec.family == "KNN":
+        options |= {"id_col": X.safe_name(config.id_col), "task": config.task}
     return families[spec.family](train, **options), time.perf_counter() - start
 
 

@@ -43,7 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}/{label}"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

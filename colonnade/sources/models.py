@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import SparkSession
 
 from colonnade.columns import literal_rows
-from colonnade.operators.models import bayes, linear, trees  # noqa: F401  (registers the scorers)
+from colonnade.operators.models import bayes, linear, neighbours_model, trees  # noqa: F401  (registers the scorers)
 from colonnade.operators.models.common import Scored
 
 
