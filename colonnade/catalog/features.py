@@ -37,15 +37,14 @@ def math_sql(columns):
     for a, b in combinations(columns, 2):
         out += [(f"{a}_add_{b}", f"{a} + {b}"), (f"{a}_sub_{b}", f"{a} - {b}"), (f"{a}_subabs_{b}", f"abs({a} - {b})"), (f"{a}_mul_{b}", f"{a} * {b}")]
         for x, y in ((a, b), (b, a)):
-            out += [(f"{x}_truediv_{y}", f"case when {y} <> 0 then {x} / {y} else 0 end"), (f"{x}_floordiv_{y}", f"case when {y} <> 0 then {floordiv_sql(x, y)} else 0 end")]
+            out += [(f"{x}_truediv_{y}", f"case when {y} <> 0 then {x} / {y} else 0::double end"), (f"{x}_floordiv_{y}", f"case when {y} <> 0 then {floordiv_sql(x, y)} else 0::double end")]
     return out
 
 
-@query("fe_math", "select l_orderkey, l_linenumber, " + ", ".join(MATH) + ", " + ", ".join(f"round({e}, 6) as {n}" for n, e in math_sql(MATH)) + " from lineitem")
+@query("fe_math", "select l_orderkey, l_linenumber, " + ", ".join(MATH) + ", " + ", ".join(f"{e} as {n}" for n, e in math_sql(MATH)) + " from lineitem")
 def fe_math(spark, d):
     base = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *MATH)
-    out = X.math_features(base, MATH)
-    return out.select(*base.columns, *[F.round(c, 6).alias(c) for c in out.columns if c not in base.columns])
+    return X.math_features(base, MATH)
 
 
 CATS = ["o_orderstatus", "o_orderpriority", "c_mktsegment", "r_name"]

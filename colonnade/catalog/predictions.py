@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 from colonnade.catalog import query, table
 from colonnade.catalog.univariate import counts_sql, kde_sql
 from colonnade.functions import normal as N
+from colonnade.session import spread
 from colonnade.operators import evaluate as V, explain_samples as ES, metrics as M, predict as P
 
 CLASSES = ["F", "O", "P"]
@@ -24,8 +25,8 @@ def unit_sql(*parts):
 
 def score_rows(spark, d, folds):
     """(id, fold, model, actual, class, proba, pred, total): one row per class."""
-    base = table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("actual"), F.explode(folds).alias("fold"))
+    orders = spread(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"))
+    base = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("actual"), F.explode(folds).alias("fold"))
     base = base.withColumn("model", F.explode(F.array(*[F.lit(m) for m in MODELS])))
     raw = {c: unit("id", F.lit(c), "model", "fold") + F.when(F.col("actual") == c, 0.35).otherwise(0.0) for c in CLASSES}
     base = base.withColumns({f"s_{c}": e for c, e in raw.items()})
@@ -68,7 +69,8 @@ BINARY = f"""(select id, fold, model, case when actual = 'F' then 'yes' else 'no
 
 
 def regression(spark, d, folds=None):
-    base = table(spark, d, "orders").select(
+    orders = spread(table(spark, d, "orders").select("o_orderkey", "o_totalprice"))
+    base = orders.select(
         F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("actual"),
         F.explode(folds if folds is not None else F.array(F.pmod("o_orderkey", F.lit(5)).cast("int"))).alias("fold"))
     base = base.withColumn("model", F.explode(F.array(*[F.lit(m) for m in MODELS])))
@@ -141,22 +143,22 @@ def ovr_sql(builder, name):
 
 @query("metric_roc_auc", f"select model, fold, 'ROC AUC' as metric, null as class, round(value, 6) as value from {auc_sql(BINARY, 'model, fold', chr(39) + 'yes' + chr(39) + ' = actual', 'score')}")
 def metric_roc_auc(spark, d):
-    return six(M.ranking_metric(oof_binary(spark, d), "ROC AUC", BY, positive="yes"))
+    return six(M.ranking_metrics(oof_binary(spark, d), ["ROC AUC"], BY, positive="yes"))
 
 
 @query("metric_roc_auc_ovr", ovr_sql(auc_sql, "ROC AUC"))
 def metric_roc_auc_ovr(spark, d):
-    return six(M.ranking_metric(oof(spark, d), "ROC AUC", BY))
+    return six(M.ranking_metrics(oof(spark, d), ["ROC AUC"], BY))
 
 
 @query("metric_avg_precision", f"select model, fold, 'Avg Precision' as metric, null as class, round(value, 6) as value from {ap_sql(BINARY, 'model, fold', chr(39) + 'yes' + chr(39) + ' = actual', 'score')}")
 def metric_avg_precision(spark, d):
-    return six(M.ranking_metric(oof_binary(spark, d), "Avg Precision", BY, positive="yes"))
+    return six(M.ranking_metrics(oof_binary(spark, d), ["Avg Precision"], BY, positive="yes"))
 
 
 @query("metric_avg_precision_ovr", ovr_sql(ap_sql, "Avg Precision"))
 def metric_avg_precision_ovr(spark, d):
-    return six(M.ranking_metric(oof(spark, d), "Avg Precision", BY))
+    return six(M.ranking_metrics(oof(spark, d), ["Avg Precision"], BY))
 
 
 E2 = "(pred - actual) * (pred - actual)"

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 from itertools import combinations
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from colonnade.columns import categorical_columns, col, literal_rows, long_values, numeric_columns, present
 from colonnade.operators import features as X
 from colonnade.operators.cleaning import row_index
-from colonnade.operators.ordering import prefix_sum, skew_join
+from colonnade.operators.ordering import prefix_sum, range_edges, skew_join
 from colonnade.operators.quality import cardinalities, quality_counts
 
 PAIRS_PER_JOB = 150  # aggregates in one generated stage
@@ -67,26 +68,38 @@ def pearson_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 def rank_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, n, rank, dense): average rank and 0-based dense index per value."""
-    counts = long_values(df, list(columns), dtype="double").where("value is not null").groupBy("column", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.lit(1).alias("one")
-    )
-    placed = prefix_sum(counts, "value", {"n": "before", "one": "dense"}, ["column"])
+    cells = long_values(df, list(columns), dtype="double").where("value is not null")
+    counts = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("one"))
+    placed = prefix_sum(counts, "value", {"n": "before", "one": "dense"}, ["column"], edges=range_edges(cells, "value"))
     return placed.select("column", "value", "n", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"), F.col("dense").cast("long").alias("dense"))
 
 
-def rank_frame(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The numeric columns replaced by structs (rank, dense); rows without any null.
+SMALL_RANKS = 200_000  # distinct values up to which a rank table is broadcast
+
+
+@contextmanager
+def rank_frame(df: DataFrame, columns: Sequence[str]) -> Iterator[DataFrame]:
+    """The numeric columns replaced by structs (rank, dense); rows without any null. Cached
+    while in use.
 
-    One skew-safe join per column: low-cardinality columns have small rank tables, which
-    the adaptive planner broadcasts, and hot values are salted.
+    Rank tables are counted first: short ones are broadcast, long ones go through the
+    skew-safe join, one column at a time.
     """
-    out = df.select(*[present(df, c).cast("double").alias(c) for c in columns]).na.drop("any")
-    total = out.count()
-    table = rank_table(out, columns)
+    rows = df.select(*[present(df, c).cast("double").alias(c) for c in columns]).na.drop("any")
+    table = rank_table(rows, columns).persist()
+    sizes = {r["column"]: (r["values"], r["rows"]) for r in table.groupBy("column").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows")).collect()}
+    out = rows
     for c in columns:
         ranks = table.where(F.col("column") == c).select(F.col("value").alias(c), "n", F.struct("rank", "dense").alias("_place"))
-        out = skew_join(out, ranks, [c], "n", total).drop("n", c).withColumnRenamed("_place", c)
-    return out.select(*[col(c) for c in columns])
+        values, total = sizes.get(c, (0, 0))
+        joined = out.join(F.broadcast(ranks), c) if values <= SMALL_RANKS else skew_join(out, ranks, [c], "n", total)
+        out = joined.drop("n", c).withColumnRenamed("_place", c)
+    out = out.select(*[col(c) for c in columns]).persist()
+    try:
+        yield out
+    finally:
+        out.unpersist()
+        table.unpersist()
 
 
 def spearman_pairs(ranked: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -167,10 +180,9 @@ def correlation_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], methods:
         whole = [p for p in pairs if not holed & set(p)]
         groups = ([whole] if whole else []) + [[p] for p in pairs if holed & set(p)]
         for group in groups:
-            ranked = rank_frame(df, sorted({c for p in group for c in p})).persist()
-            for m, fn in ranked_methods:
-                parts[m].append(settled(fn(ranked, group)))
-            ranked.unpersist()
+            with rank_frame(df, sorted({c for p in group for c in p})) as ranked:
+                for m, fn in ranked_methods:
+                    parts[m].append(settled(fn(ranked, group)))
     frames = [reduce(DataFrame.unionByName, parts[m]) for m in methods]
     return reduce(lambda a, b: a.join(b, keys), frames)
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colonnade.columns import col
-from colonnade.operators.ordering import prefix_sum, quantiles
+from colonnade.operators.ordering import prefix_sum, quantiles, range_edges
 
 
 def keys(by: Sequence[str]) -> list[Column]:
@@ -90,38 +90,43 @@ def class_vs_rest(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def auc_of(scored: DataFrame, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """(by..., value): Mann-Whitney AUC, ties count one half; null with one class only."""
-    ranked = prefix_sum(score_counts(scored, by), "score", {"neg": "neg_below"}, by, buckets)
-    wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
-    return ranked.groupBy(*keys(by)).agg(
-        (wins / F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))).alias("value")
-    )
+RANKING = ("ROC AUC", "Avg Precision")
+
 
+def ranking_scores(scored: DataFrame, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """(by..., "ROC AUC", "Avg Precision") from one ordered pass over the distinct scores.
 
-def average_precision_of(scored: DataFrame, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """(by..., value): sum of (R_n - R_n-1) P_n over distinct thresholds, highest first."""
-    counts = score_counts(scored, by).select(
-        *keys(by), (-F.col("score")).alias("down"), "pos", (F.col("pos") + F.col("neg")).alias("n")
+    AUC is the Mann-Whitney share of (positive, negative) pairs in the right order, ties
+    one half; average precision is the sum of (R_n - R_n-1) P_n over distinct thresholds,
+    highest first. Both are null where a class is absent.
+    """
+    counts = score_counts(scored, by).withColumn("n", F.col("pos") + F.col("neg"))
+    walked = prefix_sum(
+        counts, "score", {"pos": "pos_below", "n": "n_below"}, by, edges=range_edges(scored, "score", buckets),
+        totals={"pos": "all_pos", "n": "all_n"},
     )
-    cum = prefix_sum(counts, "down", {"pos": "pos_above", "n": "n_above"}, by, buckets)
-    precision = (F.col("pos_above") + F.col("pos")) / (F.col("n_above") + F.col("n"))
-    return cum.groupBy(*keys(by)).agg(
-        (F.sum(F.col("pos") * precision) / F.nullif(F.sum("pos").cast("double"), F.lit(0.0))).alias("value")
+    neg_below = F.col("n_below") - F.col("pos_below")
+    wins = F.sum(F.col("pos") * (neg_below + F.col("neg") / 2))
+    precision = (F.col("all_pos") - F.col("pos_below")) / (F.col("all_n") - F.col("n_below"))
+    pairs = F.sum("pos").cast("double") * F.sum("neg")
+    return walked.groupBy(*keys(by)).agg(
+        (wins / F.nullif(pairs, F.lit(0.0))).alias("ROC AUC"),
+        (F.sum(F.col("pos") * precision) / F.nullif(F.sum("pos").cast("double"), F.lit(0.0))).alias("Avg Precision"),
     )
 
 
-def ranking_metric(scores: DataFrame, name: str, by: Sequence[str] = (), positive: str | None = None) -> DataFrame:
-    """"ROC AUC" or "Avg Precision": of the positive class, else one-vs-rest macro and per class."""
-    compute = {"ROC AUC": auc_of, "Avg Precision": average_precision_of}[name]
+def ranking_metrics(scores: DataFrame, names: Sequence[str] = RANKING, by: Sequence[str] = (), positive: str | None = None) -> DataFrame:
+    """Of the positive class, else one-vs-rest macro and per class, long form."""
     none = F.lit(None).cast("string")
+    listed = F.array(*[F.struct(F.lit(m).alias("metric"), col(m).alias("value")) for m in names])
     if positive is not None:
-        return compute(binary_scores(scores, by, positive), by).select(*keys(by), F.lit(name).alias("metric"), none.alias("class"), "value")
-    per_class = compute(class_vs_rest(scores, by), [*by, "class"]).select(
-        *keys(by), F.lit(name).alias("metric"), F.col("class").cast("string").alias("class"), "value"
-    )
-    macro = per_class.groupBy(*keys(by), "metric").agg(F.avg("value").alias("value")).select(*keys(by), "metric", none.alias("class"), "value")
-    return macro.unionByName(per_class)
+        table = ranking_scores(binary_scores(scores, by, positive), by)
+        return table.select(*keys(by), F.inline(listed)).select(*keys(by), "metric", none.alias("class"), "value")
+    table = ranking_scores(class_vs_rest(scores, by), [*by, "class"])
+    tall = table.select(*keys(by), F.col("class").cast("string").alias("class"), F.inline(listed))
+    # a macro row next to the class rows, in one aggregate
+    both = tall.groupingSets([[*keys(by), F.col("metric"), F.col("class")], [*keys(by), F.col("metric")]], *keys(by), F.col("metric"), F.col("class"))
+    return both.agg(F.avg("value").alias("value")).select(*keys(by), "metric", "class", "value")
 
 
 CLASSIFICATION_METRICS = ("Accuracy", "Precision", "Recall", "F1 Score", "ROC AUC", "Avg Precision")
@@ -145,7 +150,9 @@ def classification_metrics(
     hard = [m for m in ("Precision", "Recall", "F1 Score") if m in metrics]
     if hard:
         parts.append(hard_metrics(confusion, by, positive, hard))
-    parts += [ranking_metric(scores, m, by, positive) for m in ("ROC AUC", "Avg Precision") if m in metrics]
+    ranking = [m for m in RANKING if m in metrics]
+    if ranking:
+        parts.append(ranking_metrics(scores, ranking, by, positive))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from colonnade.columns import col, long_values
 
 HOT_KEYS = 200          # keys above total/HOT_KEYS rows are hot: at most HOT_KEYS of them exist
-SMALL_CELLS = 4_000_000  # cells up to which the in-memory percentile aggregate is used
+SMALL_ROWS, SMALL_CELLS = 2_000_000, 16_000_000  # rows and cells up to which the in-memory percentile aggregate is used
 
 
 def group_key(by: Sequence[str]) -> Column:
@@ -34,12 +34,20 @@ def default_buckets(df: DataFrame) -> int:
 
 
 def range_edges(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
-    """Approximate quantiles used only to cut a range into buckets; never part of a result."""
+    """Approximate quantiles used only to cut a range into buckets; never part of a result.
+
+    A bucket between two edges holds about 1/buckets of the rows of `df`, whether `df` is
+    the raw rows or the values merged from them.
+    """
+    return column_edges(df, [value], buckets)[value]
+
+
+def column_edges(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
+    """The same for several columns in one pass; nulls and NaN are ignored."""
     n = buckets or default_buckets(df)
-    quantiles = df.select(col(value).cast("double").alias("v")).approxQuantile(
-        "v", [i / n for i in range(1, n)], 1.0 / (4 * n)
-    )
-    return sorted(set(quantiles))
+    plain = df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    found = plain.approxQuantile(plain.columns, [i / n for i in range(1, n)], 1.0 / (4 * n))
+    return {c: sorted(set(q)) for c, q in zip(columns, found)}
 
 
 def with_bucket(df: DataFrame, value: str, edges: list[float], out: str = "_bucket") -> DataFrame:
@@ -50,23 +58,31 @@ def with_bucket(df: DataFrame, value: str, edges: list[float], out: str = "_buck
         splits=[float("-inf"), *edges, float("inf")], inputCol=source, outputCol=f"{out}_d", handleInvalid="keep"
     )
     widened = cut.transform(df.withColumn(source, col(value).cast("double")))
-    return widened.withColumn(out, F.col(f"{out}_d").cast("int")).drop(source, f"{out}_d")
+    # declared non-null: otherwise joins on the bucket push a null filter into one of the
+    # two reads of the input, which then no longer share their shuffle
+    return widened.withColumn(out, F.coalesce(F.col(f"{out}_d").cast("int"), F.lit(-1))).drop(source, f"{out}_d")
 
 
 def prefix_sum(
-    df: DataFrame, value: str, weights: dict[str, str], by: Sequence[str] = (), buckets: int | None = None
+    df: DataFrame, value: str, weights: dict[str, str], by: Sequence[str] = (), buckets: int | None = None,
+    edges: list[float] | None = None, totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Sum of each weight over the rows of the group that come strictly before, by `value`.
 
     Values must be unique within a group (aggregate first). `weights` maps weight column
-    to output column. The in-bucket window and the join to the bucket offsets share one
-    shuffle, as both are keyed by (group, bucket).
+    to output column; `totals` maps it to a column for the whole-group sum. The in-bucket
+    window and the join to the bucket offsets share one shuffle, as both are keyed by
+    (group, bucket). Pass `edges` where they can be had without evaluating `df`.
     """
-    cut = with_bucket(df, value, range_edges(df, value, buckets)).withColumn("_g", group_key(by))
-    totals = cut.groupBy("_g", "_bucket").agg(*[F.sum(col(w)).alias(f"_t_{w}") for w in weights])
-    earlier = W.partitionBy("_g").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_g", "_bucket", *[F.coalesce(F.sum(f"_t_{w}").over(earlier), F.lit(0)).alias(f"_o_{w}") for w in weights]
+    edges = range_edges(df, value, buckets) if edges is None else edges
+    cut = with_bucket(df, value, edges).withColumn("_g", group_key(by))
+    sums = cut.groupBy("_g", "_bucket").agg(*[F.sum(col(w)).alias(f"_t_{w}") for w in weights])
+    whole = W.partitionBy("_g")
+    earlier = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals or {}
+    offsets = sums.select(
+        "_g", "_bucket", *[F.coalesce(F.sum(f"_t_{w}").over(earlier), F.lit(0)).alias(f"_o_{w}") for w in weights],
+        *[F.sum(f"_t_{w}").over(whole).alias(f"_w_{w}") for w in totals],
     )
     local = W.partitionBy("_g", "_bucket").orderBy(col(value)).rowsBetween(W.unboundedPreceding, -1)
     inside = cut.withColumns(
@@ -76,6 +92,7 @@ def prefix_sum(
     return joined.select(
         *[col(c) for c in df.columns],
         *[(F.col(f"_i_{w}") + F.col(f"_o_{w}")).alias(out) for w, out in weights.items()],
+        *[F.col(f"_w_{w}").alias(out) for w, out in totals.items()],
     )
 
 
@@ -88,8 +105,8 @@ def hash_rank(
     so one huge stratum is still ranked by many tasks.
     """
     cut = df.withColumns(
-        {"_h": shuffle_hash(id_col, seed), "_g": group_key(by)}
-    ).withColumn("_bucket", F.substring("_h", 1, digits))
+        {"_h": F.coalesce(shuffle_hash(id_col, seed), F.lit("")), "_g": group_key(by)}
+    ).withColumn("_bucket", F.coalesce(F.substring("_h", 1, digits), F.lit("")))
     totals = cut.groupBy("_g", "_bucket").agg(F.count(F.lit(1)).alias("_t"))
     earlier = W.partitionBy("_g").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select("_g", "_bucket", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_o"))
@@ -107,8 +124,8 @@ def hash_sample(
     cut-off falls into is ranked.
     """
     cut = df.withColumns(
-        {"_h": shuffle_hash(id_col, seed), "_g": group_key(by)}
-    ).withColumn("_bucket", F.substring("_h", 1, digits))
+        {"_h": F.coalesce(shuffle_hash(id_col, seed), F.lit("")), "_g": group_key(by)}
+    ).withColumn("_bucket", F.coalesce(F.substring("_h", 1, digits), F.lit("")))
     totals = cut.groupBy("_g", "_bucket").agg(F.count(F.lit(1)).alias("_t"))
     whole = W.partitionBy("_g")
     running = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
@@ -152,7 +169,7 @@ def skew_join(df: DataFrame, table: DataFrame, keys: list[str], weight: str, tot
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """(by..., value, n, rank): the tie-averaged 1-based rank of every distinct value."""
     counts = df.groupBy(*[col(b) for b in by], col(value)).agg(F.count(F.lit(1)).alias("n"))
-    return prefix_sum(counts, value, {"n": "before"}, by, buckets).select(
+    return prefix_sum(counts, value, {"n": "before"}, by, edges=range_edges(df, value, buckets)).select(
         *[col(b) for b in by], col(value), "n", (F.col("before") + (F.col("n") + 1) / 2).alias("rank")
     )
 
@@ -164,12 +181,12 @@ def with_average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: st
 
 def quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-    exact: bool = True, small_cells: int = SMALL_CELLS, buckets: int | None = None,
+    exact: bool = True, small_rows: int = SMALL_ROWS, buckets: int | None = None,
 ) -> DataFrame:
     """(by..., column, n, q): linearly interpolated quantiles of numeric columns.
 
-    Up to `small_cells` cells the built-in percentile (a map of distinct values per
-    group) does it in one aggregate. Beyond that the same numbers come from selection:
+    Up to `small_rows` rows (and SMALL_CELLS cells) the built-in percentile, a map of
+    distinct values per group, does it in one aggregate. Beyond that the same numbers come from selection:
     count buckets, find the buckets that hold the wanted order statistics, and sort only
     those. `exact=False` uses the mergeable sketch.
     """
@@ -180,12 +197,13 @@ def quantiles(
         return cells.groupBy(*[col(k) for k in keys]).agg(
             F.count("value").alias("n"), F.percentile_approx("value", array, 10000).alias("q")
         )
-    if df.count() * len(columns) <= small_cells:
+    rows = df.count()
+    if rows <= small_rows and rows * len(columns) <= SMALL_CELLS:
         return cells.groupBy(*[col(k) for k in keys]).agg(
             F.count("value").alias("n"), F.percentile("value", array).alias("q")
         )
     parts = []
-    edges = {c: range_edges(df.where(col(c).isNotNull()), c, buckets) for c in columns}
+    edges = column_edges(df, columns, buckets)
     for c in columns:
         one = df.select(*[col(b) for b in by], col(c).cast("double").alias("value")).where("value is not null and not isnan(value)")
         parts.append(with_bucket(one, "value", edges[c]).select(*[col(b) for b in by], F.lit(c).alias("column"), "value", "_bucket"))

@@ -64,7 +64,14 @@ class CleaningPlan:
             plan.dropped += C.fit_unique_columns(df, keep)
         if options.drop_constant:
             plan.dropped += C.fit_constant_columns(df.drop(*plan.dropped), keep)
-        left = plan._rows(df.drop(*plan.dropped))
+        left = plan._rows(df.drop(*plan.dropped)).persist()  # read by every later decision
+        try:
+            return plan._fit_types(left)
+        finally:
+            left.unpersist()
+
+    def _fit_types(self, left: DataFrame) -> CleaningPlan:
+        plan, options, keep = self, self.options, self.options.roles()
         if options.binary_numbers:
             plan.binary = C.fit_binary_numbers(left, [options.id_col] if options.id_col else [])
         plan.to_category = [c for c in options.number_to_category if c in left.columns and c not in plan.binary]
