@@ -46,9 +46,13 @@ def long_values(df: DataFrame, columns: list[str], keep: list[str] = (), dtype:
 
     Spark's `unpivot` is a narrow Expand, so nothing is shuffled here.
     """
-    plain = df.select(
-        *[col(k) for k in keep], *[present(df, c).cast(dtype).alias(c) for c in columns]
-    )
+    def cell(c: str) -> Column:
+        value = present(df, c)
+        if dtype == "string" and is_float(df.schema[c].dataType):
+            value = value + F.lit(0.0)  # -0.0 and 0.0 are one value
+        return value.cast(dtype).alias(c)
+
+    plain = df.select(*[col(k) for k in keep], *[cell(c) for c in columns])
     return plain.unpivot(
         [col(k) for k in keep], [col(c) for c in columns], "column", "value"
     )

@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from colonnade.columns import categorical_columns, col, literal_rows, long_values, numeric_columns, present
 from colonnade.operators import features as X
@@ -51,16 +51,21 @@ def prepare_matrix(
     return X.standard_scale(matrix, X.fit_scaler(matrix, numeric_columns(matrix))) if scale else matrix
 
 
+def pearson(x: Column, y: Column) -> Column:
+    return F.regr_sxy(x, y) / F.nullif(F.sqrt(F.regr_sxx(x, y) * F.regr_syy(x, y)), F.lit(0.0))
+
+
 def pearson_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """(column_1, column_2, pearson): pairwise complete, a constant column gives null.
 
-    All pairs of a block are aggregates of one scan; `corr` merges map-side.
+    All pairs of a block are aggregates of one scan and merge map-side. (The built-in corr
+    raises on a constant column in ANSI mode, hence its three sums.)
     """
     blocks = [pairs[i:i + PAIRS_PER_JOB] for i in range(0, len(pairs), PAIRS_PER_JOB)]
     value = lambda c: present(df, c).cast("double")
     parts = []
     for block in blocks:
-        row = df.agg(*[F.corr(value(a), value(b)).alias(f"p{i}") for i, (a, b) in enumerate(block)])
+        row = df.agg(*[pearson(value(a), value(b)).alias(f"p{i}") for i, (a, b) in enumerate(block)])
         named = [F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), F.col(f"p{i}").alias("pearson")) for i, (a, b) in enumerate(block)]
         parts.append(row.select(F.inline(F.array(*named))))
     return reduce(DataFrame.unionByName, parts)

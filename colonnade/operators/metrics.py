@@ -22,7 +22,7 @@ def keys(by: Sequence[str]) -> list[Column]:
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 when there is nothing to divide by."""
-    return F.when(b != 0, a / b).otherwise(F.lit(0.0))
+    return F.coalesce(a / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
 def confusion_counts(hard: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -57,15 +57,20 @@ def accuracy(confusion: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def hard_metrics(confusion: DataFrame, by: Sequence[str] = (), positive: str | None = None, names: Sequence[str] = ("Precision", "Recall", "F1 Score")) -> DataFrame:
     """Precision, recall and F1: of the positive class (binary), else macro and per class."""
-    per_class = class_scores(confusion, by)
-    stacked = per_class.select(
-        *keys(by), F.col("class").cast("string").alias("class"),
-        F.inline(F.array(*[F.struct(F.lit(label).alias("metric"), F.col(c).alias("value")) for c, label in HARD_NAMES if label in names])),
-    ).select(*keys(by), "metric", "class", "value")
+    none = F.lit(None).cast("string")
+    listed = F.array(*[F.struct(F.lit(label).alias("metric"), F.col(c).alias("value")) for c, label in HARD_NAMES if label in names])
     if positive is not None:
-        return stacked.where(F.col("class") == positive).withColumn("class", F.lit(None).cast("string"))
+        hit, truth = F.col("pred") == positive, F.col("actual") == positive
+        rows = lambda rule: F.sum(F.when(rule, F.col("n")).otherwise(0))
+        tp, called, support = rows(hit & truth), rows(hit), rows(truth)
+        table = confusion.groupBy(*keys(by)).agg(
+            ratio(tp, called).alias("precision"), ratio(tp, support).alias("recall"), ratio(2 * tp, called + support).alias("f1")
+        )
+        return table.select(*keys(by), F.inline(listed)).select(*keys(by), "metric", none.alias("class"), "value")
+    per_class = class_scores(confusion, by)
+    stacked = per_class.select(*keys(by), F.col("class").cast("string").alias("class"), F.inline(listed)).select(*keys(by), "metric", "class", "value")
     macro = stacked.groupBy(*keys(by), "metric").agg(F.avg("value").alias("value")).select(
-        *keys(by), "metric", F.lit(None).cast("string").alias("class"), "value"
+        *keys(by), "metric", none.alias("class"), "value"
     )
     return macro.unionByName(stacked)
 

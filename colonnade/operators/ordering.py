@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from colonnade.columns import col, long_values
+from colonnade.columns import col, long_values, present
 
 HOT_KEYS = 200          # keys above total/HOT_KEYS rows are hot: at most HOT_KEYS of them exist
 SMALL_ROWS, SMALL_CELLS = 2_000_000, 16_000_000  # rows and cells up to which the in-memory percentile aggregate is used
@@ -45,9 +45,11 @@ def range_edges(df: DataFrame, value: str, buckets: int | None = None) -> list[f
 def column_edges(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
     """The same for several columns in one pass; nulls and NaN are ignored."""
     n = buckets or default_buckets(df)
-    plain = df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
-    found = plain.approxQuantile(plain.columns, [i / n for i in range(1, n)], 1.0 / (4 * n))
-    return {c: sorted(set(q)) for c, q in zip(columns, found)}
+    if n < 2:
+        return {c: [] for c in columns}
+    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
+    row = df.agg(*[F.percentile_approx(present(df, c).cast("double"), probs, max(100, 4 * n)).alias(f"v{i}") for i, c in enumerate(columns)]).first()
+    return {c: sorted(set(q or [])) for c, q in zip(columns, row)}
 
 
 def with_bucket(df: DataFrame, value: str, edges: list[float], out: str = "_bucket") -> DataFrame:
