@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from colonnade.catalog import query, table
 from colonnade.catalog.features import CONTEXT, PRIORITIES, order_context, parts_sql
 from colonnade.catalog.predictions import inverse_normal_sql
+from colonnade.catalog.univariate import kde_sql
 from colonnade.operators import association as A, correlation as K, features as X
+from colonnade.operators.univariate import kde_from_cells
 
 NUMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 PAIRS = list(combinations(NUMS, 2))
@@ -124,10 +126,10 @@ def ba_corr_series(spark, d):
     return digits(K.correlation_series(lineitem(spark, d), "l_quantity", methods=["pearson", "spearman"]), 6, "pearson", "spearman")
 
 
-@query("ba_scatter_points", """
+@query("ba_scatter_sample", """
 select 'l_discount' as column_1, 'l_tax' as column_2, l_discount as x, l_tax as y, count(*) as n from lineitem group by all
 union all select 'l_quantity', 'l_discount', l_quantity, l_discount, count(*) from lineitem group by all""")
-def ba_scatter_points(spark, d):
+def ba_scatter_sample(spark, d):
     return K.scatter_points(lineitem(spark, d), [("l_discount", "l_tax"), ("l_quantity", "l_discount")])
 
 
@@ -205,6 +207,12 @@ def ba_welch_anova(spark, d):
     return A.welch_anova(means(spark, d)).withColumns({"welch_f": F.round("welch_f", 5), "df2": F.round("df2", 4)})
 
 
+@query("ba_group_density", kde_sql(f'(select "group" as label, num_column as "column", mean as value from {MEANS})', 20).replace("round(x, 4) as x", "round(x, 3) as x"))
+def ba_group_density(spark, d):
+    cells = means(spark, d).select(F.col("group").alias("label"), F.col("num_column").alias("column"), F.col("mean").alias("value"))
+    return kde_from_cells(cells, points=20).select("label", "column", "i", F.round("x", 3).alias("x"), F.round("density", 9).alias("density"))
+
+
 @query("ba_num_cat_summary")
 def ba_num_cat_summary(spark, d):
     return A.numeric_by_category(table(spark, d, "orders"), "o_orderkey", ["o_orderpriority", "o_orderstatus"], SAMPLE_NUMS, sample_size=50)

@@ -22,12 +22,10 @@ def cells(source, columns, extra=""):
 LI_VALUES = ["l_returnflag", "l_linestatus", "l_linenumber"]
 
 
-def counts_sql(source, columns, numeric=(), extra="", label=""):
+def counts_sql(source, columns, label=""):
     return " union all ".join(
         f"""select {label}'{c}' as "column", cast({c} as varchar) as value, count(*) as "count",
-        round(count(*) * 100.0 / (select count(*) from {source} t), 3) as pct,
-        cast(row_number() over (order by {c + ',' if c in numeric else ''} count(*) desc, cast({c} as varchar)) as int) as position
-        from {source} x where {c} is not null group by {c}""" for c in columns)
+        round(count(*) * 100.0 / (select count(*) from {source} t), 3) as pct from {source} x where {c} is not null group by {c}""" for c in columns)
 
 
 @query("ua_value_columns", """
@@ -41,15 +39,15 @@ def ua_value_columns(spark, d):
     return literal_rows(spark, [(n,) for n in names], "column string")
 
 
-@query("ua_value_counts", counts_sql("lineitem", LI_VALUES, ["l_linenumber"]))
+@query("ua_value_counts", counts_sql("lineitem", LI_VALUES))
 def ua_value_counts(spark, d):
     li = table(spark, d, "lineitem")
     return U.value_counts(li, U.value_columns(li))
 
 
 @query("ua_value_counts_compare",
-       counts_sql("(select * from lineitem where l_quantity <= 25)", LI_VALUES, ["l_linenumber"], label="'small' as label, ")
-       + " union all " + counts_sql("(select * from lineitem where l_quantity > 25)", LI_VALUES, ["l_linenumber"], label="'large' as label, "))
+       counts_sql("(select * from lineitem where l_quantity <= 25)", LI_VALUES, label="'small' as label, ")
+       + " union all " + counts_sql("(select * from lineitem where l_quantity > 25)", LI_VALUES, label="'large' as label, "))
 def ua_value_counts_compare(spark, d):
     li = table(spark, d, "lineitem")
     return U.compare_value_counts({"small": li.where("l_quantity <= 25"), "large": li.where("l_quantity > 25")})

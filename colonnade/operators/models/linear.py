@@ -71,7 +71,7 @@ def lasso(df: DataFrame, alpha: float = 1.0) -> Scored:
 def platt(train: DataFrame, margin: str, hit: str) -> tuple[float, float]:
     """Sigmoid of a margin: (slope, intercept) of a one-feature logistic fit."""
     frame = train.select(array_to_vector(F.array(margin)).alias(FEATURES), F.col(hit).cast("double").alias(LABEL))
-    model = LogisticRegression(maxIter=100, tol=1e-8).fit(frame)
+    model = LogisticRegression(maxIter=25, tol=1e-6).fit(frame)
     return float(model.coefficients[0]), float(model.intercept)
 
 

@@ -23,18 +23,16 @@ def value_columns(df: DataFrame, just_category: bool = False, max_numeric_unique
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, count, pct, position): categories most frequent first, numbers in
-    value order. The share is over all rows, nulls included."""
+    """(column, value, count, pct): categories most frequent first, numbers in value order.
+    The share is over all rows, nulls included. Sorted by range, not in one task, as a text
+    column may hold any number of values."""
     n_rows = df.count()
     numeric = [c for c in columns if c in numeric_columns(df)]
     in_value_order = F.col("column").isin(numeric) if numeric else F.lit(False)
-    order = W.partitionBy("column").orderBy(
-        F.when(in_value_order, F.expr("try_cast(value as double)")), F.desc("n"), "value"
-    )
-    return value_profile(df, columns).select(
-        "column", "value", F.col("n").alias("count"), F.round(F.col("n") / n_rows * 100, 3).alias("pct"),
-        F.row_number().over(order).alias("position"),
+    counts = value_profile(df, columns).select(
+        "column", "value", F.col("n").alias("count"), F.round(F.col("n") / n_rows * 100, 3).alias("pct")
     )
+    return counts.orderBy("column", F.when(in_value_order, F.expr("try_cast(value as double)")), F.desc("count"), "value")
 
 
 def compare_value_counts(frames: dict[str, DataFrame], just_category: bool = False, max_numeric_uniques: int = 8) -> DataFrame:

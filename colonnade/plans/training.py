@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -129,22 +130,23 @@ class TrainingRun:
         """Score new rows with every (fold, model), each after its own fold's feature plan:
         (id, model, fold, class, proba, pred) or (id, model, fold, pred). Lazy and stateless,
         so `df` may be a stream."""
-        parts = []
-        for fold in range(self.config.folds):
-            ready = self.plan(fold).assembled(df)
-            for spec in self.config.models:
-                if models and spec.name not in models:
-                    continue
-                scored = self.model(fold, spec.name).score(ready)
-                extra = {"model": F.lit(spec.name), "fold": F.lit(fold)}
-                if self.config.task == "classification":
-                    parts.append(long_scores(scored, self.config.id_col, self.classes, extra))
-                else:
-                    parts.append(scored.select(col(self.config.id_col), *[e.alias(n) for n, e in extra.items()], F.col("prediction").alias("pred")))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        chosen = [spec for spec in self.config.models if not models or spec.name in models]
+        parts = [self._score_fold(df, fold, chosen) for fold in range(self.config.folds)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _score_fold(self, df: DataFrame, fold: int, chosen: list[ModelSpec]) -> DataFrame:
+        """All models of a fold as columns of one pass over the input, then stacked."""
+        out, rows = self.plan(fold).assembled(df), []
+        for i, spec in enumerate(chosen):
+            out = self.model(fold, spec.name).score(out).withColumnRenamed("prediction", f"_y{i}")
+            name = F.lit(spec.name).alias("model")
+            if self.config.task == "classification":
+                out = out.withColumnRenamed("probability", f"_p{i}")
+                label = X.decode_label(F.col(f"_y{i}"), self.classes).alias("pred")
+                rows += [F.struct(name, F.lit(c).alias("class"), F.col(f"_p{i}")[k].alias("proba"), label) for k, c in enumerate(self.classes)]
+            else:
+                rows.append(F.struct(name, F.col(f"_y{i}").alias("pred")))
+        return out.select(col(X.safe_name(self.config.id_col)).alias(self.config.id_col), F.lit(fold).alias("fold"), F.inline(F.array(*rows)))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TrainingRun:

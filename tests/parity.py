@@ -73,7 +73,6 @@ def compare(df, con, sql):
     bad = [(m, t) for m, t in zip(sorted(mine, key=key), sorted(theirs, key=key)) if not all(close(x, y) for x, y in zip(m, t))]
     if bad:
         return f"{len(bad)} of {len(mine)} rows differ, first: {names} {bad[0][0]} / {bad[0][1]}"
-    types = {n: [kind(v) for v in col] for n, col in zip(names, zip(*mine))} if mine else {}
     return None
 
 
