@@ -15,7 +15,7 @@ from colonnade.operators.models import bayes, linear, neighbours as N, trees
 from colonnade.plans.cleaning import CleaningOptions, CleaningPlan
 from colonnade.plans.features import FeatureOptions
 from colonnade.plans.training import ModelSpec, TrainingConfig, TrainingRun, best_models, train
-from colonnade.session import scratch_path, spread
+from colonnade.session import scratch_path
 from colonnade.sources import tables as S
 from colonnade.sources.models import load_model, save_model
 
@@ -24,7 +24,7 @@ XS = ["x1", "x2", "x3"]
 
 def frame(spark, d):
     u = unit("id", F.lit("u"))
-    orders = spread(table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_custkey"))
+    orders = table(spark, d, "orders")
     base = orders.select(
         F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 100000).alias("x1"), (F.month("o_orderdate") / 12).alias("x2"),
         ((F.col("o_custkey") % 10) / 10).alias("x3"))
