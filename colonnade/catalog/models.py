@@ -324,9 +324,9 @@ COEF = {"x1": 3.0, "x2": -4.0, "x3": 1.0}
 def attributions(spark, d):
     """Exact attributions of the known linear score: coefficient x distance to the mean."""
     df = frame(spark, d)
-    means = df.agg(*[F.avg(c).alias(f"m_{c}") for c in XS])
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"), (F.lit(b) * (F.col(c) - F.col(f"m_{c}"))).alias("phi")) for c, b in COEF.items()])
-    return df.crossJoin(F.broadcast(means)).select("id", F.lit(None).cast("string").alias("class"), F.inline(rows))
+    means = df.agg(*[F.avg(c).alias(c) for c in XS]).first()
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"), (F.lit(b) * (F.col(c) - F.lit(means[c]))).alias("phi")) for c, b in COEF.items()])
+    return df.select("id", F.lit(None).cast("string").alias("class"), F.inline(rows))
 
 
 ATTR = "(" + " union all ".join(f"select id, '{c}' as feature, {c} as value, {b}::double * ({c} - (select avg({c}) from {FRAME})) as phi from {FRAME} f" for c, b in COEF.items()) + ")"
@@ -381,11 +381,11 @@ def sink_roundtrip(spark, d):
 
 
 @query("sink_plan_replay", """
-select p_partkey, p_name, cast(p_size as varchar) as p_size, p_retailprice > 950 as "level_7", coalesce(case when p_partkey % 3 > 0 then p_type end,
+select p_partkey, p_name, cast(p_size as varchar) as p_size, p_partkey % 5 > 2 as "level_7", coalesce(case when p_partkey % 3 > 0 then p_type end,
  (select p_type from part where p_partkey % 2 = 0 and p_partkey % 3 > 0 group by 1 order by count(*) desc, p_type limit 1)) as p_type from part where p_partkey % 2 = 1""")
 def sink_plan_replay(spark, d):
     raw = table(spark, d, "part").select(
-        "p_partkey", "p_name", "p_size", F.when(F.col("p_retailprice") > 950, 7).otherwise(3).alias("level"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")).alias("p_type"), F.lit(1).alias("flat"))
+        "p_partkey", "p_name", "p_size", F.when(F.col("p_partkey") % 5 > 2, 7).otherwise(3).alias("level"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")).alias("p_type"), F.lit(1).alias("flat"))
     options = CleaningOptions(id_col="p_partkey", number_to_category=["p_size"], missing="mean")
     path = scratch_path(spark, "plan")
     CleaningPlan.fit(raw.where("p_partkey % 2 = 0"), options).save(spark, path)

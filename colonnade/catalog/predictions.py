@@ -377,7 +377,7 @@ HALF = "(select o_orderstatus, o_orderpriority, o_orderkey from orders where o_o
     counts_sql(HALF.format(k), ["o_orderstatus", "o_orderpriority"], label=f"'{label}' as label, ") for k, label in ((0, "train"), (1, "test"))))
 def pred_data_comparison(spark, d):
     o = table(spark, d, "orders").select("o_orderstatus", "o_orderpriority", "o_orderkey")
-    return P.data_comparison(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"))["value_counts"]
+    return P.data_comparison(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), min_rows=100)["value_counts"]
 
 
 RANKED = f"""(select id, model, actual, rank() over (partition by model, actual order by proba desc) + (count(*) over (partition by model, actual, proba) - 1) / 2.0 as rk

@@ -215,12 +215,19 @@ def category_pairs(df: DataFrame, max_unique: int = 20, feature: str | None = No
     return [(c, feature) for c in names] if feature else list(combinations(names, 2))
 
 
+MAX_SIDE = 200  # values per column up to which a dense table of cells is built
+
+
 def expected_cells(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """(column_1, column_2, a, b, n, expected, rows, cols, total) on the dense grid.
 
-    The grid has |a| x |b| cells per pair, both bounded by the cardinality limit of the
-    test, whatever the number of rows.
+    The grid has |a| x |b| cells per pair. The cardinality of every column is checked
+    first, so the grid is bounded whatever the number of rows.
     """
+    names = sorted({c for p in pairs for c in p})
+    long_ones = sorted(set(names) - set(cardinalities(df, names, MAX_SIDE)))
+    if long_ones:
+        raise ValueError(f"too many values for a table of cells: {long_ones}")
     cells = crosstab(df, pairs).drop("pct")
     left = cells.groupBy(*CATS, "a").agg(F.sum("n").alias("na"))
     right = cells.groupBy(*CATS, "b").agg(F.sum("n").alias("nb"))

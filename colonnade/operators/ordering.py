@@ -148,23 +148,19 @@ def hash_sample(
 
 
 def skew_join(df: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
-    """Join rows to a per-key table when some keys may hold a large share of the rows.
+    """Inner join of rows to a per-key table when some keys may hold a large share of rows.
 
     `weight` is the number of rows of `df` per key, summing to `total`, so at most
-    HOT_KEYS keys can reach total/HOT_KEYS rows; those are broadcast. The rest go through
-    a shuffle join, in which hot rows carry a salt that spreads them and finds no match.
-    Rows whose key is in neither table are dropped (inner join).
+    HOT_KEYS keys can reach total/HOT_KEYS rows. Their rows meet a broadcast of that many
+    table rows where they are; all other rows go through a shuffle join. No random salt is
+    involved (equal rows could not be salted reproducibly), so a retried task gives the
+    same rows.
     """
-    payload = [c for c in table.columns if c not in keys]
     hot_rule = F.col(weight) * F.lit(HOT_KEYS) >= F.lit(max(total, 1))
-    hot = table.where(hot_rule).select(*keys, F.struct(*payload).alias("_hot"))
-    cold = table.where(~hot_rule).select(*keys, F.lit(0).alias("_salt"), F.struct(*payload).alias("_cold"))
-    tagged = df.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(4096)).cast("int"))
-    )
-    joined = tagged.join(cold, [*keys, "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
-    return joined.where(F.col("_found").isNotNull()).select(
-        *[col(c) for c in df.columns], *[F.col("_found").getField(p).alias(p) for p in payload]
+    hot, cold = table.where(hot_rule), table.where(~hot_rule)
+    spread_out = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return df.join(F.broadcast(hot), keys).unionByName(spread_out.join(cold, keys)).select(
+        *[col(c) for c in df.columns], *[col(c) for c in table.columns if c not in keys]
     )
 
 

@@ -156,10 +156,10 @@ def schema_profile(df: DataFrame, persisted: Sequence[str] = ()) -> DataFrame:
     values that are neither id nor target may be turned into categories."""
     numeric = [c for c in numeric_columns(df) if c not in persisted]
     two_or_less = {c for c, n in cardinalities(df, numeric, 2).items()}
-    listed = literal_rows(df.sparkSession, 
+    listed = literal_rows(df.sparkSession,
         [(f.name, dtype_class(f.dataType), len(df.columns), f.name in numeric and f.name not in two_or_less) for f in df.schema],
         "column string, dtype_class string, n_columns int, castable boolean",
     )
-    return listed.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("n_rows"))))
+    return listed.withColumn("n_rows", F.lit(df.count()).cast("long"))
 
 
