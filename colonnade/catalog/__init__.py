@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(str(Path(folder) / f"{name}.parquet"))
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def load_all() -> None:
