@@ -38,3 +38,49 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in (c.lower() for c in df.columns):
         name = f"_{name}"
     return name
+
+
+#: Groups with at least one in this many rows (so at most this many groups) are joined by broadcast.
+HEAVY_SHARE = 1_000
+
+
+def left_join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """`rows` left-joined with one row per `key` of `groups`, whatever the largest group's share.
+
+    Groups of at least 1/HEAVY_SHARE of all `total` rows, of which there can be no more than
+    HEAVY_SHARE, are broadcast; their rows, and rows without a key, are then spread for the join
+    with the others by shuffle. Adds the columns of `groups` but its key and size.
+    """
+    extra = [c for c in groups.columns if c not in (key, size)]
+    own = [F.col(c).alias(f"_heavy_{c}") for c in extra]
+    heavy = groups.where(F.col(size) * HEAVY_SHARE >= total).select(key, F.lit(True).alias("_heavy"), *own)
+    light = groups.where(F.col(size) * HEAVY_SHARE < total).select(F.col(key).alias("_key"), *extra)
+    first = rows.join(F.broadcast(heavy), key, "left")
+    done = F.col("_heavy").isNotNull() | F.col(key).isNull()
+    spread = F.when(done, F.concat(F.lit("-").cast("binary"), F.xxhash64(*rows.columns).cast("string").cast("binary"))).otherwise(F.col(key).cast("binary"))
+    both = first.withColumn("_from", spread).join(light, F.col("_from") == F.col("_key").cast("binary"), "left")
+    return both.select(*rows.columns, *[F.when(F.col("_heavy"), F.col(f"_heavy_{c}")).otherwise(F.col(c)).alias(c) for c in extra])
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Connected components of undirected links (a, b): `node`, `component` (its smallest node).
+
+    Alternates large-star and small-star steps, in which every node hands its neighbours to the
+    smallest one it knows, until nothing changes. No neighbourhood is gathered in one place: each
+    step is a minimum (combined before the shuffle) and a join that may be split at hot nodes.
+    """
+    pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
+    edges, seen = staged(pairs, "links"), None
+    while True:
+        found = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if found == seen or not found[0]:
+            break
+        seen = found
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v")))
+        edges = staged(small.distinct(), "stars")
+    members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return members.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

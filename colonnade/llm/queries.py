@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import exact_dedup, packing, token_files
+from colonnade.llm import exact_dedup, jaccard_join, packing, secret_scan, token_files
 from colonnade.llm.common import read
 from colonnade.session import scratch_path
 
@@ -48,3 +48,37 @@ def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
+
+
+def _secrets_sql() -> str:
+    """The regexes searched directly, without any index: spans from the pieces between matches."""
+    plain = {"access": ("AKIA[A-Z0-9]+", 20), "hex": ("[0-9a-f]+", 24)}  # as the contract words them
+    parts = []
+    for n, rule in enumerate(secret_scan.RULES):
+        pattern, least = plain.get(rule.kind, (rule.pattern, rule.least))
+        quoted = pattern.replace("'", "''")
+        parts.append(
+            f"""select doc_id, {n} k, '{rule.kind}' kind, s.s s, s.e e from (select doc_id, unnest(list_transform(range(1, len(m) + 1), lambda i: struct_pack(
+            s := coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0),
+            e := coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0),
+            n := length(c[i])))) s
+            from (select doc_id, regexp_extract_all(t, '{quoted}', 0) m, regexp_extract_all(t, '{quoted}', {rule.group}) c, string_split_regex(t, '{quoted}') g from d)) where s.n >= {least}"""
+        )
+    base = len(secret_scan.BASE)
+    shown = "string_agg(kind || ':' || s || ':' || e, ',' order by s, k)"
+    counts = ", ".join(f"count(*) filter (k = {n}) n_{r.kind}" for n, r in enumerate(secret_scan.BASE))
+    outer = ", ".join(f"coalesce(n_{r.kind}, 0) n_{r.kind}" for r in secret_scan.BASE)
+    return f"""with d as (select doc_id, coalesce(text, '') t from documents), x as (select doc_id, k, kind, cast(s as bigint) s, cast(e as bigint) e from ({" union all ".join(parts)})),
+        y as (select doc_id, {counts}, {shown} filter (k < {base}) own, {shown} spans, count(*) filter (k >= {base}) n_added from x group by doc_id)
+        select d.doc_id, {outer}, sha256(coalesce(own, '')) base_sha256, coalesce(spans, '') spans, coalesce(n_added, 0) n_added from d left join y on d.doc_id = y.doc_id"""
+
+
+@query("op10_secret_scan", _secrets_sql())
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digests(read(spark, sf_dir, "documents"))
+
+
+@query("op6_jaccard_join")
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.near_groups(read(spark, sf_dir, "documents"), words=3, percent=90)
+    return groups.select("doc_id", "n_shingles", "component_id")
