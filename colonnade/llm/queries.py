@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import exact_dedup, jaccard_join, packing, secret_scan, token_files
+from colonnade.llm import exact_dedup, jaccard_join, language, near_vectors, packing, secret_scan, token_files
 from colonnade.llm.common import read
 from colonnade.session import scratch_path
 
@@ -82,3 +82,15 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard_join.near_groups(read(spark, sf_dir, "documents"), words=3, percent=90)
     return groups.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op2_embedding_dedup")
+def near_vectors_of_a_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_groups(read(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+@query("op5_language_id")
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = language.identify(docs, language.learn(docs))
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
