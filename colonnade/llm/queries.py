@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import exact_dedup, jaccard_join, language, near_vectors, packing, secret_scan, token_files
+from colonnade.llm import exact_dedup, jaccard_join, language, licences, near_vectors, packing, pieces, secret_scan, token_files
 from colonnade.llm.common import read
 from colonnade.session import scratch_path
 
@@ -94,3 +94,37 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = language.identify(docs, language.learn(docs))
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def _licences_sql(threshold: float) -> str:
+    """All segments against all templates, without the search for needed terms."""
+    vectors, rarity, unseen = licences.template_vectors()
+    v = ", ".join(f"({i}, '{t}', {w!r}e0)" for i, t, w in vectors)
+    r = ", ".join(f"('{t}', {w!r}e0)" for t, w in rarity.items())
+    n = ", ".join(f"({i}, '{name}')" for i, (name, _) in enumerate(licences.TEMPLATES))
+    return rf"""with v(template, term, w) as (values {v}), r(term, rarity) as (values {r}), names(template, licence) as (values {n}),
+    f as (select doc_id, text, coalesce(source, 'none') || '/' || (doc_id // 1000) top, doc_id // 100 hundred from documents),
+    p as (select doc_id, text, case when doc_id % 1000 = 0 then top || '/LICENSE' when doc_id % 100 = 0 then top || '/' || hundred || '/LICENSE' else top || '/' || hundred || '/' || doc_id || '.txt' end path from f),
+    lines as (select distinct path, unnest(string_split(regexp_replace(lower(text), '([.;!?])[ 	
+]+', '' || chr(10), 'g'), chr(10))) line from p),
+    words as (select path, line, unnest(regexp_extract_all(line, '[a-z0-9]+')) term from lines),
+    tf as (select path, line, words.term, count(*) * coalesce(any_value(rarity), {unseen!r}e0) w from words left join r on words.term = r.term group by all),
+    norm as (select path, line, sqrt(sum(w * w)) n from tf group by all),
+    dots as (select path, line, template, round(sum(tf.w * v.w), 12) dot from tf join v on tf.term = v.term group by all),
+    best as (select path, template, round(dot / n, 6) c from (select *, row_number() over (partition by path, line order by dot desc, template) k from dots) join norm using (path, line) where k = 1),
+    own as (select path, licence, c from (select *, row_number() over (partition by path order by c desc, template) k from best where c >= {threshold}) join names using (template) where k = 1),
+    folders as (select regexp_replace(path, '/[^/]*$', '') folder, licence, c from own where path like '%/LICENSE'),
+    up as (select doc_id, f.licence, f.c, row_number() over (partition by doc_id order by length(f.folder) desc, f.c desc, f.licence) k from p join folders f on starts_with(p.path, f.folder || '/'))
+    select p.doc_id, p.path, coalesce(own.licence, up.licence) licence, coalesce(own.c, up.c) licence_cosine,
+      case when own.licence is not null then 'own' when up.licence is not null then 'inherited' end licence_from
+    from p left join own on p.path = own.path left join up on p.doc_id = up.doc_id and up.k = 1"""
+
+
+@query("op4_licence_scan", _licences_sql(0.7))
+def licences_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(licences.document_tree(read(spark, sf_dir, "documents")), threshold=0.7).drop("text")
+
+
+@query("op8_piece_encoding")
+def piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
