@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import exact_dedup, jaccard_join, language, licences, near_vectors, packing, pieces, secret_scan, token_files
+from colonnade.llm import exact_dedup, jaccard_join, language, licences, near_vectors, packing, pieces, pii, secret_scan, token_files
 from colonnade.llm.common import read
 from colonnade.session import scratch_path
 
@@ -128,3 +128,9 @@ def licences_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_piece_encoding")
 def piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op3_pii")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.scan_pii(docs, pii.learn(docs))
