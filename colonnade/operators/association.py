@@ -13,7 +13,7 @@ from colonnade.columns import categorical_columns, col, literal_rows, numeric_co
 from colonnade.functions.distributions import chi2_sf, f_sf, normal_sf
 from colonnade.functions.normal import inverse_normal, polynomial
 from colonnade.operators.ordering import hash_rank, prefix_sum
-from colonnade.operators.quality import cardinalities
+from colonnade.operators.quality import cardinalities, value_profile
 
 SIGNIFICANCE = 0.05
 PAIR = ["cat_column", "num_column"]
@@ -172,8 +172,7 @@ def numeric_by_category(
     normal = normality.groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("num_groups"), F.min(shapiro_p(F.col("n"), F.col("w"), F.col("z"))).alias("min_normal_p")
     )
-    sizes = cardinalities(df, cats, 200)
-    total = literal_rows(df.sparkSession, [(c, sizes.get(c, 201)) for c in cats], "cat_column string, n_values bigint")
+    total = F.broadcast(value_profile(df, cats).groupBy(F.col("column").alias("cat_column")).agg(F.count(F.lit(1)).alias("n_values")))  # one row per column
     tests = (
         normal.join(total, "cat_column").join(levene(means).select(*PAIR, "levene", F.col("df1").alias("l1"), F.col("df2").alias("l2")), PAIR)
         .join(one_way(means, "mean").select(*PAIR, "f", F.col("df1").alias("a1"), F.col("df2").alias("a2"), "eta2"), PAIR)
@@ -215,50 +214,58 @@ def category_pairs(df: DataFrame, max_unique: int = 20, feature: str | None = No
     return [(c, feature) for c in names] if feature else list(combinations(names, 2))
 
 
-MAX_SIDE = 200  # values per column up to which a dense table of cells is built
-
-
-def expected_cells(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(column_1, column_2, a, b, n, expected, rows, cols, total) on the dense grid.
-
-    The grid has |a| x |b| cells per pair. The cardinality of every column is checked
-    first, so the grid is bounded whatever the number of rows.
-    """
-    names = sorted({c for p in pairs for c in p})
-    long_ones = sorted(set(names) - set(cardinalities(df, names, MAX_SIDE)))
-    if long_ones:
-        raise ValueError(f"too many values for a table of cells: {long_ones}")
+def contingency(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(column_1, column_2, a, b, n, na, nb, rows, cols, total) of the cells that hold rows."""
     cells = crosstab(df, pairs).drop("pct")
     left = cells.groupBy(*CATS, "a").agg(F.sum("n").alias("na"))
     right = cells.groupBy(*CATS, "b").agg(F.sum("n").alias("nb"))
-    grid = left.join(right, CATS).join(cells, [*CATS, "a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    total = F.sum("n").over(W.partitionBy(*CATS))
-    shape = grid.withColumn("total", total).withColumns({
-        "rows": F.size(F.collect_set("a").over(W.partitionBy(*CATS))), "cols": F.size(F.collect_set("b").over(W.partitionBy(*CATS))),
-    })
-    return shape.withColumn("expected", F.col("na") * F.col("nb") / F.col("total")).select(*CATS, "a", "b", "n", "expected", "rows", "cols", "total")
+    shape = left.groupBy(*CATS).agg(F.count(F.lit(1)).alias("rows"), F.sum("na").alias("total")).join(right.groupBy(*CATS).agg(F.count(F.lit(1)).alias("cols")), CATS)
+    return cells.join(left, [*CATS, "a"]).join(right, [*CATS, "b"]).join(F.broadcast(shape), CATS)  # one row per pair
+
+
+def expected_shares(cells: DataFrame) -> DataFrame:
+    """(column_1, column_2, expected_pct, below_one): the share of all rows x cols cells, empty
+    ones too, with an expected count of 5 and more, and how many expect less than 1. Values
+    with equal totals expect the same, so only distinct totals are combined: at most
+    sqrt(2 total) a side."""
+    many = lambda side, value: cells.select(*CATS, value, side, "total").distinct().groupBy(*CATS, side, "total").agg(F.count(F.lit(1)).alias(f"k{side}"))
+    both = many("na", "a").join(many("nb", "b").drop("total"), CATS)
+    expected, count = F.col("na") * F.col("nb") / F.col("total"), F.col("kna") * F.col("knb")
+    return both.groupBy(*CATS).agg(
+        (F.sum(F.when(expected >= 5, count).otherwise(0)) / F.sum(count) * 100).alias("expected_pct"), F.sum(F.when(expected < 1, count).otherwise(0)).alias("below_one")
+    )
+
+
+def binary_tables(cells: DataFrame) -> DataFrame:
+    """The four counts p q / s t of every 2x2 table, values in text order."""
+    tables = cells.where("rows = 2 and cols = 2")
+    ends = tables.groupBy(*CATS).agg(F.min("a").alias("_a"), F.min("b").alias("_b"))
+    flags = tables.join(F.broadcast(ends), CATS)  # one row per pair
+    cell = lambda r, c: F.sum(F.when(((F.col("a") != F.col("_a")) == r) & ((F.col("b") != F.col("_b")) == c), F.col("n")).otherwise(0)).cast("double")
+    return flags.groupBy(*CATS).agg(cell(False, False).alias("p"), cell(False, True).alias("q"), cell(True, False).alias("s"), cell(True, True).alias("t"))
 
 
 def chi_square(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """(column_1, column_2, chi2, dof, expected_pct, below_one, rows, cols, total), with
-    Yates' correction when there is one degree of freedom."""
-    grid = expected_cells(df, pairs)
-    dof = (F.col("rows") - 1) * (F.col("cols") - 1)
-    gap = F.abs(F.col("n") - F.col("expected"))
-    gap = F.when(dof == 1, gap - F.least(gap, F.lit(0.5))).otherwise(gap)
-    return grid.groupBy(*CATS, "rows", "cols", "total").agg(
-        F.sum(gap * gap / F.col("expected")).alias("chi2"), F.first(dof).alias("dof"),
-        (F.avg(F.when(F.col("expected") >= 5, 1.0).otherwise(0.0)) * 100).alias("expected_pct"), F.count_if(F.col("expected") < 1).alias("below_one"),
-    )
+    Yates' correction when there is one degree of freedom. Only cells that hold rows are
+    built: the empty ones add what the others leave of the total."""
+    cells = contingency(df, pairs)
+    expected = F.col("na") * F.col("nb") / F.col("total")
+    gap = F.col("n") - expected
+    sums = cells.groupBy(*CATS, "rows", "cols", "total").agg((F.sum(gap * gap / expected) + (F.col("total") - F.sum(expected))).alias("_plain"))
+    p, q, s, u = (F.col(x) for x in "pqst")
+    n, apart = p + q + s + u, F.abs(p * u - q * s)
+    step = apart / n - F.least(apart / n, F.lit(0.5))  # |observed - expected| is the same in all four cells
+    yates = step * step * n * n * n / ((p + q) * (s + u) * (p + s) * (q + u))
+    corrected = binary_tables(cells).select(*CATS, yates.alias("_yates"))
+    joined = sums.join(expected_shares(cells), CATS).join(corrected, CATS, "left")
+    dof = ((F.col("rows") - 1) * (F.col("cols") - 1)).cast("int")
+    return joined.select(*CATS, "rows", "cols", "total", F.coalesce("_yates", "_plain").alias("chi2"), dof.alias("dof"), "expected_pct", "below_one")
 
 
 def phi_coefficient(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """(column_1, column_2, phi) of 2x2 tables, categories in text order."""
-    grid = expected_cells(df, pairs).where("rows = 2 and cols = 2")
-    first_a, first_b = F.min("a").over(W.partitionBy(*CATS)), F.min("b").over(W.partitionBy(*CATS))
-    flags = grid.withColumns({"r": F.col("a") != first_a, "c": F.col("b") != first_b})
-    cell = lambda r, c: F.sum(F.when((F.col("r") == r) & (F.col("c") == c), F.col("n")).otherwise(0)).cast("double")
-    t = flags.groupBy(*CATS).agg(cell(False, False).alias("p"), cell(False, True).alias("q"), cell(True, False).alias("s"), cell(True, True).alias("t"))
+    t = binary_tables(contingency(df, pairs))
     p, q, s, u = (F.col(x) for x in "pqst")
     return t.select(*CATS, ((p * u - q * s) / F.nullif(F.sqrt((p + q) * (s + u) * (p + s) * (q + u)), F.lit(0.0))).alias("phi"))
 

@@ -13,6 +13,7 @@ from colonnade.operators.ordering import average_ranks
 from colonnade.operators.quality import cardinalities
 from colonnade.operators.splitting import bin_label, cut_expression, quantile_edges
 from colonnade.operators.univariate import kde_from_cells
+from colonnade.session import broadcast_checked
 
 
 def metric_summary(metrics: DataFrame, best: str, ascending: bool = False) -> DataFrame:
@@ -97,7 +98,7 @@ def residuals(preds: DataFrame) -> DataFrame:
     statistics are one row per model."""
     r = F.col("actual") - F.col("pred")
     stats = preds.groupBy("model").agg(F.avg(r).alias("_m"), F.stddev_samp(r).alias("_s"))
-    return preds.join(stats, "model").withColumns({"residual": r, "std_residual": (r - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))}).drop("_m", "_s")
+    return preds.join(broadcast_checked(stats), "model").withColumns({"residual": r, "std_residual": (r - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))}).drop("_m", "_s")
 
 
 def qq_points(preds: DataFrame) -> DataFrame:
@@ -109,7 +110,7 @@ def qq_of(rows: DataFrame, value: str) -> DataFrame:
     """Normal quantile i/(n+1) of the (tie-averaged) rank of every distinct value."""
     ranked = average_ranks(rows.where(col(value).isNotNull()), value, ["model"])
     sizes = ranked.groupBy("model").agg(F.sum("n").alias("_total"))
-    return ranked.join(sizes, "model").select(
+    return ranked.join(broadcast_checked(sizes), "model").select(
         "model", col(value), "n", inverse_normal(F.col("rank") / (F.col("_total") + 1)).alias("theoretical")
     )
 
@@ -121,7 +122,7 @@ def proba_histogram(scores: DataFrame, bins: int = 20) -> DataFrame:
     ends = own.groupBy("model", "class").agg(F.min("proba").alias("a"), F.max("proba").alias("b"))
     width = F.when(F.col("b") > F.col("a"), (F.col("b") - F.col("a")) / bins).otherwise(F.lit(1.0))
     at = F.least(F.floor((F.col("proba") - F.col("a")) / width), F.lit(bins - 1)).cast("int")
-    counts = own.join(ends, ["model", "class"]).groupBy("model", "class", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = own.join(broadcast_checked(ends), ["model", "class"]).groupBy("model", "class", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     grid = ends.select("model", "class", "a", width.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return grid.join(counts, ["model", "class", "bin"], "left").select(
         "model", "class", "bin", (F.col("a") + F.col("bin") * F.col("w")).alias("lo"), (F.col("a") + (F.col("bin") + 1) * F.col("w")).alias("hi"),

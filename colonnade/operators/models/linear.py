@@ -41,27 +41,44 @@ def score_class_lines(state: dict, rows: DataFrame) -> DataFrame:
     return with_class_scores(with_array(rows), lines).drop("_x")
 
 
+TIGHT = {"maxIter": 500, "tol": 1e-10}  # of the iterative solver
+NORMAL_WIDTH = 4096  # fixed value: features up to which MLlib solves the normal equations
+
+
+def solver_for(df: DataFrame) -> str:
+    """Normal equations up to their width, l-bfgs beyond."""
+    first = df.select(F.size(vector_to_array(FEATURES)).alias("n")).first()
+    return "normal" if first is None or first["n"] <= NORMAL_WIDTH else "l-bfgs"
+
+
 def least_squares(df: DataFrame) -> Scored:
-    return ml_regressor(LinearRegression(solver="normal").fit(df))
+    solver = solver_for(df)
+    return ml_regressor(LinearRegression(solver=solver, **({} if solver == "normal" else TIGHT)).fit(df))
 
 
-def label_spread(df: DataFrame) -> tuple[int, float]:
-    row = df.agg(F.count(F.lit(1)), F.stddev_pop(LABEL)).first()
+def label_spread(df: DataFrame, solver: str = "normal") -> tuple[int, float]:
+    """(rows, sd of the label) by which MLlib scales a penalty: population sd with the
+    normal equations, sample sd with l-bfgs."""
+    sd = F.stddev_pop(LABEL) if solver == "normal" else F.stddev_samp(LABEL)
+    row = df.agg(F.count(F.lit(1)), sd).first()
     return row[0], row[1] or 1.0
 
 
 def ridge(df: DataFrame, alpha: float = 1.0) -> Scored:
     """||y - Xw||^2 + alpha ||w||^2. MLlib scales its L2 part by sd(y) and by n."""
-    n, sd = label_spread(df)
-    return ml_regressor(LinearRegression(solver="normal", regParam=alpha * sd / n, elasticNetParam=0.0, standardization=False).fit(df))
+    solver = solver_for(df)
+    n, sd = label_spread(df, solver)
+    more = {} if solver == "normal" else TIGHT
+    return ml_regressor(LinearRegression(solver=solver, regParam=alpha * sd / n, elasticNetParam=0.0, standardization=False, **more).fit(df))
 
 
 def elastic_net(df: DataFrame, alpha: float = 1.0, l1_ratio: float = 0.5) -> Scored:
     """||y - Xw||^2 / 2n + alpha (l1 |w| + (1 - l1)/2 ||w||^2)."""
-    _, sd = label_spread(df)
+    solver = solver_for(df)
+    _, sd = label_spread(df, solver)
     l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio) * sd
     lam = l1 + l2
-    return ml_regressor(LinearRegression(solver="normal", regParam=lam, elasticNetParam=l1 / lam if lam else 0.0, standardization=False, maxIter=500, tol=1e-10).fit(df))
+    return ml_regressor(LinearRegression(solver=solver, regParam=lam, elasticNetParam=l1 / lam if lam else 0.0, standardization=False, maxIter=500, tol=1e-10).fit(df))
 
 
 def lasso(df: DataFrame, alpha: float = 1.0) -> Scored:
@@ -102,7 +119,7 @@ def linear_svr(df: DataFrame, c: float = 1.0, rounds: int = 12, floor: float = 1
     are an expression of the last coefficients, so the plan does not grow with the rounds."""
     scale = df.agg(F.stddev_pop(LABEL)).first()[0] or 1.0
     base = with_array(df).select(FEATURES, LABEL, "_x").persist()
-    weights, intercept, model = None, 0.0, None
+    weights, intercept, model, solver = None, 0.0, None, solver_for(base)
     try:
         for _ in range(rounds):
             if weights is None:
@@ -111,7 +128,7 @@ def linear_svr(df: DataFrame, c: float = 1.0, rounds: int = 12, floor: float = 1
                 gap = F.abs(F.col(LABEL) - linear_score(F.col("_x"), weights, intercept))
                 frame = base.withColumn("_w", 1 / F.greatest(gap, F.lit(floor * scale)))
             mass = frame.agg(F.sum("_w")).first()[0]
-            model = LinearRegression(solver="normal", weightCol="_w", regParam=scale / (c * mass), standardization=False).fit(frame)
+            model = LinearRegression(solver=solver, weightCol="_w", regParam=scale / (c * mass), standardization=False).fit(frame)
             old, weights, intercept = weights, model.coefficients.toArray(), float(model.intercept)
             if old is not None and np.max(np.abs(old - weights)) <= 1e-8 * (1 + np.max(np.abs(weights))):
                 break

@@ -75,12 +75,10 @@ def evaluate_ensembles(ensembled: DataFrame, test: DataFrame, id_col: str, targe
     return regression_metrics(labelled, ["model"], n_features)
 
 
-MIN_COMPARE_ROWS = 1000  # fixed value: fewer test rows are not compared
-
-
-def data_comparison(train: DataFrame, test: DataFrame, min_rows: int = MIN_COMPARE_ROWS) -> dict[str, DataFrame] | None:
-    """Value counts, box statistics and densities of train against test."""
-    if test.count() <= min_rows:
+def data_comparison(train: DataFrame, test: DataFrame, min_rows: int = 0) -> dict[str, DataFrame] | None:
+    """Value counts, box statistics and densities of train against test; None if a least
+    number of test rows is asked for and not exceeded."""
+    if min_rows and test.count() <= min_rows:
         return None
     frames = {"train": train, "test": test}
     return {"value_counts": compare_value_counts(frames), "box": box_statistics(frames), "kde": kde_curves(frames)}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from colonnade.columns import col
 from colonnade.operators.ordering import hash_rank, quantiles
+from colonnade.session import broadcast_checked
 
 
 def quantile_edges(df: DataFrame, column: str, q: int) -> list[float]:
@@ -49,7 +50,7 @@ def stratified_folds(df: DataFrame, id_col: str, target: str, folds: int = 5, se
     starts = classes.select("_class", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     ranked = hash_rank(df, id_col, [target], seed, out="_rank")
     return (
-        ranked.join(starts, col(target).eqNullSafe(F.col("_class")))
+        ranked.join(broadcast_checked(starts), col(target).eqNullSafe(F.col("_class")))
         .withColumn(out, F.pmod(F.col("_start") + F.col("_rank") - 1, F.lit(folds)).cast("int"))
         .select(*[col(c) for c in df.columns], out)
     )

@@ -73,7 +73,7 @@ class CleaningPlan:
     def _fit_types(self, left: DataFrame) -> CleaningPlan:
         plan, options, keep = self, self.options, self.options.roles()
         if options.binary_numbers:
-            plan.binary = C.fit_binary_numbers(left, [options.id_col] if options.id_col else [])
+            plan.binary = C.fit_binary_numbers(left, keep)  # the target keeps its name and values
         plan.to_category = [c for c in options.number_to_category if c in left.columns and c not in plan.binary]
         if options.date_strings:
             plan.to_datetime = C.fit_date_strings(left)
@@ -93,8 +93,9 @@ class CleaningPlan:
             out = C.drop_null_rows(out)
         if o.sample_size and o.id_col:
             if o.stratify and o.target:
-                group = next(c for c in (o.target, *out.columns) if c in out.columns)
-                return C.stratified_sample(out, o.id_col, o.sample_size, group)
+                if o.target not in out.columns:
+                    raise ValueError(f"no column {o.target!r} to stratify by")
+                return C.stratified_sample(out, o.id_col, o.sample_size, o.target)
             return C.random_sample(out, o.id_col, o.sample_size)
         return out
 

@@ -171,6 +171,10 @@ def train(df: DataFrame, config: TrainingConfig, path: str) -> TrainingRun:
     predictions are written out by (split, model, fold) as soon as they exist, so a lost
     executor costs one fit at most."""
     spark = df.sparkSession
+    names = [X.safe_name(spec.name) for spec in config.models]
+    if len(set(names)) < len(names):
+        raise ValueError(f"models share a folder name: {sorted(n for n in set(names) if names.count(n) > 1)}")
+    id_name, target = X.safe_name(config.id_col), X.safe_name(config.target)  # as the feature plan names them
     options = config.features or FeatureOptions()
     options.id_col, options.target = config.id_col, config.target
     classify = config.task == "classification"
@@ -187,8 +191,8 @@ def train(df: DataFrame, config: TrainingConfig, path: str) -> TrainingRun:
 
         def prepare(rows: DataFrame) -> DataFrame:
             ready = plan.assembled(rows)
-            ready = X.encode_label(ready, config.target, classes, LABEL) if classify else ready.withColumn(LABEL, col(config.target).cast("double"))
-            return X.with_class_weight(ready, config.target, weights) if weights else ready
+            ready = X.encode_label(ready, target, classes, LABEL) if classify else ready.withColumn(LABEL, col(target).cast("double"))
+            return X.with_class_weight(ready, target, weights) if weights else ready
 
         train_set = prepare(train_rows).persist()
         splits = {"Train": train_set, "Valid": prepare(valid_rows)}
@@ -197,10 +201,11 @@ def train(df: DataFrame, config: TrainingConfig, path: str) -> TrainingRun:
             model, fit_seconds = fit_one(spec, config, train_set)
             start = time.perf_counter()
             for split, rows in splits.items():
-                extra = {"actual": col(config.target).cast("string") if classify else F.col(LABEL)}
+                extra = {"actual": col(target).cast("string") if classify else F.col(LABEL)}
                 scored = model.score(rows)
-                out = long_scores(scored, config.id_col, classes, extra) if classify else scored.select(
-                    col(config.id_col), *[e.alias(n) for n, e in extra.items()], F.col("prediction").alias("pred"))
+                out = long_scores(scored, id_name, classes, extra) if classify else scored.select(
+                    col(id_name), *[e.alias(n) for n, e in extra.items()], F.col("prediction").alias("pred"))
+                out = out.withColumnRenamed(id_name, config.id_col)
                 out.write.mode("overwrite").parquet(f"{path}/predictions/split={split}/model={spec.name}/fold={fold}")
             save_model(spark, model, f"{path}/fold_{fold}/{X.safe_name(spec.name)}")
             return spec.name, fold, fit_seconds, time.perf_counter() - start

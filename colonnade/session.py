@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "colonnade", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -60,3 +61,9 @@ def spread(df: DataFrame) -> DataFrame:
     row group) to all cores before heavy per-row work. Anything larger is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def broadcast_checked(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table of one row per class, model or stratum, hinted for broadcast once it is known to
+    have at most `most` rows; a longer one is left to a shuffle join, where no key is large."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
