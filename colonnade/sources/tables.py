@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from colonnade.columns import col
 
@@ -22,21 +24,45 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_feather(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Arrow IPC files, one task per file; the batches go to Spark as they are."""
+def read_feather(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Arrow IPC files, their record batches dealt over all tasks.
+
+    Spark lists the files; a first pass opens only their footers and numbers the batches, then
+    each task fetches the batches dealt to it, so no file is ever one value in memory. Without
+    a schema, that of the first file's footer is taken.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.feather").load(path).select("path")
+    if schema is None:
+        first = files.orderBy("path").first()
+        if first is None:
+            raise ValueError(f"no feather file in {path}; give a schema to read an empty folder")
+        with open_ipc(first["path"]) as file:
+            schema = from_arrow_schema(file.schema)
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names = [f.name for f in wanted.fields]
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                with pa.ipc.open_file(pa.BufferReader(content.as_buffer())) as file:
-                    for i in range(file.num_record_batches):
-                        part = file.get_batch(i)
-                        yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in names], names=names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.feather").load(path)
-    return files.select("content").mapInArrow(parse, wanted)
+            for name in batch.column(0).to_pylist():
+                with open_ipc(name) as file:
+                    n = file.num_record_batches
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(n), pa.int32())], names=["path", "number"])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, number in zip(*(c.to_pylist() for c in batch.columns)):
+                with open_ipc(name) as file:
+                    part = file.get_batch(number)
+                    yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in names], names=names)
+
+    return files.mapInArrow(count, "path string, number int").repartition("path", "number").mapInArrow(fetch, wanted)
+
+
+@contextmanager
+def open_ipc(uri: str) -> Iterator[pa.ipc.RecordBatchFileReader]:
+    system, base = pa.fs.FileSystem.from_uri(uri)
+    with system.open_input_file(base) as source, pa.ipc.open_file(source) as file:
+        yield file
 
 
 def write_feather(df: DataFrame, path: str) -> None:
