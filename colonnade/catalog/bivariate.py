@@ -207,10 +207,10 @@ def ba_welch_anova(spark, d):
     return A.welch_anova(means(spark, d)).withColumns({"welch_f": F.round("welch_f", 5), "df2": F.round("df2", 4)})
 
 
-@query("ba_group_density", kde_sql(f'(select "group" as label, num_column as "column", mean as value from {MEANS})', 20).replace("round(x, 4) as x", "round(x, 3) as x"))
+@query("ba_group_density", kde_sql(f'(select "group" as label, num_column as "column", mean as value from {MEANS})').replace("round(x, 4) as x", "round(x, 3) as x"))
 def ba_group_density(spark, d):
     cells = means(spark, d).select(F.col("group").alias("label"), F.col("num_column").alias("column"), F.col("mean").alias("value"))
-    return kde_from_cells(cells, points=20).select("label", "column", "i", F.round("x", 3).alias("x"), F.round("density", 9).alias("density"))
+    return kde_from_cells(cells).select("label", "column", "i", F.round("x", 3).alias("x"), F.round("density", 9).alias("density"))
 
 
 @query("ba_num_cat_summary")

@@ -296,10 +296,10 @@ def eval_qq(spark, d):
     return V.qq_of(z, "std_residual").withColumn("theoretical", F.round("theoretical", 6))
 
 
-@query("eval_pred_density", kde_sql(f"(select 'actual' as label, model as \"column\", actual as value from {REG} union all select 'predicted', model, pred from {REG})", 20)
+@query("eval_pred_density", kde_sql(f"(select 'actual' as label, model as \"column\", actual as value from {REG} union all select 'predicted', model, pred from {REG})")
        .replace("round(x, 4) as x", "round(x, 2) as x").replace(", 9) as density", ", 12) as density"))
 def eval_pred_density(spark, d):
-    return V.prediction_density(regression(spark, d), MODELS, points=20).select("label", "column", "i", F.round("x", 2).alias("x"), F.round("density", 12).alias("density"))
+    return V.prediction_density(regression(spark, d), MODELS).select("label", "column", "i", F.round("x", 2).alias("x"), F.round("density", 12).alias("density"))
 
 
 @query("eval_proba_hist", f"""
