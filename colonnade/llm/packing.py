@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from colonnade.llm.common import staged
-from colonnade.llm.tokens import crc32, encoder
+from colonnade.llm.tokens import crc32, encoder, slices
 
 #: A combination: how often it is used, and its lengths with their multiplicities.
 Bin = tuple[int, list[tuple[int, int]]]
@@ -127,8 +127,7 @@ def pieces(docs: DataFrame, vocabulary: str, end: int, capacity: int, id_col: st
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 5_000):
-                some = batch.slice(at, 5_000)
+            for some in slices(batch, 1):
                 ids, begins = encoder(vocabulary).encode(some.column(1), end)
                 sizes = np.diff(begins)
                 parts = -(-sizes // capacity)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from colonnade.llm.common import joined_small
-from colonnade.llm.tokens import crc32, encoder
+from colonnade.llm.tokens import crc32, encoder, slices
 
 
 def encoded(docs: DataFrame, vocabulary: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -37,8 +37,7 @@ def encoded(docs: DataFrame, vocabulary: str, end: int, id_col: str = "doc_id",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 5_000):
-                some = batch.slice(at, 5_000)
+            for some in slices(batch, 1):
                 ids, begins = encoder(vocabulary).encode(some.column(1), end)
                 sizes = np.diff(begins)
                 starts = before + begins[:-1]

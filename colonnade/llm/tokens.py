@@ -3,9 +3,9 @@
 A word between two single spaces is encoded on its own by both vocabularies used here: the
 byte-level one starts a new pre-token at a space that follows a non-space, the word-end one drops
 white space. So a batch of texts is cut at its spaces (Arrow kernels), each distinct word is
-encoded once with `tokenizers`, and the ids are put together by position. Texts where a space
-touches other white space or an end are encoded whole, because there the cut would not be safe for
-the byte-level vocabulary. Words already seen by a worker stay in a dictionary of bounded size.
+encoded once with `tokenizers`, and the ids are put together by position. A line end between two words is
+a word of its own. Texts where white space touches white space or an end are encoded whole, because
+there the cut would not be safe for the byte-level vocabulary. Words already seen by a worker stay in a dictionary of bounded size.
 """
 
 from __future__ import annotations
@@ -22,15 +22,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a worker remembers between batches before it starts afresh.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 #: Words of Latin letters with at most one mark behind them: their pre-tokens are known, so the
 #: vocabulary's merges are asked for directly. All other words go through the whole tokenizer.
 PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 #: How byte-level vocabularies show bytes: printable Latin-1 as itself, the others from U+0100 on.
 BYTES_SHOWN = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
-EMPTY, SPACE = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
-#: A space beside white space, or at an end of the text.
-UNSAFE = r"^ | $| \s|\s |[\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F]|<\|"
+#: Stands before a word that has no space before it.
+JOINED = "\ue000"
+EMPTY, JOIN = pa.scalar("", pa.large_string()), pa.scalar(JOINED, pa.large_string())
+#: White space beyond blanks, tabs and line ends, special tokens' brackets, and the stand-in itself.
+ODD = r"[\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}\x{000C}\x{001C}-\x{001F}\x{E000}]|<\|"
+#: Those, and white space beside white space or at an end of the text.
+UNSAFE = rf"{ODD}|^[ \t\r\n]|[ \t\r\n]$|[ \t\r\n][ \t\r\n]|[\t\r]"
 
 
 @lru_cache(maxsize=4)
@@ -60,13 +64,17 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encode words that are not known yet and file their ids."""
-        ids, rest, piece, marks = [None] * len(words), [], self._piece, self.marks
+        ids, rest, piece, marks, stems = [None] * len(words), [], self._piece, self.marks, {}
         for i, w in enumerate(words):
-            if m := PLAIN(w):
-                mark = m[2]
-                ids[i] = piece(m[1]) + marks[mark] if mark else piece(w)
-            else:
+            m = PLAIN(w)
+            if m is None:
                 rest.append(i)
+                continue
+            stem, mark = m.groups()
+            found = stems.get(stem)
+            if found is None:
+                found = stems[stem] = piece(stem)
+            ids[i] = found + marks[mark] if mark else found
         for at in range(0, len(rest), 20_000):
             some = rest[at : at + 20_000]
             for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
@@ -109,37 +117,38 @@ class Encoder:
 
     def _encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        whole = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
-        whole |= pc.equal(texts, "").to_numpy(zero_copy_only=False)
-        safe = pc.if_else(pa.array(whole), "", texts)
-        lists = pc.split_pattern(safe, " ")
-        offsets = lists.offsets.to_numpy()
-        words = lists.values
-        first = np.zeros(len(words), bool)
-        first[offsets[:-1][offsets[:-1] < len(words)]] = True
-        marked = pc.if_else(pa.array(first), words, pc.binary_join_element_wise(SPACE, words, EMPTY))
-        coded = marked.dictionary_encode() if len(marked) else pa.array([""], pa.large_string()).dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        if not self.spaced:
+            # white space within a word is dropped with the word's own encoding
+            safe, whole = pc.replace_substring(texts, "\n", " "), pc.match_substring(texts, JOINED)
+        else:
+            safe, whole = texts, pc.match_substring_regex(texts, UNSAFE)
+        whole = whole.to_numpy(zero_copy_only=False) | pc.equal(texts, "").to_numpy(zero_copy_only=False)
+        safe = pc.if_else(pa.array(whole), EMPTY, safe)
+        if self.spaced:
+            safe = pc.replace_substring(safe, "\n", f" {JOINED}\n {JOINED}")
+        lists = pc.split_pattern(pc.binary_join_element_wise(JOIN, safe, EMPTY), " ")
+        offsets, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        names = [w[1:] if w[:1] == JOINED else f" {w}" for w in coded.dictionary.to_pylist()]
         if len(self.known) + len(names) > CACHE_WORDS:
             self.reset()
-        slot = np.array([self.known.get(w, -1) for w in names], np.int64)
+        slot = np.array([self.known.get(w, -1) for w in names], np.int32)
         missing, first = np.flatnonzero(slot < 0), len(self.known)
         slot[missing] = np.arange(first, first + len(missing))
         self._learn([names[i] for i in missing])
-        slots = slot[coded.indices.to_numpy()] if len(marked) else np.empty(0, np.int64)
-        sizes = self.size[slots].astype(np.int64)
-        summed = np.concatenate([[0], np.cumsum(sizes)])
+        slots = slot[coded.indices.to_numpy()]
+        sizes = self.size[slots]
+        summed = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         counts = summed[offsets[1:]] - summed[offsets[:-1]]
         whole_at = np.flatnonzero(whole)
         apart = [e.ids for at in range(0, len(whole_at), 200) for e in self.tokenizer.encode_batch_fast(texts.take(pa.array(whole_at[at : at + 200])).to_pylist(), add_special_tokens=False)]
+        from_words = counts.copy()
         counts[whole_at] = [len(x) for x in apart]
         begins = np.concatenate([[0], np.cumsum(counts + (end is not None))])
         out = np.empty(int(begins[-1]), np.int32)
-        if len(slots):
-            text_of = np.repeat(np.arange(len(texts)), np.diff(offsets))
-            to = begins[:-1][text_of] + summed[:-1] - summed[offsets[:-1]][text_of]
-            keep = ~whole[text_of]
-            self._copy(out, to[keep], slots[keep], sizes[keep])
+        to = summed[:-1] + np.repeat(begins[:-1] - summed[offsets[:-1]], np.diff(offsets))
+        if from_words[whole_at].any():  # the empty stand-in of such a text has no ids in either vocabulary
+            raise AssertionError("an empty word has ids")
+        self._copy(out, to, slots, sizes)
         for i, ids in zip(whole_at, apart):
             out[begins[i] : begins[i] + len(ids)] = ids
         if end is not None:
@@ -158,6 +167,17 @@ class Encoder:
             k += 1
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 5_000, size: int = 8 << 20):
+    """Cut a batch so that the texts of `column` in each piece stay below `size` bytes where rows allow."""
+    lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + size, "right"))
+        to = min(max(to, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def crc32(ids: np.ndarray) -> int:
     """CRC of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
