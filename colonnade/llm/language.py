@@ -86,7 +86,7 @@ class Model:
         symbols[used] = np.arange(1, len(used) + 1)
         automata = [suffix_automaton(samples[k]) for k in languages]
         roots = np.cumsum([0, *map(len, automata)])
-        table = np.full((int(roots[-1]), len(used) + 1), -1, np.int32)
+        table = np.full((int(roots[-1]) + 1, len(used) + 1), -1, np.int32)  # the last state leads nowhere
         for root, moves in zip(roots, automata):
             rows = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
             columns = symbols[np.fromiter((c for m in moves for c in m), np.int64, len(rows))]
@@ -115,15 +115,16 @@ class Model:
             active = np.searchsorted(-long, -np.arange(len(grid)), "left")
             for k, root in enumerate(self.roots.tolist()):
                 start = flat[root * width : (root + 1) * width]
-                start = np.where(start < 0, root, start)
-                state, ended = np.full(len(own), root, np.int32), np.ones(len(own), np.int64)
+                nowhere = len(self.table) - 1
+                start = np.where(start < 0, nowhere, start)  # a symbol the language lacks is a phrase of its own
+                state, begun = np.full(len(own), nowhere, np.int32), np.zeros(len(own), np.int64)
                 for step, n in enumerate(active.tolist()):
                     symbol = grid[step, :n]
                     to = flat[state[:n] * np.int64(width) + symbol]
                     miss = to < 0
-                    ended[:n] += miss
+                    begun[:n] += miss
                     state[:n] = np.where(miss, start[symbol], to)
-                counts[:, k] += np.bincount(own, ended, len(texts)).astype(np.int64)
+                counts[:, k] += np.bincount(own, begun, len(texts)).astype(np.int64)
         return counts
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
