@@ -52,14 +52,15 @@ def left_join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, to
     with the others by shuffle. Adds the columns of `groups` but its key and size.
     """
     extra = [c for c in groups.columns if c not in (key, size)]
-    own = [F.col(c).alias(f"_heavy_{c}") for c in extra]
-    heavy = groups.where(F.col(size) * HEAVY_SHARE >= total).select(key, F.lit(True).alias("_heavy"), *own)
-    light = groups.where(F.col(size) * HEAVY_SHARE < total).select(F.col(key).alias("_key"), *extra)
+    is_heavy, at, to = fresh(rows, "_heavy"), fresh(rows, "_from"), fresh(rows, "_to")
+    of_heavy, of_light = ({c: fresh(rows, f"_{kind}_{c}") for c in extra} for kind in ("heavy", "light"))
+    heavy = groups.where(F.col(size) * HEAVY_SHARE >= total).select(key, F.lit(True).alias(is_heavy), *[F.col(c).alias(n) for c, n in of_heavy.items()])
+    light = groups.where(F.col(size) * HEAVY_SHARE < total).select(F.hex(key).alias(to), *[F.col(c).alias(n) for c, n in of_light.items()])
     first = rows.join(F.broadcast(heavy), key, "left")
-    done = F.col("_heavy").isNotNull() | F.col(key).isNull()
-    spread = F.when(done, F.concat(F.lit("-").cast("binary"), F.xxhash64(*rows.columns).cast("string").cast("binary"))).otherwise(F.col(key).cast("binary"))
-    both = first.withColumn("_from", spread).join(light, F.col("_from") == F.col("_key").cast("binary"), "left")
-    return both.select(*rows.columns, *[F.when(F.col("_heavy"), F.col(f"_heavy_{c}")).otherwise(F.col(c)).alias(c) for c in extra])
+    done = F.col(is_heavy).isNotNull() | F.col(key).isNull()
+    spread = F.when(done, F.concat(F.lit("-"), F.xxhash64(*rows.columns).cast("string"))).otherwise(F.hex(key))
+    both = first.withColumn(at, spread).join(light, F.col(at) == F.col(to), "left")
+    return both.select(*rows.columns, *[F.when(F.col(is_heavy), F.col(of_heavy[c])).otherwise(F.col(of_light[c])).alias(c) for c in extra])
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -101,6 +101,7 @@ def scan_licences(files: DataFrame, path_col: str = "path", text_col: str = "tex
     results = ("licence", "licence_cosine", "licence_from")
     files = files.drop(*results)
     path, folder, size = fresh(files, "_path"), fresh(files, "_folder"), fresh(files, "_size")
+    mine, my_cosine, above_licence, above_cosine = (fresh(files, n) for n in ("_own", "_own_cosine", "_inherited", "_inherited_cosine"))
     own = staged(own_licences(files, path_col, text_col, threshold), "own_licences")
     parent = lambda c: F.regexp_replace(F.when(F.col(c).contains("/"), F.col(c)).otherwise(F.concat(F.lit("/"), F.col(c))), "/[^/]*$", "")
     speaking = own.where(F.col("path").rlike(LICENCE_FILE)).select(parent("path").alias("folder"), "licence", "cosine")
@@ -111,12 +112,12 @@ def scan_licences(files: DataFrame, path_col: str = "path", text_col: str = "tex
     above = folders.select("below", size, F.explode(F.sequence(F.lit(0), F.size(steps))).alias("depth"), steps.alias("steps"))
     above = above.select("below", size, "depth", F.array_join(F.slice("steps", F.lit(1), F.col("depth")), "/").alias("folder"))
     nearest = above.join(of_folder, "folder").groupBy("below", size).agg(F.max(F.struct("depth", "best.licence", "best.cosine")).alias("found"))
-    nearest = staged(nearest.select(F.col("below").alias(folder), size, F.col("found.licence").alias("inherited"), (-F.col("found.cosine")).alias("inherited_cosine")), "nearest")
+    nearest = staged(nearest.select(F.col("below").alias(folder), size, F.col("found.licence").alias(above_licence), (-F.col("found.cosine")).alias(above_cosine)), "nearest")
     total = files.count()
     keyed = files.withColumns({path: F.col(path_col), folder: parent(path_col)})
-    rows = left_join_groups(keyed, nearest, folder, size, total).join(own.select(F.col("path").alias(path), F.col("licence").alias("_own"), F.col("cosine").alias("_own_cosine")), path, "left")
-    found_in = F.when(F.col("_own").isNotNull(), "own").when(F.col("inherited").isNotNull(), "inherited")
-    return rows.select(*files.columns, F.coalesce("_own", "inherited").alias("licence"), F.coalesce("_own_cosine", "inherited_cosine").alias("licence_cosine"), found_in.alias("licence_from"))
+    rows = left_join_groups(keyed, nearest, folder, size, total).join(own.select(F.col("path").alias(path), F.col("licence").alias(mine), F.col("cosine").alias(my_cosine)), path, "left")
+    found_in = F.when(F.col(mine).isNotNull(), "own").when(F.col(above_licence).isNotNull(), "inherited")
+    return rows.select(*files.columns, F.coalesce(mine, above_licence).alias("licence"), F.coalesce(my_cosine, above_cosine).alias("licence_cosine"), found_in.alias("licence_from"))
 
 
 def document_tree(docs: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _secrets_sql() -> str:
     """The regexes searched directly, without any index: spans from the pieces between matches."""
-    plain = {"access": ("AKIA[A-Z0-9]+", 20), "hex": ("[0-9a-f]+", 24)}  # as the contract words them
+    plain = {"access": ("AKIA[A-Z0-9]+", 20)}  # as the contract words it
     parts = []
     for n, rule in enumerate(secret_scan.RULES):
         pattern, least = plain.get(rule.kind, (rule.pattern, rule.least))
@@ -78,13 +78,30 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(read(spark, sf_dir, "documents"))
 
 
-@query("op6_jaccard_join")
+@query(
+    "op6_jaccard_join",
+    r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+    s as (select distinct doc_id, sh from (select doc_id, unnest(case when len(ws) >= 3 then list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+        when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) sh from w)),
+    n as (select doc_id, count(*) n from s group by doc_id),
+    shared as (select a.doc_id a, b.doc_id b, count(*) i from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by all),
+    links as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
+    reach(a, r) as (select doc_id, doc_id from documents union select reach.a, links.b from reach join links on reach.r = links.a)
+    select reach.a doc_id, coalesce(any_value(n.n), 0) n_shingles, min(r) component_id from reach left join n on n.doc_id = reach.a group by reach.a""",
+)
 def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard_join.near_groups(read(spark, sf_dir, "documents"), words=3, percent=90)
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
-@query("op2_embedding_dedup")
+@query(
+    "op2_embedding_dedup",
+    """with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings where embedding is not null and label is not null),
+    links as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.93),
+    reach(a, r) as (select vec_id, vec_id from embeddings union select reach.a, links.b from reach join links on reach.r = links.a),
+    n as (select a, count(*) n from links group by a)
+    select reach.a vec_id, coalesce(any_value(n.n), 0) n_links, min(r) component_id, min(r) = reach.a kept from reach left join n on n.a = reach.a group by reach.a""",
+)
 def near_vectors_of_a_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_groups(read(spark, sf_dir, "embeddings"), cosine=0.93)
 
@@ -105,7 +122,7 @@ def _licences_sql(threshold: float) -> str:
     return rf"""with v(template, term, w) as (values {v}), r(term, rarity) as (values {r}), names(template, licence) as (values {n}),
     f as (select doc_id, text, coalesce(source, 'none') || '/' || (doc_id // 1000) top, doc_id // 100 hundred from documents),
     p as (select doc_id, text, case when doc_id % 1000 = 0 then top || '/LICENSE' when doc_id % 100 = 0 then top || '/' || hundred || '/LICENSE' else top || '/' || hundred || '/' || doc_id || '.txt' end path from f),
-    lines as (select distinct path, unnest(string_split(regexp_replace(lower(text), '([.;!?])[ 	
+    lines as (select distinct path, unnest(string_split(regexp_replace(lower(text), '([.;!?])[ 	
 ]+', '' || chr(10), 'g'), chr(10))) line from p),
     words as (select path, line, unnest(regexp_extract_all(line, '[a-z0-9]+')) term from lines),
     tf as (select path, line, words.term, count(*) * coalesce(any_value(rarity), {unseen!r}e0) w from words left join r on words.term = r.term group by all),

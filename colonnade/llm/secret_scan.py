@@ -170,8 +170,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
 
     Texts without spans, null ones too, stay as they are.
     """
-    spans = fresh(docs, "_spans")
-    found = scan_secrets(docs, id_col, text_col).withColumnRenamed("secret_spans", spans)
+    spans, held = fresh(docs, "_spans"), fresh(docs, "_held")
+    found = scan_secrets(docs.withColumnRenamed("secret_spans", held), id_col, text_col).withColumnRenamed("secret_spans", spans).withColumnRenamed(held, "secret_spans")
     text = F.col(text_col)
 
     def step(state: Column, s: Column) -> Column:
