@@ -277,7 +277,7 @@ def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+".replace(r"\x20-", r"\x20\-"), "phone": r"\+[0-9][\x20().0-9\-]+[0-9]",
-    "assign": r"""((?:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+",
+    "assign": r"""((?:(?ai:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+",
 }
 
 
@@ -431,13 +431,19 @@ def unigram():
 
 def test_pieces_are_the_best_segmentation(unigram, docs):
     own, published = unigram
+    total = lambda ids: own.scores[ids].sum(dtype=float)
     texts = ["x  y z", "", "", "  a  b ", " x", "a\nb\tc", "日本語 テスト", "😀😀 z", "\x00b", "ﬁ   x", "   ", "a\n\0\nb"] + [r["text"] for r in docs.select("text").limit(100).collect()]
     ids, begins = own.encode(pa.array(texts + [None]))
     for i, text in enumerate(texts + [""]):
         mine, theirs = ids[begins[i] : begins[i + 1]], published.encode(text)
         assert own.decode(mine) == text
-        if mine.tolist() != theirs:  # ties of equal score, which their running sums break by rounding
-            assert len(mine) == len(theirs) and abs(own.scores[mine].sum(dtype=float) - own.scores[theirs].sum(dtype=float)) < 1e-3
+        if mine.tolist() != theirs:  # their single-precision running sums of long texts break near ties either way
+            assert total(mine) >= total(theirs) - 1e-3
+    words = sorted({w for t in texts for w in t.split()})[:3_000]
+    ids, begins = own.encode(pa.array(words))
+    for i, word in enumerate(words):
+        mine, theirs = ids[begins[i] : begins[i + 1]], published.encode(word)
+        assert mine.tolist() == theirs or abs(total(mine) - total(theirs)) < 1e-4
 
 
 def test_pieces_of_awkward_rows(awkward, nothing):
