@@ -37,6 +37,9 @@ TEMPLATES = (
 )
 LICENCE_FILE = r"(^|/)(LICEN[CS]E|COPYING|NOTICE)(\.[A-Za-z]+)?$"
 TERM = "[a-z0-9]+"
+# English function words, and the commonest of them.
+MOST_COMMON = set("a and as at be by for from in is it of on or that the this to with".split())
+COMMON = set("a all an and any are as at be by for from has have in into is it its no not of on or such that the their this to under was were which will with you your".split())
 
 
 def template_vectors() -> tuple[list[tuple[int, str, float]], dict[str, float], float]:
@@ -53,12 +56,13 @@ def template_vectors() -> tuple[list[tuple[int, str, float]], dict[str, float],
 
 def needed_terms(threshold: float) -> list[str]:
     """Terms of which a segment must hold one to reach the threshold with any template: per
-    template the heaviest ones, until the others together are too light."""
+    template the heaviest ones, until the others together are too light. Any such choice is
+    complete; common words come last, so that few texts hold one of them."""
     needed = set()
     for i in range(len(TEMPLATES)):
-        own = sorted(((w, t) for n, t, w in template_vectors()[0] if n == i), reverse=True)
+        own = sorted(((t in COMMON or len(t) < 2) + (t in MOST_COMMON), -w, t) for n, t, w in template_vectors()[0] if n == i)
         rest = 1.0
-        for w, t in own:
+        for _, w, t in own:
             if rest < threshold**2 * 0.999:
                 break
             needed.add(t)
