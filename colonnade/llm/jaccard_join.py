@@ -10,8 +10,9 @@ before its sets are compared in full.
 The result is connected components, so groups of near copies need not be paired out. First each
 posting list tests its members against one of them, its pivot (the member whose shared shingle
 stands earliest). After these links are joined up, only members of different components remain
-to be paired, and the position of the shared shingle (which bounds the overlap) with the sizes
-decides whether a pair can still be similar. No list is cut off.
+to be paired; the position of the shared shingle with the sizes (which bound the overlap) and odd
+sketches of the sets (which bound the difference) decide whether a pair can still be similar, before
+it becomes a row. No list is cut off.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ SKETCH_BITS = 19
 BROADCAST_ROWS = 200_000
 #: Ratio between the size classes in which remaining pairs are looked up.
 SIZE_RATIO = 1.01
+#: Posting lists up to this long are paired without size classes.
+SHORT_LIST = 64
+ODD = ("odd1", "odd2", "odd3", "odd4")
 
 _random = np.random.default_rng(20_240_607)
 BYTE_VALUES = _random.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -90,6 +94,11 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return mixed(total + np.minimum(counts, words)[text_of].astype(np.uint64)), out_at
 
 
+def set_name(tokens: np.ndarray) -> int:
+    """64-bit name of a set of shingle hashes, as long as those hashes themselves."""
+    return int.from_bytes(hashlib.md5(tokens.tobytes()).digest()[:8], "little", signed=True)
+
+
 def prefix_length(n: int, percent: int) -> int:
     """How many first tokens of a set of n must hold one that a similar set has among its own."""
     return n - -(-percent * n // 100) + 1
@@ -119,24 +128,26 @@ def frequency_classes(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """Per row: id, `row` (hash of id and text), `n`, `set` (digest of its shingles, null if it
-    has none), and the prefixes under the three orders, given once per set and task."""
+    """Per row: id, `row` (hash of id and text), `n`, `set` (name of its shingles, null if it
+    has none), the prefixes under the three orders, given once per set and task, and an odd sketch:
+    256 bits, each the parity of the shingles that fall to it."""
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(docs, text_col, words))
-    schema = T.StructType([docs.schema[id_col], T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set", T.BinaryType()), *(T.StructField(f"p{k}", T.ArrayType(T.LongType() if k == 1 else T.IntegerType(), False)) for k in (1, 2, 3))])
+    schema = T.StructType([docs.schema[id_col], T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set", T.LongType()), *(T.StructField(f"p{k}", T.ArrayType(T.LongType() if k == 1 else T.IntegerType(), False)) for k in (1, 2, 3)), *(T.StructField(o, T.LongType()) for o in ODD)])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = classes.value.astype(np.uint64) << np.uint64(56), set()
         for batch in batches:
             for some in slices(batch, 2, size=4 << 20):
                 tokens, at = shingles(some.column(2), words)
-                sizes, names = [], []
+                sizes, names, odd = [], [], []
                 prefixes: tuple[list, list, list] = ([], [], [])
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                     own = np.unique(tokens[a:b])
                     sizes.append(len(own))
-                    name = hashlib.md5(own.tobytes()).digest() if len(own) else None
+                    name = set_name(own) if len(own) else None
                     names.append(name)
+                    odd.append(np.packbits(np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64))
                     if name is None or name in seen:
                         for p in prefixes:
                             p.append(None)
@@ -148,26 +159,34 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
                         chosen = own[np.argsort(key, kind="stable")[:length]]
                         prefixes[k].append(chosen.view(np.int64) if k == 0 else (chosen >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 arrays = [pa.array(p, schema_type) for p, schema_type in zip(prefixes, (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())))]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), *arrays], names=schema.names)
+                parity = np.array(odd, np.int64).reshape(-1, len(ODD)).T
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), *arrays, *(pa.array(x) for x in parity)], names=schema.names)
 
     rows = docs.select(F.col(id_col), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col))
     return rows.mapInArrow(describe, schema)
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """`set` and all its `tokens` for the rows in `wanted` (`row`, one per set)."""
+    """`set` and all its `tokens` for the rows in `wanted` (`row`, one per set), once per set and
+    task: rows that repeat id and text come at most as often as there are tasks."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for some in slices(batch, 1, size=4 << 20):
                 tokens, at = shingles(some.column(1), words)
-                own = [np.unique(tokens[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                names = pa.array([hashlib.md5(x.tobytes()).digest() for x in own], pa.binary())
+                found = {}
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                    own = np.unique(tokens[a:b])
+                    found.setdefault(set_name(own), own)
+                found = {k: v for k, v in found.items() if k not in seen}
+                seen.update(found)
+                own, names = found.values(), pa.array(found, pa.int64())
                 yield pa.RecordBatch.from_arrays([names, pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], names=["set", "tokens"])
 
     rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     found = joined_small(rows, wanted.select("row"), ["row"], "left_semi", BROADCAST_ROWS)
-    return staged(found.select("row", "text").mapInArrow(whole, "set binary, tokens array<long>").dropDuplicates(["set"]), "full_sets")
+    return staged(found.select("row", "text").mapInArrow(whole, "set long, tokens array<long>"), "full_sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
@@ -176,15 +195,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, t
     if pairs.isEmpty():
         return pairs
     involved = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    known = staged(joined_small(sets.where("p2 is not null").select("set", "row", "p2", "p3"), involved, ["set"], "left_semi", BROADCAST_ROWS).dropDuplicates(["set"]), "prefixes")
+    known = staged(joined_small(sets.where("p2 is not null").select("set", "row", "n", "p2", "p3", *ODD), involved, ["set"], "left_semi", BROADCAST_ROWS).dropDuplicates(["set"]), "prefixes")
     side = lambda df, name: df.select(*[F.col(c).alias(name if c == "set" else f"{c}_{name}") for c in df.columns])
     both = pairs.join(side(known, "a"), "a").join(side(known, "b"), "b")
-    likely = staged(both.where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b", "row_a", "row_b"), "likely")
+    unlike = sum((F.bit_count(F.col(f"{o}_a").bitwiseXOR(F.col(f"{o}_b"))) for o in ODD), F.lit(0))
+    few = (100 + percent) * unlike <= (100 - percent) * (F.col("n_a") + F.col("n_b"))  # as in _odd_bits_allow
+    likely = staged(both.where(few & F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b", "row_a", "row_b"), "likely")
     wanted = likely.select(F.col("row_a").alias("row")).union(likely.select(F.col("row_b").alias("row"))).distinct()
     full = _full_sets(docs, staged(wanted, "wanted"), id_col, text_col, words)
     compared = likely.select("a", "b").join(side(full, "a"), "a").join(side(full, "b"), "b")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return compared.where(100 * shared >= percent * (F.size("tokens_a") + F.size("tokens_b") - shared)).select("a", "b")
+    return compared.where(100 * shared >= percent * (F.size("tokens_a") + F.size("tokens_b") - shared)).select("a", "b").distinct()
 
 
 def _may_be_similar(left: str, right: str, percent: int):
@@ -194,31 +215,39 @@ def _may_be_similar(left: str, right: str, percent: int):
     return (100 + percent) * rest >= percent * (F.col(f"{left}.n") + F.col(f"{right}.n"))
 
 
+def _odd_bits_allow(left: str, right: str, percent: int):
+    """Bits in which two odd sketches differ are at most the shingles that only one set has."""
+    differing = sum((F.bit_count(F.col(f"{left}.{o}").bitwiseXOR(F.col(f"{right}.{o}"))) for o in ODD), F.lit(0))
+    return (100 + percent) * differing <= (100 - percent) * (F.col(f"{left}.n") + F.col(f"{right}.n"))
+
+
 def similar_sets(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """`node`, `component` of all sets that are linked to another one."""
     postings = sets.where("p1 is not null").select("set", "n", F.posexplode("p1").alias("pos", "token"))
     pivots = staged(postings.groupBy("token").agg(F.min(F.struct("pos", "n", "set")).alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members"), "pivots")
-    members = staged(joined_small(postings, pivots, ["token"], "inner", BROADCAST_ROWS), "members")
+    members = staged(postings.join(pivots, "token"), "members")
     mine = members.select("token", F.struct("pos", "n", "set").alias("x"), "pivot")
     to_pivot = mine.where((F.col("x.set") != F.col("pivot.set")) & _may_be_similar("x", "pivot", percent))
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     links = staged(_verified(to_pivot.select(*ordered("x.set", "pivot.set")).distinct(), sets, docs, id_col, text_col, words, percent), "links")
     so_far = components(links)
-    labelled = members.drop("pivot").join(so_far.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    mixed_lists = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    left = staged(labelled.join(mixed_lists, "token", "left_semi"), "left")
-    size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(SIZE_RATIO)))
+    described = sets.where("p1 is not null").select("set", *ODD).dropDuplicates(["set"]).join(so_far.withColumnRenamed("node", "set"), "set", "left")
+    labelled = members.drop("pivot").join(described.withColumn("component", F.coalesce("component", "set")), "set")
+    mixed_lists = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("length"))
+    left = staged(labelled.join(mixed_lists.where("lo < hi").select("token", "length"), "token"), "left")
+    size_class = lambda n: F.when(F.col("length") > SHORT_LIST, F.floor(F.log(n) / F.log(F.lit(SIZE_RATIO)))).otherwise(0)
     # the larger set looks for the smaller ones that its own place of the token still allows
     highest = F.floor(((100 + percent) * (F.col("n") - F.col("pos")) - percent * F.col("n")) / percent)
     largest, smallest = F.least(highest, F.col("n")), F.ceil(percent * F.col("n") / 100)
     seeking = left.where(largest >= smallest).withColumn("class", F.explode(F.sequence(size_class(smallest), size_class(largest))))
-    seeking = seeking.select("token", "class", F.struct("pos", "n", "set").alias("x"), F.col("component").alias("cx"))
-    offered = left.select("token", size_class(F.col("n")).alias("class"), F.struct("pos", "n", "set").alias("y"), F.col("component").alias("cy"))
+    seeking = seeking.select("token", "class", F.struct("pos", "n", "set", *ODD).alias("x"), F.col("component").alias("cx"))
+    offered = left.select("token", size_class(F.col("n")).alias("class"), F.struct("pos", "n", "set", *ODD).alias("y"), F.col("component").alias("cy"))
     larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.set") > F.col("y.set")))
-    apart = seeking.join(offered, ["token", "class"]).where((F.col("cx") != F.col("cy")) & larger & _may_be_similar("x", "y", percent))
+    possible = larger & _may_be_similar("x", "y", percent) & _odd_bits_allow("x", "y", percent)
+    apart = seeking.join(offered, ["token", "class"]).where((F.col("cx") != F.col("cy")) & possible)
     tried = to_pivot.select(*ordered("x.set", "pivot.set")).distinct()
     rest = apart.select(*ordered("x.set", "y.set")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verified(rest, sets, docs, id_col, text_col, words, percent)
+    more = staged(_verified(rest, sets, docs, id_col, text_col, words, percent), "more_links")
     if more.isEmpty():
         return so_far
     return components(links.union(more))
@@ -258,5 +287,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     row = fresh(docs, "_row")
     groups = near_groups(docs, id_col, text_col, words, percent)
     dropped = groups.where("not stays").select(F.col("row").alias(row))
-    kept = docs.withColumn(row, F.xxhash64(id_col, text_col)).join(dropped.distinct(), row, "left_anti")
-    return kept.drop(row)
+    gone = staged(dropped.distinct(), "near_copies")
+    return joined_small(docs.withColumn(row, F.xxhash64(id_col, text_col)), gone, [row], "left_anti", BROADCAST_ROWS).drop(row)
