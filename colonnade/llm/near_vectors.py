@@ -1,7 +1,8 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
 Each vector is described by the ordered numbers of its nearest pivots (reference vectors drawn from
-the table by hash). Inverted lists hold, per label and pivot, the vectors with that pivot among
+the table by hash and thinned, so that a dense group has few of them and its members share those).
+Inverted lists hold, per label and pivot, the vectors with that pivot among
 their nearest; vectors of one list that share enough pivots are candidates and their cosine is
 computed. To share `shared` of `nearest` pivots, two vectors must have one in common among their
 `nearest - shared + 1` lowest-numbered ones, so only those lists are kept, and a pair is looked at
@@ -23,6 +24,8 @@ from colonnade.llm.common import components, joined_small, left_join_groups, sta
 
 #: Vectors of a list that meet in one task; longer lists are cut into pairs of such blocks.
 BLOCK_ROWS = 1_024
+#: Vectors drawn for each pivot wanted, before they are thinned, and numbers that they may hold.
+DRAWN, DRAWN_NUMBERS = 4, 8_000_000
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,6 +40,21 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out / np.sqrt((out * out).sum(axis=1, keepdims=True)), sizes
 
 
+def thinned(drawn: np.ndarray, cosine: float, most: int) -> np.ndarray:
+    """The first of `drawn`, up to `most`, of which no two lie within twice the angle of a link.
+
+    Linked vectors then have the same pivot in or near their group as their nearest, however large
+    the group's share of the rows is.
+    """
+    apart = min(cosine, max(0.5, 2 * cosine * cosine - 1))
+    kept, free = [], np.ones(len(drawn), bool)
+    while free.any() and len(kept) < most:
+        kept.append(int(free.argmax()))
+        free &= drawn @ drawn[kept[-1]] < apart
+        free[kept[-1]] = False
+    return drawn[kept]
+
+
 def _described(classes: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
     """Adds `nearest`: the numbers of a vector's nearest pivots, nearest first."""
     known = classes.sparkSession.sparkContext.broadcast(pivots)
@@ -93,8 +111,9 @@ def near_groups(rows: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", v
     Rows link when their labels are equal and not null, their vectors have the same length and a
     cosine of at least `cosine`. A vector that is null, empty or zero, or holds nulls or non-finite
     numbers, has no links. Identical vectors of a label are one entry of the index with a weight. The
-    number of pivots follows the square root of the rows, up to `most_pivots`. Only the three
-    columns are read; an empty table gives no rows.
+    number of pivots follows the square root of the rows, up to `most_pivots`; where rows lie so
+    close that thinning leaves fewer, the lists are longer. Only the three columns are read; an
+    empty table gives no rows.
     """
     x = F.col("vector")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
@@ -107,7 +126,9 @@ def near_groups(rows: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", v
     if not n:
         return plain.select(id_col, F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
     count = min(most_pivots, max(16, int(4 * n**0.5)))
-    pivots = _matrix(classes.orderBy(F.xxhash64("key")).limit(count).select("vector").toArrow()["vector"], width)[0]
+    draw = max(count, min(DRAWN * count, DRAWN_NUMBERS // width))
+    drawn = _matrix(classes.orderBy(F.xxhash64("key")).limit(draw).select("vector").toArrow()["vector"], width)[0]
+    pivots = thinned(drawn, cosine, count)
     described = staged(_described(classes, pivots, nearest), "described")
     kept_lists = F.slice(F.sort_array("nearest"), 1, max(1, nearest - shared + 1))
     postings = described.select("*", F.explode(kept_lists).alias("pivot"))

@@ -264,6 +264,21 @@ def test_vectors(spark):
     assert near_vectors.near_groups(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("n", "spread"), [(600, 0.25), (3_000, 0.25), (3_000, 0.37), (9_000, 0.17)])
+def test_a_large_group_of_near_copies_keeps_its_links(spark, n, spread):
+    rng = np.random.default_rng(n)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = unit(rng.normal(size=(n, 64)))
+    vectors[: n // 3] = unit(unit(rng.normal(size=(1, 64))) + spread * vectors[: n // 3])
+    linked = vectors @ vectors.T >= 0.93
+    np.fill_diagonal(linked, False)
+    ids = pa.array(np.arange(n))
+    table = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": pa.array(list(vectors)), "label": pa.array(np.ones(n, np.int32))}))
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_groups(table).collect()}
+    assert linked.sum() > 100 and all(got[i] <= k for i, k in enumerate(linked.sum(axis=1)))
+    assert sum(got.values()) >= 0.99 * linked.sum()
+
+
 def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
     rng = np.random.default_rng(9)
     rows = [(i, (np.ones(8) + 0.2 * rng.normal(size=8)).tolist(), 1) for i in range(300)]
