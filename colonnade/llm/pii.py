@@ -1,7 +1,7 @@
 """Personal data by a semi-Markov conditional random field over candidate segments.
 
-Regular expressions give the base spans. Around every word with a digit or an at sign lies an
-island: neighbouring words that may belong to one entity. Over an island's words the model weighs
+Regular expressions give the base spans. Words with a digit or an at sign, and those of an address
+written out, form islands: neighbouring words that may belong to one entity. Over an island's words the model weighs
 whole segments of up to `MAX_WORDS` words by features of the span as a whole (how many digits, which
 separators, checksum, octets, shape of an address, the word before) and dynamic programming picks
 boundaries and kinds together; words outside a segment score nothing. It is trained by maximum
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from colonnade.llm.tokens import slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words a segment may have at most, and words of an island that are weighed together.
+#: Words a segment may have at most, and words of an island that are learned from together.
 MAX_WORDS, ISLAND_WORDS = 6, 60
 IMPOSSIBLE = -1e9
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -33,9 +33,13 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+SIGN = re.compile(r"[0-9@]")
+#: Texts without any of these hold no entity.
+TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]| at ")
 WORD = re.compile(r"\S+")
 ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,})+")
+#: An address where no run of its first characters is entered half-way, so that long runs are read once.
+LONE_ADDRESS = re.compile(r"(?<![A-Za-z0-9._%+-])" + ADDRESS.pattern)
 NOT_DIGITS = re.compile(r"[^0-9]+")
 # Words before an entity that hint at its kind.
 HINTS = {"mail": "email", "email": "email", "e-mail": "email", "contact": "email", "ip": "ip", "host": "ip", "card": "card", "visa": "card", "mastercard": "card", "tel": "phone", "phone": "phone", "call": "phone", "mobile": "phone", "fax": "phone"}
@@ -63,7 +67,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             found.append((at - run, domain.end(), 0))
             free = domain.end()
         at = text.find("@", max(at + 1, free))
-    if TRIGGER.search(text):
+    if SIGN.search(text):
         found += [(m.start(), m.end(), 1) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
         for m in CARD.finditer(text):
             digits = NOT_DIGITS.sub("", m[0])
@@ -74,27 +78,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def addresses(text: str) -> Iterator[re.Match]:
+    """Matches of ADDRESS, leftmost and apart."""
+    found = LONE_ADDRESS.search(text)
+    while found:
+        yield found
+        found = ADDRESS.match(text, found.end()) or LONE_ADDRESS.search(text, found.end())
+
+
+def word_at(text: str, at: int) -> tuple[int, int]:
+    """Start and end of the word around a place."""
+    start = at
+    while start > 0 and not text[start - 1].isspace():
+        start -= 1
+    return start, WORD.match(text, start).end()
+
+
 def islands(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Words (start, end) around digits and at signs; two words on either side join an at sign."""
-    words: list[tuple[int, int]] = []
+    """Words (start, end) with digits or at signs, and those of addresses, in runs parted by blanks."""
+    found: list[tuple[int, int]] = []
     wide = -1
-    for m in TRIGGER.finditer(text):
-        if m.start() < wide:
-            continue
-        start = m.start()
-        while start > 0 and not text[start - 1].isspace():
-            start -= 1
-        end = WORD.match(text, start).end()
-        wide = end
-        if words and (text[words[-1][1] : start].strip(" ") or len(words) >= ISLAND_WORDS):
+    for m in SIGN.finditer(text):
+        if m.start() >= wide:
+            found.append(word_at(text, m.start()))
+            wide = found[-1][1]
+    for m in addresses(text) if TRIGGER.search(text) else ():
+        found += [word_at(text, m.start() + w.start()) for w in WORD.finditer(m[0])]
+    words: list[tuple[int, int]] = []
+    for start, end in sorted(set(found)):
+        if words and text[words[-1][1] : start].strip(" "):
             yield words
             words = []
         words.append((start, end))
     if words:
         yield words
-    for m in ADDRESS.finditer(text) if " at " in text or "(at)" in text or "[at]" in text else ():
-        if "@" not in m[0]:
-            yield [(w.start() + m.start(), w.end() + m.start()) for w in WORD.finditer(m[0])][:ISLAND_WORDS]
 
 
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
@@ -105,6 +122,14 @@ def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     return start + left, start + max(left, len(kept))
 
 
+def spelled(span: str) -> bool:
+    """Is an address written with a sign or a dot that prose has not, so that base labels, which
+    lack it, say nothing of it? `at` alone, or a dot that may end a sentence, is not enough."""
+    sign = re.search(r"@|\(at\)|\[at\]", span)
+    dots = re.search(r"\(dot\)|\[dot\]| dot ", span)
+    return bool((sign or dots) and not re.search(r"\. |(?<! ) \.", span.replace(" . ", "."))) and not (sign and sign[0] == "@" and " " not in span and not dots)
+
+
 def features(text: str, start: int, end: int, words: int) -> tuple[list[str], list[bool]] | None:
     """Names of what holds for a whole span and the kinds that it can be; None if it can be none."""
     span = text[start:end]
@@ -119,7 +144,8 @@ def features(text: str, start: int, end: int, words: int) -> tuple[list[str], li
     parts = span.split(".")
     octets = len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts)
     n = len(digits)
-    names = ["any", f"words={words}", "digits=" + ("few" if n < 7 else str(n))]
+    whole = address and spelled(span)
+    names = ["any", f"words={1 if whole else words}", "digits=" + ("few" if n < 7 else str(n))]
     names.append("address" if address else "no address")
     names.append("octets" if octets and all(len(p) <= 3 and int(p) <= 255 for p in parts) else "large octets" if octets else "no octets")
     if n >= 12:
@@ -128,7 +154,7 @@ def features(text: str, start: int, end: int, words: int) -> tuple[list[str], li
         names.append("plus")
     elif span[0] == "(":
         names.append("bracket")
-    names += [f"has {c!r}" for c in " -.(" if c in span]
+    names += [f"has {c!r}" for c in " -.(" if c in span and not (whole and c in " (")]
     if set(span) <= set("0123456789 -"):
         names.append("digits, blanks, hyphens")
     groups = [len(g) for g in re.findall("[0-9]+", span)]
@@ -150,10 +176,11 @@ class Crf:
         self.index: dict[str, int] = {}
         self.weights = np.zeros((len(KINDS), 0))
 
-    def candidates(self, text: str, words: list[tuple[int, int]], learn: bool = False) -> list[tuple[int, int, int, int, list[int], np.ndarray]]:
-        """Segments (first word, last word + 1, start, end, features, what rules kinds out) of an island."""
+    def candidates(self, text: str, words: list[tuple[int, int]], learn: bool = False, firsts: range | None = None) -> list[tuple[int, int, int, int, list[int], np.ndarray]]:
+        """Segments (first word, last word + 1, start, end, features, what rules kinds out) of an
+        island, those that begin at the words `firsts` if given."""
         found = []
-        for i in range(len(words)):
+        for i in range(len(words)) if firsts is None else firsts:
             for j in range(i + 1, min(len(words), i + MAX_WORDS) + 1):
                 start, end = trimmed(text, words[i][0], words[j - 1][1])
                 seen = features(text, start, end, j - i) if end > start else None
@@ -166,22 +193,22 @@ class Crf:
         return [(self.weights[:, s[4]].sum(axis=1) + s[5]).tolist() for s in segments]
 
     def decode(self, text: str, words: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """Best spans (start, end, kind) of an island."""
-        segments = self.candidates(text, words)
-        if not segments:
-            return []
-        ending: dict[int, list] = {}
-        for s, scores in zip(segments, self.scores(segments)):
-            kind = max(range(len(KINDS)), key=scores.__getitem__)
-            ending.setdefault(s[1], []).append((s[0], scores[kind], (s[2], s[3], kind)))
-        best, back = [0.0], [None]
-        for i in range(1, len(words) + 1):
-            top, come = best[i - 1], (i - 1, None)
-            for first, score, span in ending.get(i, ()):
-                if best[first] + score > top:
-                    top, come = best[first] + score, (first, span)
-            best.append(top)
-            back.append(come)
+        """Best spans (start, end, kind) of an island, however long: candidates are held for some words at a time."""
+        n = len(words)
+        best, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
+        for begin in range(0, n, ISLAND_WORDS):
+            some = range(begin, min(n, begin + ISLAND_WORDS))
+            segments = self.candidates(text, words, firsts=some)
+            starting: dict[int, list] = {}
+            for s, scores in zip(segments, self.scores(segments)):
+                kind = max(range(len(KINDS)), key=scores.__getitem__)
+                starting.setdefault(s[0], []).append((s[1], scores[kind], (s[2], s[3], kind)))
+            for i in some:
+                for last, score, span in starting.get(i, ()):
+                    if best[i] + score > best[last]:
+                        best[last], back[last] = best[i] + score, (i, span)
+                if best[i] >= best[i + 1]:
+                    best[i + 1], back[i + 1] = best[i], (i, None)
         spans, i = [], len(words)
         while i:
             i, span = back[i]
@@ -196,6 +223,9 @@ class Crf:
             segments = self.candidates(text, words, learn=True)
             where = {(s[2], s[3]): k for k, s in enumerate(segments)}
             labels = {where[a, b]: kind for a, b, kind in gold if (a, b) in where}
+            unsure = [k for k, s in enumerate(segments) if k not in labels and s[5][0] == 0 and spelled(text[s[2] : s[3]])]
+            if unsure:
+                continue
             if segments and len(labels) == len({(a, b) for a, b, _ in gold}):
                 data.append((len(words), segments, labels))
         self.weights = np.zeros((len(KINDS), len(self.index)))
@@ -242,7 +272,7 @@ def learn(docs: DataFrame, text_col: str = "text", sample_rows: int = 2_000, see
             out: tuple[list, list, list] = ([], [], [])
             for text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 base = base_spans(text)
-                for n, words in enumerate(islands(text)):
+                for n, words in enumerate(w[i : i + ISLAND_WORDS] for w in islands(text) for i in range(0, len(w), ISLAND_WORDS)):
                     if n >= 20:
                         break
                     first = max(0, words[0][0] - 24)
@@ -289,7 +319,7 @@ def scan_pii(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
             for some in slices(batch, 1):
                 counts, digests, shown, added = [], [], [], []
                 for text in some.column(1).to_pylist():
-                    base, spans = find(text, known.value) if text and TRIGGER.search(text) or text and " at " in text else ([], [])
+                    base, spans = find(text, known.value) if text and TRIGGER.search(text) else ([], [])
                     counts.append([sum(s[2] == k for s in base) for k in range(len(KINDS))])
                     digests.append(hashlib.sha256(show(base).encode()).hexdigest())
                     shown.append(show(spans))

@@ -337,6 +337,24 @@ def test_segments_and_boundaries_are_chosen_together(docs):
     assert [(text[a:b], pii.KINDS[k]) for a, b, k in spans] == [("+1 (269) 555-3296", "phone"), ("4111 1111 1111 1111", "card")]
 
 
+def test_written_out_addresses(spark, docs):
+    model = pii.learn(docs)
+    forms = ["john(at)example(dot)com", "john[at]example[dot]com", "john @ example.com", "john @ example dot com", "john at example dot com", "john (at) example (dot) com"]
+    texts = [f"Please write to {form} about it" for form in forms]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.scan_pii(table, model).collect()}
+    assert got == {i: f"email:16:{16 + len(form)}" for i, form in enumerate(forms)}
+    assert all(pii.find(t, model)[1] == [] for t in ("Look at this. The end", "a note @ home. Then 1 more", "see us at www.example.org now"))
+    assert pii.find("x" * 200_000 + " a@b.cd", model)[0] == [(200_001, 200_007, 0)]
+
+
+def test_numbers_across_the_words_of_an_island(docs):
+    model = pii.learn(docs)
+    for before in range(54, 64):
+        text = "a1 " * before + "(269) 555 3296"
+        assert (3 * before, len(text), 3) in pii.find(text, model)[1]
+
+
 def test_segment_model_gradient():
     rows = [("call +1 555 123 4567 now 12", [(5, 7), (8, 11), (12, 15), (16, 20)], [(5, 20, 3)]), ("n 1234567 x", [(2, 9)], [])]
     model = pii.Crf().fit(rows, rounds=60)
