@@ -77,6 +77,8 @@ class Model:
     symbols: np.ndarray
     table: np.ndarray
     roots: np.ndarray
+    #: Most bits per byte that a text of each language may need; infinite where none was learned.
+    bounds: np.ndarray | None = None
 
     @classmethod
     def build(cls, samples: dict[str, bytes]) -> Model:
@@ -127,23 +129,45 @@ class Model:
                 counts[:, k] += np.bincount(own, begun, len(texts)).astype(np.int64)
         return counts
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text: the score is the runner-up's share of the bits that
-        the best two need, from 0.5 (even) up to 1; 0 where the language is unknown."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score of each text, and whether it fits: the score is the runner-up's share
+        of the bits that the best two need, from 0.5 (even) up to 1; 0 where the language is unknown.
+        A text fits if it has letters and needs no more bits than its language's bound (every text
+        with letters where nothing was learned). Its first phrase is not counted for that, as texts
+        of a word or two cannot be told from noise."""
         folded = [fold(t) for t in texts]
         known = [bool(self.languages) and has_letter(t) for t in folded]
         data = [t.encode() if k else b"" for t, k in zip(folded, known)]
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.languages or not any(known):
-            return names, scores
-        bits = self.phrases(data) * np.log2(np.maximum(2, self.lengths)) / np.maximum(1, [len(d) for d in data])[:, None]
+            return names, scores, np.array(list(map(has_letter, folded)), bool)
+        phrases, each = self.phrases(data), self.costs(data)
+        bits = phrases * each
         best = bits.argmin(axis=1)
         two = np.sort(bits, axis=1)[:, :2]
         for i, k in enumerate(known):
             if k:
                 names[i] = self.languages[best[i]]
                 scores[i] = two[i, 1] / two[i].sum() if two.shape[1] > 1 else 1.0
-        return names, scores
+        rates = np.take_along_axis((phrases - 1) * each, best[:, None], 1)[:, 0]
+        return names, scores, np.array(known) & (rates <= (np.inf if self.bounds is None else self.bounds[best]))
+
+    def costs(self, texts: list[bytes]) -> np.ndarray:
+        """Bits per byte that one phrase of each text costs under each language."""
+        return np.log2(np.maximum(2, self.lengths)) / np.maximum(1, [len(t) for t in texts])[:, None]
+
+
+def bounds(gathered: dict[str, list[bytes]], slack: float = 1.75) -> dict[str, float]:
+    """Per language, `slack` times the most that labelled texts need when they
+    are parsed against the others: every fifth is left out and tried. Only texts of at least 40
+    bytes are tried; a language without any has no bound."""
+    tried = {k: [t for t in texts[::5] if len(t) >= 40] for k, texts in gathered.items() if len(texts) > 1}
+    rest = Model.build({k: b" ".join(t for i, t in enumerate(texts) if i % 5 or len(texts) < 2) for k, texts in gathered.items()})
+    found = {}
+    for n, lang in enumerate(rest.languages):
+        if own := tried.get(lang):
+            found[lang] = slack * float(((rest.phrases(own) - 1) * rest.costs(own))[:, n].max())
+    return found
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -156,7 +180,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     The sample is documented by its parameters: about `texts_per_language` texts (those with the
     smallest hash of their id), each giving at most 1/40 of `bytes_per_language` from its middle,
-    until that many bytes are gathered. Rows without label or text are left out.
+    until that many bytes are gathered. Rows without label or text are left out. The bounds on bits
+    per byte come from the same sample.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -170,26 +195,31 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     samples: dict[str, list[tuple[float, str]]] = {}
     for r in chosen.select("lang", place.alias("place"), middle.alias("text")).collect():
         samples.setdefault(r["lang"], []).append((r["place"], r["text"]))
-    gathered = {}
+    gathered, apart = {}, {}
     for lang, texts in samples.items():
         parts = [fold(t) for _, t in sorted(texts)]
         gathered[lang] = " ".join(p for p in parts if has_letter(p)).encode()[:bytes_per_language]
-    return Model.build(gathered)
+        ends = np.cumsum([len(p.encode()) + 1 for p in parts if has_letter(p)])
+        apart[lang] = [p.encode() for p, end in zip((p for p in parts if has_letter(p)), ends) if end <= bytes_per_language + each]
+    model = Model.build(gathered)
+    found = bounds(apart)
+    model.bounds = np.array([found.get(k, np.inf) for k in model.languages])
+    return model
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, `row` (hash of id and text), `lang_pred`, `score`; only id and text are read.
+    """Per row: id, `row` (hash of id and text), `lang_pred`, `score`, `fits`; only id and text are read.
 
     A text that is null, empty or without letters is `und` with score 0, and so is everything if
-    nothing was learned. Ties go to the language first in order. Empty tables give no rows.
+    nothing was learned. `fits` is as in Model.predict. Ties go to the language first in order. Empty tables give no rows.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([docs.schema[id_col], T.StructField("row", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema[id_col], T.StructField("row", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fits", T.BooleanType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, 2, rows=20_000):
-                names, scores = known.value.predict(some.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(names, pa.string()), pa.array(scores)], names=schema.names)
+                names, scores, fits = known.value.predict(some.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(names, pa.string()), pa.array(scores), pa.array(fits)], names=schema.names)
 
     return docs.select(F.col(id_col), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col)).mapInArrow(predict, schema)

@@ -18,10 +18,11 @@ ORACLE_SQL = None
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language was recognised; texts without letters go."""
+    """Documents in a language of the labelled ones: texts without letters go, and those that need
+    more bits per byte than their closest language's bound. Without labels all with letters stay."""
     row = fresh(docs, "_row")
     model = language.learn(docs)
-    found = language.identify(docs, model).where(F.col("lang_pred") == language.UNKNOWN)
+    found = language.identify(docs, model).where(~F.col("fits"))
     gone = staged(found.select(F.col("row").alias(row)).distinct(), "no_language")
     return docs.withColumn(row, F.xxhash64("doc_id", "text")).join(gone, row, "left_anti").select(docs.columns)
 

@@ -506,3 +506,25 @@ def test_pipeline_stages(spark, awkward, nothing):
         assert clean.count() == apart.count() and not clean.where("text rlike 'AKIA[A-Z0-9]{16,}'").count()
         packed = pipeline.pack_sequences(spark, clean, FOLDER).collect()
         assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in clean.collect()}
+
+
+def test_language_stage_rejects_what_was_not_learned(spark, awkward, nothing):
+    import corpus_pipeline as pipeline
+
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(8)
+    noise = [" ".join("".join(map(chr, rng.integers(97, 123, rng.integers(3, 9)))) for _ in range(60)) for _ in range(20)]
+    other = ["Тихо летит снег над рекой, и никто не идёт по дороге к старому дому. " * 3, "静かな夜に雪が降り、川のそばの古い家へ行く人は誰もいない。" * 3]
+    more = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(noise + other)], documents.schema)
+    kept = {r["doc_id"] for r in pipeline.keep_known_languages(spark, documents.union(more), FOLDER).select("doc_id").collect()}
+    assert not {i for i in kept if i >= 10**9}
+    lettered = {r["doc_id"] for r in documents.where(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+    assert len(kept) >= 0.995 * len(lettered)
+    for table in (documents.withColumn("lang", F.lit(None).cast("string")), documents.where(language.held_out("doc_id"))):
+        assert pipeline.keep_known_languages(spark, table, FOLDER).count() == table.where(F.col("text").rlike(r"\p{L}")).count()
+    for table in (awkward, awkward.withColumn("lang", F.lit(None).cast("string")), nothing):
+        known = common.staged(pipeline.keep_known_languages(spark, table, FOLDER), "a")
+        assert known.columns == table.columns
+        assert Counter(r["text"] for r in known.collect()) == Counter(r["text"] for r in table.where(F.col("text").rlike(r"\p{L}")).collect())
+        clean = common.staged(pipeline.mask_secrets(spark, pipeline.drop_near_copies(spark, pipeline.drop_exact_copies(spark, known, FOLDER), FOLDER), FOLDER), "d")
+        assert pipeline.pack_sequences(spark, clean, FOLDER).select("doc_id").distinct().count() == clean.select("doc_id").distinct().count()
