@@ -54,6 +54,12 @@ ADDED = (
     Rule("npm", r"npm_[A-Za-z0-9]{36}"),
 )
 RULES = BASE + ADDED
+# What redaction hides is as in RULES, but private keys go as a whole: to their END line or, where
+# that is missing, to the end of the headers and base64 lines. The loops are possessive and bounded.
+KEY_GAP = r"(?:[\s>#*|\"',+-]|\\[nrt])"
+KEY_LINES = rf"(?:{KEY_GAP}{{0,40}}+(?:[A-Za-z][A-Za-z-]{{1,30}}+:\x20[^\r\n]*+|[A-Za-z0-9+/]{{40,}}+={{0,2}}+|[A-Za-z0-9+/]{{2,39}}+(?:={{1,2}}+|(?=[\x20\t\"',]*+(?:[\r\n\\]|$))))){{0,1000}}+"
+KEY_END = r"[^-]*+(?:-(?!----)[^-]*+){0,400}+-----END [A-Z ]{0,20}PRIVATE KEY(?:\x20BLOCK)?-----"
+HIDDEN = tuple(Rule(r.kind, rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY(?:\x20BLOCK)?-----(?:{KEY_END}|{KEY_LINES})") if r.kind == "private_key" else r for r in RULES)
 
 
 def _literals(nodes) -> list[str]:
@@ -167,11 +173,12 @@ def secret_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """`docs` with every found span of the text replaced by `mark`; overlapping spans become one.
+    Of a private key the whole block goes, not its header alone.
 
     Texts without spans, null ones too, stay as they are.
     """
     spans, held = fresh(docs, "_spans"), fresh(docs, "_held")
-    found = scan_secrets(docs.withColumnRenamed("secret_spans", held), id_col, text_col).withColumnRenamed("secret_spans", spans).withColumnRenamed(held, "secret_spans")
+    found = scan_secrets(docs.withColumnRenamed("secret_spans", held), id_col, text_col, HIDDEN).withColumnRenamed("secret_spans", spans).withColumnRenamed(held, "secret_spans")
     text = F.col(text_col)
 
     def step(state: Column, s: Column) -> Column:

@@ -393,6 +393,27 @@ def test_redaction(spark):
     assert got == {1: "x [SECRET] y [SECRET]", 2: None, 3: "plain", 4: "[SECRET] é"}
 
 
+def test_redaction_of_whole_keys(spark):
+    lines = ["MIIEpAIBAAKCAQEA" + "aB3/" * 12, "Zk9+" * 16, "qRs7Tu=="]
+    body = "\n".join(lines)
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    texts = {
+        f"a\n{begin}\n{body}\n{end}\nb - c": "a\n[SECRET]\nb - c",
+        f"a {begin}\n{head}{body}\n{end} b": "a [SECRET] b",
+        f'k: "{begin}\\n' + "\\n".join(lines) + f'\\n{end}\\n" b': 'k: "[SECRET]\\n" b',
+        f"a {begin}\r\n" + "\r\n".join(f"  {x}" for x in lines) + "\r\n\r\nmore words here": "a [SECRET]\r\n\r\nmore words here",
+        f"a {begin}\n{body[:-30]}": "a [SECRET]",
+        f"the line {begin} opens a key - it is plain": "the line [SECRET] opens a key - it is plain",
+        f"{begin}\n{body}\n{end}\nx\n{begin}\n{body}\n{end}\n": "[SECRET]\nx\n[SECRET]\n",
+        f"-----BEGIN PGP PRIVATE KEY BLOCK-----\n\n{body}\n-----END PGP PRIVATE KEY BLOCK-----": "[SECRET]",
+        f"{begin} " + "word - " * 50_000: "[SECRET] " + "word - " * 50_000,
+    }
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact(table).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 # languages, licences, pieces -------------------------------------------------------------------
 
 
