@@ -288,4 +288,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = near_groups(docs, id_col, text_col, words, percent)
     dropped = groups.where("not stays").select(F.col("row").alias(row))
     gone = staged(dropped.distinct(), "near_copies")
-    return joined_small(docs.withColumn(row, F.xxhash64(id_col, text_col)), gone, [row], "left_anti", BROADCAST_ROWS).drop(row)
+    left = joined_small(docs.withColumn(row, F.xxhash64(id_col, text_col)), gone, [row], "left_anti", BROADCAST_ROWS)
+    # rows that repeat id and text: few or none once exact copies are gone
+    counted = groups.where("stays and n_shingles > 0").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = staged(counted.select(F.col("row").alias(row)), "repeated")
+    once = joined_small(left, repeated, [row], "left_semi", BROADCAST_ROWS).dropDuplicates([row])
+    return joined_small(left, repeated, [row], "left_anti", BROADCAST_ROWS).unionByName(once).drop(row)

@@ -219,6 +219,15 @@ def test_near_groups(spark, docs, awkward, nothing, words, percent):
     assert kept.count() == len({c for _, _, c in brute_near(rows, words, percent)})
 
 
+def test_repeated_rows_of_near_copies_stay_once(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text)] * 3 + [(2, text + " end")] * 2 + [(3, "apart from all others")] * 4 + [(4, None)] * 2 + [(None, "no id but words")] * 2
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.monotonically_increasing_id())
+    kept = jaccard_join.drop_near_copies(table)
+    assert kept.columns == table.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter({rows[0]: 1, (3, rows[5][1]): 1, (4, None): 2, rows[-1]: 1})
+
+
 def test_near_groups_by_shuffle(spark, docs, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
     got = jaccard_join.near_groups(docs, words=2, percent=40)
