@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import exact_dedup, jaccard_join, language, licences, near_vectors, packing, pieces, pii, secret_scan, token_files
-from colonnade.llm.common import read
+from colonnade.llm import conversations, exact_dedup, jaccard_join, language, licences, near_vectors, packing, pieces, pii, secret_scan, token_files
+from colonnade.llm.common import read, staged
 from colonnade.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,47 @@ def piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return pii.scan_pii(docs, pii.learn(docs))
+
+
+def _repairs_sql() -> str:
+    """Damage, faults and the cheapest edits by a fold over each conversation's rows, state by state."""
+    put = lambda item, cost, edit: f"{{'c': {item}.c + {cost}, 'a': {item}.a || '{edit}'}}"
+    far = "{'c': 1000000000, 'a': ''}"
+    insert = f"""list_transform([s], lambda s: list_transform([list_min([s[3], {put("s[1]", 3, "I")}, {put("s[2]", 3, "I")}, {put("s[4]", 3, "I")}])],
+        lambda u: [s[1], s[2], u, list_min([s[4], {put("u", 3, "I")}])])[1])[1]"""
+    keep = lambda frm, initial: f"case when r.f in (0, 3) and r.i = '{initial}' then {put(frm, 'r.p', 'K')} else {far} end"
+    rerole = lambda frm: f"case when r.f in (0, 3) then {put(frm, '3 + r.p', 'R')} else {far} end"
+    users = ", ".join(f"{keep(s, 'u')}, {rerole(s)}" for s in ("t[1]", "t[2]", "t[4]"))
+    step = f"""list_transform([{insert}], lambda t: [{put("t[1]", 4, "D")}, list_min([{put("t[2]", 4, "D")}, {keep("t[1]", "s")}]),
+        list_min([{put("t[3]", 4, "D")}, {users}]), list_min([{put("t[4]", 4, "D")}, {keep("t[3]", "a")}, {rerole("t[3]")}])])[1]"""
+    due = "case when x.state = 2 then 3 else 2 end"
+    # a repair walks its audit: the state, the rows used up, and the messages so far
+    walk = f"""list_reduce(list_transform(string_split(audit, ''), lambda e: {{'e': e, 'state': 0, 'at': 0, 'out': []::varchar[]}}), lambda x, y: case y.e
+        when '' then x when 'D' then {{'e': '', 'state': x.state, 'at': x.at + 1, 'out': x.out}}
+        when 'K' then {{'e': '', 'state': case rows[x.at + 1].i when 's' then 1 when 'u' then 2 else 3 end, 'at': x.at + 1, 'out': list_append(x.out, rows[x.at + 1].role || ':' || rows[x.at + 1].text)}}
+        else {{'e': '', 'state': {due}, 'at': x.at + case y.e when 'R' then 1 else 0 end,
+               'out': list_append(x.out, case when x.state = 2 then 'assistant:' else 'user:' end || case y.e when 'R' then rows[x.at + 1].text else '' end)}} end,
+        {{'e': '', 'state': 0, 'at': 0, 'out': []::varchar[]}}).out"""
+    white = r"[\x20\x09-\x0D]+$"
+    return f"""with table_of as (select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, n)) crcs),
+    keyed as (select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') t, xor(4294967295, list_reduce(list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::bigint),
+        lambda c, b: xor(crcs[(xor(c, b) & 255) + 1], c >> 8), 4294967295::bigint)) % 20 kind from conversations, table_of),
+    damaged as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(t, '[.!?]', '', 'g') else t end as text, unnest(range(case kind when 3 then 2 else 1 end)) copy from keyed where kind <> 0),
+    placed as (select *, left(role, 1) i, regexp_replace(text, '{white}', '') tail, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) place from damaged),
+    faulty as (select *, case when tail = '' then 1 when row_number() over (partition by conv_id, role, text order by place) > 1 then 2 when right(tail, 1) not in ('.', '!', '?') then 3 else 0 end f,
+        lag(i) over (partition by conv_id order by place) before from placed),
+    convs as (select conv_id, list({{'i': i, 'f': f, 'p': case f when 3 then 3 else 0 end, 'role': role, 'text': text}} order by place) as rows, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps,
+        count(*) filter (f = 1) blank, count(*) filter (f = 2) duplicate, count(*) filter (f = 3) truncated, count(*) filter (before is not null and before || i not in ('su', 'ua', 'au')) illegal from faulty group by conv_id),
+    best as (select *, list_reduce(list_transform(rows, lambda q: {{'r': q, 's': [{far}]}}), lambda x, y: {{'r': y.r, 's': list_transform([{{'s': x.s, 'r': y.r}}], lambda z: list_transform([z.s], lambda s: list_transform([z.r], lambda r: {step})[1])[1])[1]}},
+        {{'r': {{'i': '', 'f': 0, 'p': 0, 'role': '', 'text': ''}}, 's': [{{'c': 0, 'a': ''}}, {far}, {far}, {far}]}}).s s from convs),
+    done as (select * exclude (s), unnest([list_min([s[1], ({insert})[4]])], recursive := false) goal from best),
+    audits as (select *, goal.c cost, goal.a audit from done)
+    select o.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, coalesce(cost, 0)::bigint cost,
+      coalesce(audit, '') audit, sha256(coalesce(array_to_string({walk}, chr(10)), '')) repaired_sha256
+    from (select distinct conv_id from conversations) o left join audits on o.conv_id is not distinct from audits.conv_id"""
+
+
+@query("op11_conversation_repair", _repairs_sql())
+def conversation_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damage(read(spark, sf_dir, "conversations"))
+    return conversations.repair_digests(rows, staged(conversations.repair_plans(rows), "plans"))
