@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 from functools import lru_cache
 
@@ -19,6 +20,8 @@ SCHEMA = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("tu
 def cheapest(rows):
     """All edit sequences by recursion: the least (cost, audit) that gives legal initials."""
 
+    sys.setrecursionlimit(20_000)
+
     @lru_cache(None)
     def best(at, state, inserted):
         found = [(0, "")] if at == len(rows) and state in "ea" else []
