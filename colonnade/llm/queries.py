@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import alignment, conversations, exact_dedup, jaccard_join, language, licences, near_vectors, packing, pieces, pii, secret_scan, token_files
+from colonnade.llm import alignment, conversations, exact_dedup, jaccard_join, language, licences, lm_scoring, near_vectors, packing, pieces, pii, secret_scan, token_files
 from colonnade.llm.common import read, staged
 from colonnade.session import scratch_path
 
@@ -200,3 +200,8 @@ def conversation_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_tokenizer_alignment")
 def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_lm_scoring")
+def language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
