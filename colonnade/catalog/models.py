@@ -15,6 +15,7 @@ from colonnade.operators.models import bayes, linear, neighbours as N, trees
 from colonnade.plans.cleaning import CleaningOptions, CleaningPlan
 from colonnade.plans.features import FeatureOptions
 from colonnade.plans.training import ModelSpec, TrainingConfig, TrainingRun, best_models, train
+from colonnade.operators.shapley import tree_parts as explained_parts
 from colonnade.session import scratch_path
 from colonnade.sources import tables as S
 from colonnade.sources.models import load_model, save_model
@@ -318,6 +319,48 @@ def ex_tree_shap(spark, d):
     return out.withColumns({"phi": F.round("phi", 6), "base": F.round("base", 6), "value": F.round("value", 6)})
 
 
+def shap_gaps(df, fitted, k):
+    """Per row and class: what the attributions add up to, less what the model reports."""
+    _, _, link = explained_parts(df, fitted)
+    told = E.explained_output(E.tree_shap(df, fitted, "id", XS), "id", link, [str(c) for c in range(k)]).select("id", F.col("probability").alias("_told"))
+    both = fitted.score(df).select("id", "probability").join(told, "id")
+    rows = F.array(*[F.struct(F.lit(str(c)).alias("class"), F.round(F.abs(F.col("probability")[c] - F.col("_told")[c]), 6).alias("gap")) for c in range(k)])
+    return both.select("id", F.inline(rows))
+
+
+def gaps_sql(k):
+    return f"select o_orderkey as id, unnest([{', '.join(f"'{c}'" for c in range(k))}]) as class, 0.0::double as gap from orders"
+
+
+@query("ex_shap_extra_trees", gaps_sql(3))
+def ex_shap_extra_trees(spark, d):
+    df = assembled(frame(spark, d), "three").persist()
+    return shap_gaps(df, trees.extra_trees(df), 3)
+
+
+@query("ex_shap_adaboost", gaps_sql(2))
+def ex_shap_adaboost(spark, d):
+    df = assembled(frame(spark, d), "two").persist()
+    return shap_gaps(df, trees.adaboost(df, rounds=10), 2)
+
+
+@query("ex_shap_boosting", gaps_sql(3))
+def ex_shap_boosting(spark, d):
+    """Three classes, one boosted model against the rest each."""
+    df = assembled(frame(spark, d), "three").persist()
+    return shap_gaps(df, trees.gradient_boosting(df, rounds=10), 3)
+
+
+@query("ex_beeswarm", f"""
+with f as {FRAME}, m as (select {', '.join(f'avg({c}) as m{i}' for i, c in enumerate(XS))} from f),
+a as (select unnest(['x1', 'x2', 'x3']) as feature, unnest([x1, x2, x3]) as value, unnest([3.0::double * (x1 - m0), -4.0::double * (x2 - m1), 1.0::double * (x3 - m2)]) as phi from f, m),
+top as (select feature from a group by feature order by avg(abs(phi)) desc, feature limit 2)
+select feature, round(value, 8) as value, round(phi, 6) as phi, count(*) as n from a where feature in (select feature from top) group by all""")
+def ex_beeswarm(spark, d):
+    points = E.beeswarm(attributions(spark, d), top=2)
+    return points.groupBy("feature", F.round("value", 8).alias("value"), F.round("phi", 6).alias("phi")).agg(F.sum("n").alias("n"))
+
+
 COEF = {"x1": 3.0, "x2": -4.0, "x3": 1.0}
 
 

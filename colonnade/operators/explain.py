@@ -1,12 +1,10 @@
-"""Model explanation: Shapley values of trees, importance, partial dependence."""
+"""Model explanation: importance of attributions, partial dependence."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
@@ -14,133 +12,7 @@ from colonnade.columns import col
 from colonnade.operators.models.common import FEATURES, Scored
 from colonnade.operators.ordering import quantiles
 from colonnade.operators.quality import cardinalities
-from colonnade.session import scratch_path
-
-
-def node_table(df: DataFrame, model) -> pd.DataFrame:
-    """The nodes of a fitted MLlib tree or forest, from its saved form: (tree, id,
-    prediction, stats, left, right, feature, cut, categories). Bounded by trees x 2^depth."""
-    path = scratch_path(df.sparkSession, "trees")
-    model.write().overwrite().save(path)
-    saved = df.sparkSession.read.parquet(f"{path}/data")
-    if "nodeData" in saved.columns:
-        saved = saved.select(F.col("treeID").alias("tree"), "nodeData.*")
-    else:
-        saved = saved.withColumn("tree", F.lit(0))
-    return saved.select(
-        "tree", "id", "prediction", F.col("impurityStats").alias("stats"), F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
-        F.col("split.featureIndex").alias("feature"), F.col("split.leftCategoriesOrThreshold").alias("cut"), F.col("split.numCategories").alias("categories"),
-    ).toPandas()
-
-
-def leaf_value(node, kind: str) -> np.ndarray:
-    stats = np.array(node.stats, float)
-    return stats / stats.sum() if kind == "classes" else np.array([float(node.prediction)])
-
-
-def leaf_paths(nodes: pd.DataFrame, kind: str, weights: Sequence[float]) -> list[tuple]:
-    """Per leaf: (value scaled by tree weight, features, branch conditions, cover ratios).
-
-    Conditions and ratios on the same feature are merged, as a coalition either follows
-    the row on all of them or on none.
-    """
-    cover = lambda n: float(n.stats[0]) if kind != "classes" else float(np.sum(n.stats))
-    out = []
-    for tree, part in nodes.groupby("tree"):
-        table = {n.id: n for n in part.itertuples()}
-        stack = [(table[0], {})]
-        while stack:
-            node, path = stack.pop()
-            if node.left < 0:
-                features = list(path)
-                out.append((weights[tree] * leaf_value(node, kind), features, [path[f][0] for f in features], [path[f][1] for f in features]))
-                continue
-            for child_id, goes_left in ((node.left, True), (node.right, False)):
-                child = table[child_id]
-                conditions, ratio = path.get(node.feature, ((), 1.0))
-                step = (tuple(node.cut), node.categories, goes_left)
-                stack.append((child, {**path, node.feature: ((*conditions, step), ratio * cover(child) / max(cover(node), 1e-300))}))
-    return out
-
-
-def follows(x: np.ndarray, conditions) -> np.ndarray:
-    ok = np.ones(len(x), bool)
-    for cut, categories, goes_left in conditions:
-        left = x <= cut[0] if categories == -1 else np.isin(x, cut)
-        ok &= left if goes_left else ~left
-    return ok
-
-
-def shapley_of_paths(x: np.ndarray, paths: list[tuple], outputs: int) -> np.ndarray:
-    """Path-dependent tree Shapley values (Lundberg et al. 2018), rows x features x outputs.
-
-    For a leaf with m features, the value of a coalition is the product of row indicators
-    (in it) and cover ratios (out of it), so feature f receives (o_f - z_f) times the
-    Shapley-weighted coefficients of prod_{j != f} (z_j + o_j t).
-    """
-    phi = np.zeros((len(x), x.shape[1], outputs))
-    for value, features, conditions, ratios in paths:
-        m = len(features)
-        if m == 0:
-            continue
-        weight = [math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)]
-        hits = [follows(x[:, f], c).astype(float) for f, c in zip(features, conditions)]
-        for i, f in enumerate(features):
-            poly = [np.ones(len(x))] + [np.zeros(len(x)) for _ in range(m - 1)]
-            for j in range(m):
-                if j != i:
-                    for s in range(m - 1, -1, -1):
-                        poly[s] = poly[s] * ratios[j] + (poly[s - 1] * hits[j] if s else 0.0)
-            share = (hits[i] - ratios[i]) * sum(w * p for w, p in zip(weight, poly))
-            phi[:, f, :] += share[:, None] * value[None, :]
-    return phi
-
-
-def tree_parts(df: DataFrame, fitted: Scored) -> tuple[list[tuple], list[str | None], np.ndarray]:
-    """(paths, output names, expected value): classification trees and forests explain class
-    probabilities, boosted classifiers the margin, regressors the prediction."""
-    model = fitted.state["model"]
-    name = type(model).__name__
-    nodes = node_table(df, model)
-    trees = int(nodes["tree"].max()) + 1
-    if name.startswith("GBT"):
-        kind, weights = "value", list(model.treeWeights)
-    elif name in ("DecisionTreeClassificationModel", "RandomForestClassificationModel"):
-        kind, weights = "classes", [1.0 / trees] * trees
-    elif name in ("DecisionTreeRegressionModel", "RandomForestRegressionModel"):
-        kind, weights = "value", [1.0 / trees] * trees
-    else:
-        raise ValueError(f"not a tree model: {name}")
-    paths = leaf_paths(nodes, kind, weights)
-    outputs = len(paths[0][0])
-    base = sum(value * np.prod(ratios) for value, _, _, ratios in paths)
-    return paths, [str(i) for i in range(outputs)] if kind == "classes" else [None], base
-
-
-def tree_shap(df: DataFrame, fitted: Scored, id_col: str, feature_names: Sequence[str], class_names: Sequence[str] | None = None) -> DataFrame:
-    """(id, class, feature, value, phi, base) of every row. The tree table is small and
-    travels with the task; rows stay where they are, in Arrow batches."""
-    paths, outputs, base = tree_parts(df, fitted)
-    names = list(class_names) if class_names and outputs[0] is not None else outputs
-    features = list(feature_names)
-    id_type = df.schema[id_col].dataType.simpleString()
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), 2000):
-                part = batch.iloc[start:start + 2000]
-                x = np.stack(part["x"].to_numpy())
-                phi = shapley_of_paths(x, paths, len(names))
-                n, p = x.shape
-                for c, name in enumerate(names):
-                    yield pd.DataFrame({
-                        "id": np.repeat(part["id"].to_numpy(), p), "class": name, "feature": np.tile(features, n),
-                        "value": x.ravel(), "phi": phi[:, :, c].ravel(), "base": float(base[c]),
-                    })
-
-    rows = df.select(col(id_col).alias("id"), vector_to_array(FEATURES).alias("x"))
-    out = rows.mapInPandas(explain, f"id {id_type}, class string, feature string, value double, phi double, base double")
-    return out.withColumnRenamed("id", id_col)
+from colonnade.operators.shapley import explained_output, node_table, tree_shap  # noqa: F401  (part of this module's interface)
 
 
 def importance(attributions: DataFrame, threshold: float = 0.0, top: int | None = None) -> DataFrame:

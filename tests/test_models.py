@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from colonnade.operators import explain as E, predict as P
+from colonnade.operators import explain as E, predict as P, shapley as S
 from colonnade.operators.models import bayes, linear, neighbours as N, trees
 from colonnade.operators.models.neighbours_model import knn
 from colonnade.plans.features import FeatureOptions
@@ -164,6 +164,68 @@ def test_tree_shap_is_brute_force_shapley(spark, sets):
             assert got[(row["id"], XS[f])] == pytest.approx(phi, abs=1e-9)
 
 
+FAMILIES = {
+    "extra trees": (lambda d: trees.extra_trees(d, trees=6, groups=3, max_depth=3), "three"),
+    "extra trees, regression": (lambda d: trees.extra_trees(d, "regression", trees=4, groups=2, max_depth=3), "y"),
+    "AdaBoost": (lambda d: trees.adaboost(d, rounds=5, max_depth=2), "three"),
+    "AdaBoost.R2": (lambda d: trees.adaboost_r2(d, rounds=4), "y"),
+    "boosting, three classes": (lambda d: trees.gradient_boosting(d, rounds=3), "three"),
+    "boosting, two classes": (lambda d: trees.gradient_boosting(d, rounds=3), "two"),
+    "forest": (lambda d: trees.random_forest(d, 4, 5), "three"),
+    "preset": (lambda d: trees.boosted_preset(d, "XGBoost", rounds=2), "three"),
+}
+
+
+def part_value(part, outputs, x, known):
+    """A part's expected output when the coordinates of the `known` features follow the row."""
+    at, total = part.coordinates(x[None, :]), np.zeros(outputs)
+    for value, features, conditions, ratios in part.leaves:
+        share = 1.0
+        for f, c, z in zip(features, conditions, ratios):
+            share *= float(S.follows(at[:, f], c)[0]) if part.feature(f) in known else z
+        total = total + share * value
+    return total
+
+
+@pytest.mark.parametrize("family", sorted(FAMILIES))
+def test_shapley_values_of_every_family(sets, family):
+    """Brute force over coalitions of the leaves, and the sums are what the model reports."""
+    fit, target = FAMILIES[family]
+    df = sets[target]
+    fitted = fit(df)
+    parts, outputs, link = S.tree_parts(df, fitted)
+    names = [None] if link in ("margin", "prediction") else [str(c) for c in range(outputs)]
+    found = E.tree_shap(df, fitted, "id", XS).cache()
+    got = {(r["id"], r["class"], r["feature"]): r["phi"] for r in found.where("id < 8").collect()}
+    for row in df.where("id < 8").collect():
+        x = row["features"].toArray()
+        value = lambda known: sum(part_value(p, outputs, x, known) for p in parts)
+        for f in range(3):
+            rest = [g for g in range(3) if g != f]
+            phi = sum(factorial(len(s)) * factorial(2 - len(s)) / 6 * (value({*s, f}) - value(set(s))) for m in range(3) for s in combinations(rest, m))
+            assert [got[row["id"], c, XS[f]] for c in names] == pytest.approx(phi.tolist(), abs=1e-9)
+    told = E.explained_output(found, "id", link, names).toPandas().set_index("id")
+    scored = fitted.score(df).toPandas().set_index("id")
+    if family == "AdaBoost.R2":  # the median itself is not a sum; the weighted mean is
+        columns = [m.setPredictionCol("_h").transform(df).select("id", "_h").toPandas().set_index("id")["_h"] for m in fitted.state["models"]]
+        want = sum(w * c for w, c in zip(fitted.state["strengths"], columns)) / sum(fitted.state["strengths"])
+        assert np.allclose(told["prediction"], want.loc[told.index])
+    elif link == "prediction":
+        assert np.allclose(told["prediction"], scored.loc[told.index, "prediction"])
+    else:
+        assert np.allclose(np.stack(told["probability"]), np.stack(scored.loc[told.index, "probability"]))
+        assert (told["prediction"] == scored.loc[told.index, "prediction"]).all()
+
+
+def test_leaves_with_many_features_are_not_tabulated(sets, monkeypatch):
+    fitted = trees.random_forest_regressor(sets["y"], 4, 3)
+    parts, outputs, _ = S.tree_parts(sets["y"], fitted)
+    x = np.random.RandomState(0).uniform(-1, 1, (50, 3))
+    tabled = S.Explainer(parts, outputs)(x)
+    monkeypatch.setattr(S, "TABLE_FEATURES", 0)
+    assert np.allclose(S.Explainer(parts, outputs)(x), tabled)
+
+
 def test_beeswarm_keeps_every_point(sets):
     fitted = trees.decision_tree_regressor(sets["y"], 3)
     attributions = E.tree_shap(sets["y"], fitted, "id", XS)
