@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from colonnade.catalog import query, table
-from colonnade.operators import features as X
+from colonnade.operators import dictionaries as D, features as X
 from colonnade.plans.features import FeatureOptions, FeaturePlan
 
 
@@ -109,6 +109,47 @@ def fe_ordinal(spark, d):
     return X.ordinal(full, X.fit_categories(train, ["o_orderstatus", "o_orderpriority"]))
 
 
+def long_keys(spark, d):
+    """Up to 20,000 keys, a third of all rows under one of them, some null; fitted on 'F' and 'O' orders."""
+    number = F.col("o_orderkey") % 20000
+    key = F.when(F.col("o_orderkey") % 3 == 0, "hot").when(number % 7 != 0, F.concat(F.lit("K"), number.cast("string")))
+    df = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", key.alias("key"))
+    return df.where("o_orderstatus <> 'P'").drop("o_orderstatus"), df.drop("o_orderstatus")
+
+
+LONG_KEYS = """orders_keyed as (select o_orderkey, o_orderstatus, case when o_orderkey % 3 = 0 then 'hot' when o_orderkey % 20000 % 7 <> 0 then 'K' || (o_orderkey % 20000) end as key from orders),
+ fitted as (select * from orders_keyed where o_orderstatus <> 'P'), places as (select key, row_number() over (order by key) - 1 as place from (select distinct key from fitted where key is not null)),
+ size as (select (select count(*) from places) as known, (select cast(count(*) > 0 as int) from fitted where key is null) as holes),
+ placed as (select o_orderkey, o.key, case when o.key is null and holes = 1 then known else place end as place, known, known + holes as total from orders_keyed o cross join size left join places p on o.key = p.key)"""
+
+
+@F.udf("size long, entries array<long>, total double")
+def sparse_entries(v):
+    """What a sparse vector holds, without making it dense."""
+    return int(v.size), [int(i) for i in v.indices], float(v.values.sum())
+
+
+@query("fe_one_hot_long", f"""with {LONG_KEYS}
+select o_orderkey, total - 1 as size, case when place >= 1 then [place - 1] else [] end::bigint[] as entries, case when place >= 1 then 1.0::double else 0 end as total from placed""")
+def fe_one_hot_long(spark, d):
+    train, full = long_keys(spark, d)
+    coded = D.one_hot_vectors(full, D.fit_dictionary(train, ["key"]), ["key"])
+    return coded.select("o_orderkey", sparse_entries("key_onehot").alias("v")).select("o_orderkey", "v.*")
+
+
+@query("fe_ordinal_long", f"with {LONG_KEYS} select o_orderkey, case when key is null then -1.0 else coalesce(place, -1) end::double as key from placed")
+def fe_ordinal_long(spark, d):
+    train, full = long_keys(spark, d)
+    return D.ordinal_codes(full, D.fit_dictionary(train, ["key"]), ["key"])
+
+
+@query("fe_label_long", f"with {LONG_KEYS} select o_orderkey, key, case when key is not null then place end::double as label, case when place is not null then key end as decoded from placed")
+def fe_label_long(spark, d):
+    train, full = long_keys(spark, d)
+    known = D.fit_dictionary(train, ["key"], null_category=False)
+    return D.label_names(D.label_codes(full, known, "key"), known, "key", "label", "decoded")
+
+
 @query("fe_missing_category", "select o_orderkey, o_orderstatus, case when o_orderpriority = '3-MEDIUM' then 'Missing' else o_orderpriority end as o_orderpriority from orders")
 def fe_missing_category(spark, d):
     return X.missing_category(split_orders(spark, d)[1], ["o_orderstatus", "o_orderpriority"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from itertools import combinations
@@ -80,24 +81,30 @@ def fit_high_cardinality(df: DataFrame, max_unique: int, columns: Sequence[str]
     return [c for c in names if c not in few]
 
 
-MAX_CATEGORIES = 10_000  # a longer category list is not encoded column by column
+MAX_CATEGORIES = 10_000  # a longer category list is a table (operators/dictionaries.py), not columns of the plan
 
 
-def fit_categories(df: DataFrame, columns: Sequence[str], null_category: bool = True) -> dict[str, list[str | None]]:
+def category_sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Distinct non-null values per column."""
+    found = value_profile(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("n")) if columns else None
+    sizes = {r["column"]: r["n"] for r in found.collect()} if columns else {}
+    return {c: sizes.get(c, 0) for c in columns}
+
+
+def fit_categories(df: DataFrame, columns: Sequence[str], null_category: bool = True, sizes: dict[str, int] | None = None) -> dict[str, list[str | None]]:
     """Sorted category list per column; null comes last as a category of its own.
 
-    Lists become columns of the plan, so their length is checked before they are
-    collected: drop high-cardinality columns first (fit_high_cardinality).
+    Lists become columns of the plan, so their length (`sizes`, where known) is checked before
+    they are collected; longer ones are for `dictionaries.fit_dictionary`.
     """
     if not columns:
         return {}
-    profile = value_profile(df, columns)
-    sizes = {r["column"]: r["n"] for r in profile.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    too_long = [c for c, n in sizes.items() if n > MAX_CATEGORIES]
+    sizes = sizes or category_sizes(df, columns)
+    too_long = [c for c in columns if sizes[c] > MAX_CATEGORIES]
     if too_long:
-        raise ValueError(f"too many categories to encode: {too_long}")
+        raise ValueError(f"these category lists need a dictionary: {too_long}")
     lists: dict[str, list[str | None]] = {c: [] for c in columns}
-    for r in profile.groupBy("column").agg(F.array_sort(F.collect_set("value")).alias("v")).collect():
+    for r in value_profile(df, columns).groupBy("column").agg(F.array_sort(F.collect_set("value")).alias("v")).collect():
         lists[r["column"]] = list(r["v"])
     if null_category:
         holes = df.agg(*[F.count_if(present(df, c).isNull()).alias(f"c{i}") for i, c in enumerate(columns)]).first()
@@ -160,16 +167,29 @@ def standard_scale(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> Dat
 
 
 def fit_labels(df: DataFrame, target: str) -> list[str]:
-    """Sorted class names (as text) of a classification target."""
-    return [v for v in fit_categories(df, [target], null_category=False)[target]]
+    """Sorted class names (as text) of a classification target. A model holds numbers for
+    every class, so the list is as long as a model is wide."""
+    return [r["value"] for r in value_profile(df, [target]).orderBy("value").collect()]
+
+
+def text_array(values: Sequence[str]) -> Column:
+    """A fixed list as one literal: the optimizer folds it, so a long list does not become as many expressions."""
+    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
 
 
 def encode_label(df: DataFrame, target: str, classes: Sequence[str], out: str = "label") -> DataFrame:
+    """The class's place in the list; null for an unknown one. Long lists are joined instead of searched."""
+    if len(classes) > MAX_CATEGORIES:
+        spark, text = df.sparkSession, "_class_text"
+        table = spark.range(1).select(F.posexplode(text_array(classes)).alias(out, text)).select(F.col(out).cast("double").alias(out), text)
+        return df.withColumn(text, col(target).cast("string")).join(F.broadcast(table), text, "left").drop(text)
     position = F.array_position(F.array(*[F.lit(c) for c in classes]), col(target).cast("string"))
     return df.withColumn(out, F.when(position > 0, (position - 1).cast("double")))
 
 
 def decode_label(code: Column, classes: Sequence[str]) -> Column:
+    if len(classes) > MAX_CATEGORIES:
+        return F.element_at(text_array(classes), code.cast("int") + 1)
     return F.element_at(F.array(*[F.lit(c) for c in classes]), code.cast("int") + 1)
 
 

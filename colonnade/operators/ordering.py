@@ -164,6 +164,26 @@ def skew_join(df: DataFrame, table: DataFrame, keys: list[str], weight: str, tot
     )
 
 
+def spread_left_join(df: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """Rows left-joined with a table of one row per non-null `key`, whatever a key's share.
+
+    Keys with at least 1/HOT_KEYS of the summed `weight` (so at most HOT_KEYS of them) are
+    broadcast. Their rows, and rows without a key, then have nothing to meet in the shuffle
+    join of the others and are dealt out by a hash of the row. Adds the table's columns but
+    `key` and `weight`.
+    """
+    extra = [c for c in table.columns if c not in (key, weight)]
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot_rule = F.col(weight) * F.lit(HOT_KEYS) >= F.lit(max(total, 1))
+    hot = table.where(hot_rule).select(col(key), F.lit(True).alias("_hot"), *[col(c).alias(f"_hot_{c}") for c in extra])
+    cold = table.where(~hot_rule).select(F.hex(col(key)).alias("_to"), *[col(c).alias(f"_cold_{c}") for c in extra])
+    first = df.join(F.broadcast(hot), key, "left")
+    alone = F.concat(F.lit("-"), F.xxhash64(*[col(c) for c in df.columns]).cast("string"))
+    spread = F.when(F.col("_hot").isNotNull() | col(key).isNull(), alone).otherwise(F.hex(col(key)))
+    both = first.withColumn("_from", spread).join(cold, F.col("_from") == F.col("_to"), "left")
+    return both.select(*[col(c) for c in df.columns], *[F.when(F.col("_hot"), col(f"_hot_{c}")).otherwise(col(f"_cold_{c}")).alias(c) for c in extra])
+
+
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """(by..., value, n, rank): the tie-averaged 1-based rank of every distinct value."""
     counts = df.groupBy(*[col(b) for b in by], col(value)).agg(F.count(F.lit(1)).alias("n"))

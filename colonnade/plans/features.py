@@ -8,7 +8,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from colonnade.columns import categorical_columns, datetime_columns, literal_rows, numeric_columns
-from colonnade.operators import features as X
+from colonnade.operators import dictionaries as D, features as X
+from colonnade.session import scratch_path
 
 
 @dataclass
@@ -34,6 +35,8 @@ class FeaturePlan:
     timed: list[str] = field(default_factory=list)
     dropped: list[str] = field(default_factory=list)
     categories: dict[str, list] = field(default_factory=dict)
+    long: dict[str, int] = field(default_factory=dict)  # columns whose categories are a table, and how many there are
+    dictionary: str | None = None  # where that table is
     scaler: dict[str, list] = field(default_factory=dict)
     features: list[str] = field(default_factory=list)
 
@@ -51,11 +54,14 @@ class FeaturePlan:
     def _encode(self, df: DataFrame) -> DataFrame:
         df = df.drop(*self.dropped)
         if self.options.missing_category:
-            df = X.missing_category(df, list(self.categories))
+            df = X.missing_category(df, [*self.categories, *self.long])
+        table = df.sparkSession.read.parquet(self.dictionary) if self.long else None
         if self.options.encoding == "one_hot":
             df = X.one_hot(df, self.categories)
+            df = D.one_hot_vectors(df, table, list(self.long)) if self.long else df
         elif self.options.encoding == "ordinal":
             df = X.ordinal(df, self.categories)
+            df = D.ordinal_codes(df, table, list(self.long)) if self.long else df
         return X.rename_safe(df)
 
     @classmethod
@@ -72,7 +78,12 @@ class FeaturePlan:
         categorical = [c for c in categorical if c not in plan.dropped]
         if options.encoding:
             filled = X.missing_category(wide, categorical) if options.missing_category else wide
-            plan.categories = X.fit_categories(filled, categorical)
+            sizes = X.category_sizes(filled, categorical)
+            long = [c for c in categorical if sizes[c] > X.MAX_CATEGORIES]
+            if long:
+                plan.dictionary = scratch_path(df.sparkSession, "dictionary")
+                plan.long = D.dictionary_sizes(D.fit_dictionary(filled, long, path=plan.dictionary))
+            plan.categories = X.fit_categories(filled, [c for c in categorical if c not in long], sizes=sizes)
             if options.missing_category:
                 for values in plan.categories.values():
                     if "Missing" not in values:
@@ -96,7 +107,18 @@ class FeaturePlan:
         done = self.transform(df)
         return X.assemble(done, [c for c in done.columns if c not in self.features])
 
+    @property
+    def width(self) -> int:
+        """Numbers in an assembled vector: a one-hot vector counts as its entries."""
+        return len(self.features) + (sum(n - 2 for n in self.long.values()) if self.options.encoding == "one_hot" else 0)
+
     def save(self, spark: SparkSession, path: str) -> None:
+        """The plan as one JSON row; the table of long category lists beside it."""
+        if self.dictionary:
+            beside = f"{path.rstrip('/')}_dictionary"
+            if self.dictionary != beside:
+                spark.read.parquet(self.dictionary).write.mode("overwrite").parquet(beside)
+                self.dictionary = beside
         literal_rows(spark, [(json.dumps(asdict(self)),)], "plan string").coalesce(1).write.mode("overwrite").json(path)
 
     @classmethod

@@ -112,7 +112,7 @@ class TrainingRun:
         if self.config.task == "classification":
             positive = self.classes[1] if len(self.classes) == 2 else None
             return classification_metrics(self.predictions(), by, positive, **chosen)
-        return regression_metrics(self.predictions(), by, len(self.plan(0).features), **chosen)
+        return regression_metrics(self.predictions(), by, self.plan(0).width, **chosen)
 
     def runtimes(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/runtimes")
