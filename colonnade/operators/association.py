@@ -14,6 +14,7 @@ from colonnade.functions.distributions import chi2_sf, f_sf, normal_sf
 from colonnade.functions.normal import inverse_normal, polynomial
 from colonnade.operators.ordering import hash_rank, prefix_sum
 from colonnade.operators.quality import cardinalities, value_profile
+from colonnade.session import stored
 
 SIGNIFICANCE = 0.05
 PAIR = ["cat_column", "num_column"]
@@ -215,25 +216,38 @@ def category_pairs(df: DataFrame, max_unique: int = 20, feature: str | None = No
 
 
 def contingency(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(column_1, column_2, a, b, n, na, nb, rows, cols, total) of the cells that hold rows."""
-    cells = crosstab(df, pairs).drop("pct")
+    """(column_1, column_2, a, b, n, na, nb, rows, cols, total) of the cells that hold rows. The
+    input is read once: the counts are stored, and everything else comes from them."""
+    cells = stored(crosstab(df, pairs).drop("pct"), "cells")
     left = cells.groupBy(*CATS, "a").agg(F.sum("n").alias("na"))
     right = cells.groupBy(*CATS, "b").agg(F.sum("n").alias("nb"))
     shape = left.groupBy(*CATS).agg(F.count(F.lit(1)).alias("rows"), F.sum("na").alias("total")).join(right.groupBy(*CATS).agg(F.count(F.lit(1)).alias("cols")), CATS)
     return cells.join(left, [*CATS, "a"]).join(right, [*CATS, "b"]).join(F.broadcast(shape), CATS)  # one row per pair
 
 
+EVENT_ROWS = 100_000  # up to here one task per pair of columns adds up its totals
+
+
 def expected_shares(cells: DataFrame) -> DataFrame:
     """(column_1, column_2, expected_pct, below_one): the share of all rows x cols cells, empty
-    ones too, with an expected count of 5 and more, and how many expect less than 1. Values
-    with equal totals expect the same, so only distinct totals are combined: at most
-    sqrt(2 total) a side."""
-    many = lambda side, value: cells.select(*CATS, value, side, "total").distinct().groupBy(*CATS, side, "total").agg(F.count(F.lit(1)).alias(f"k{side}"))
-    both = many("na", "a").join(many("nb", "b").drop("total"), CATS)
-    expected, count = F.col("na") * F.col("nb") / F.col("total"), F.col("kna") * F.col("knb")
-    return both.groupBy(*CATS).agg(
-        (F.sum(F.when(expected >= 5, count).otherwise(0)) / F.sum(count) * 100).alias("expected_pct"), F.sum(F.when(expected < 1, count).otherwise(0)).alias("below_one")
-    )
+    ones too, with an expected count of 5 and more, and how many expect less than 1.
+
+    A row total na expects 5 in every column whose total is at least 5 total / na, so the two
+    lists of totals are never combined: the bounds of one list are put among the totals of the
+    other, in order, and running sums count the columns below each. In whole numbers throughout.
+    """
+    side = lambda total_of, value: cells.groupBy(*CATS, value).agg(F.max(total_of).alias("t"), F.max("total").alias("total")).groupBy(*CATS, "t", "total").agg(F.count(F.lit(1)).alias("k"))
+    none = F.lit(0).cast("long")
+    least = lambda times: F.expr(f"({times} * total + t - 1) div t")  # the smallest total that expects as many
+    columns = side("nb", "b").select(*CATS, F.col("t").alias("at"), F.col("k").alias("here"), none.alias("k5"), none.alias("k1"))
+    rows = side("na", "a")
+    bounds = [rows.select(*CATS, least(5).alias("at"), none.alias("here"), F.col("k").alias("k5"), none.alias("k1")),
+              rows.select(*CATS, least(1).alias("at"), none.alias("here"), none.alias("k5"), F.col("k").alias("k1"))]
+    events = stored(columns.unionByName(bounds[0]).unionByName(bounds[1]).groupBy(*CATS, "at").agg(*[F.sum(c).alias(c) for c in ("here", "k5", "k1")]), "totals")
+    edges = [] if events.limit(EVENT_ROWS + 1).count() <= EVENT_ROWS else None
+    counted = prefix_sum(events, "at", {"here": "before"}, CATS, edges=edges, totals={"here": "cols"})
+    sums = counted.groupBy(*CATS).agg(F.sum(F.col("k5") * (F.col("cols") - F.col("before"))).alias("enough"), F.sum(F.col("k5") * F.col("cols")).alias("all"), F.sum(F.col("k1") * F.col("before")).alias("below_one"))
+    return sums.select(*CATS, (F.col("enough") / F.col("all") * 100).alias("expected_pct"), "below_one")
 
 
 def binary_tables(cells: DataFrame) -> DataFrame:
@@ -245,11 +259,12 @@ def binary_tables(cells: DataFrame) -> DataFrame:
     return flags.groupBy(*CATS).agg(cell(False, False).alias("p"), cell(False, True).alias("q"), cell(True, False).alias("s"), cell(True, True).alias("t"))
 
 
-def chi_square(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def chi_square(df: DataFrame, pairs: Sequence[tuple[str, str]], cells: DataFrame | None = None) -> DataFrame:
     """(column_1, column_2, chi2, dof, expected_pct, below_one, rows, cols, total), with
     Yates' correction when there is one degree of freedom. Only cells that hold rows are
-    built: the empty ones add what the others leave of the total."""
-    cells = contingency(df, pairs)
+    built: the empty ones add what the others leave of the total. `cells` are those of
+    `contingency`, where they are there already."""
+    cells = contingency(df, pairs) if cells is None else cells
     expected = F.col("na") * F.col("nb") / F.col("total")
     gap = F.col("n") - expected
     sums = cells.groupBy(*CATS, "rows", "cols", "total").agg((F.sum(gap * gap / expected) + (F.col("total") - F.sum(expected))).alias("_plain"))
@@ -263,9 +278,9 @@ def chi_square(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return joined.select(*CATS, "rows", "cols", "total", F.coalesce("_yates", "_plain").alias("chi2"), dof.alias("dof"), "expected_pct", "below_one")
 
 
-def phi_coefficient(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def phi_coefficient(df: DataFrame, pairs: Sequence[tuple[str, str]], cells: DataFrame | None = None) -> DataFrame:
     """(column_1, column_2, phi) of 2x2 tables, categories in text order."""
-    t = binary_tables(contingency(df, pairs))
+    t = binary_tables(contingency(df, pairs) if cells is None else cells)
     p, q, s, u = (F.col(x) for x in "pqst")
     return t.select(*CATS, ((p * u - q * s) / F.nullif(F.sqrt((p + q) * (s + u) * (p + s) * (q + u)), F.lit(0.0))).alias("phi"))
 
@@ -277,7 +292,8 @@ def category_by_category(df: DataFrame, max_unique: int = 20, feature: str | Non
     if not pairs:
         return literal_rows(df.sparkSession, [], "column_1 string, column_2 string, chi2 double, dof int, p double, expected_pct double, assumptions string, variables string, phi double, cramers_v double")
     n_rows = df.count()
-    tests = chi_square(df, pairs).join(phi_coefficient(df, pairs), CATS, "left")
+    cells = contingency(df, pairs)
+    tests = chi_square(df, pairs, cells).join(phi_coefficient(df, pairs, cells), CATS, "left")
     ok = (F.col("expected_pct") >= 80) & (F.col("below_one") == 0)
     binary = (F.col("rows") == 2) & (F.col("cols") == 2)
     v = F.sqrt(F.col("chi2") / n_rows / F.nullif((F.least("rows", "cols") - 1).cast("double"), F.lit(0.0)))

@@ -56,6 +56,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """`df` written below the shared folder and read back: computed once, whatever reads it."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a table that arrives in fewer splits than there are cores (one small file, one
     row group) to all cores before heavy per-row work. Anything larger is left alone."""

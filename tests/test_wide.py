@@ -30,6 +30,22 @@ def test_chi_square_with_many_values(spark):
     assert (wide["rows"], wide["cols"]) == (20_000, 7) and np.isfinite(wide["chi2"])
 
 
+@pytest.mark.parametrize("in_one_task", [True, False])
+def test_expected_cells_of_long_lists(spark, monkeypatch, in_one_task):
+    """10^5 distinct totals on both sides: 10^10 cells, none of which is built."""
+    monkeypatch.setattr(A, "EVENT_ROWS", 10**9 if in_one_task else 1_000)
+    size, total = 100_000, 3_000_000_000
+    cells = spark.range(1, size + 1).select(
+        F.lit("x").alias("column_1"), F.lit("y").alias("column_2"), F.col("id").cast("string").alias("a"), F.col("id").cast("string").alias("b"),
+        F.col("id").alias("na"), (2 * F.col("id") + 3).alias("nb"), F.lit(total).cast("long").alias("total"))
+    got = A.expected_shares(cells).first()
+    na = np.arange(1, size + 1, dtype=np.int64)
+    nb = 2 * na + 3
+    enough = (size - np.searchsorted(nb, -(-5 * total // na), "left")).sum()
+    assert got["expected_pct"] == pytest.approx(enough / size**2 * 100)
+    assert got["below_one"] == np.searchsorted(nb, -(-total // na), "left").sum()
+
+
 def test_coverage_counts_all_groups(spark):
     rows = [(g * 100 + i, f"g{g}", float((i * 7919 + g) % 101)) for g in range(250) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, category string, v double")
