@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from colonnade.columns import categorical_columns, col, literal_rows, long_values, numeric_columns, present
 from colonnade.operators import features as X
 from colonnade.operators.cleaning import row_index
-from colonnade.operators.ordering import prefix_sum, range_edges, skew_join
+from colonnade.operators.gram import pearson_matrix
+from colonnade.operators.ordering import column_edges, prefix_sum, skew_join, with_bucket
 from colonnade.operators.quality import cardinalities, quality_counts
+from colonnade.session import stored
 
-PAIRS_PER_JOB = 150  # aggregates in one generated stage
+PAIRS_PER_JOB = 150  # aggregates in one generated stage; more pairs go by blocked Gram matrices
+RANK_VALUES = 2_000_000  # distinct values, of all rankings together, that are looked up in the tasks
+DENSE_BUCKETS = 100_000  # places of one column up to which a running sum is left to one task
 RADIX_BITS = 2       # bits per digit of the Kendall decomposition
 RADIX = 2 ** RADIX_BITS
 
@@ -58,24 +65,108 @@ def pearson(x: Column, y: Column) -> Column:
 def pearson_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """(column_1, column_2, pearson): pairwise complete, a constant column gives null.
 
-    All pairs of a block are aggregates of one scan and merge map-side. (The built-in corr
-    raises on a constant column in ANSI mode, hence its three sums.)
+    A few pairs are aggregates of one scan and merge map-side (the built-in corr raises on a
+    constant column in ANSI mode, hence its three sums); more are blocks of Gram matrices.
     """
-    blocks = [pairs[i:i + PAIRS_PER_JOB] for i in range(0, len(pairs), PAIRS_PER_JOB)]
+    if len(pairs) > PAIRS_PER_JOB:
+        return pearson_matrix(df, pairs).withColumnRenamed("r", "pearson")
     value = lambda c: present(df, c).cast("double")
-    parts = []
-    for block in blocks:
-        row = df.agg(*[pearson(value(a), value(b)).alias(f"p{i}") for i, (a, b) in enumerate(block)])
-        named = [F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), F.col(f"p{i}").alias("pearson")) for i, (a, b) in enumerate(block)]
-        parts.append(row.select(F.inline(F.array(*named))))
-    return reduce(DataFrame.unionByName, parts)
+    row = df.agg(*[pearson(value(a), value(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    named = [F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), F.col(f"p{i}").alias("pearson")) for i, (a, b) in enumerate(pairs)]
+    return row.select(F.inline(F.array(*named)))
+
+
+@dataclass
+class Rankings:
+    """What has to be ranked so that every pair is ranked on its own complete rows.
+
+    Columns without nulls share one ranking. A pair with nulls is ranked where the columns
+    that have them are present, and pairs with the same such columns share that. `keys` names every
+    (column, columns that must be present); `sides` gives the two keys of each pair.
+    """
+
+    keys: list[tuple[str, tuple[str, ...]]]
+    sides: list[tuple[int, int]]
+
+    def values(self, df: DataFrame) -> DataFrame:
+        """One column `k0`, `k1`, ... per key, null in rows that do not count for it."""
+        def value(c: str, needed: tuple[str, ...]) -> Column:
+            whole = reduce(lambda a, b: a & b, [present(df, n).isNotNull() for n in needed], F.lit(True))
+            return F.when(whole, present(df, c).cast("double"))
+
+        return df.select(*[value(c, needed).alias(f"k{i}") for i, (c, needed) in enumerate(self.keys)])
+
+
+def plan_rankings(pairs: Sequence[tuple[str, str]], holed: set[str]) -> Rankings:
+    keys: dict[tuple, int] = {}
+    sides = []
+    for a, b in pairs:
+        needed = tuple(sorted({a, b} & holed))
+        sides.append(tuple(keys.setdefault((c, needed), len(keys)) for c in (a, b)))
+    return Rankings(list(keys), sides)
+
+
+@dataclass
+class Places:
+    """Per key: its distinct values in order, and their average ranks less the middle rank."""
+
+    values: list[np.ndarray]
+    ranks: list[np.ndarray]
+
+    def of(self, matrix: np.ndarray, keys: Sequence[int], dense: bool = False) -> np.ndarray:
+        """A matrix of values with their ranks (or places) instead; missing stays NaN."""
+        out = np.full(matrix.shape, np.nan)
+        for j, k in enumerate(keys):
+            there = ~np.isnan(matrix[:, j])
+            at = np.searchsorted(self.values[k], matrix[there, j])
+            out[there, j] = at if dense else self.ranks[k][at]
+        return out
+
+
+def look_up_places(counts: DataFrame, keys: int) -> Places:
+    """From (key, value, n), at most RANK_VALUES rows: sorted and added up on the driver."""
+    table = counts.toArrow()
+    key, value, n = (table.column(c).to_numpy() for c in ("key", "value", "n"))
+    order = np.lexsort((value, key))
+    key, value, n = key[order], value[order], n[order]
+    cut = np.searchsorted(key, np.arange(keys + 1))
+    values, ranks = [], []
+    for a, b in zip(cut[:-1], cut[1:]):
+        upto = np.cumsum(n[a:b])
+        values.append(value[a:b])
+        ranks.append(upto - (n[a:b] - 1) / 2 - ((upto[-1] if b > a else 0) + 1) / 2)
+    return Places(values, ranks)
+
+
+def spearman_by_lookup(values: DataFrame, rankings: Rankings, places: Places) -> DataFrame:
+    """(pair, spearman): Pearson of ranks that are looked up where the rows are, all pairs in one scan."""
+    pairs = [(f"k{a}", f"k{b}") for a, b in rankings.sides]
+    names = sorted({c for p in pairs for c in p})
+    numbers = [int(c[1:]) for c in names]
+    found = pearson_matrix(values, pairs, shift=np.zeros(len(names)), change=lambda m, used: places.of(m, [numbers[u] for u in used]))
+    listed = literal_rows(values.sparkSession, [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, column_1 string, column_2 string")
+    return listed.join(found.distinct(), ["column_1", "column_2"]).select("pair", F.col("r").alias("spearman"))
+
+
+def dense_places(values: DataFrame, places: Places) -> DataFrame:
+    """The same columns holding each value's 0-based place among its key's values."""
+    names = values.columns
+    schema = ", ".join(f"{c} long" for c in names)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = places.of(np.stack([c.to_numpy(zero_copy_only=False).astype(float, copy=False) for c in batch.columns], 1), range(len(names)), dense=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.nan_to_num(c).astype(np.int64), mask=np.isnan(c)) for c in m.T], names=names)
+
+    return values.mapInArrow(place, schema)
 
 
 def rank_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, n, rank, dense): average rank and 0-based dense index per value."""
-    cells = long_values(df, list(columns), dtype="double").where("value is not null")
-    counts = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("one"))
-    placed = prefix_sum(counts, "value", {"n": "before", "one": "dense"}, ["column"], edges=range_edges(cells, "value"))
+    edges = column_edges(df, columns)
+    parts = [with_bucket(df.select(F.lit(c).alias("column"), present(df, c).cast("double").alias("value")).where("value is not null"), "value", edges[c]) for c in columns]
+    counts = reduce(DataFrame.unionByName, parts).groupBy("column", "value", "_bucket").agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("one"))
+    placed = prefix_sum(counts, "value", {"n": "before", "one": "dense"}, ["column"], bucket="_bucket")
     return placed.select("column", "value", "n", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"), F.col("dense").cast("long").alias("dense"))
 
 
@@ -114,37 +205,35 @@ def spearman_pairs(ranked: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataF
     return pearson_pairs(plain, pairs).withColumnRenamed("pearson", "spearman")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Compute a result that has one row per column pair now, while its inputs are cached."""
-    return literal_rows(df.sparkSession, [tuple(r) for r in df.collect()], ", ".join(f"{n} {t}" for n, t in df.dtypes))
-
-
-def kendall_pairs(ranked: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(column_1, column_2, kendall): exact tau-b without comparing rows with each other.
+def kendall_pairs(dense: DataFrame, pairs: Sequence[tuple[str, str]], top: dict[str, int]) -> DataFrame:
+    """(pair, kendall): exact tau-b without comparing rows with each other. `dense` holds each
+    value's place (at most `top`), null where the row does not count.
 
     Rows are merged into cells of equal (x, y). Two rows with different y differ first in
-    some digit of y's dense index; at that digit they share all higher digits. So for each
+    some digit of y's place; at that digit they share all higher digits. So for each
     digit position, group by the higher digits, walk x upwards with the running number of
     rows per digit, and every pair is counted once, at its own position. Each position is
     a prefix sum, i.e. one bucketed shuffle of pre-aggregated cells.
     """
     names = sorted({c for p in pairs for c in p})
-    dense = ranked.select(*[col(c)["dense"].alias(c) for c in names])
-    top = dense.agg(*[F.max(col(c)).alias(f"c{i}") for i, c in enumerate(names)]).first()
-    levels = {c: max(1, -(-int(top[i] or 0).bit_length() // RADIX_BITS)) for i, c in enumerate(names)}
+    levels = {c: max(1, -(-int(top[c]).bit_length() // RADIX_BITS)) for c in names}
     # tau-b is symmetric: the column with fewer digits is the one that is decomposed
     sides = [(a, b) if levels[b] <= levels[a] else (b, a) for a, b in pairs]
     listed = F.array(*[
         F.struct(F.lit(i).alias("pair"), col(a).alias("x"), col(b).alias("y"), F.lit(levels[b]).alias("digits")) for i, (a, b) in enumerate(sides)
     ])
-    cells = dense.select(F.inline(listed)).groupBy("pair", "x", "y", "digits").agg(F.count(F.lit(1)).alias("n")).persist()
+    cells = stored(dense.select(F.inline(listed)).where("x is not null and y is not null").groupBy("pair", "x", "y", "digits").agg(F.count(F.lit(1)).alias("n")), "cells")
     power = F.pow(F.lit(float(RADIX)), F.col("level")).cast("long")
     placed = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("digits") - 1)).alias("level")).select(
         "pair", "level", "x", "n", F.floor(F.col("y") / (power * RADIX)).alias("prefix"), F.pmod(F.floor(F.col("y") / power), F.lit(RADIX)).alias("digit")
     )
     by = ["pair", "level", "prefix"]
     at_x = placed.groupBy(*by, "x").agg(*[F.sum(F.when(F.col("digit") == k, F.col("n")).otherwise(0)).alias(f"d{k}") for k in range(RADIX)])
-    walked = prefix_sum(at_x, "x", {f"d{k}": f"b{k}" for k in range(RADIX)}, by)
+    # places are whole numbers, so buckets of equal width need no look at the data
+    most = max(top[a] for a, _ in sides)
+    wide = max(1, most // DENSE_BUCKETS)
+    cut = at_x.withColumn("_bucket", F.floor(F.col("x") * wide / (most + 1)).cast("int"))
+    walked = prefix_sum(cut, "x", {f"d{k}": f"b{k}" for k in range(RADIX)}, by, bucket="_bucket")
     d = lambda k: F.col(f"d{k}").cast("double")
     lower = lambda k: reduce(lambda s, m: s + F.col(f"b{m}"), range(k), F.lit(0))
     upper = lambda k: reduce(lambda s, m: s + F.col(f"b{m}"), range(k + 1, RADIX), F.lit(0))
@@ -153,14 +242,10 @@ def kendall_pairs(ranked: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
     tied = lambda axis: cells.groupBy("pair", axis).agg(F.sum("n").cast("double").alias("t")).groupBy("pair").agg(
         F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"tied_{axis}"), F.sum("t").alias(f"rows_{axis}")
     )
-    names_of = literal_rows(ranked.sparkSession, [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, column_1 string, column_2 string")
     n0 = F.col("rows_x") * (F.col("rows_x") - 1) / 2
     scale = F.sqrt((n0 - F.col("tied_x")) * (n0 - F.col("tied_y")))
-    joined = names_of.join(score, "pair", "left").join(tied("x"), "pair", "left").join(tied("y"), "pair", "left")
-    try:
-        return settled(joined.select("column_1", "column_2", F.when(scale > 0, F.col("s") / scale).alias("kendall")))
-    finally:
-        cells.unpersist()
+    joined = score.join(tied("x"), "pair").join(tied("y"), "pair")
+    return stored(joined.select("pair", F.when(scale > 0, F.col("s") / scale).alias("kendall")), "kendall")
 
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -169,27 +254,52 @@ METHODS = ("pearson", "spearman", "kendall")
 def correlation_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], methods: Sequence[str] = METHODS) -> DataFrame:
     """(column_1, column_2, <methods>) for the given pairs, each on its complete rows.
 
-    Pairs of columns without nulls share one ranking; a pair touching nulls is ranked on
-    its own complete rows.
+    All pairs share one counting of values, whatever their nulls. As long as the values are few
+    enough, ranks are looked up where the rows are; beyond that they are joined.
     """
+    spark = df.sparkSession
     if not pairs:
-        return literal_rows(df.sparkSession, [], "column_1 string, column_2 string, " + ", ".join(f"{m} double" for m in methods))
-    keys = ["column_1", "column_2"]
-    parts: dict[str, list[DataFrame]] = {m: [] for m in methods}
+        return literal_rows(spark, [], "column_1 string, column_2 string, " + ", ".join(f"{m} double" for m in methods))
+    listed = spark.createDataFrame(pa.table({"pair": pa.array(range(len(pairs)), pa.int32()), "column_1": [a for a, _ in pairs], "column_2": [b for _, b in pairs]}))
+    frames = {}
     if "pearson" in methods:
-        parts["pearson"].append(pearson_pairs(df, pairs))
-    ranked_methods = [(m, f) for m, f in (("spearman", spearman_pairs), ("kendall", kendall_pairs)) if m in methods]
-    if ranked_methods:
-        used = sorted({c for p in pairs for c in p})
-        holed = {r["column"] for r in quality_counts(df.select(*[col(c) for c in used])).where("missing > 0").collect()}
-        whole = [p for p in pairs if not holed & set(p)]
-        groups = ([whole] if whole else []) + [[p] for p in pairs if holed & set(p)]
-        for group in groups:
-            with rank_frame(df, sorted({c for p in group for c in p})) as ranked:
-                for m, fn in ranked_methods:
-                    parts[m].append(settled(fn(ranked, group)))
-    frames = [reduce(DataFrame.unionByName, parts[m]) for m in methods]
-    return reduce(lambda a, b: a.join(b, keys), frames)
+        frames["pearson"] = pearson_pairs(df, pairs).join(listed, ["column_1", "column_2"]).select("pair", "pearson")
+    if set(methods) & {"spearman", "kendall"}:
+        frames |= ranked_correlations(df, pairs, methods)
+    out = listed
+    for m in methods:
+        out = out.join(frames[m], "pair", "left")
+    return out.select("column_1", "column_2", *methods)
+
+
+def ranked_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], methods: Sequence[str]) -> dict[str, DataFrame]:
+    used = sorted({c for p in pairs for c in p})
+    holed = {r["column"] for r in quality_counts(df.select(*[col(c) for c in used])).where("missing > 0").collect()}
+    rankings = plan_rankings(pairs, holed)
+    values = rankings.values(df)
+    names = [(f"k{a}", f"k{b}") for a, b in rankings.sides]
+    cells = long_values(values, values.columns, dtype="double").where("value is not null")
+    counts = stored(cells.groupBy(F.substring("column", 2, 9).cast("int").alias("key"), "value").agg(F.count(F.lit(1)).alias("n")), "values")
+    if counts.limit(RANK_VALUES + 1).count() <= RANK_VALUES:
+        places = look_up_places(counts, len(rankings.keys))
+        made = {"spearman": lambda: spearman_by_lookup(values, rankings, places),
+                "kendall": lambda: kendall_pairs(dense_places(values, places), names, {f"k{i}": max(len(v) - 1, 0) for i, v in enumerate(places.values)})}
+        return {m: f() for m, f in made.items() if m in methods}
+    parts: dict[str, list[DataFrame]] = {m: [] for m in ("spearman", "kendall") if m in methods}
+    whole = [i for i, p in enumerate(pairs) if not holed & set(p)]
+    for group in ([whole] if whole else []) + [[i] for i, p in enumerate(pairs) if holed & set(p)]:
+        some = [pairs[i] for i in group]
+        numbers = literal_rows(df.sparkSession, [(n, i) for n, i in enumerate(group)], "_n int, pair int")
+        with rank_frame(df, sorted({c for p in some for c in p})) as ranked:
+            if "spearman" in parts:
+                told = literal_rows(df.sparkSession, [(i, a, b) for i, (a, b) in zip(group, some)], "pair int, column_1 string, column_2 string")
+                parts["spearman"].append(stored(spearman_pairs(ranked, some).join(told, ["column_1", "column_2"]).select("pair", "spearman"), "spearman"))
+            if "kendall" in parts:
+                plain = ranked.select(*[col(c)["dense"].alias(c) for c in ranked.columns])
+                row = plain.agg(*[F.max(col(c)).alias(f"c{i}") for i, c in enumerate(plain.columns)]).first()
+                found = kendall_pairs(plain, some, {c: int(row[i] or 0) for i, c in enumerate(plain.columns)})
+                parts["kendall"].append(found.withColumnRenamed("pair", "_n").join(numbers, "_n").select("pair", "kendall"))
+    return {m: reduce(DataFrame.unionByName, p) for m, p in parts.items()}
 
 
 def correlation_long(df: DataFrame, methods: Sequence[str] = METHODS) -> DataFrame:

@@ -59,7 +59,8 @@ def with_bucket(df: DataFrame, value: str, edges: list[float], out: str = "_buck
     cut = Bucketizer(
         splits=[float("-inf"), *edges, float("inf")], inputCol=source, outputCol=f"{out}_d", handleInvalid="keep"
     )
-    widened = cut.transform(df.withColumn(source, col(value).cast("double")))
+    # -0.0 and 0.0 are one value, but the search for its bucket would tell them apart
+    widened = cut.transform(df.withColumn(source, col(value).cast("double") + F.lit(0.0)))
     # declared non-null: otherwise joins on the bucket push a null filter into one of the
     # two reads of the input, which then no longer share their shuffle
     return widened.withColumn(out, F.coalesce(F.col(f"{out}_d").cast("int"), F.lit(-1))).drop(source, f"{out}_d")
@@ -67,17 +68,22 @@ def with_bucket(df: DataFrame, value: str, edges: list[float], out: str = "_buck
 
 def prefix_sum(
     df: DataFrame, value: str, weights: dict[str, str], by: Sequence[str] = (), buckets: int | None = None,
-    edges: list[float] | None = None, totals: dict[str, str] | None = None,
+    edges: list[float] | None = None, totals: dict[str, str] | None = None, bucket: str | None = None,
 ) -> DataFrame:
     """Sum of each weight over the rows of the group that come strictly before, by `value`.
 
     Values must be unique within a group (aggregate first). `weights` maps weight column
     to output column; `totals` maps it to a column for the whole-group sum. The in-bucket
     window and the join to the bucket offsets share one shuffle, as both are keyed by
-    (group, bucket). Pass `edges` where they can be had without evaluating `df`.
+    (group, bucket). Pass `edges` where they can be had without evaluating `df`, or name the
+    column `bucket` that cuts each group by its own edges (it grows with the value; it is dropped).
     """
-    edges = range_edges(df, value, buckets) if edges is None else edges
-    cut = with_bucket(df, value, edges).withColumn("_g", group_key(by))
+    if bucket:
+        cut = df.withColumnRenamed(bucket, "_bucket").withColumn("_g", group_key(by))
+        df = df.drop(bucket)
+    else:
+        edges = range_edges(df, value, buckets) if edges is None else edges
+        cut = with_bucket(df, value, edges).withColumn("_g", group_key(by))
     sums = cut.groupBy("_g", "_bucket").agg(*[F.sum(col(w)).alias(f"_t_{w}") for w in weights])
     whole = W.partitionBy("_g")
     earlier = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

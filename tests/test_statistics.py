@@ -5,12 +5,13 @@ from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from colonnade.functions.distributions import beta_lower, chi2_sf, f_sf, gamma_upper, normal_sf
 from colonnade.functions.normal import inverse_normal
-from colonnade.operators import association as A, correlation as K, metrics as M
+from colonnade.operators import association as A, correlation as K, gram, metrics as M
 
 
 def tau_b(x, y):
@@ -40,6 +41,64 @@ def test_rank_correlation_uses_pairwise_complete_rows(spark):
     assert got[("a", "b")]["spearman"] == pytest.approx(0.6)
 
 
+@pytest.mark.parametrize("looked_up", [True, False])
+def test_ranks_with_nulls_and_ties(spark, monkeypatch, looked_up):
+    """Every pair on its own complete rows, whether ranks are looked up or joined."""
+    monkeypatch.setattr(K, "RANK_VALUES", 10**9 if looked_up else 0)
+    draw = np.random.RandomState(5)
+    m = draw.randint(0, 9, (120, 4)).astype(float)
+    m[:, 1] += draw.normal(size=120)
+    m[draw.rand(120) < 0.2, 1] = np.nan
+    m[draw.rand(120) < 0.3, 2] = np.nan
+    m[3, 0], m[4, 3] = np.inf, -0.0
+    df = spark.createDataFrame([tuple(map(float, r)) for r in m], "a double, b double, c double, `d e` double").repartition(3)
+    got = {(r["column_1"], r["column_2"]): r for r in K.correlation_long(df, ["spearman", "kendall"]).collect()}
+    assert len(got) == 6
+    ranks = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    for (i, a), (j, b) in combinations(enumerate(["a", "b", "c", "d e"]), 2):
+        rows = ~np.isnan(m[:, i]) & ~np.isnan(m[:, j])
+        x, y = m[rows, i], m[rows, j]
+        assert got[a, b]["spearman"] == pytest.approx(np.corrcoef(ranks(x), ranks(y))[0, 1], abs=1e-12)
+        assert got[a, b]["kendall"] == pytest.approx(tau_b(x, y), abs=1e-12)
+
+
+def test_pairs_of_one_null_pattern_share_a_ranking():
+    plan = K.plan_rankings([("a", "b"), ("a", "c"), ("b", "c"), ("a", "d")], {"d"})
+    assert plan.keys == [("a", ()), ("b", ()), ("c", ()), ("a", ("d",)), ("d", ("d",))] and plan.sides == [(0, 1), (0, 2), (1, 2), (3, 4)]
+
+
+def test_places_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(K, "DENSE_BUCKETS", 7)
+    draw = np.random.RandomState(6)
+    x, y = draw.normal(size=200), draw.randint(0, 90, 200).astype(float)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    assert K.correlation_long(df, ["kendall"]).first()["kendall"] == pytest.approx(tau_b(x, y), abs=1e-12)
+
+
+@pytest.mark.parametrize("tile", [1_000, 70])
+def test_pearson_of_a_thousand_columns(spark, monkeypatch, tile):
+    """One scan per block of columns, each pair on its complete rows; far means, constants, infinities."""
+    monkeypatch.setattr(gram, "TILE", tile)
+    width = 1_000 if tile == 1_000 else 200
+    draw = np.random.RandomState(8)
+    m = draw.normal(size=(60, width)) + draw.randint(-5, 5, width) * 1e6
+    m[:, 1:] += 0.5 * (m[:, :-1] - m[:, :-1].mean(0))
+    m[draw.rand(*m.shape) < 0.05] = np.nan
+    m[:, 7], m[5, 9] = 4.0, np.inf
+    df = spark.createDataFrame(pa.table({f"c {i}": m[:, i] for i in range(width)})).repartition(5)
+    pairs = list(combinations(range(width), 2))
+    out = K.pearson_pairs(df, [(f"c {b}", f"c {a}") if (a + b) % 2 else (f"c {a}", f"c {b}") for a, b in pairs])
+    got = out.toPandas().set_index(["column_1", "column_2"])["pearson"]
+    assert len(got) == len(pairs)
+    for a, b in [(0, 1), (7, 8), (3, 9), (9, 10), (width - 2, width - 1), (2, width - 1)] + [pairs[i] for i in draw.randint(0, len(pairs), 200)]:
+        value = got[(f"c {b}", f"c {a}") if (a + b) % 2 else (f"c {a}", f"c {b}")]
+        rows = ~np.isnan(m[:, a]) & ~np.isnan(m[:, b])
+        if 7 in (a, b) or (9 in (a, b) and rows[5]):
+            assert np.isnan(value)
+        else:
+            assert value == pytest.approx(np.corrcoef(m[rows, a], m[rows, b])[0, 1], abs=1e-7)
+
+
 def test_constant_column_has_no_correlation(spark):
     df = spark.range(10).select(F.col("id").cast("double").alias("a"), F.lit(1.0).alias("b"))
     row = K.correlation_long(df).first()
