@@ -5,6 +5,7 @@ known function of the features plus md5 noise, because the table's own columns a
 """
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from colonnade.catalog import query, table
@@ -12,6 +13,7 @@ from colonnade.catalog.cleaning import folds_sql, qcut_sql
 from colonnade.catalog.predictions import OOF, oof, unit, unit_sql
 from colonnade.operators import explain as E, features as X, metrics as M
 from colonnade.operators.models import bayes, linear, neighbours as N, trees
+from colonnade.operators.models.neighbours_model import knn
 from colonnade.plans.cleaning import CleaningOptions, CleaningPlan
 from colonnade.plans.features import FeatureOptions
 from colonnade.plans.training import ModelSpec, TrainingConfig, TrainingRun, best_models, train
@@ -150,6 +152,33 @@ def ml_knn_regress(spark, d):
     return N.knn_regress(train_rows, asked, "vec_id", "embedding", "label", 5, small_cells=0, pivots=8, tile=1000).withColumn("pred", F.round("pred", 6))
 
 
+@query("ml_knn_tiled", f"select query_id, neighbour_id from {NEAREST}")
+def ml_knn_tiled(spark, d):
+    """As many cells as the rows need, cut into tiles by their own counts."""
+    train_rows, asked = halves(spark, d)
+    return N.nearest_neighbours(train_rows, asked, "vec_id", "embedding", 5, small_cells=0, tile=200).select("query_id", "neighbour_id")
+
+
+@query("ml_knn_save_load_score", f"""
+with v as (select query_id, label as class, count(*) as votes from {NEAREST} group by all)
+select query_id as id, first(class order by votes desc, class) as pred from v group by query_id""")
+def ml_knn_save_load_score(spark, d):
+    shape = lambda df: df.select(F.col("vec_id").alias("id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label"))
+    train_rows, asked = (shape(df) for df in halves(spark, d))
+    path = scratch_path(spark, "neighbours")
+    save_model(spark, knn(train_rows, "id"), path)
+    return load_model(spark, path).score(asked).select("id", F.col("prediction").cast("int").alias("pred"))
+
+
+@query("ml_knn_hashed", f"select true as enough, (select count(*) from embeddings where vec_id % 2 = 1) as queries")
+def ml_knn_hashed(spark, d):
+    """Random projections over all rows: nine in ten of the exact neighbours at least."""
+    train_rows, asked = halves(spark, d)
+    found = N.approximate_neighbours(train_rows, asked, "vec_id", "embedding", 5)
+    exact = N.nearest_neighbours(train_rows, asked, "vec_id", "embedding", 5)
+    return asked.agg(F.lit(N.recall(found, exact) >= 0.9).alias("enough"), F.count(F.lit(1)).alias("queries"))
+
+
 def balanced(df, label):
     weights = X.fit_class_weights(df, label)
     return X.with_class_weight(df, label, weights)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -60,6 +61,13 @@ def scorer(kind: str):
     return register
 
 
+@dataclass
+class Table:
+    """A table that a model keeps as part of its state, by its path."""
+
+    path: str
+
+
 class Scored:
     """A fitted model: its kind and what it learnt (numbers, arrays, MLlib models)."""
 

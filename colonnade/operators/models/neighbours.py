@@ -1,14 +1,18 @@
 """Exact k nearest neighbours without comparing all pairs in one place.
 
 Small training sets (checked by count) travel to the tasks whole. Larger ones are cut into
-Voronoi cells around pivots, as in the block nearest-neighbour join of Lu et al. (2012):
-triangle-inequality bounds say which cells can hold a neighbour of a query, and cells are cut
-into tiles of bounded size, so no task ever holds a whole hot cell.
+cells around pivots, as in the block nearest-neighbour join of Lu et al. (2012), with a second
+level of pivots above: triangle-inequality bounds say which groups and which of their cells can
+hold a neighbour of a query. There are as many cells as the rows need, and cells are cut into tiles of
+bounded size, so no task ever holds a whole hot cell. For wide vectors, where such bounds
+exclude little, there are random projections.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,6 +20,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from colonnade.columns import col
 from colonnade.operators.ordering import shuffle_hash
+from colonnade.session import broadcast_checked, stored
 
 SMALL_CELLS = 2_000_000  # training rows x features that may travel to every task
 OUTPUT = "query_id bigint, neighbour_id bigint, distance double"
@@ -56,58 +61,125 @@ def small_neighbours(train: pd.DataFrame, queries: DataFrame, k: int) -> DataFra
     return queries.mapInPandas(search, OUTPUT)
 
 
-def tiled_neighbours(train: DataFrame, queries: DataFrame, k: int, n_train: int, n_query: int, pivots: int, tile: int) -> DataFrame:
-    chosen = train.orderBy(shuffle_hash("id"), "id").limit(pivots).toPandas()
-    centres = np.stack(chosen["x"].to_numpy())
+@dataclass
+class Pivots:
+    """Centres of cells on two levels: every cell belongs to the group of its nearest top centre."""
+
+    tops: np.ndarray
+    centres: np.ndarray
+    members: list[np.ndarray]
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Group and cell of every point, and its distance to the centre of either."""
+        to_tops = distances(x, self.tops)
+        group = to_tops.argmin(1)
+        cell, r = np.empty(len(x), np.int64), np.empty(len(x))
+        for g in np.unique(group):
+            at = np.flatnonzero(group == g)
+            d = distances(x[at], self.centres[self.members[g]])
+            best = d.argmin(1)
+            cell[at], r[at] = self.members[g][best], d[np.arange(len(at)), best]
+        return group, cell, to_tops[np.arange(len(x)), group], r
+
+
+def choose_pivots(train: DataFrame, cells: int) -> Pivots:
+    centres = np.stack(train.orderBy(shuffle_hash("id"), "id").limit(cells).toPandas()["x"].to_numpy())
+    tops = centres[:max(1, math.isqrt(len(centres)))]
+    group = distances(centres, tops).argmin(1)
+    return Pivots(tops, centres, [np.flatnonzero(group == g) for g in range(len(tops))])
+
+
+@dataclass
+class Bounds:
+    """What is known of the rows of every cell and group: how far they are from the centre."""
+
+    high: np.ndarray
+    low: np.ndarray
+    group_high: np.ndarray
+    group_low: np.ndarray
+    #: Per group, of some of its rows: their cell and how far from its centre they are at most.
+    owner: list[np.ndarray]
+    radii: list[np.ndarray]
+    slack: float
+
+    def cells_of(self, x: np.ndarray, pivots: Pivots, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell): the cells that may hold one of the k nearest rows of each query."""
+        tops = pivots.tops
+        to_tops = distances(x, tops)
+        limit = np.full(len(x), np.inf)
+        # the first groups, by distance, that together hold k known rows bound the k-th distance
+        order = to_tops.argsort(1)
+        for first in np.unique(order[:, 0]):
+            at = np.flatnonzero(order[:, 0] == first)
+            near = distances(tops[first][None], tops)[0].argsort(kind="stable")
+            owner, radii = [], []
+            for g in near:
+                owner.append(self.owner[g])
+                radii.append(self.radii[g])
+                if sum(map(len, radii)) >= k:
+                    break
+            owner, radii = np.concatenate(owner), np.concatenate(radii)
+            if len(radii) >= k:
+                reach = distances(x[at], pivots.centres[owner]) + radii
+                limit[at] = np.partition(reach, k - 1, 1)[:, k - 1]
+        limit = (limit + self.slack)[:, None]
+        queries, cells = [], []
+        far = np.maximum(to_tops - self.group_high, self.group_low - to_tops) <= limit
+        for g, members in enumerate(pivots.members):
+            at = np.flatnonzero(far[:, g])
+            if len(at) and len(members):
+                d = distances(x[at], pivots.centres[members])
+                q, c = np.nonzero(np.maximum(d - self.high[members], self.low[members] - d) <= limit[at])
+                queries.append(at[q])
+                cells.append(members[c])
+        return (np.concatenate(queries), np.concatenate(cells)) if queries else (np.zeros(0, int), np.zeros(0, int))
+
+
+MAX_CELLS = 16_384  # centres that travel to every task
+PLACED = "id bigint, x array<double>, cell bigint"
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                d = distances(np.stack(batch["x"].to_numpy()), centres)
-                cell = d.argmin(1)
-                yield batch.assign(cell=cell, r=d[np.arange(len(batch)), cell])
 
-    placed = train.mapInPandas(assign, "id bigint, x array<double>, cell int, r double")
+def fit_bounds(placed: DataFrame, pivots: Pivots, k: int) -> Bounds:
+    """From one row per cell and the k innermost rows of each: at most MAX_CELLS * (k + 1) rows."""
+    sizes = placed.groupBy("cell").agg(F.first("group").alias("group"), F.max("r").alias("hi"), F.min("r").alias("lo"), F.max("r_top").alias("top_hi"), F.min("r_top").alias("top_lo")).toPandas()
 
-    def nearest_radii(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def innermost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = pd.DataFrame({"cell": pd.Series(dtype=int), "r": pd.Series(dtype=float)})
         for batch in batches:
             kept = pd.concat([kept, batch]).sort_values("r").groupby("cell").head(k)
         yield kept
 
-    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("hi"), F.min("r").alias("lo")).toPandas()  # one row per pivot
-    inner = placed.select("cell", "r").mapInPandas(nearest_radii, "cell int, r double")
-    inner = inner.withColumn("i", F.row_number().over(W.partitionBy("cell").orderBy("r"))).where(F.col("i") <= k).toPandas()  # <= pivots * k rows
-    cells, counts = sizes["cell"].to_numpy(), sizes["n"].to_numpy()
-    slack = 1e-6 * (1 + np.abs(centres).max() + float(sizes["hi"].max()))
-    high, low = sizes["hi"].to_numpy() + slack, sizes["lo"].to_numpy() - slack
-    radii, owner = inner["r"].to_numpy() + slack, inner["cell"].to_numpy()
-    train_tiles = np.maximum(1, -(-counts // tile))
-    query_tiles = int(max(1, -(-n_query // tile)))
+    inner = placed.select("cell", "r").mapInPandas(innermost, "cell bigint, r double")
+    inner = inner.withColumn("i", F.row_number().over(W.partitionBy("cell").orderBy("r"))).where(F.col("i") <= k).toPandas()
+    n, groups = len(pivots.centres), len(pivots.tops)
+    slack = 1e-6 * (1 + np.abs(pivots.centres).max() + float(sizes["top_hi"].max()))
+    high, low, group_high, group_low = np.full(n, -np.inf), np.full(n, np.inf), np.full(groups, -np.inf), np.full(groups, np.inf)
+    cell, group = sizes["cell"].to_numpy(), sizes["group"].to_numpy()
+    high[cell], low[cell] = sizes["hi"] + slack, sizes["lo"] - slack
+    np.maximum.at(group_high, group, sizes["top_hi"].to_numpy() + slack)
+    np.minimum.at(group_low, group, sizes["top_lo"].to_numpy() - slack)
+    of_group = np.zeros(n, int)
+    for g, members in enumerate(pivots.members):
+        of_group[members] = g
+    owner, radii = inner["cell"].to_numpy(), inner["r"].to_numpy() + slack
+    mine = [np.flatnonzero(of_group[owner] == g) for g in range(groups)]
+    return Bounds(high, low, group_high, group_low, [owner[m] for m in mine], [radii[m] for m in mine], slack)
 
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), 1024):
-                part = batch.iloc[start:start + 1024]
-                d = distances(np.stack(part["x"].to_numpy()), centres)
-                reach = d[:, owner] + radii  # an upper bound on the distance to k known points
-                limit = np.partition(reach, min(k, reach.shape[1]) - 1, axis=1)[:, min(k, reach.shape[1]) - 1]
-                near = np.maximum(d[:, cells] - high, low - d[:, cells])
-                q, c = np.nonzero(near <= (limit + slack)[:, None])
-                if len(q):
-                    yield part.iloc[q].assign(cell=cells[c], tiles=train_tiles[c])
-
-    wanted = queries.mapInPandas(candidates, "id bigint, x array<double>, cell int, tiles int")
-    wanted = wanted.withColumn("q_tile", F.pmod(F.xxhash64("id"), F.lit(query_tiles)).cast("int")).select(
-        "id", "x", "cell", "q_tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t_tile")
-    )
-    tile_of = F.element_at(F.create_map(*[v for c, t in zip(cells, train_tiles) for v in (F.lit(int(c)), F.lit(int(t)))]), F.col("cell"))
-    stored = placed.withColumn("t_tile", F.pmod(F.xxhash64("id"), tile_of).cast("int")).select(
-        "id", "x", "cell", "t_tile", F.explode(F.sequence(F.lit(0), F.lit(query_tiles - 1))).alias("q_tile")
-    )
-    keys = ["cell", "t_tile", "q_tile"]
-
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+
+def search_tiles(placed: DataFrame, wanted: DataFrame, k: int, tile: int) -> DataFrame:
+    """The k best of every query among the rows of its cells. Both are (id, x, cell), and stored.
+
+    A cell is cut into tiles of about `tile` rows on both sides, by its own counts, so a row is
+    copied as often as the other side of its cells has tiles: while cells keep their size,
+    copies do not grow with the tables.
+    """
+    tiles = lambda df, out: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias(out))
+    table = stored(tiles(placed, "t_tiles").join(tiles(wanted, "q_tiles"), "cell"), "tiles")
+    deal = lambda df, own, other: df.join(broadcast_checked(table), "cell").select(
+        "id", "x", "cell", F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+    keys = ["cell", "t_tiles", "q_tiles"]
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "neighbour_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype=float)})
         ids, points = right["id"].to_numpy(), np.stack(right["x"].to_numpy())
@@ -116,25 +188,97 @@ def tiled_neighbours(train: DataFrame, queries: DataFrame, k: int, n_train: int,
             for part in (left.iloc[s:s + 1024] for s in range(0, len(left), 1024))
         ])
 
-    found = wanted.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(search, OUTPUT)
+    found = deal(wanted, "q_tiles", "t_tiles").groupBy(*keys).cogroup(deal(placed, "t_tiles", "q_tiles").groupBy(*keys)).applyInPandas(search, OUTPUT)
     nearest = W.partitionBy("query_id").orderBy("distance", "neighbour_id")
     return found.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k).drop("_r")
 
 
+def tiled_neighbours(train: DataFrame, queries: DataFrame, k: int, n_train: int, pivots: int | None, tile: int) -> DataFrame:
+    """Exact neighbours by cells: as many of them as give cells of about half a tile."""
+    chosen = choose_pivots(train, min(pivots or max(64, 2 * n_train // tile), MAX_CELLS, n_train))
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                group, cell, r_top, r = chosen.place(np.stack(batch["x"].to_numpy()))
+                yield batch.assign(cell=cell, group=group, r_top=r_top, r=r)
+
+    placed = stored(train.mapInPandas(assign, f"{PLACED}, group bigint, r_top double, r double"), "placed")
+    bounds = fit_bounds(placed, chosen, k)
+
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 1024):
+                part = batch.iloc[start:start + 1024]
+                q, c = bounds.cells_of(np.stack(part["x"].to_numpy()), chosen, min(k, n_train))
+                if len(q):
+                    yield part.iloc[q].assign(cell=c)
+
+    wanted = stored(queries.mapInPandas(candidates, PLACED), "wanted")
+    return search_tiles(placed.select("id", "x", "cell"), wanted, k, tile)
+
+
+def approximate_neighbours(
+    train: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = 5, tables: int = 12, projections: int = 4, width: float | None = None, tile: int = 20_000, seed: int = 42
+) -> DataFrame:
+    """(query_id, neighbour_id, distance): near rows by locality-sensitive hashing.
+
+    Each of `tables` hashes a row by `projections` random directions cut into steps of `width`
+    (by default four times the typical distance to the k-th neighbour in a sample of 2,000 rows).
+    Rows that share a hash with a query are compared exactly, so distances are exact and
+    what may be missing are neighbours: `recall` measures it. A query may get fewer than k rows.
+    """
+    points, asked = shaped(train, id_col, vector), shaped(queries, id_col, vector)
+    some = points.orderBy(shuffle_hash("id"), "id").limit(2_000).toPandas()
+    if not len(some):
+        raise ValueError("no training rows")
+    sample = np.stack(some["x"].to_numpy())
+    if width is None:
+        d = np.sort(distances(sample[:200], sample), 1)
+        width = 4 * float(np.median(d[:, min(k, len(sample) - 1)])) or 1.0
+    draw = np.random.RandomState(seed)
+    directions = draw.normal(size=(sample.shape[1], tables * projections))
+    starts, mix = draw.uniform(0, width, tables * projections), draw.randint(1, 2**62, (tables, projections)) | 1
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                steps = np.floor((np.stack(batch["x"].to_numpy()) @ directions + starts) / width).astype(np.int64)
+                for t in range(tables):
+                    with np.errstate(over="ignore"):
+                        cell = (steps[:, t * projections:(t + 1) * projections] * mix[t]).sum(1) * np.int64(tables) + t
+                    yield batch.assign(cell=cell)
+
+    placed, wanted = (stored(df.mapInPandas(hashed, PLACED), name) for df, name in ((points, "placed"), (asked, "wanted")))
+    met = search_tiles(placed, wanted, k * tables, tile).groupBy("query_id", "neighbour_id").agg(F.min("distance").alias("distance"))
+    nearest = W.partitionBy("query_id").orderBy("distance", "neighbour_id")
+    return met.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k).drop("_r")
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """The share of the exact (query, neighbour) pairs that were found."""
+    pairs = exact.select("query_id", "neighbour_id")
+    hits, total = pairs.join(found.select("query_id", "neighbour_id", F.lit(1).alias("_hit")), ["query_id", "neighbour_id"], "left").agg(F.count("_hit"), F.count(F.lit(1))).first()
+    return hits / total if total else 1.0
+
+
+def shaped(df: DataFrame, id_col: str, vector: str) -> DataFrame:
+    return df.select(col(id_col).cast("long").alias("id"), col(vector).cast("array<double>").alias("x"))
+
+
 def nearest_neighbours(
-    train: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = 5, small_cells: int = SMALL_CELLS, pivots: int = 64, tile: int = 20_000
+    train: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = 5, small_cells: int = SMALL_CELLS, pivots: int | None = None, tile: int = 20_000
 ) -> DataFrame:
     """(query_id, neighbour_id, distance): the exact k nearest training rows by Euclidean
     distance, ties to the smaller id. `vector` is an array column."""
-    shape = lambda df: df.select(col(id_col).cast("long").alias("id"), col(vector).cast("array<double>").alias("x"))
-    points, asked = shape(train), shape(queries)
+    points, asked = shaped(train, id_col, vector), shaped(queries, id_col, vector)
     n_train = points.count()
     if n_train == 0:
         raise ValueError("no training rows")
     width = len(points.first()["x"])
     if n_train * width <= small_cells:
         return small_neighbours(points.toPandas(), asked, k)
-    return tiled_neighbours(points, asked, k, n_train, asked.count(), min(pivots, n_train), tile)
+    return tiled_neighbours(points, asked, k, n_train, pivots, tile)
 
 
 def knn_classify(train: DataFrame, queries: DataFrame, id_col: str, vector: str, label: str, k: int = 5, **options) -> DataFrame:

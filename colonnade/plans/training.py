@@ -129,7 +129,7 @@ class TrainingRun:
     def score(self, df: DataFrame, models: list[str] | None = None) -> DataFrame:
         """Score new rows with every (fold, model), each after its own fold's feature plan:
         (id, model, fold, class, proba, pred) or (id, model, fold, pred). Lazy and stateless,
-        so `df` may be a stream."""
+        so `df` may be a stream (with nearest neighbours only up to their lookup size)."""
         chosen = [spec for spec in self.config.models if not models or spec.name in models]
         parts = [self._score_fold(df, fold, chosen) for fold in range(self.config.folds)]
         return reduce(DataFrame.unionByName, parts)

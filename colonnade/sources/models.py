@@ -1,4 +1,4 @@
-"""Saving and loading fitted models: MLlib's own format, plus one JSON row of numbers."""
+"""Saving and loading fitted models: MLlib's own format, one JSON row of numbers, and tables."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from colonnade.columns import literal_rows
 from colonnade.operators.models import bayes, linear, neighbours_model, trees  # noqa: F401  (registers the scorers)
-from colonnade.operators.models.common import Scored
+from colonnade.operators.models.common import Scored, Table
 
 
 def is_mllib(v) -> bool:
@@ -18,11 +18,14 @@ def is_mllib(v) -> bool:
 
 
 def save_model(spark: SparkSession, model: Scored, path: str) -> None:
-    meta: dict = {"kind": model.kind, "plain": {}, "arrays": {}, "mllib": {}, "nested": []}
+    meta: dict = {"kind": model.kind, "plain": {}, "arrays": {}, "mllib": {}, "nested": [], "tables": []}
     for name, v in model.state.items():
         if isinstance(v, Scored):
             save_model(spark, v, f"{path}/{name}")
             meta["nested"].append(name)
+        elif isinstance(v, Table):
+            spark.read.parquet(v.path).write.mode("overwrite").parquet(f"{path}/{name}")
+            meta["tables"].append(name)
         elif is_mllib(v) or (isinstance(v, list) and v and is_mllib(v[0])):
             many = v if isinstance(v, list) else [v]
             for i, m in enumerate(many):
@@ -46,6 +49,8 @@ def load_model(spark: SparkSession, path: str) -> Scored:
                 raise ValueError(f"not an MLlib model: {full}")
             loaded.append(getattr(importlib.import_module(module), cls).load(f"{path}/{name}/{i}"))
         state[name] = loaded if many else loaded[0]
+    for name in meta["tables"]:
+        state[name] = Table(f"{path}/{name}")
     for name in meta["nested"]:
         state[name] = load_model(spark, f"{path}/{name}")
     return Scored(meta["kind"], **state)

@@ -123,6 +123,88 @@ def test_neighbours_are_exact_with_a_hot_point(spark, path):
     assert sorted((r["query_id"], r["neighbour_id"]) for r in got) == sorted(want)
 
 
+def point_frame(spark, m, start=0):
+    return spark.createDataFrame([(start + i, [float(v) for v in r]) for i, r in enumerate(m)], "id bigint, x array<double>").repartition(4)
+
+
+def test_copies_do_not_grow_with_both_sides(spark, monkeypatch):
+    """Four times the rows and queries: as many copies of each, on the whole, and still exact."""
+    seen, search = [], N.search_tiles
+
+    def watched(placed, wanted, k, tile):
+        t, q = (dict(df.groupBy("cell").count().collect()) for df in (placed, wanted))
+        tiles = lambda n: -(-n // tile)
+        seen.append((sum(n * tiles(q.get(c, 0)) for c, n in t.items()) / sum(t.values()), sum(n * tiles(t.get(c, 0)) for c, n in q.items()), len(t)))
+        return search(placed, wanted, k, tile)
+
+    monkeypatch.setattr(N, "search_tiles", watched)
+    draw = np.random.RandomState(4)
+    for n in (2_000, 8_000):
+        x, q = draw.normal(size=(n, 2)), draw.normal(size=(n // 2, 2))
+        got = N.nearest_neighbours(point_frame(spark, x), point_frame(spark, q, 10**6), "id", "x", 3, small_cells=0, tile=40).collect()
+        want = [pair for i, v in enumerate(q[:60]) for pair in brute_neighbours(np.arange(n), x, 10**6 + i, v, 3)]
+        assert len(got) == 3 * len(q) and sorted((r["query_id"], r["neighbour_id"]) for r in got if r["query_id"] < 10**6 + 60) == sorted(want)
+        seen[-1] = (*seen[-1], len(q))
+    (t1, q1, c1, n1), (t2, q2, c2, n2) = seen
+    assert c2 > 2 * c1 and t2 < 1.5 * t1 + 0.5 and q2 / n2 < 1.5 * q1 / n1 and q2 / n2 < 20
+
+
+@pytest.mark.parametrize(("n", "k"), [(1, 5), (3, 5), (40, 7)])
+def test_few_rows_in_cells(spark, n, k):
+    draw = np.random.RandomState(n)
+    x, q = draw.normal(size=(n, 3)), draw.normal(size=(30, 3))
+    got = N.nearest_neighbours(point_frame(spark, x), point_frame(spark, q, 1_000), "id", "x", k, small_cells=0, tile=10).collect()
+    want = [pair for i, v in enumerate(q) for pair in brute_neighbours(np.arange(n), x, 1_000 + i, v, k)]
+    assert sorted((r["query_id"], r["neighbour_id"]) for r in got) == sorted(want)
+
+
+def test_recall_of_random_projections(spark):
+    draw = np.random.RandomState(9)
+    centres = draw.normal(size=(40, 16)) * 4
+    x, q = (centres[draw.randint(0, 40, n)] + draw.normal(size=(n, 16)) * 0.5 for n in (4_000, 400))
+    rows, asked = point_frame(spark, x), point_frame(spark, q, 10**6)
+    exact = N.nearest_neighbours(rows, asked, "id", "x", 5)
+    found = N.approximate_neighbours(rows, asked, "id", "x", 5, tile=500).cache()
+    assert N.recall(found, exact) >= 0.9 and N.recall(exact, exact) == 1.0
+    assert found.groupBy("query_id").count().where("count > 5").count() == 0
+    d = {(r["query_id"], r["neighbour_id"]): r["distance"] for r in exact.collect()}
+    assert all(r["distance"] == pytest.approx(d.get((r["query_id"], r["neighbour_id"]), r["distance"])) for r in found.collect())
+
+
+@pytest.mark.parametrize("joined", [False, True])
+@pytest.mark.parametrize("target", ["two", "y"])
+def test_neighbours_are_saved_with_their_rows(spark, sets, tmp_path, monkeypatch, target, joined):
+    """The model scores after the folder it was fitted in is gone, by lookup and by join alike."""
+    from colonnade.operators.models import neighbours_model
+
+    df, task = sets[target], "regression" if target == "y" else "classification"
+    fitted = knn(df, "id", 4, task, str(tmp_path / "fitted"))
+    want = fitted.score(df).select("id", "prediction").toPandas().sort_values("id")["prediction"].to_numpy()
+    save_model(spark, fitted, str(tmp_path / "saved"))
+    for f in (tmp_path / "fitted").iterdir():
+        f.unlink()
+    monkeypatch.setattr(neighbours_model, "SMALL_CELLS", 0 if joined else 10**9)
+    again = load_model(spark, str(tmp_path / "saved"))
+    assert np.allclose(again.score(df).select("id", "prediction").toPandas().sort_values("id")["prediction"].to_numpy(), want)
+
+
+def test_streams_of_neighbours(spark, raw, tmp_path, monkeypatch):
+    from colonnade.operators.models import neighbours_model
+
+    config = TrainingConfig("id", "two", "classification", define_models(["KNN"]), folds=2, best_metric="Accuracy", features=FeatureOptions(scale=True))
+    run = train(raw.drop("y", "three"), config, str(tmp_path / "run"))
+    new = raw.select("id", *XS)
+    new.write.parquet(str(tmp_path / "incoming"))
+    stream = spark.readStream.schema(new.schema).parquet(str(tmp_path / "incoming"))
+    score_stream(stream, TrainingRun.load(spark, str(tmp_path / "run")), str(tmp_path / "out"), str(tmp_path / "state"), available_now=True).awaitTermination()
+    told = spark.read.parquet(str(tmp_path / "out")).select("id", "fold", "class", "pred")
+    batch = run.score(new).select("id", "fold", "class", "pred")
+    assert told.count() == batch.count() and told.exceptAll(batch).count() == 0
+    monkeypatch.setattr(neighbours_model, "SMALL_CELLS", 1)
+    with pytest.raises(ValueError, match="stream"):
+        run.score(stream)
+
+
 @pytest.mark.parametrize("kind", ["tree", "forest", "gbt", "tree_r", "forest_r", "gbt_r"])
 def test_tree_shap_adds_up(sets, kind):
     fit = {"tree": lambda d: trees.decision_tree(d, 4), "forest": lambda d: trees.random_forest(d, 3, 5), "gbt": lambda d: trees.gradient_boosting(d, rounds=4),
