@@ -149,8 +149,10 @@ class Aligner:
         lists = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
         offsets, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        if len(self.groups) + len(names) > CACHE_WORDS:
+        if len(self.groups) + len(names) > CACHE_WORDS:  # words that came again are worth keeping
+            again = [w for w in names if w in self.known]
             self.reset()
+            self.known.update(zip(again, self.learn(again).tolist()))
         new = [w for w in names if w not in self.known]
         self.known.update(zip(new, self.learn(new).tolist()))
         slots = np.array([self.known[w] for w in names], np.int64)[coded.indices.to_numpy()]
