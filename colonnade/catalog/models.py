@@ -15,7 +15,7 @@ from colonnade.operators import explain as E, features as X, metrics as M
 from colonnade.operators.models import bayes, linear, neighbours as N, trees
 from colonnade.operators.models.neighbours_model import knn
 from colonnade.plans.cleaning import CleaningOptions, CleaningPlan
-from colonnade.plans.features import FeatureOptions
+from colonnade.plans.features import FeatureOptions, FeaturePlan
 from colonnade.plans.training import ModelSpec, TrainingConfig, TrainingRun, best_models, train
 from colonnade.operators.shapley import tree_parts as explained_parts
 from colonnade.session import scratch_path
@@ -298,6 +298,39 @@ def cv_oof_frame(spark, d):
     return run.oof().select("id", "fold", "model", F.round("actual", 5).alias("actual"), F.round("pred", 5).alias("pred"))
 
 
+def holed(spark, d):
+    """Numbers with nulls, strings and a target of three classes."""
+    df = frame(spark, d).withColumn("kind", F.when(F.col("id") % 9 != 0, F.concat(F.lit("k"), (F.col("id") % 5).cast("string"))))
+    target = F.element_at(F.array(*[F.lit(c) for c in ("low", "middle", "high")]), F.col("three").cast("int") + 1)
+    return df.select("id", F.when(F.col("id") % 4 != 0, F.col("x1")).alias("x1"), "x2", "kind", target.alias("level"))
+
+
+HOLED_FRAME = f"""(select id, case when id % 4 <> 0 then x1 end as x1, x2, case when id % 9 <> 0 then 'k' || (id % 5) end as kind, case three when 0 then 'low' when 1 then 'middle' else 'high' end as level from {FRAME})"""
+
+
+@query("fe_fill_nominal", f"""
+select id, level, round(coalesce(x1, (select median(x1) from {HOLED_FRAME} where id % 2 = 0)), 8) as x1, round(x2, 8) as x2, cast(x1 is null as double) as x1_missing,
+ case when kind is null or kind = 'k4' then 4.0::double else cast(substr(kind, 2) as double) end as kind from {HOLED_FRAME}""")
+def fe_fill_nominal(spark, d):
+    """Medians and flags for missing numbers, category numbers for strings; fitted without 'k4'."""
+    df = holed(spark, d)
+    plan = FeaturePlan.fit(df.where("id % 2 = 0 and (kind is null or kind <> 'k4')").unionByName(df.where("id % 2 = 0 and kind = 'k4'").withColumn("kind", F.lit(None).cast("string"))),
+                           FeatureOptions("id", "level", encoding="nominal", fill_missing=True))
+    return plan.transform(df).withColumns({c: F.round(c, 8) for c in ("x1", "x2")})
+
+
+@query("cv_classification_run", f"""
+select id, fold, model, 1.0::double as mass, true as listed from {folds_sql('level', HOLED_FRAME, 5, key='id')}, (select unnest(['Decision Tree 1', 'XGBoost 1']) as model)""")
+def cv_classification_run(spark, d):
+    """Folds, feature plans, balanced models, predictions and metrics of a table with nulls and strings."""
+    models = [ModelSpec("Decision Tree 1", "Decision Tree"), ModelSpec("XGBoost 1", "XGBoost", {"rounds": 3})]
+    config = TrainingConfig("id", "level", "classification", models, best_metric="F1-Score", features=FeatureOptions(encoding="nominal", fill_missing=True), balanced=True)
+    run = train(holed(spark, d), config, scratch_path(spark, "run"))
+    good = run.metrics().where("split = 'Valid' and metric = 'Accuracy'").agg(F.count(F.lit(1)), F.min("value")).first()
+    listed = F.lit(good[0] == 10 and good[1] > 0.7) & (F.max("pred") == F.max_by("class", "proba"))
+    return run.oof().groupBy("id", "fold", "model").agg(F.round(F.sum("proba"), 6).alias("mass"), listed.alias("listed"))
+
+
 @query("cv_best_model", f"""
 with m as (select model, fold, avg(cast(actual = pred as int)) as value from (select * from {OOF} where class = pred) group by model, fold)
 select fold, first(model order by value desc, model) as model, round(max(value), 6) as value from m group by fold""")

@@ -11,6 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from colonnade.columns import categorical_columns, col, numeric_columns, present
+from colonnade.operators.ordering import quantiles
 from colonnade.operators.quality import cardinalities, value_profile
 
 
@@ -136,6 +137,42 @@ def ordinal(df: DataFrame, categories: dict[str, list[str | None]]) -> DataFrame
     return df.withColumns({c: code(c) for c in categories}) if categories else df
 
 
+NOMINAL_LIMIT = 63  # categories that tree models take as unordered (with one more for the unknown, forests' bins)
+
+
+def nominal(df: DataFrame, categories: dict[str, list[str | None]]) -> DataFrame:
+    """Position in the sorted category list; unseen and null are one category behind the last.
+    `as_nominal` marks the columns, so that trees split them by sets of categories."""
+    def code(c: str) -> Column:
+        known = [v for v in categories[c] if v is not None]
+        position = F.array_position(F.array(*[F.lit(v) for v in known]), col(c).cast("string")) if known else F.lit(None)
+        return F.when(position > 0, position - 1).otherwise(len(known)).cast("double")
+
+    return df.withColumns({c: code(c) for c in categories}) if categories else df
+
+
+def as_nominal(df: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """Vector metadata for MLlib: these columns hold category numbers, `sizes` of them each."""
+    for c, n in sizes.items():
+        df = df.withMetadata(c, {"ml_attr": {"type": "nominal", "name": c, "num_vals": n}})
+    return df
+
+
+def fit_fills(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, float], list[str]]:
+    """(median per numeric column, the columns that have missing values)."""
+    if not columns:
+        return {}, []
+    medians = {r["column"]: float(r["q"][0]) for r in quantiles(df, columns, [0.5]).collect()}
+    row = df.agg(*[F.count_if(present(df, c).isNull()).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return {c: medians.get(c, 0.0) for c in columns}, [c for i, c in enumerate(columns) if row[i]]
+
+
+def fill_numbers(df: DataFrame, fills: dict[str, float], flagged: Sequence[str]) -> DataFrame:
+    """Missing numbers become the fitted value; `{column}_missing` = 1 tells where that was."""
+    flags = {f"{c}_missing": present(df, c).isNull().cast("double") for c in flagged}
+    return df.withColumns({**{c: F.coalesce(present(df, c).cast("double"), F.lit(v)) for c, v in fills.items()}, **flags}) if fills else df
+
+
 def missing_category(df: DataFrame, columns: Sequence[str], label: str = "Missing") -> DataFrame:
     """Categories as strings, null as one more category; the same at fit and replay."""
     return df.withColumns({c: F.coalesce(col(c).cast("string"), F.lit(label)) for c in columns}) if columns else df

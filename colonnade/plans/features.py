@@ -20,7 +20,8 @@ class FeatureOptions:
     category_pairs: bool = False
     datetime: bool = True
     max_cat_unique: int | None = None
-    encoding: str | None = "one_hot"  # one_hot | ordinal | None
+    encoding: str | None = "one_hot"  # one_hot | ordinal | nominal | None
+    fill_missing: bool = False  # missing numbers: the training median and a flag
     missing_category: bool = False
     scale: bool = False
 
@@ -37,6 +38,9 @@ class FeaturePlan:
     categories: dict[str, list] = field(default_factory=dict)
     long: dict[str, int] = field(default_factory=dict)  # columns whose categories are a table, and how many there are
     dictionary: str | None = None  # where that table is
+    fills: dict[str, float] = field(default_factory=dict)
+    flagged: list[str] = field(default_factory=list)
+    nominal: dict[str, int] = field(default_factory=dict)  # columns of category numbers, and how many there are
     scaler: dict[str, list] = field(default_factory=dict)
     features: list[str] = field(default_factory=list)
 
@@ -59,10 +63,11 @@ class FeaturePlan:
         if self.options.encoding == "one_hot":
             df = X.one_hot(df, self.categories)
             df = D.one_hot_vectors(df, table, list(self.long)) if self.long else df
-        elif self.options.encoding == "ordinal":
-            df = X.ordinal(df, self.categories)
+        elif self.options.encoding in ("ordinal", "nominal"):
+            unordered = {c: v for c, v in self.categories.items() if self.options.encoding == "nominal" and len(v) <= X.NOMINAL_LIMIT}
+            df = X.nominal(X.ordinal(df, {c: v for c, v in self.categories.items() if c not in unordered}), unordered)
             df = D.ordinal_codes(df, table, list(self.long)) if self.long else df
-        return X.rename_safe(df)
+        return X.fill_numbers(X.rename_safe(df), self.fills, self.flagged)
 
     @classmethod
     def fit(cls, df: DataFrame, options: FeatureOptions) -> FeaturePlan:
@@ -89,19 +94,24 @@ class FeaturePlan:
                     if "Missing" not in values:
                         values.append("Missing")
                         values.sort()
+        if options.encoding == "nominal":
+            plan.nominal = {X.safe_name(c): sum(v is not None for v in values) + 1 for c, values in plan.categories.items() if len(values) <= X.NOMINAL_LIMIT}
         encoded = plan._encode(wide)
-        safe_side = [X.safe_name(c) for c in side]
+        safe_side = [*(X.safe_name(c) for c in side), *plan.nominal]
+        if options.fill_missing:
+            plan.fills, plan.flagged = X.fit_fills(encoded, [c for c in numeric_columns(encoded) if c not in safe_side])
+            encoded = X.fill_numbers(encoded, plan.fills, plan.flagged)
         if options.scale:
-            numbers = [c for c in numeric_columns(encoded) if c not in safe_side]
+            numbers = [c for c in numeric_columns(encoded) if c not in safe_side and c not in [f"{f}_missing" for f in plan.flagged]]
             plan.scaler = {c: list(v) for c, v in X.fit_scaler(encoded, numbers).items()}
-        plan.features = [c for c in encoded.columns if c not in safe_side]
+        plan.features = [c for c in encoded.columns if c not in safe_side or c in plan.nominal]
         return plan
 
     def transform(self, df: DataFrame) -> DataFrame:
         """id / target / fold as found in `df`, then the fitted feature columns."""
         done = X.standard_scale(self._encode(self._expand(df)), {c: tuple(v) for c, v in self.scaler.items()})
         side = [X.safe_name(c) for c in self.options.kept() if X.safe_name(c) in done.columns]
-        return done.select(*side, *self.features)
+        return X.as_nominal(done.select(*side, *self.features), self.nominal)
 
     def assembled(self, df: DataFrame) -> DataFrame:
         done = self.transform(df)

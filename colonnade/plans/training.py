@@ -82,7 +82,7 @@ def fit_one(spec: ModelSpec, config: TrainingConfig, train: DataFrame) -> tuple[
     families = CLASSIFIERS if config.task == "classification" else REGRESSORS
     options = dict(spec.params)
     if config.balanced and config.task == "classification" and spec.family in WEIGHTED:
-        options["weight"] = "weight"
+        options["weight"] = "weight_int" if spec.family in trees.PRESETS else "weight"  # boosted models take whole numbers
     if spec.family == "KNN":
         options |= {"id_col": X.safe_name(config.id_col), "task": config.task}
     return families[spec.family](train, **options), time.perf_counter() - start
@@ -187,12 +187,14 @@ def train(df: DataFrame, config: TrainingConfig, path: str) -> TrainingRun:
         train_rows, valid_rows = split_fold(folded, fold)
         plan = FeaturePlan.fit(train_rows, options)
         plan.save(spark, f"{path}/fold_{fold}/plan")
-        weights = X.fit_class_weights(train_rows, config.target) if classify and config.balanced else None
+        weights = {n: X.fit_class_weights(train_rows, config.target, integer=n == "weight_int") for n in ("weight", "weight_int")} if classify and config.balanced else {}
 
         def prepare(rows: DataFrame) -> DataFrame:
             ready = plan.assembled(rows)
             ready = X.encode_label(ready, target, classes, LABEL) if classify else ready.withColumn(LABEL, col(target).cast("double"))
-            return X.with_class_weight(ready, target, weights) if weights else ready
+            for name, of_class in weights.items():
+                ready = X.with_class_weight(ready, target, of_class, name)
+            return ready
 
         train_set = prepare(train_rows).persist()
         splits = {"Train": train_set, "Valid": prepare(valid_rows)}

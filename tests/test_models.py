@@ -352,3 +352,45 @@ def test_training_run_end_to_end(spark, raw):
     streamed = spark.read.parquet(out)
     batch = loaded.score(new, picked[:1])
     assert streamed.count() == batch.count() and streamed.select("id", "fold", "class", "pred").exceptAll(batch.select("id", "fold", "class", "pred")).count() == 0
+
+
+@pytest.fixture(scope="module")
+def holed(spark):
+    """Nulls and NaN in numbers, null and unseen strings; the class hangs on a string alone."""
+    draw = np.random.RandomState(11)
+    rows = [(i, None if i % 5 == 0 else float("nan") if i % 7 == 0 else float(draw.normal()), None if i % 11 == 0 else "abcdef"[i % 6], float(i % 13)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, x double, kind string, z double")
+    hit = F.coalesce(F.col("kind").isin("a", "c", "e"), F.lit(True))
+    return df.withColumns({"two": F.when(hit, "yes").otherwise("no"), "y": F.when(hit, 5.0).otherwise(1.0) + F.coalesce(F.nanvl("x", F.lit(3.0)), F.lit(3.0))}).cache()
+
+
+@pytest.mark.parametrize("family", ["XGBoost", "LightGBM", "CatBoost", "Decision Tree", "Random Forest"])
+@pytest.mark.parametrize("target", ["two", "y"])
+def test_trees_take_nulls_and_categories(spark, holed, tmp_path, family, target):
+    rounds = {} if family in ("Decision Tree", "Random Forest") else {"rounds": 8, "rate": 0.5}
+    task = "classification" if target == "two" else "regression"
+    config = TrainingConfig("id", target, task, define_models([family], params=[[rounds]]), folds=2, best_metric="Accuracy" if target == "two" else "RMSE",
+                            higher_is_better=target == "two", features=FeatureOptions(encoding="nominal", fill_missing=True), balanced=True)
+    run = train(holed.select("id", "x", "kind", "z", target), config, str(tmp_path / "run"))
+    plan = run.plan(0)
+    assert plan.nominal == {"kind": 7} and plan.flagged == ["x"] and set(plan.features) == {"x", "kind", "z", "x_missing"}
+    best = [r["value"] for r in run.best().collect()]
+    assert all(v > 0.95 if target == "two" else v < 1.0 for v in best), best
+    if family == "Decision Tree":
+        model = run.model(0, f"{family} 1").state["model"]
+        assert " in {" in model.toDebugString  # the string is split by sets of its categories
+    unseen = spark.createDataFrame([(1, None, "never", 2.0)], "id int, x double, kind string, z double")
+    assert run.score(unseen).count() == (4 if target == "two" else 2)
+
+
+def test_boosted_models_get_whole_weights(spark, holed, tmp_path, monkeypatch):
+    seen = {}
+    from colonnade.plans import training
+
+    for family in ("XGBoost", "Decision Tree"):
+        fit = training.CLASSIFIERS[family]
+        monkeypatch.setitem(training.CLASSIFIERS, family, lambda df, fit=fit, family=family, **o: seen.update({family: (o["weight"], [r[0] for r in df.select(o["weight"]).distinct().collect()])}) or fit(df, **{**o, **({"rounds": 1} if family == "XGBoost" else {})}))
+    config = TrainingConfig("id", "two", "classification", define_models(["XGBoost", "Decision Tree"]), folds=2, best_metric="Accuracy", features=FeatureOptions(encoding="nominal", fill_missing=True), balanced=True, parallelism=1)
+    train(holed.select("id", "z", "kind", "two"), config, str(tmp_path / "run"))
+    name, weights = seen["XGBoost"]
+    assert name == "weight_int" and min(weights) == 100 and all(w == int(w) for w in weights) and seen["Decision Tree"][0] == "weight"
