@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from colonnade.columns import categorical_columns, col, long_values, numeric_columns, present
@@ -152,6 +154,7 @@ def box_fliers(frames: dict[str, DataFrame], columns: Sequence[str] | None = Non
 
 KDE_POINTS = 200   # fixed values: points of the density grid and the bandwidths it
 KDE_CUT = 3        # extends beyond the data on either side
+MAX_CURVES = 10_000  # curves that a task keeps a vector of
 
 
 def kde_curves(
@@ -159,11 +162,10 @@ def kde_curves(
 ) -> DataFrame:
     """(label, column, i, x, density): Gaussian KDE with Scott's bandwidth.
 
-    Equal values are merged first (the kernel depends on the value only), and each row
-    then adds its kernel to the whole grid inside one generator + map-side combined sum,
-    so the shuffle carries `points` partial sums per task, not rows x points. With `bins`
-    the values are first counted in that many equal-width cells (linear error in the cell
-    width), for data whose distinct values are too many for an exact curve.
+    Every task adds its values' kernels to one vector per curve, and the vectors are summed by
+    position, so what is shuffled depends on tasks and curves but not on rows. With `bins` the
+    values are first counted in that many equal-width cells (linear error in the cell width),
+    for data whose distinct values are too many for an exact curve.
     """
     names = list(columns or shared_numeric(frames))
     cells = long_values(label_union(frames, names), names, ["label"], "double").where("value is not null")
@@ -177,18 +179,54 @@ def kde_from_cells(cells: DataFrame, bins: int | None = None, points: int = KDE_
         F.min("value").alias("lo"), F.max("value").alias("hi"),
     ).where("n > 1 and std > 0").withColumn("h", F.col("std") * F.pow("n", F.lit(-0.2)))
     keys = ["label", "column"]
+    start, step = F.col("lo") - KDE_CUT * F.col("h"), (F.col("hi") - F.col("lo") + 2 * KDE_CUT * F.col("h")) / (points - 1)
+    curves = base.select(*keys, "n", "h", "lo", "hi", start.alias("start"), step.alias("step")).limit(MAX_CURVES + 1).collect()
+    weighed = cells.withColumn("value", F.col("value").cast("double")).withColumn("w", F.lit(1.0))
     if bins:
         width = (F.col("hi") - F.col("lo")) / bins
         cell = F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))
-        placed = cells.join(F.broadcast(base), keys).withColumn("value", F.col("lo") + (cell + 0.5) * width)
-        merged = placed.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("w"))
-    else:
-        merged = cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("w"))
+        placed = cells.join(F.broadcast(base) if len(curves) <= MAX_CURVES else base, keys).withColumn("value", F.col("lo") + (cell + 0.5) * width)
+        weighed = placed.groupBy(*keys, "value").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    if len(curves) > MAX_CURVES:
+        return kde_by_join(weighed, base, points)
+    known = {(r["label"], r["column"]): (r["start"], r["step"], r["h"], r["n"]) for r in curves}
+    label_type = cells.schema["label"].dataType.simpleString()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One density vector per curve that the task has values of."""
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            label, column = batch.column(0).dictionary_encode(), batch.column(1).dictionary_encode()
+            labels, columns, values, w = label.dictionary.to_pylist(), column.dictionary.to_pylist(), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
+            code = np.where(label.indices.is_null().to_numpy(zero_copy_only=False) | np.isnan(values), -1, label.indices.fill_null(0).to_numpy() * len(columns) + column.indices.to_numpy())
+            for g in np.unique(code[code >= 0]):
+                key = (labels[g // len(columns)], columns[g % len(columns)])
+                if key in known:
+                    begin, gap, h, n = known[key]
+                    held, at = np.unique(values[code == g], return_inverse=True)
+                    weight = np.bincount(at, w[code == g])
+                    sums = total.setdefault(key, np.zeros(points))
+                    for i in range(0, len(held), 4_096):
+                        u = (begin + gap * np.arange(points)[:, None] - held[i:i + 4_096]) / h
+                        sums += np.exp(-0.5 * u * u) @ weight[i:i + 4_096] / (math.sqrt(2 * math.pi) * h * n)
+        if total:
+            names = list(total)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in names], batch.schema.field(0).type), pa.array([k[1] for k in names]), pa.array([v for v in total.values()])], names=["label", "column", "d"])
+
+    vectors = weighed.select("label", "column", "value", "w").mapInArrow(add, f"label {label_type}, column string, d array<double>")
+    summed = vectors.select(*keys, F.posexplode("d").alias("i", "d")).groupBy(*keys, "i").agg(F.sum("d").alias("density"))
+    return summed.join(F.broadcast(base), keys).select(*keys, "i", (start + F.col("i") * step).alias("x"), "density")  # base: at most MAX_CURVES rows
+
+
+def kde_by_join(weighed: DataFrame, base: DataFrame, points: int) -> DataFrame:
+    """The same for more curves than a task should hold vectors of: rows meet their curve by a join."""
+    keys = ["label", "column"]
     x = F.col("lo") - KDE_CUT * F.col("h") + F.col("i") * (F.col("hi") - F.col("lo") + 2 * KDE_CUT * F.col("h")) / (points - 1)
     u = (F.col("x") - F.col("value")) / F.col("h")
     kernel = F.col("w") * F.exp(-0.5 * u * u) / (F.lit(math.sqrt(2 * math.pi)) * F.col("h") * F.col("n"))
+    merged = weighed.groupBy(*keys, "value").agg(F.sum("w").alias("w"))
     return (
-        merged.join(F.broadcast(base), keys)
+        merged.join(base.select(*keys, "n", "h", "lo", "hi"), keys)
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .withColumn("x", x).groupBy(*keys, "i", "x").agg(F.sum(kernel).alias("density"))
     )

@@ -2,6 +2,7 @@
 
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,22 @@ def test_binned_density_is_close(spark):
     exact = {r["i"]: r["density"] for r in U.kde_curves({"a": df}).collect()}
     binned = {r["i"]: r["density"] for r in U.kde_curves({"a": df}, bins=2000).collect()}
     assert max(abs(exact[i] - binned[i]) for i in exact) < 1e-4
+
+
+def test_densities_are_those_of_the_definition(spark, monkeypatch):
+    """By vectors per task and by join alike, with nulls, hot values and a curve without spread."""
+    draw = np.random.RandomState(2)
+    v = np.round(draw.normal(size=500), 2)
+    v[:150] = 0.25
+    df = spark.createDataFrame([(float(x), 1.0, None if i % 9 == 0 else float(x) * 3) for i, x in enumerate(v)], "a double, flat double, b double").repartition(5)
+    want = {}
+    for name, values in (("a", v), ("b", np.array([x * 3 for i, x in enumerate(v) if i % 9]))):
+        h = values.std(ddof=1) * len(values) ** -0.2
+        grid = np.linspace(values.min() - 3 * h, values.max() + 3 * h, 200)
+        want[name] = np.exp(-0.5 * ((grid[:, None] - values) / h) ** 2).sum(1) / (np.sqrt(2 * np.pi) * h * len(values))
+    for most in (10_000, 0):
+        monkeypatch.setattr(U, "MAX_CURVES", most)
+        rows = U.kde_curves({"all": df}).orderBy("column", "i").collect()
+        assert {r["column"] for r in rows} == {"a", "b"}
+        for name in want:
+            assert np.allclose([r["density"] for r in rows if r["column"] == name], want[name], rtol=1e-9, atol=1e-12)
