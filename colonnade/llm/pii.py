@@ -68,7 +68,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             free = domain.end()
         at = text.find("@", max(at + 1, free))
     if SIGN.search(text):
-        found += [(m.start(), m.end(), 1) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [(m.start(), m.end(), 1) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
         for m in CARD.finditer(text):
             digits = NOT_DIGITS.sub("", m[0])
             if 12 <= len(digits) <= 19 and luhn(digits):

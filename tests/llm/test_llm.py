@@ -558,3 +558,9 @@ def test_language_stage_rejects_what_was_not_learned(spark, awkward, nothing):
         assert Counter(r["text"] for r in known.collect()) == Counter(r["text"] for r in table.where(F.col("text").rlike(r"\p{L}")).collect())
         clean = common.staged(pipeline.mask_secrets(spark, pipeline.drop_near_copies(spark, pipeline.drop_exact_copies(spark, known, FOLDER), FOLDER), FOLDER), "d")
         assert pipeline.pack_sequences(spark, clean, FOLDER).select("doc_id").distinct().count() == clean.select("doc_id").distinct().count()
+
+
+def test_address_parts_of_thousands_of_zeros(spark):
+    texts = ["0" * 6_000 + "7.1.2.3", "1." + "0" * 5_000 + ".2.3 x", "1.2.3." + "9" * 5_000]
+    found = {r["doc_id"]: r for r in pii.scan_pii(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), pii.Crf().fit([])).collect()}
+    assert [found[i]["n_ip"] for i in range(3)] == [1, 1, 0]
