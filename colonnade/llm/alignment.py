@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from colonnade.llm.common import left_join_groups, small_enough, staged
+from colonnade.llm.common import left_join_groups, small_batches, small_enough, staged, uncollected
 from colonnade.llm.tokens import BYTES_SHOWN, Encoder, slices
 
 #: Words that a worker remembers before it starts afresh.
@@ -204,12 +204,15 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for some in slices(batch, 1, size=4 << 20):
-                counts, held, begin, pairs, times = aligner(a_path, b_path).align(some.column(1))
-                hashes = pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in held])
+                with uncollected():
+                    counts, held, begin, pairs, times = aligner(a_path, b_path).align(some.column(1))
+                    hashes = pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in held])
                 lists = [pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(v.astype(np.int64))) for v in (pairs, times)]
                 columns = [some.column(0), pa.array(np.arange(row, row + some.num_rows)), *(pa.array(c) for c in counts.T), hashes, *([pa.array(held, pa.string())] if groups else []), *lists]
                 row += some.num_rows
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        aligner(a_path, b_path).reset()  # a worker that is used again starts small
+        pa.default_memory_pool().release_unused()
 
     return docs.select(id_col, text_col).mapInArrow(align, schema)
 
@@ -240,6 +243,7 @@ def link_sums(rows: DataFrame, counts: DataFrame) -> DataFrame:
 
 def alignment_digests(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Alignment counts of every row with the corpus-wide counts of its links."""
-    rows = staged(aligned(docs, a_path, b_path, id_col, text_col), "aligned")
+    with small_batches(docs.sparkSession):
+        rows = staged(aligned(docs, a_path, b_path, id_col, text_col), "aligned")
     counts = staged(pair_counts(rows), "pairs")
     return link_sums(rows, counts).select(id_col, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -32,6 +33,18 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
         spark.conf.set(ARROW_ROWS, before)
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No cyclic garbage collection meanwhile: for tasks that make very many small lists and no cycles."""
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if collecting:
+            gc.enable()
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: the lineage ends there, and a lost
     executor costs no more than the tasks it ran."""
