@@ -7,13 +7,16 @@ rows is therefore spread over as many tasks as it has buckets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from colonnade.columns import col, long_values, present
+from colonnade.session import broadcast_checked, stored
 
+MANY_GROUPS = 100_000   # groups whose cut-offs are broadcast
 HOT_KEYS = 200          # keys above total/HOT_KEYS rows are hot: at most HOT_KEYS of them exist
 SMALL_ROWS, SMALL_CELLS = 2_000_000, 16_000_000  # rows and cells up to which the in-memory percentile aggregate is used
 
@@ -104,14 +107,23 @@ def prefix_sum(
     )
 
 
+BUCKET_ROWS = 1_000_000  # rows of a group that one task ranks at most (unless they share one id)
+
+
+def hash_digits(rows: int) -> int:
+    """Hex digits of the hash that cut `rows` rows into buckets of at most BUCKET_ROWS."""
+    return max(1, math.ceil(math.log(max(1, rows / BUCKET_ROWS), 16) + 0.5))
+
+
 def hash_rank(
-    df: DataFrame, id_col: str, by: Sequence[str] = (), seed: int = 42, digits: int = 3, out: str = "rank"
+    df: DataFrame, id_col: str, by: Sequence[str] = (), seed: int = 42, digits: int | None = None, out: str = "rank"
 ) -> DataFrame:
     """Exact shuffled row number 1..n within each group, in md5 order.
 
-    The first hex digits of the hash are the bucket (16**digits of them, evenly filled),
-    so one huge stratum is still ranked by many tasks.
+    The first hex digits of the hash are the bucket (evenly filled; as many as the number of
+    rows needs), so one huge stratum is still ranked by many tasks.
     """
+    digits = hash_digits(df.count()) if digits is None else digits
     cut = df.withColumns(
         {"_h": F.coalesce(shuffle_hash(id_col, seed), F.lit("")), "_g": group_key(by)}
     ).withColumn("_bucket", F.coalesce(F.substring("_h", 1, digits), F.lit("")))
@@ -123,34 +135,45 @@ def hash_rank(
     return ranked.select(*[col(c) for c in df.columns], (F.col("_r") + F.col("_o")).cast("long").alias(out))
 
 
-def hash_sample(
-    df: DataFrame, id_col: str, frac: float, by: Sequence[str] = (), seed: int = 42, digits: int = 3
-) -> DataFrame:
+def hash_cutoffs(keyed: DataFrame, frac: float) -> DataFrame:
+    """(_g, _n, _edge, _left): per group the hash prefix that the cut-off falls into, and how many
+    rows of it are still wanted. Prefixes grow by two digits, for the rows at the cut-off
+    alone, until no group has more than BUCKET_ROWS rows there."""
+    length, rows, edges = 2, keyed, None
+    while True:
+        totals = rows.groupBy("_g", F.substring("_h", 1, length).alias("_p")).agg(F.count(F.lit(1)).alias("_t"))
+        whole = W.partitionBy("_g")
+        upto = F.sum("_t").over(whole.orderBy("_p").rowsBetween(W.unboundedPreceding, 0))
+        if edges is None:
+            counted = totals.withColumn("_n", F.sum("_t").over(whole)).withColumn("_want", F.round(F.lit(frac) * F.col("_n")).cast("long"))
+        else:
+            counted = totals.join(broadcast_checked(edges.select("_g", "_n", F.col("_left").alias("_want"))), "_g")
+        found = counted.withColumn("_upto", upto).where("_upto >= _want and _upto - _t < _want")
+        edges = stored(found.select("_g", "_n", F.col("_p").alias("_edge"), (F.col("_want") - F.col("_upto") + F.col("_t")).alias("_left"), "_t"), "cutoffs")
+        most = edges.agg(F.max("_t")).first()[0]
+        if most is None or most <= BUCKET_ROWS or length >= 32:
+            return edges.drop("_t")
+        rows = keyed.join(broadcast_checked(edges.select("_g", "_edge")), "_g").where(F.substring("_h", 1, length) == F.col("_edge")).drop("_edge")
+        length += 2
+
+
+def hash_sample(df: DataFrame, id_col: str, frac: float, by: Sequence[str] = (), seed: int = 42) -> DataFrame:
     """Exactly round(frac * n) rows of every group: the first ones in md5 order.
 
-    Buckets below the cut-off pass without any shuffle; only the one bucket that the
-    cut-off falls into is ranked.
+    Rows whose hash lies below their group's cut-off pass without any shuffle; only the one
+    bucket that the cut-off falls into, of at most BUCKET_ROWS rows, is ranked.
     """
-    cut = df.withColumns(
-        {"_h": F.coalesce(shuffle_hash(id_col, seed), F.lit("")), "_g": group_key(by)}
-    ).withColumn("_bucket", F.coalesce(F.substring("_h", 1, digits), F.lit("")))
-    totals = cut.groupBy("_g", "_bucket").agg(F.count(F.lit(1)).alias("_t"))
-    whole = W.partitionBy("_g")
-    running = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
-    cutoffs = (
-        totals.withColumns(
-            {"_upto": F.sum("_t").over(running), "_want": F.round(F.lit(frac) * F.sum("_t").over(whole)).cast("long")}
-        )
-        .where("_upto >= _want and _upto - _t < _want")
-        .select("_g", F.col("_bucket").alias("_edge"), (F.col("_want") - F.col("_upto") + F.col("_t")).alias("_left"))
-    )
-    marked = cut.join(cutoffs, "_g")
-    below = marked.where("_bucket < _edge")
-    at_edge = marked.where("_bucket = _edge").withColumn(
+    key = F.to_json(F.struct(*[col(b).cast("string").alias(f"g{i}") for i, b in enumerate(by)])) if by else F.lit("")
+    cut = df.withColumns({"_h": F.coalesce(shuffle_hash(id_col, seed), F.lit("")), "_g": key})
+    edges = hash_cutoffs(cut.select("_g", "_h"), frac)
+    few = edges.limit(MANY_GROUPS + 1).count() <= MANY_GROUPS
+    marked = cut.join(F.broadcast(edges.drop("_n")), "_g", "left") if few else spread_left_join(cut, edges, "_g", "_n")
+    prefix = F.substring("_h", 1, F.length("_edge"))
+    keep = [col(c) for c in df.columns]
+    at_edge = marked.where(prefix == F.col("_edge")).withColumn(
         "_r", F.row_number().over(W.partitionBy("_g").orderBy("_h", col(id_col)))
     ).where("_r <= _left")
-    keep = [col(c) for c in df.columns]
-    return below.select(*keep).unionByName(at_edge.select(*keep))
+    return marked.where(prefix < F.col("_edge")).select(*keep).unionByName(at_edge.select(*keep))
 
 
 def skew_join(df: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:

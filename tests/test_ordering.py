@@ -106,3 +106,25 @@ def test_bins_are_right_closed_and_merged(spark):
     assert {r["v"]: r["bin"] for r in S.quantile_bins(df, "v", 2).collect()} == {1.0: 0, 2.0: 0, 3.0: 1, 4.0: 1}
     flat = spark.createDataFrame([(1.0,)] * 8 + [(2.0,)] * 2, "v double")
     assert {r["v"]: r["bin"] for r in S.quantile_bins(flat, "v", 4).collect()} == {1.0: 0, 2.0: 0}
+
+
+@pytest.mark.parametrize("groups", [100_000, 1])
+def test_samples_refine_their_cut_off(spark, monkeypatch, groups):
+    """Prefixes grow until few rows are at the cut-off; a hot group, repeated ids, null groups."""
+    monkeypatch.setattr(O, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(O, "MANY_GROUPS", groups)
+    rows = [(i if i % 50 else 7, None if i % 11 == 0 else "hot" if i % 3 else f"g{i % 5}") for i in range(6_000)]
+    df = spark.createDataFrame(rows, "id int, g string").repartition(4)
+    edges = O.hash_cutoffs(df.withColumns({"_g": F.coalesce("g", F.lit("-")), "_h": O.shuffle_hash("id")}).select("_g", "_h"), 0.3).collect()
+    assert len(edges) == 7 and max(len(r["_edge"]) for r in edges) >= 4
+    got = O.hash_sample(df, "id", 0.3, ["g"])
+    sizes = {r["g"]: (r["n"], r["k"]) for r in df.groupBy("g").agg(F.count(F.lit(1)).alias("n")).join(got.groupBy("g").agg(F.count(F.lit(1)).alias("k")).withColumnRenamed("g", "_g2"), F.col("g").eqNullSafe(F.col("_g2"))).collect()}
+    assert len(sizes) == 7 and all(k == int(0.3 * n + 0.5) for n, k in sizes.values())
+    ranked = O.hash_rank(df, "id", ["g"]).join(df.groupBy("g").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("g", "_g2"), F.col("g").eqNullSafe(F.col("_g2")))
+    want = ranked.where("rank <= round(0.3 * n)").select("id", "g")
+    assert want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0
+
+
+def test_digits_follow_the_rows():
+    for rows in (0, 1, 10**6, 10**8, 10**10, 10**12):
+        assert rows / 16 ** O.hash_digits(rows) <= O.BUCKET_ROWS
