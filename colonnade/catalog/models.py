@@ -373,6 +373,20 @@ def ex_ice(spark, d):
     return out.select("id", "feature", F.round("grid", 4).alias("grid"), F.round("output", 4).alias("output"))
 
 
+FLAGGED = f"(select id, x1, y + 2 * (id % 2) as y, (id % 2)::double as flag from {FRAME})"
+
+
+@query("ex_dependence_flag", f"""
+with s as (select avg(x1) as m1, avg(flag) as m2, avg(y) as my, var_pop(x1) as s11, var_pop(flag) as s22, covar_pop(x1, flag) as s12, covar_pop(x1, y) as t1, covar_pop(flag, y) as t2 from {FLAGGED})
+select 'flag' as feature, unnest(['0', '1']) as grid, round(my + (t2 * s11 - t1 * s12) / (s11 * s22 - s12 * s12) * (unnest([0.0::double, 1.0]) - m2), 4) as mean from s""")
+def ex_dependence_flag(spark, d):
+    """A two-valued number is asked at its two values, not over a range."""
+    wide = frame(spark, d).withColumn("flag", (F.col("id") % 2).cast("int")).withColumn("y", F.col("y") + 2 * F.col("flag"))
+    df = assembled(wide, "y", ["x1", "flag"])
+    out = E.partial_dependence(df, linear.least_squares(df), ["x1", "flag"], E.dependence_grids(wide, ["flag"]))
+    return out.withColumn("mean", F.round("mean", 4))
+
+
 @query("ex_tree_shap")
 def ex_tree_shap(spark, d):
     df = assembled(frame(spark, d), "y")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -43,15 +44,13 @@ GRID_RANGE = (0.05, 0.95)
 
 
 def dependence_grids(df: DataFrame, features: Sequence[str], points: int = GRID_POINTS) -> dict[str, list]:
-    """Grid per feature: its distinct values if there are at most two (or it is a flag),
-    else equal steps between its 5th and 95th percentiles. Bounded by `points`."""
+    """Grid per feature: its distinct values if there are at most two (or it is a flag or a
+    string, however many there are), else equal steps between its 5th and 95th percentiles."""
     few = cardinalities(df, list(features), 2)
     flags = [f for f in features if f in few or isinstance(df.schema[f].dataType, (T.StringType, T.BooleanType))]
     grids: dict[str, list] = {f: [] for f in features}
     for f in flags:
-        grids[f] = [r[0] for r in df.where(col(f).isNotNull()).select(col(f)).distinct().orderBy(col(f)).limit(10_001).collect()]
-        if len(grids[f]) > 10_000:
-            raise ValueError(f"{f}: too many categories for a dependence grid")
+        grids[f] = [r[0] for r in df.where(col(f).isNotNull()).select(col(f)).distinct().orderBy(col(f)).collect()]
     rest = [f for f in features if f not in flags]
     if rest:
         for r in quantiles(df, rest, GRID_RANGE).collect():
@@ -59,13 +58,25 @@ def dependence_grids(df: DataFrame, features: Sequence[str], points: int = GRID_
     return grids
 
 
+GRID_TYPES = {bool: "boolean", int: "bigint", float: "double", str: "string"}
+
+
+def grid_array(grid: Sequence) -> Column:
+    """The grid as one literal, which the optimizer folds: a long one does not lengthen the plan."""
+    kinds = {type(g) for g in grid} or {float}
+    kind = GRID_TYPES[kinds.pop()] if len(kinds) == 1 else "double"
+    return F.from_json(F.lit(json.dumps(list(grid))), f"array<{kind}>")
+
+
 def over_grid(df: DataFrame, feature: str, grid: Sequence, position: int) -> DataFrame:
-    """Every row once per grid value, that feature overwritten: a generator of bounded
-    width, pipelined into the scoring that follows."""
-    x = vector_to_array(FEATURES)
-    replaced = F.transform("_x", lambda v, i: F.when(i == position, F.col("grid").cast("double")).otherwise(v))
-    wide = df.withColumn("_x", x).withColumn("grid", F.explode(F.array(*[F.lit(g) for g in grid])))
-    return wide.withColumn(FEATURES, array_to_vector(replaced)).drop("_x")
+    """Every row once per grid value, that feature overwritten: a generator that is pipelined into
+    the scoring that follows. A string stands in the vector as its place in the grid, which
+    is its ordinal code."""
+    text = bool(grid) and isinstance(grid[0], str)
+    wide = df.withColumn("_x", vector_to_array(FEATURES)).select("*", F.posexplode(grid_array(grid)).alias("_place", "grid"))
+    code = F.col("_place" if text else "grid").cast("double")
+    replaced = F.transform("_x", lambda v, i: F.when(i == position, code).otherwise(v))
+    return wide.withColumn(FEATURES, array_to_vector(replaced)).drop("_x", "_place")
 
 
 def model_output(scored: DataFrame, target: int | None) -> Column:
@@ -86,7 +97,7 @@ def partial_dependence(df: DataFrame, fitted: Scored, feature_names: Sequence[st
 
 
 def individual_curves(df: DataFrame, fitted: Scored, id_col: str, feature_names: Sequence[str], grids: dict[str, list], target: int | None = None) -> DataFrame:
-    """(id, feature, grid, output): the same without averaging, for the rows of `df`."""
+    """(id, feature, grid, output): the same without averaging, for the rows of `df`; numeric features."""
     parts = []
     for feature, grid in grids.items():
         scored = fitted.score(over_grid(df, feature, grid, list(feature_names).index(feature)))

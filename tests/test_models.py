@@ -320,6 +320,20 @@ def test_two_valued_feature_gets_its_values_as_grid(raw):
     assert grids["flag"] == [0, 1] and len(grids["a"]) == 5
 
 
+def test_dependence_on_twenty_thousand_categories(spark):
+    """A string with 20,000 values is asked at every one of them, by its ordinal code."""
+    from colonnade.operators import features as X
+
+    wide = spark.range(40_000).select("id", F.format_string("c%05d", F.col("id") % 20_000).alias("kind"), (F.col("id") % 7).cast("double").alias("z"))
+    grids = E.dependence_grids(wide, ["kind"])
+    assert len(grids["kind"]) == 20_000 and grids["kind"][:2] == ["c00000", "c00001"]
+    coded = VectorAssembler(inputCols=["code", "z"], outputCol="features").transform(wide.withColumn("code", (F.col("id") % 20_000).cast("double")))
+    df = coded.select("id", "features", (F.col("code") * 0.5 - F.col("z")).alias("label")).cache()
+    fitted = linear.least_squares(df)
+    out = E.partial_dependence(df.where("id < 14"), fitted, ["kind", "z"], grids).collect()
+    assert len(out) == 20_000 and all(r["mean"] == pytest.approx(int(r["grid"][1:]) * 0.5 - 3.0, abs=1e-6) for r in out)
+
+
 def test_training_run_end_to_end(spark, raw):
     """Fit, reload, score new rows, ensemble, evaluate; then the same rows as a stream."""
     config = TrainingConfig("id", "two", "classification", define_models(["Gaussian Naive Bayes", "Decision Tree", "KNN"], [1, 2, 1], [[{}], [{"max_depth": 2}, {"max_depth": 4}], [{"k": 7}]]),
