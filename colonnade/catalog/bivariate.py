@@ -8,6 +8,7 @@ from colonnade.catalog import query, table
 from colonnade.catalog.features import CONTEXT, PRIORITIES, order_context, parts_sql
 from colonnade.catalog.predictions import inverse_normal_sql
 from colonnade.catalog.univariate import kde_sql
+from colonnade.functions.distributions import chi2_sf, f_sf
 from colonnade.operators import association as A, correlation as K, features as X
 from colonnade.operators.univariate import kde_from_cells
 
@@ -289,3 +290,17 @@ select *, cast(row_number() over (order by abs(value) desc, column_1, column_2)
 def ba_top_associations(spark, d):
     verdicts = A.category_by_category(order_context(spark, d).drop("n_name")).withColumn("cramers_v", F.round("cramers_v", 6))
     return A.top_associations(verdicts, "cramers_v", 4)
+
+
+# Tails that have a closed form: chi-squared with 2 and 4 degrees of freedom, F with 2 above or 2 below.
+TAIL = "(select o_orderkey, o_totalprice / 50000 as x, (o_orderkey % 60 + 1)::double as k from orders)"
+
+
+@query("fn_tail_probabilities", f"""
+select o_orderkey, round(exp(-x / 2), 9) as chi2_two, round(exp(-x / 2) * (1 + x / 2), 9) as chi2_four, round(pow(1 + 2 * x / k, -k / 2), 9) as f_two_k, round(1 - sqrt(x / (x + 2)), 9) as f_one_two from {TAIL}""")
+def fn_tail_probabilities(spark, d):
+    """The p-values that the tests of association report, over many statistics and degrees of freedom."""
+    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 50000).alias("x"), (F.col("o_orderkey") % 60 + 1).cast("double").alias("k"))
+    two, four, one, x = F.lit(2.0), F.lit(4.0), F.lit(1.0), F.col("x")
+    tails = {"chi2_two": chi2_sf(x, two), "chi2_four": chi2_sf(x, four), "f_two_k": f_sf(x, two, F.col("k")), "f_one_two": f_sf(x, one, two)}
+    return rows.select("o_orderkey", *[F.round(e, 9).alias(n) for n, e in tails.items()])

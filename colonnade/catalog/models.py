@@ -5,7 +5,7 @@ known function of the features plus md5 noise, because the table's own columns a
 """
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from colonnade.catalog import query, table
@@ -427,6 +427,78 @@ def ex_shap_boosting(spark, d):
     return shap_gaps(df, trees.gradient_boosting(df, rounds=10), 3)
 
 
+def stump_sql(target, impurity, columns=("x2", "x3")):
+    """The best single cut over features with few values, by sums of n, y and y^2 on either side."""
+    cells = " union all ".join(f"select '{c}' as feature, {c} as v, {target} as t from f" for c in columns)
+    value = impurity  # of (n, s, q)
+    return f"""f as {FRAME}, c as (select feature, v, count(*)::double as n, sum(t) as s, sum(t * t) as q from ({cells}) group by all),
+ cum as (select feature, v, lead(v) over w as nxt, sum(n) over w as nl, sum(s) over w as sl, sum(q) over w as ql from c window w as (partition by feature order by v rows unbounded preceding)),
+ whole as (select count(*)::double as n, sum({target}) as s, sum({target} * {target}) as q from f),
+ cut as (select feature, (v + nxt) / 2 as bound, sl / nl as below, (s - sl) / (n - nl) as above,
+  nl * ({value('nl', 'sl', 'ql')}) + (n - nl) * ({value('(n - nl)', '(s - sl)', '(q - ql)')}) as rest from cum, whole where nxt is not null qualify row_number() over (order by rest, feature, bound) = 1),
+ told as (select id, case when case feature when 'x2' then x2 else x3 end <= bound then below else above end as y from f, cut)"""
+
+
+GINI = lambda n, s, q: f"2 * ({s} / {n}) * (1 - {s} / {n})"
+SPREAD = lambda n, s, q: f"{q} / {n} - ({s} / {n}) * ({s} / {n})"
+
+
+@query("ml_stump", f"with {stump_sql('two', GINI)} select id, cast(y > 0.5 as int) as pred, round(1 - y, 4) as p0, round(y, 4) as p1 from told")
+def ml_stump(spark, d):
+    """A tree of one cut, which SQL can search: every value of two features as a bound."""
+    return classify(spark, d, trees.decision_tree, columns=["x2", "x3"], max_depth=1)
+
+
+@query("ml_stump_regress", f"with {stump_sql('y', SPREAD)} select id, round(y, 5) as pred from told")
+def ml_stump_regress(spark, d):
+    return regress(spark, d, trees.decision_tree_regressor, ["x2", "x3"], max_depth=1)
+
+
+@query("ml_adaboost_round", f"""with {stump_sql('two', GINI)}
+select id, cast(y > 0.5 as int) as pred, round(1 / (1 + exp(case when y > 0.5 then 2.0 else -2.0 end)), 4) as p0, round(1 / (1 + exp(case when y > 0.5 then -2.0 else 2.0 end)), 4) as p1 from told""")
+def ml_adaboost_round(spark, d):
+    """One round: the stump's votes, +1 and -1 whatever its strength."""
+    return classify(spark, d, trees.adaboost, columns=["x2", "x3"], rounds=1)
+
+
+@query("ml_gbt_round", f"with {stump_sql('y', SPREAD)} select id, round(y, 5) as pred from told")
+def ml_gbt_round(spark, d):
+    """The first tree of a boosted regression is the tree of the target."""
+    return regress(spark, d, trees.gradient_boosting_regressor, ["x2", "x3"], rounds=1, max_depth=1)
+
+
+@query("ml_logistic_optimum", "select class, feature, 0.0::double as slope from (select unnest([0, 1]) as class), (select unnest(['x1', 'x2', 'x3']) as feature)")
+def ml_logistic_optimum(spark, d):
+    """The gradient of the penalised likelihood at the fit, per row: zero for every feature and class."""
+    df = assembled(frame(spark, d), "two").persist()
+    fitted = linear.logistic_regression(df)
+    w = fitted.state["model"].coefficients.toArray()
+    x = vector_to_array("features")
+    scored = fitted.score(df).withColumn("x", x)
+    sums = scored.agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col("probability")[1] - F.col("label")) * F.col("x")[i]).alias(f"g{i}") for i in range(3)])
+    rows = F.array(*[F.struct(F.lit(k).alias("class"), F.lit(c).alias("feature"), (F.abs(F.round((2 * k - 1) * (F.col(f"g{i}") + F.lit(float(w[i]))) / F.col("n"), 4)) + 0.0).alias("slope")) for k in (0, 1) for i, c in enumerate(XS)])
+    return sums.select(F.inline(rows))
+
+
+@query("ex_shap_forest", gaps_sql(3))
+def ex_shap_forest(spark, d):
+    df = assembled(frame(spark, d), "three").persist()
+    return shap_gaps(df, trees.random_forest(df), 3)
+
+
+TWO_FOLDED = folds_sql("bin", qcut_sql("y", f"(select id, x1, x2, y from {FRAME})", 10), 5, key="id")
+FOLD_PLANES = f"""(select fold, m1, m2, my, (t1 * s22 - t2 * s12) / (s11 * s22 - s12 * s12) as b1, (t2 * s11 - t1 * s12) / (s11 * s22 - s12 * s12) as b2 from
+ (select k.fold, avg(x1) as m1, avg(x2) as m2, avg(y) as my, var_pop(x1) as s11, var_pop(x2) as s22, covar_pop(x1, x2) as s12, covar_pop(x1, y) as t1, covar_pop(x2, y) as t2
+  from {TWO_FOLDED} f join (select unnest([0, 1, 2, 3, 4]) as fold) k on f.fold <> k.fold group by k.fold))"""
+
+
+@query("cv_oof_five_folds", f"select id, f.fold, 'Linear Regression 1' as model, round(y, 5) as actual, round(my + b1 * (x1 - m1) + b2 * (x2 - m2), 5) as pred from {TWO_FOLDED} f join {FOLD_PLANES} l on f.fold = l.fold")
+def cv_oof_five_folds(spark, d):
+    config = TrainingConfig("id", "y", "regression", [ModelSpec("Linear Regression 1", "Linear Regression")], best_metric="RMSE", higher_is_better=False, features=FeatureOptions())
+    run = train(frame(spark, d).select("id", "x1", "x2", "y"), config, scratch_path(spark, "run"))
+    return run.oof().select("id", "fold", "model", F.round("actual", 5).alias("actual"), F.round("pred", 5).alias("pred"))
+
+
 @query("ex_beeswarm", f"""
 with f as {FRAME}, m as (select {', '.join(f'avg({c}) as m{i}' for i, c in enumerate(XS))} from f),
 a as (select unnest(['x1', 'x2', 'x3']) as feature, unnest([x1, x2, x3]) as value, unnest([3.0::double * (x1 - m0), -4.0::double * (x2 - m1), 1.0::double * (x3 - m2)]) as phi from f, m),

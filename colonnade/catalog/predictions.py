@@ -380,6 +380,28 @@ def pred_data_comparison(spark, d):
     return P.data_comparison(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), min_rows=100)["value_counts"]
 
 
+PRICES = " union all ".join(f"select '{label}' as label, 'o_totalprice' as \"column\", o_totalprice as value from orders where o_orderkey % 2 = {k}" for k, label in ((0, "train"), (1, "test")))
+
+
+def prices(spark, d):
+    o = table(spark, d, "orders").select("o_totalprice", "o_orderkey")
+    return P.data_comparison(o.where("o_orderkey % 2 = 0").drop("o_orderkey"), o.where("o_orderkey % 2 = 1").drop("o_orderkey"))
+
+
+@query("pred_comparison_box", f"""
+with s as ({PRICES}), b as (select label, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.5) as median, quantile_cont(value, 0.75) as q3 from s group by label),
+j as (select s.*, q1, median, q3, value between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) as inside from s join b using (label))
+select label, "column", round(q1, 4) as q1, round(median, 4) as median, round(q3, 4) as q3, count(*) as n, min(value) filter (where inside) as whisker_low,
+ max(value) filter (where inside) as whisker_high, count(*) filter (where not inside) as n_fliers from j group by label, "column", j.q1, j.median, j.q3""")
+def pred_comparison_box(spark, d):
+    return prices(spark, d)["box"].withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3")})
+
+
+@query("pred_comparison_density", kde_sql(f"({PRICES})").replace("round(x, 4)", "round(x, 2)"))
+def pred_comparison_density(spark, d):
+    return prices(spark, d)["kde"].select("label", "column", "i", F.round("x", 2).alias("x"), F.round("density", 9).alias("density"))
+
+
 RANKED = f"""(select id, model, actual, rank() over (partition by model, actual order by proba desc) + (count(*) over (partition by model, actual, proba) - 1) / 2.0 as rk
  from (select id, model, actual, round(proba, 3) as proba from {OOF} where class = actual))"""
 

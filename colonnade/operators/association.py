@@ -168,7 +168,7 @@ def numeric_by_category(
     nums = [c for c in (numeric or numeric_columns(df)) if c != id_col]
     if feature:
         cats, nums = ([feature], nums) if feature in categorical_columns(df) else (cats, [feature])
-    means = all_sample_means(df, id_col, cats, nums, **options)
+    means = stored(all_sample_means(df, id_col, cats, nums, **options), "means")  # four tests read them
     normality = shapiro_wilk(means)
     normal = normality.groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("num_groups"), F.min(shapiro_p(F.col("n"), F.col("w"), F.col("z"))).alias("min_normal_p")

@@ -46,11 +46,14 @@ def test_expected_cells_of_long_lists(spark, monkeypatch, in_one_task):
     assert got["below_one"] == np.searchsorted(nb, -(-total // na), "left").sum()
 
 
-def test_coverage_counts_all_groups(spark):
-    rows = [(g * 100 + i, f"g{g}", float((i * 7919 + g) % 101)) for g in range(250) for i in range(60)]
-    df = spark.createDataFrame(rows, "id long, category string, v double")
-    got = A.numeric_by_category(df, "id", ["category"], ["v"]).first()
-    assert got is None or (got["full_groups"] == "Full") == (got["num_groups"] == 250)
+@pytest.mark.parametrize("short", [0, 3])
+def test_coverage_counts_all_groups(spark, short):
+    """250 groups of 600 rows, of which some may have too few rows for their 20 means of 30."""
+    rows = spark.range(150_000).select("id", (F.col("id") % 250).alias("g"), ((F.col("id") * 7919 + F.floor(F.col("id") / 250) * 31) % 101).cast("double").alias("v"))
+    df = rows.where(f"g >= {short} or id < 75000").select("id", F.concat(F.lit("g"), F.col("g").cast("string")).alias("category"), "v")
+    got = A.numeric_by_category(df, "id", ["category"], ["v"], max_unique=250).collect()
+    assert len(got) == 1 and got[0]["num_groups"] == 250 - short
+    assert (got[0]["full_groups"] == "Full") == (short == 0)
 
 
 def test_ridge_beyond_the_normal_equations(spark, monkeypatch):
