@@ -123,10 +123,10 @@ LONG_KEYS = """orders_keyed as (select o_orderkey, o_orderstatus, case when o_or
  placed as (select o_orderkey, o.key, case when o.key is null and holes = 1 then known else place end as place, known, known + holes as total from orders_keyed o cross join size left join places p on o.key = p.key)"""
 
 
-@F.udf("size long, entries array<long>, total double")
-def sparse_entries(v):
+def sparse_entries(vector):
     """What a sparse vector holds, without making it dense."""
-    return int(v.size), [int(i) for i in v.indices], float(v.values.sum())
+    held = F.udf(lambda v: (int(v.size), [int(i) for i in v.indices], float(v.values.sum())), "size long, entries array<long>, total double")
+    return held(vector)
 
 
 @query("fe_one_hot_long", f"""with {LONG_KEYS}
