@@ -97,6 +97,16 @@ class Aligner:
         self.counts = np.zeros((0, 4), np.int64)
         self.pairs, self.pair_begin, self.pair_size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def keep(self, words: list[str]) -> None:
+        """Forget all words but these."""
+        slots = np.array([self.known[w] for w in words], np.int64)
+        sizes = self.pair_size[slots]
+        begin = np.cumsum(sizes) - sizes
+        self.pairs = self.pairs[np.arange(int(sizes.sum())) + np.repeat(self.pair_begin[slots] - begin, sizes)]
+        self.pair_begin, self.pair_size, self.counts = begin, sizes, self.counts[slots]
+        self.groups = [self.groups[i] for i in slots.tolist()]
+        self.known = dict(zip(words, range(len(words))))
+
     def _a_ids(self, words: list[str]) -> list[list[int]]:
         self.a.reset()
         self.a._learn([" " + w for w in words])
@@ -150,9 +160,7 @@ class Aligner:
         offsets, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
         names = coded.dictionary.to_pylist()
         if len(self.groups) + len(names) > CACHE_WORDS:  # words that came again are worth keeping
-            again = [w for w in names if w in self.known]
-            self.reset()
-            self.known.update(zip(again, self.learn(again).tolist()))
+            self.keep([w for w in names if w in self.known])
         new = [w for w in names if w not in self.known]
         self.known.update(zip(new, self.learn(new).tolist()))
         slots = np.array([self.known[w] for w in names], np.int64)[coded.indices.to_numpy()]

@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colonnade.llm.common import components, fresh, joined_small, left_join_groups, staged
+from colonnade.llm.common import components, fresh, joined_small, left_join_groups, small_batches, staged
 from colonnade.llm.tokens import slices
 
 #: Size of the count sketch: its numbers are all that the driver sees.
 SKETCH_BITS = 19
+#: Bytes of texts that are cut into shingles together; hashing holds some 40 bytes for each.
+SLICE = 1 << 20
 #: Row keys of texts to compare are broadcast up to this many (counted first), shuffled beyond.
 BROADCAST_ROWS = 200_000
 #: Ratio between the size classes in which remaining pairs are looked up.
@@ -114,7 +116,7 @@ def frequency_classes(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for some in slices(batch, 0, size=4 << 20):
+            for some in slices(batch, 0, size=SLICE):
                 total += np.bincount(_bucket(shingles(some.column(0), words)[0]), minlength=len(total))
         there = np.flatnonzero(total)
         for at in range(0, len(there), 1 << 16):
@@ -138,7 +140,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = classes.value.astype(np.uint64) << np.uint64(56), set()
         for batch in batches:
-            for some in slices(batch, 2, size=4 << 20):
+            for some in slices(batch, 2, size=SLICE):
                 tokens, at = shingles(some.column(2), words)
                 sizes, names, odd = [], [], []
                 prefixes: tuple[list, list, list] = ([], [], [])
@@ -173,7 +175,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for some in slices(batch, 1, size=4 << 20):
+            for some in slices(batch, 1, size=SLICE):
                 tokens, at = shingles(some.column(1), words)
                 found = {}
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
@@ -186,7 +188,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
 
     rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     found = joined_small(rows, wanted.select("row"), ["row"], "left_semi", BROADCAST_ROWS)
-    return staged(found.select("row", "text").mapInArrow(whole, "set long, tokens array<long>"), "full_sets")
+    with small_batches(docs.sparkSession):
+        return staged(found.select("row", "text").mapInArrow(whole, "set long, tokens array<long>"), "full_sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
@@ -263,7 +266,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     has `stays` (rows that repeat id and text all have it). Only id and text are read; an empty
     table gives no rows.
     """
-    sets = staged(_sets(docs, id_col, text_col, words, percent), "sets")
+    with small_batches(docs.sparkSession):
+        sets = staged(_sets(docs, id_col, text_col, words, percent), "sets")
     labels = similar_sets(docs, sets, id_col, text_col, words, percent)
     best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "row")).alias("best")
     classes = sets.where("set is not null").groupBy("set").agg(best, F.count(F.lit(1)).alias("size"))

@@ -145,6 +145,8 @@ def pieces(docs: DataFrame, vocabulary: str, end: int, capacity: int, id_col: st
                 crcs = np.fromiter((crc32(ids[a : a + n]) for a, n in zip(begin.tolist(), length.tolist())), np.int64, len(row))
                 arrays = [some.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), *map(pa.array, (start, length, crcs)), pa.array(np.full(len(row), part, np.int32)), pa.array(nth)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        encoder(vocabulary).reset()  # a worker that is used again starts small
+        pa.default_memory_pool().release_unused()
 
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from colonnade.llm.common import joined_small
+from colonnade.llm.common import joined_small, staged
 from colonnade.llm.tokens import crc32, encoder, slices
 
 
@@ -44,6 +44,8 @@ def encoded(docs: DataFrame, vocabulary: str, end: int, id_col: str = "doc_id",
                 before += int(begins[-1])
                 lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([some.column(0), lists, pa.array(sizes, pa.int64()), pa.array(np.full(some.num_rows, part, np.int32)), pa.array(starts, pa.int64())], names=schema.names)
+        encoder(vocabulary).reset()  # a worker that is used again starts small
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(id_col), F.col(text_col)).repartitionByRange(F.col(id_col).asc_nulls_first())
     return rows.sortWithinPartitions(F.col(id_col).asc_nulls_first(), F.col(text_col)).mapInArrow(encode, schema)
@@ -78,7 +80,7 @@ def with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
     """
     totals = files.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_tokens")).alias("_ids"))
     before = totals.select("part", (F.sum("_ids").over(Window.orderBy("part")) - F.col("_ids")).alias("_before"))
-    return joined_small(rows, before, ["part"], "inner").withColumn("start", F.col("_before") + F.col("part_start")).drop("_before", "part_start")
+    return joined_small(rows, staged(before, "before"), ["part"], "inner").withColumn("start", F.col("_before") + F.col("part_start")).drop("_before", "part_start")
 
 
 def token_digests(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker remembers between batches before it starts afresh.
+#: Words that a worker remembers between batches; when there are more, those that came again stay.
 CACHE_WORDS = 400_000
 #: Words of Latin letters with at most one mark behind them: their pre-tokens are known, so the
 #: vocabulary's merges are asked for directly. All other words go through the whole tokenizer.
@@ -62,6 +62,25 @@ class Encoder:
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
+    def keep(self, words: list[str]) -> None:
+        """Forget all words but these, which came again."""
+        slots = np.array([self.known[w] for w in words], np.int64)
+        sizes = self.size[slots]
+        begin = np.cumsum(sizes, dtype=np.int64) - sizes
+        held = self.flat[np.arange(int(sizes.sum())) + np.repeat(self.begin[slots] - begin, sizes)]
+        self.reset()
+        self._room(len(words), len(held))
+        self.flat[: len(held)], self.used = held, len(held)
+        self.begin[: len(words)], self.size[: len(words)] = begin, sizes
+        self.known = dict(zip(words, range(len(words))))
+
+    def _room(self, words: int, ids: int) -> None:
+        while self.used + ids > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while len(self.known) + words > len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
+
     def _learn(self, words: list[str]) -> None:
         """Encode words that are not known yet and file their ids."""
         ids, rest, piece, marks, stems = [None] * len(words), [], self._piece, self.marks, {}
@@ -81,11 +100,7 @@ class Encoder:
                 ids[i] = e.ids
         size = np.fromiter(map(len, ids), np.int32, len(ids))
         total, first = int(size.sum()), len(self.known)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while first + len(words) > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
+        self._room(len(words), total)
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
         self.begin[first : first + len(words)] = self.used + np.cumsum(size) - size
         self.size[first : first + len(words)] = size
@@ -130,7 +145,7 @@ class Encoder:
         offsets, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
         names = [w[1:] if w[:1] == JOINED else f" {w}" for w in coded.dictionary.to_pylist()]
         if len(self.known) + len(names) > CACHE_WORDS:
-            self.reset()
+            self.keep([w for w in names if w in self.known])
         slot = np.array([self.known.get(w, -1) for w in names], np.int32)
         missing, first = np.flatnonzero(slot < 0), len(self.known)
         slot[missing] = np.arange(first, first + len(missing))
