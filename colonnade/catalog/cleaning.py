@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from colonnade.catalog import query, table
+from colonnade.catalog.quality import LINE, REPEATED, repeated_lines
 from colonnade.catalog.quality import DOCS_LABELLED, docs_labelled
 from colonnade.columns import literal_rows
 from colonnade.operators import cleaning as C, splitting as S
@@ -37,6 +38,11 @@ def clean_drop_dups(spark, d):
     return C.drop_duplicate_rows(table(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag"))
 
 
+@query("clean_drop_dups_all", f"select distinct {LINE} from {REPEATED}")
+def clean_drop_dups_all(spark, d):
+    return C.drop_duplicate_rows(repeated_lines(spark, d))
+
+
 @query("clean_merge_dups", "select max(doc_id) as doc_id, text, lang, source, round(avg(n_chars), 6) as n_chars from documents group by text, lang, source")
 def clean_merge_dups(spark, d):
     return C.merge_duplicates(table(spark, d, "documents"), "doc_id", "n_chars").withColumn("n_chars", F.round("n_chars", 6))

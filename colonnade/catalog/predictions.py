@@ -256,6 +256,19 @@ def eval_numeric_slices(spark, d):
     return out.select("column", F.dense_rank().over(W.partitionBy("model").orderBy(order)).alias("bin"), "model", "metric", F.round("value", 4).alias("value"))
 
 
+@query("eval_numeric_slices_two", f"""
+with v as (select o_orderkey as id, unnest(['o_totalprice_binned', 'o_custkey_binned']) as "column", unnest([o_totalprice, o_custkey::double]) as v from orders),
+e as (select "column", quantile_cont(v, [0.25, 0.5, 0.75]) as q from v group by 1),
+s as (select id, v."column", 1 + len(list_filter(q, lambda x: v > x)) as bin from v join e on v."column" = e."column")
+select s."column", cast(bin as int) as bin, model, 'MAE' as metric, round(avg(sqrt({E2})), 4) as value from {REG} r join s on r.id = s.id group by all""")
+def eval_numeric_slices_two(spark, d):
+    """Two numeric columns sliced side by side, each at its own quartiles."""
+    frame = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice", F.col("o_custkey").cast("double").alias("o_custkey"))
+    out = V.numeric_slice_metrics(regression(spark, d), frame, "id", "none", 4, "regression", ["MAE"], ["o_totalprice", "o_custkey"])
+    order = F.expr("try_cast(regexp_extract(category, '[(](.*),', 1) as double)")
+    return out.select("column", F.dense_rank().over(W.partitionBy("column", "model").orderBy(order)).alias("bin"), "model", "metric", F.round("value", 4).alias("value"))
+
+
 @query("eval_runtime", """
 select model, round(avg(fit_seconds), 6) as fit_seconds, round(avg(predict_seconds), 6) as predict_seconds from
  (select o_orderpriority as model, o_totalprice / 100000 as fit_seconds, o_custkey / 1000.0::double as predict_seconds from orders) group by model""")

@@ -71,6 +71,28 @@ def dq_duplicate_rows(spark, d):
     return Q.duplicate_rows(table(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag"))
 
 
+LINE = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+REPEATED = f"(select {LINE} from lineitem union all select {LINE} from lineitem where l_orderkey % 7 = 0)"
+
+
+def repeated_lines(spark, d):
+    """The whole table with all its columns, a seventh of it twice."""
+    lines = table(spark, d, "lineitem")
+    return lines.unionByName(lines.where("l_orderkey % 7 = 0"))
+
+
+@query("dq_duplicate_rows_all", f"select * from (select {LINE}, count(*) over (partition by {LINE}) as n from {REPEATED}) where n > 1")
+def dq_duplicate_rows_all(spark, d):
+    return Q.duplicate_rows(repeated_lines(spark, d))
+
+
+@query("dq_duplicate_summary_all", f"""
+select count(*) as n_groups, cast(coalesce(sum(n), 0) as bigint) as n_rows, cast(coalesce(sum(n - 1), 0) as bigint) as n_redundant
+from (select {LINE}, count(*) as n from {REPEATED} group by all having count(*) > 1)""")
+def dq_duplicate_summary_all(spark, d):
+    return Q.duplicate_summary(repeated_lines(spark, d))
+
+
 @query("dq_duplicate_features", """
 select * from (select *, count(*) over (partition by text, lang, source) as n from documents) where n > 1""")
 def dq_duplicate_features(spark, d):
