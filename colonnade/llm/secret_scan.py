@@ -45,7 +45,8 @@ BASE = (
 )
 # Published token formats.
 ADDED = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    # the whole block where its END line follows, else the header
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,8}-----END [A-Z ]{0,20}PRIVATE KEY-----)?"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
@@ -188,9 +189,3 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
 
     cleaned = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
     return found.withColumn(text_col, F.when(F.size(spans) > 0, cleaned).otherwise(text)).drop(spans)
-
-
-def rule_names() -> list[str]:
-    return [r.kind for r in RULES]
-
-

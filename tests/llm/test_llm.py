@@ -564,3 +564,13 @@ def test_address_parts_of_thousands_of_zeros(spark):
     texts = ["0" * 6_000 + "7.1.2.3", "1." + "0" * 5_000 + ".2.3 x", "1.2.3." + "9" * 5_000]
     found = {r["doc_id"]: r for r in pii.scan_pii(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), pii.Crf().fit([])).collect()}
     assert [found[i]["n_ip"] for i in range(3)] == [1, 1, 0]
+
+
+def test_spans_of_private_keys_are_whole_blocks(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "aB3+/" * 9] * 3)
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [f"x {head}\n{body}\n{tail} y", f"{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{body}\n{tail}", f"{head}\n{body} cut", f"{head}{head}\n{body}\n{tail}"]
+    rows = secret_scan.secret_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s.startswith("private_key")] for r in rows}
+    assert got[0] == [(2, len(texts[0]) - 2)] and got[1] == [(0, len(texts[1]))] and got[2] == [(0, len(head))]
+    assert got[3] == [(0, len(head)), (len(head), len(texts[3]))]
