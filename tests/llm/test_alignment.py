@@ -114,3 +114,14 @@ def test_empty_and_long_texts(spark):
     assert rows[0] == rows[1] and rows[2] == (0, 0, 0, 0, 0, 0, "") and rows[3][0] > rows[0][0] and rows[4][2] >= 1
     groups = alignment.aligned(frame(spark, ["a b"]), A, B, groups=True).select(F.col("groups")).first()[0]
     assert groups.count("|") == 2
+
+
+def test_a_full_store_keeps_what_came_again(monkeypatch):
+    own, small = alignment.Aligner(A, B), alignment.Aligner(A, B)
+    for i in range(20):
+        texts = pa.array([f"a b c{i} d{i}", f"b a e{i % 3}", "x  y"])
+        monkeypatch.setattr(alignment, "CACHE_WORDS", 10**9)
+        want = own.align(texts)
+        monkeypatch.setattr(alignment, "CACHE_WORDS", 14)
+        got = small.align(texts)
+        assert got[1] == want[1] and all((a == b).all() for a, b in zip((got[0], *got[2:]), (want[0], *want[2:])))
