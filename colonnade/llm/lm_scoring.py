@@ -1,9 +1,9 @@
 """Language-model scoring of whole texts, beside a word-unigram base.
 
 Texts are encoded once and written as subword ids with their distinct words. Word and id counts are
-taken over all training rows. The attention model learns by averaged local steps: each round, every task goes on from the same
-weights over its own share of the training windows (one in `SHARE`, another one each round), and
-the tasks' weights are averaged, weighted by the ids they saw; so what is learnt from grows with the corpus.
+taken over all training rows. The attention model learns from every window of every training row by
+averaged local steps: the windows are dealt over `ROUNDS` rounds, each once; in a round every task goes on
+from the same weights over its own windows, and the tasks' weights are averaged, weighted by the ids they saw.
 
 For the base score, words above a share of the corpus (so a bounded number of them) are looked up
 by hash in the task; only the others meet their counts by a join, where no key can be hot.
@@ -28,8 +28,7 @@ from colonnade.llm import attention
 from colonnade.llm.common import small_batches, staged, uncollected
 from colonnade.llm.tokens import slices
 
-#: Of a training text's windows one in this many is learnt from in a round.
-SHARE = 16
+#: Rounds between which weights are averaged; every training window is learnt from in one of them.
 ROUNDS = 2
 #: Words with at least one in this many of all words (so at most this many) are looked up in the task.
 FREQUENT_WORDS = 3_000_000
@@ -150,10 +149,20 @@ def encoded(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col: str
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """`word`, `n` (in all rows), `c` (in rows that are learnt from)."""
-    each = rows.select("held_out", F.explode(F.arrays_zip("words", "times")).alias("_w"))
-    times = F.col("_w.times")
-    return each.groupBy(F.col("_w.words").alias("word")).agg(F.sum(times).alias("n"), F.sum(F.when(F.col("held_out"), 0).otherwise(times)).alias("c"))
+    """`word`, `n` (in all rows), `c` (in rows that are learnt from). The words of a batch are added up
+    before they are shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, begins, words in in_pieces(batch, 1):
+                coded = words.dictionary_encode()
+                index, times = coded.indices.to_numpy(), some.column(2).flatten().to_numpy()
+                learnt = np.repeat(~some.column(0).to_numpy(zero_copy_only=False), np.diff(begins))
+                sums = [np.bincount(index, t, len(coded.dictionary)).astype(np.int64) for t in (times, times * learnt)]
+                yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), *map(pa.array, sums)], names=["word", "n", "c"])
+
+    each = rows.select("held_out", "words", "times").mapInArrow(count, "word string, n long, c long")
+    return each.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
 def base_scores(rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -245,7 +254,7 @@ def learn(rows: DataFrame, size: int) -> tuple[attention.Vocabulary, np.ndarray]
                 for some, begins, ids in in_pieces(batch, 1):
                     first, end, number = attention.windows(begins)
                     of_text = np.searchsorted(begins, first, "right") - 1
-                    dealt = (some.column(0).to_numpy()[of_text] * 7 + number) % SHARE == turn % SHARE
+                    dealt = (some.column(0).to_numpy()[of_text] + number) % ROUNDS == turn
                     learner.add(ids.to_numpy(), begins, first[dealt], end[dealt], number[dealt])
             learner.learn(True)
             if learner.seen:
@@ -288,7 +297,7 @@ def scored(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col: str =
     """
     with small_batches(docs.sparkSession):
         rows = staged(encoded(docs, pieces, id_col, text_col), "encoded")
-    counts = staged(word_counts(rows), "word_counts")
+        counts = staged(word_counts(rows), "word_counts")
     model = learn(rows, subwords(pieces).size)
     with small_batches(docs.sparkSession):
         found = staged(model_scores(rows, *model), "scores")

@@ -152,3 +152,14 @@ def test_a_full_store_keeps_what_came_again(monkeypatch):
         got = small.encode(begins, coded)
         assert all((a == b).all() for a, b in zip(got, want)) and len(small.known) <= 12
     assert {"a", "b"} <= set(small.known)
+
+
+def test_every_training_window_is_learnt_from(spark, monkeypatch):
+    """Over the rounds each id of a training row is a target once; ids of held-out rows never are."""
+    seen, added = [], lm_scoring._added
+    monkeypatch.setattr(lm_scoring, "_added", lambda found: seen.append(added(found)) or seen[-1])
+    texts = ["a", "", None, "the cat sat on the mat " * 40, "one two three " * 9]
+    rows = common.staged(lm_scoring.encoded(frame(spark, list(enumerate(texts * 6))).repartition(3), PIECES), "encoded")
+    lm_scoring.learn(rows, 32_000)
+    want = sum(len(r["ids"]) for r in rows.where("not held_out").collect())
+    assert sum(n for _, n in seen) == want and all(n > 0 for _, n in seen)
