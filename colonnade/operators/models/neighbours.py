@@ -4,8 +4,9 @@ Small training sets (checked by count) travel to the tasks whole. Larger ones ar
 cells around pivots, as in the block nearest-neighbour join of Lu et al. (2012), with a second
 level of pivots above: triangle-inequality bounds say which groups and which of their cells can
 hold a neighbour of a query. There are as many cells as the rows need, and cells are cut into tiles of
-bounded size, so no task ever holds a whole hot cell. For wide vectors, where such bounds
-exclude little, there are random projections.
+bounded size, so no task ever holds a whole hot cell. Where the bounds exclude little (wide
+vectors), cells are merged, so that a query is copied to a few large ones rather than to most of
+many; comparing is then quadratic, in bounded memory. Random projections are the other way.
 """
 
 from __future__ import annotations
@@ -26,27 +27,58 @@ SMALL_CELLS = 2_000_000  # training rows x features that may travel to every tas
 OUTPUT = "query_id bigint, neighbour_id bigint, distance double"
 
 
+#: Numbers of one side that a task holds to compare, and rows that are compared at once.
+TILE_CELLS, QUERY_ROWS, POINT_ROWS = 4_000_000, 1_024, 4_096
+#: Cells that a query meets on the mean before cells are merged, as counted on some queries; tiles
+#: of one side of a cell before they grow.
+COPIES, SAMPLE, TILES = 24, 1_000, 4
+#: Rows whose distances to all centres are held at once, and copies that are made at once.
+PLACE_ROWS, CANDIDATES = 256, 20_000
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-    return np.sqrt(np.maximum(square, 0))
+    square = a @ b.T
+    square *= -2
+    square += (a * a).sum(1)[:, None]
+    square += (b * b).sum(1)[None, :]
+    np.maximum(square, 0, out=square)
+    return np.sqrt(square, out=square)
+
+
+def exact_distances(queries: np.ndarray, points: np.ndarray, q: np.ndarray, t: np.ndarray, rows: int = 1 << 16) -> np.ndarray:
+    """Of pairs of rows, by plain subtraction, some at a time."""
+    parts = [np.sqrt(((queries[q[s:s + rows]] - points[t[s:s + rows]]) ** 2).sum(1)) for s in range(0, len(q), rows)]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def best_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int) -> pd.DataFrame:
     """The k nearest points of each query, ties to the smallest id.
 
-    The matrix product only shortlists (with a tolerance); the shortlisted distances are
-    recomputed by plain subtraction.
+    Points are looked at in pieces, and only the k nearest so far are kept. The matrix product only
+    shortlists (with a tolerance); the shortlisted distances are recomputed by plain subtraction.
     """
-    rough = distances(queries, points)
-    kth = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+    n = len(queries)
     slack = 1e-6 * (1 + np.abs(points).max() + np.abs(queries).max())
-    q, t = np.nonzero(rough <= (kth + slack)[:, None])
-    exact = np.sqrt(((queries[q] - points[t]) ** 2).sum(1))
-    order = np.lexsort((ids[t], exact, q))
-    q, t, exact = q[order], t[order], exact[order]
-    first = np.searchsorted(q, q, side="left")
-    keep = np.arange(len(q)) - first < k
-    return pd.DataFrame({"query_id": query_ids[q[keep]], "neighbour_id": ids[t[keep]], "distance": exact[keep]})
+    limit = np.full(n, np.inf)
+    q, t, exact = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for start in range(0, len(points), POINT_ROWS):
+        part = points[start:start + POINT_ROWS]
+        rough = distances(queries, part)
+        if start == 0 and len(part) >= k:
+            limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack
+        found, at = np.nonzero(rough <= limit[:, None])
+        if not len(found):
+            continue
+        at += start
+        q, t, exact = np.concatenate([q, found]), np.concatenate([t, at]), np.concatenate([exact, exact_distances(queries, points, found, at)])
+        order = np.lexsort((ids[t], exact, q))
+        q, t, exact = q[order], t[order], exact[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        last = place == k - 1
+        limit[q[last]] = np.minimum(limit[q[last]], exact[last] + slack)
+        keep = place < k
+        q, t, exact = q[keep], t[keep], exact[keep]
+    return pd.DataFrame({"query_id": query_ids[q], "neighbour_id": ids[t], "distance": exact})
 
 
 def small_neighbours(train: pd.DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -54,8 +86,8 @@ def small_neighbours(train: pd.DataFrame, queries: DataFrame, k: int) -> DataFra
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), 1024):
-                part = batch.iloc[start:start + 1024]
+            for start in range(0, len(batch), QUERY_ROWS):
+                part = batch.iloc[start:start + QUERY_ROWS]
                 yield best_k(part["id"].to_numpy(), np.stack(part["x"].to_numpy()), ids, points, k)
 
     return queries.mapInPandas(search, OUTPUT)
@@ -71,6 +103,10 @@ class Pivots:
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Group and cell of every point, and its distance to the centre of either."""
+        parts = [self._place(x[s:s + PLACE_ROWS]) for s in range(0, len(x), PLACE_ROWS)]
+        return tuple(np.concatenate(p) for p in zip(*parts))
+
+    def _place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         to_tops = distances(x, self.tops)
         group = to_tops.argmin(1)
         cell, r = np.empty(len(x), np.int64), np.empty(len(x))
@@ -171,9 +207,17 @@ def search_tiles(placed: DataFrame, wanted: DataFrame, k: int, tile: int) -> Dat
 
     A cell is cut into tiles of about `tile` rows on both sides, by its own counts, so a row is
     copied as often as the other side of its cells has tiles: while cells keep their size,
-    copies do not grow with the tables.
+    copies do not grow with the tables. The tiles of a larger cell grow with it, so that there are
+    TILES of them, until a task holds TILE_CELLS numbers of a side.
     """
-    tiles = lambda df, out: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias(out))
+    first = placed.select(F.size("x").alias("n")).first()
+    most = max(tile, TILE_CELLS // max(first["n"], 1) if first else tile)
+
+    def tiles(df: DataFrame, out: str) -> DataFrame:
+        n = F.count(F.lit(1))
+        size = F.greatest(F.lit(tile), F.least(F.ceil(n / F.lit(TILES)), F.lit(most)))
+        return df.groupBy("cell").agg(F.ceil(n / size).cast("int").alias(out))
+
     table = stored(tiles(placed, "t_tiles").join(tiles(wanted, "q_tiles"), "cell"), "tiles")
     deal = lambda df, own, other: df.join(broadcast_checked(table), "cell").select(
         "id", "x", "cell", F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
@@ -185,7 +229,7 @@ def search_tiles(placed: DataFrame, wanted: DataFrame, k: int, tile: int) -> Dat
         ids, points = right["id"].to_numpy(), np.stack(right["x"].to_numpy())
         return pd.concat([
             best_k(part["id"].to_numpy(), np.stack(part["x"].to_numpy()), ids, points, k)
-            for part in (left.iloc[s:s + 1024] for s in range(0, len(left), 1024))
+            for part in (left.iloc[s:s + QUERY_ROWS] for s in range(0, len(left), QUERY_ROWS))
         ])
 
     found = deal(wanted, "q_tiles", "t_tiles").groupBy(*keys).cogroup(deal(placed, "t_tiles", "q_tiles").groupBy(*keys)).applyInPandas(search, OUTPUT)
@@ -193,8 +237,26 @@ def search_tiles(placed: DataFrame, wanted: DataFrame, k: int, tile: int) -> Dat
     return found.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k).drop("_r")
 
 
+def merged_cells(bounds: Bounds, pivots: Pivots, sample: np.ndarray, sizes: np.ndarray, k: int, most: int) -> tuple[np.ndarray, int]:
+    """Per cell the number of the merged cell that takes it in, and about how many rows these hold (0:
+    cells stay as they are). Runs of cells, group by group, are doubled until a sampled query meets
+    at most COPIES of them on the mean, or a run holds `most` rows."""
+    order = np.concatenate(pivots.members)
+    held = np.empty(len(order), np.int64)
+    held[order] = np.cumsum(sizes[order]) - sizes[order]  # rows of the cells before it
+    parts = [bounds.cells_of(sample[s:s + PLACE_ROWS], pivots, k) for s in range(0, len(sample), PLACE_ROWS)]
+    met = [(q + i * PLACE_ROWS, c) for i, (q, c) in enumerate(parts)]
+    q, c = (np.concatenate(p) for p in zip(*met)) if met else (np.zeros(0, int), np.zeros(0, int))
+    merged, rows, total = np.arange(len(order)), 0, int(sizes.sum())
+    while len(q) and len(np.unique(q * len(order) + merged[c])) > COPIES * len(sample) and rows < min(most, total):
+        rows = min(2 * (rows or max(1, total // len(order))), most)
+        merged = np.unique(held // rows, return_inverse=True)[1]
+    return merged, rows
+
+
 def tiled_neighbours(train: DataFrame, queries: DataFrame, k: int, n_train: int, pivots: int | None, tile: int) -> DataFrame:
-    """Exact neighbours by cells: as many of them as give cells of about half a tile."""
+    """Exact neighbours by cells: as many of them as give cells of about half a tile, fewer where the
+    bounds would send a query to most of them."""
     chosen = choose_pivots(train, min(pivots or max(64, 2 * n_train // tile), MAX_CELLS, n_train))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,18 +266,28 @@ def tiled_neighbours(train: DataFrame, queries: DataFrame, k: int, n_train: int,
                 yield batch.assign(cell=cell, group=group, r_top=r_top, r=r)
 
     placed = stored(train.mapInPandas(assign, f"{PLACED}, group bigint, r_top double, r double"), "placed")
-    bounds = fit_bounds(placed, chosen, k)
+    bounds, sizes = fit_bounds(placed, chosen, k), np.zeros(len(chosen.centres), np.int64)
+    for r in placed.groupBy("cell").count().collect():
+        sizes[r["cell"]] = r["count"]
+    # how many cells some queries meet only says how cells are laid out; results are exact whatever it is
+    some = [r["x"] for r in queries.orderBy(shuffle_hash("id"), "id").limit(SAMPLE).select("x").collect()]
+    merged, rows = merged_cells(bounds, chosen, np.array(some, float).reshape(len(some), -1), sizes, min(k, n_train), max(tile, TILE_CELLS // max(chosen.centres.shape[1], 1)))
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), 1024):
-                part = batch.iloc[start:start + 1024]
+            for start in range(0, len(batch), PLACE_ROWS):
+                part = batch.iloc[start:start + PLACE_ROWS]
                 q, c = bounds.cells_of(np.stack(part["x"].to_numpy()), chosen, min(k, n_train))
-                if len(q):
-                    yield part.iloc[q].assign(cell=c)
+                q, c = np.divmod(np.unique(q * len(merged) + merged[c]), len(merged))
+                for at in range(0, len(q), CANDIDATES):
+                    yield part.iloc[q[at:at + CANDIDATES]].assign(cell=c[at:at + CANDIDATES])
 
     wanted = stored(queries.mapInPandas(candidates, PLACED), "wanted")
-    return search_tiles(placed.select("id", "x", "cell"), wanted, k, tile)
+    points = placed.select("id", "x", "cell")
+    if rows:
+        numbers = train.sparkSession.createDataFrame(list(enumerate(merged.tolist())), "cell bigint, _merged bigint")
+        points = points.join(F.broadcast(numbers), "cell").select("id", "x", F.col("_merged").alias("cell"))
+    return search_tiles(points, wanted, k, max(tile, rows))
 
 
 def approximate_neighbours(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from colonnade.columns import col
 from colonnade.operators.models.common import LABEL, Scored, Table, argmax, class_count, scorer, with_array
-from colonnade.operators.models.neighbours import SMALL_CELLS, best_k, nearest_neighbours
+from colonnade.operators.models.neighbours import QUERY_ROWS, SMALL_CELLS, best_k, nearest_neighbours
 from colonnade.session import scratch_path
 
 
@@ -34,8 +34,8 @@ def by_lookup(state: dict, rows: DataFrame) -> DataFrame:
     def near_labels(x: pd.Series) -> pd.Series:
         """Class shares, or the mean alone, of the k nearest rows."""
         out = []
-        for start in range(0, len(x), 1024):
-            part = np.stack(x.iloc[start:start + 1024].to_numpy())
+        for start in range(0, len(x), QUERY_ROWS):
+            part = np.stack(x.iloc[start:start + QUERY_ROWS].to_numpy())
             # ties go to the smaller id, so rows are numbered in the order of their ids
             near = best_k(np.arange(len(part)), part, np.arange(len(points)), points, k)
             found, of = labels[near["neighbour_id"].to_numpy()], near["query_id"].to_numpy()

@@ -149,6 +149,24 @@ def test_copies_do_not_grow_with_both_sides(spark, monkeypatch):
     assert c2 > 2 * c1 and t2 < 1.5 * t1 + 0.5 and q2 / n2 < 1.5 * q1 / n1 and q2 / n2 < 20
 
 
+def test_wide_vectors_meet_few_merged_cells(spark, monkeypatch):
+    """Where bounds exclude little, a query is copied to a few merged cells, in bounded batches; still exact."""
+    seen, search = [], N.search_tiles
+
+    def watched(placed, wanted, k, tile):
+        seen.append((wanted.count(), placed.select("cell").distinct().count()))
+        return search(placed, wanted, k, tile)
+
+    monkeypatch.setattr(N, "search_tiles", watched)
+    draw = np.random.RandomState(5)
+    x, q = draw.normal(size=(4_000, 24)), draw.normal(size=(200, 24))
+    x[500:900] = x[500]  # a hot point
+    got = N.nearest_neighbours(point_frame(spark, x), point_frame(spark, q, 10**6), "id", "x", 4, small_cells=0, tile=40).collect()
+    want = [pair for i, v in enumerate(q) for pair in brute_neighbours(np.arange(4_000), x, 10**6 + i, v, 4)]
+    assert sorted((r["query_id"], r["neighbour_id"]) for r in got) == sorted(want)
+    assert seen[0][0] <= 1.2 * N.COPIES * len(q) and seen[0][1] > 1
+
+
 @pytest.mark.parametrize(("n", "k"), [(1, 5), (3, 5), (40, 7)])
 def test_few_rows_in_cells(spark, n, k):
     draw = np.random.RandomState(n)
