@@ -167,6 +167,21 @@ def test_wide_vectors_meet_few_merged_cells(spark, monkeypatch):
     assert seen[0][0] <= 1.2 * N.COPIES * len(q) and seen[0][1] > 1
 
 
+def test_a_large_cell_has_few_tiles(spark, monkeypatch):
+    """Copies within a cell do not grow with its rows; tiles do, up to what a task may hold."""
+    draw = np.random.RandomState(6)
+    x, q = draw.normal(size=(3_000, 3)), draw.normal(size=(1_500, 3))
+    placed, wanted = (point_frame(spark, m, start).withColumn("cell", F.lit(7).cast("long")) for m, start in ((x, 0), (q, 10**6)))
+    tables, store = [], N.stored
+    monkeypatch.setattr(N, "stored", lambda df, label: tables.append(store(df, label)) or tables[-1])
+    for most, tiles in ((4_000_000, (4, 4)), (900, (10, 5))):
+        monkeypatch.setattr(N, "TILE_CELLS", most)
+        got = N.search_tiles(placed, wanted, 3, 10).where("query_id < 1000020").collect()
+        assert tuple(tables[-1].select("t_tiles", "q_tiles").first()) == tiles
+        want = [pair for i, v in enumerate(q[:20]) for pair in brute_neighbours(np.arange(3_000), x, 10**6 + i, v, 3)]
+        assert sorted((r["query_id"], r["neighbour_id"]) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize(("n", "k"), [(1, 5), (3, 5), (40, 7)])
 def test_few_rows_in_cells(spark, n, k):
     draw = np.random.RandomState(n)
