@@ -182,6 +182,21 @@ def test_a_large_cell_has_few_tiles(spark, monkeypatch):
         assert sorted((r["query_id"], r["neighbour_id"]) for r in got) == sorted(want)
 
 
+def test_nearest_points_are_looked_at_in_pieces(monkeypatch):
+    """No more distances at once than a piece has; ties across pieces go to the smaller id."""
+    draw, held, plain = np.random.RandomState(7), [], N.distances
+    x, q = draw.normal(size=(500, 3)), draw.normal(size=(50, 3))
+    x[100:400] = x[100]
+    ids = draw.permutation(500)
+    monkeypatch.setattr(N, "POINT_ROWS", 64)
+    monkeypatch.setattr(N, "distances", lambda a, b: held.append(len(a) * len(b)) or plain(a, b))
+    for k in (1, 5, 600):
+        got = N.best_k(np.arange(50), q, ids, x, k)
+        want = [pair for i, v in enumerate(q) for pair in brute_neighbours(ids, x, i, v, k)]
+        assert list(zip(got["query_id"], got["neighbour_id"])) == want
+    assert max(held) <= 64 * 50
+
+
 @pytest.mark.parametrize(("n", "k"), [(1, 5), (3, 5), (40, 7)])
 def test_few_rows_in_cells(spark, n, k):
     draw = np.random.RandomState(n)
