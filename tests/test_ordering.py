@@ -128,3 +128,17 @@ def test_samples_refine_their_cut_off(spark, monkeypatch, groups):
 def test_digits_follow_the_rows():
     for rows in (0, 1, 10**6, 10**8, 10**10, 10**12):
         assert rows / 16 ** O.hash_digits(rows) <= O.BUCKET_ROWS
+
+
+def test_large_tables_are_dealt_out(spark, tmp_path):
+    """By rows, whatever the splits are: here one file that a single task would read."""
+    from colonnade.session import spread
+
+    spark.range(5_000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    sizes = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes(spread(one, fill=False, rows=5_000))) == 1
+    cut = sizes(spread(one, rows=100))
+    assert sum(cut) == 5_000 and len(cut) == 50 and max(cut) < 200
+    assert len(sizes(spread(one))) == spark.sparkContext.defaultParallelism
+    assert sizes(spread(one.where("id < 0"))) == []
