@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colonnade.columns import col
 from colonnade.operators.ordering import prefix_sum, quantiles, range_edges
+from colonnade.session import more_partitions, shuffled_tasks, stored
 
 
 def keys(by: Sequence[str]) -> list[Column]:
@@ -103,8 +104,17 @@ def ranking_scores(scored: DataFrame, by: Sequence[str] = (), buckets: int | Non
 
     AUC is the Mann-Whitney share of (positive, negative) pairs in the right order, ties
     one half; average precision is the sum of (R_n - R_n-1) P_n over distinct thresholds,
-    highest first. Both are null where a class is absent.
+    highest first. Both are null where a class is absent. More scores than the set number of
+    tasks should take are ranked at once, by more tasks, and the result is stored.
     """
+    spark, rows = scored.sparkSession, scored.count()
+    if shuffled_tasks(spark, rows) == shuffled_tasks(spark, 0):
+        return _ranking_scores(scored, by, buckets)
+    with more_partitions(spark, rows):
+        return stored(_ranking_scores(scored, by, buckets), "rankings")
+
+
+def _ranking_scores(scored: DataFrame, by: Sequence[str], buckets: int | None) -> DataFrame:
     counts = score_counts(scored, by).withColumn("n", F.col("pos") + F.col("neg"))
     walked = prefix_sum(
         counts, "score", {"pos": "pos_below", "n": "n_below"}, by, edges=range_edges(scored, "score", buckets),

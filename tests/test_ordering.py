@@ -142,3 +142,17 @@ def test_large_tables_are_dealt_out(spark, tmp_path):
     assert sum(cut) == 5_000 and len(cut) == 50 and max(cut) < 200
     assert len(sizes(spread(one))) == spark.sparkContext.defaultParallelism
     assert sizes(spread(one.where("id < 0"))) == []
+
+
+def test_many_scores_are_ranked_by_more_tasks(spark, monkeypatch):
+    from colonnade import session
+    from colonnade.operators import metrics as M
+
+    rows = spark.range(4_000).select((F.col("id") % 2).alias("model"), (F.pmod(F.xxhash64("id"), F.lit(997)) / 997).alias("score"), (F.col("id") % 3 == 0).alias("hit"))
+    told = lambda: {r["model"]: (round(r["ROC AUC"], 12), round(r["Avg Precision"], 12)) for r in M.ranking_scores(rows, ["model"]).collect()}
+    seen, store = [], M.stored
+    monkeypatch.setattr(M, "stored", lambda df, label: seen.append(int(spark.conf.get(session.SHUFFLE))) or store(df, label))
+    few, before = told(), spark.conf.get(session.SHUFFLE)
+    assert not seen
+    monkeypatch.setattr(session, "SHUFFLED_ROWS", 100)
+    assert told() == few and seen == [40] and spark.conf.get(session.SHUFFLE) == before and spark.conf.get(session.COALESCE) == "true"
