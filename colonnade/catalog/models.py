@@ -18,7 +18,7 @@ from colonnade.plans.cleaning import CleaningOptions, CleaningPlan
 from colonnade.plans.features import FeatureOptions, FeaturePlan
 from colonnade.plans.training import ModelSpec, TrainingConfig, TrainingRun, best_models, train
 from colonnade.operators.shapley import tree_parts as explained_parts
-from colonnade.session import scratch_path
+from colonnade.session import scratch_path, spread
 from colonnade.sources import tables as S
 from colonnade.sources.models import load_model, save_model
 
@@ -27,7 +27,7 @@ XS = ["x1", "x2", "x3"]
 
 def frame(spark, d):
     u = unit("id", F.lit("u"))
-    orders = table(spark, d, "orders")
+    orders = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"), fill=False, rows=250_000)
     base = orders.select(
         F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 100000).alias("x1"), (F.month("o_orderdate") / 12).alias("x2"),
         ((F.col("o_custkey") % 10) / 10).alias("x3"))
