@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,6 +23,7 @@ from colonnade.operators.models.common import FEATURES, Scored, argmax
 from colonnade.session import scratch_path
 
 TABLE_FEATURES = 10  # leaves with more features on their path are not tabulated by branch pattern
+KEPT_CELLS = 8_000_000  # numbers of known patterns that a task keeps
 
 
 def node_table(df: DataFrame, model) -> pd.DataFrame:
@@ -67,6 +69,18 @@ class Part:
     def feature(self, coordinate: int) -> int:
         return coordinate if self.usable is None else self.usable[coordinate]
 
+    def bounds(self) -> dict[int, np.ndarray | None]:
+        """Per coordinate that the trees cut in, all its bounds in order; None where they cut by categories."""
+        cuts: dict[int, set | None] = {}
+        for _, coordinates, conditions, _ in self.leaves:
+            for f, steps in zip(coordinates, conditions):
+                for cut, categories, _ in steps:
+                    if categories != -1:
+                        cuts[f] = None
+                    elif cuts.setdefault(f, set()) is not None:
+                        cuts[f].add(cut[0])
+        return {f: None if c is None else np.array(sorted(c)) for f, c in sorted(cuts.items())}
+
 
 def class_shares(node) -> np.ndarray:
     stats = np.array(node.stats, float)
@@ -107,6 +121,20 @@ def follows(x: np.ndarray, conditions) -> np.ndarray:
     return ok
 
 
+def codes(at: np.ndarray, bounds: dict[int, np.ndarray | None]) -> np.ndarray:
+    """Per row and bounded coordinate the interval that it falls into (the value itself for categories)."""
+    return np.stack([at[:, f] if b is None else np.searchsorted(b, at[:, f]).astype(float) for f, b in bounds.items()], 1) if bounds else np.zeros((len(at), 0))
+
+
+def patterns(at: np.ndarray, bounds: dict[int, np.ndarray | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of every pattern of intervals, pattern of every row)."""
+    number = np.zeros(len(at), np.int64)
+    for column in codes(at, bounds).T:
+        values, code = np.unique(column, return_inverse=True)
+        number = np.unique(number * len(values) + code, return_inverse=True)[1]
+    return np.unique(number, return_index=True, return_inverse=True)[1:]
+
+
 def shares_of_leaf(hits: list[np.ndarray], ratios: Sequence[float]) -> list[np.ndarray]:
     """The share of a leaf's value that each of its features gets, per row of branch hits.
 
@@ -135,36 +163,59 @@ def branch_table(ratios: Sequence[float]) -> np.ndarray:
 
 
 class Explainer:
-    """Path-dependent tree Shapley values of batches of rows (rows x features x outputs)."""
+    """Path-dependent tree Shapley values of batches of rows (rows x features x outputs).
+
+    Rows that fall into the same intervals between the bounds of a part's trees follow the same
+    branches, so values are computed per pattern of intervals and kept for later batches.
+    """
 
     def __init__(self, parts: list[Part], outputs: int):
         self.parts, self.outputs = parts, outputs
         self.tables = [[branch_table(r) if 0 < len(r) <= TABLE_FEATURES else None for _, _, _, r in part.leaves] for part in parts]
+        self.bounds = [part.bounds() for part in parts]
+        self.known: list[tuple[dict[bytes, int], np.ndarray]] = []
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         phi = np.zeros((len(x), x.shape[1], self.outputs))
-        for part, tables in zip(self.parts, self.tables):
+        if not self.known:
+            self.known = [({}, np.zeros((0, *phi.shape[1:]))) for _ in self.parts]
+        for i, part in enumerate(self.parts):
             at = part.coordinates(x)
-            seen: dict[tuple, np.ndarray] = {}
-            for (value, features, conditions, ratios), table in zip(part.leaves, tables):
-                if not features:
-                    continue
-                hits = []
-                for f, c in zip(features, conditions):
-                    if (f, c) not in seen:
-                        seen[f, c] = follows(at[:, f], c)
-                    hits.append(seen[f, c])
-                if table is None:
-                    shares = shares_of_leaf([h.astype(float) for h in hits], ratios)
-                else:
-                    pattern = np.zeros(len(x), np.int64)
-                    for j, h in enumerate(hits):
-                        pattern |= h.astype(np.int64) << j
-                    shares = table[pattern].T
-                for f, share in zip(features, shares):
-                    target = phi[:, part.feature(f), :]
-                    for c in np.flatnonzero(value):
-                        target[:, c] += share * value[c]
+            first, pattern = patterns(at, self.bounds[i])
+            names, held = self.known[i]
+            keys = [row.tobytes() for row in codes(at[first], self.bounds[i])]
+            new = [j for j, key in enumerate(keys) if key not in names]
+            if new and (len(names) + len(new)) * phi[0].size * len(self.parts) > KEPT_CELLS:  # start afresh
+                names, held, new = {}, held[:0], range(len(keys))
+            if len(new):
+                names.update((keys[j], len(held) + n) for n, j in enumerate(new))
+                self.known[i] = names, held = names, np.concatenate([held, self.explain(i, at[first[np.array(new)]], x.shape[1])])
+            phi += held[np.array([names[key] for key in keys], np.int64)][pattern]
+        return phi
+
+    def explain(self, number: int, at: np.ndarray, features: int) -> np.ndarray:
+        """Of one part, for rows of its coordinates."""
+        part, phi = self.parts[number], np.zeros((len(at), features, self.outputs))
+        seen: dict[tuple, np.ndarray] = {}
+        for (value, coordinates, conditions, ratios), table in zip(part.leaves, self.tables[number]):
+            if not coordinates:
+                continue
+            hits = []
+            for f, c in zip(coordinates, conditions):
+                if (f, c) not in seen:
+                    seen[f, c] = follows(at[:, f], c)
+                hits.append(seen[f, c])
+            if table is None:
+                shares = shares_of_leaf([h.astype(float) for h in hits], ratios)
+            else:
+                pattern = np.zeros(len(at), np.int64)
+                for j, h in enumerate(hits):
+                    pattern |= h.astype(np.int64) << j
+                shares = table[pattern].T
+            for f, share in zip(coordinates, shares):
+                target = phi[:, part.feature(f), :]
+                for c in np.flatnonzero(value):
+                    target[:, c] += share * value[c]
         return phi
 
 
@@ -218,21 +269,22 @@ def tree_shap(df: DataFrame, fitted: Scored, id_col: str, feature_names: Sequenc
     features, explainer = list(feature_names), Explainer(parts, outputs)
     id_type = df.schema[id_col].dataType.simpleString()
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 2000):
-                part = batch.iloc[start:start + 2000]
-                x = np.stack(part["x"].to_numpy())
-                phi = explainer(x)
-                n, p = x.shape
-                for c, name in enumerate(names):
-                    yield pd.DataFrame({
-                        "id": np.repeat(part["id"].to_numpy(), p), "class": name, "feature": np.tile(features, n),
-                        "value": x.ravel(), "phi": phi[:, :, c].ravel(), "base": float(base[c]),
-                    })
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                n = part.num_rows
+                x = part.column(1).flatten().to_numpy().reshape(n, -1)
+                p, k = x.shape[1], len(names)
+                row, column, of = (np.broadcast_to(np.arange(m).reshape(shape), (n, k, p)).ravel() for m, shape in ((n, (-1, 1, 1)), (p, (1, 1, -1)), (k, (1, -1, 1))))
+                columns = [
+                    part.column(0).take(pa.array(row)), pa.array(names, pa.string()).take(pa.array(of)), pa.array(features, pa.string()).take(pa.array(column)),
+                    pa.array(x[row, column]), pa.array(explainer(x).transpose(0, 2, 1)[:, :k].ravel()), pa.array(base[of].astype(float)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "class", "feature", "value", "phi", "base"])
 
     rows = df.select(col(id_col).alias("id"), vector_to_array(FEATURES).alias("x"))
-    out = rows.mapInPandas(explain, f"id {id_type}, class string, feature string, value double, phi double, base double")
+    out = rows.mapInArrow(explain, f"id {id_type}, class string, feature string, value double, phi double, base double")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -246,9 +298,9 @@ def explained_output(attributions: DataFrame, id_col: str, link: str, classes: S
         hit = lambda m: 1 / (1 + F.exp(-2 * m))
         sums = attributions.groupBy(col(id_col)).agg(whole.alias("_m"))
         return sums.select(col(id_col), F.array(1 - hit(F.col("_m")), hit(F.col("_m"))).alias("probability")).withColumn("prediction", argmax(F.col("probability")))
-    per_class = attributions.groupBy(col(id_col), "class").agg(whole.alias("_s"))
-    sums = per_class.groupBy(col(id_col)).agg(F.map_from_entries(F.collect_list(F.struct("class", "_s"))).alias("_s"))
-    scores: list[Column] = [F.element_at("_s", F.lit(c)) for c in classes]
+    of = lambda c: F.col("class") == F.lit(c)
+    sums = attributions.groupBy(col(id_col)).agg(*[(F.sum(F.when(of(c), F.col("phi"))) + F.first(F.when(of(c), F.col("base")), True)).alias(f"_s{i}") for i, c in enumerate(classes)])
+    scores: list[Column] = [F.col(f"_s{i}") for i in range(len(classes))]
     if link == "margins":
         scores = [1 / (1 + F.exp(-2 * s)) for s in scores]
     elif link == "votes":

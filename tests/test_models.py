@@ -456,3 +456,20 @@ def test_boosted_models_get_whole_weights(spark, holed, tmp_path, monkeypatch):
     train(holed.select("id", "z", "kind", "two"), config, str(tmp_path / "run"))
     name, weights = seen["XGBoost"]
     assert name == "weight_int" and min(weights) == 100 and all(w == int(w) for w in weights) and seen["Decision Tree"][0] == "weight"
+
+
+def test_shapley_values_are_computed_per_pattern(sets, monkeypatch):
+    """Rows in the same intervals are explained once, in later batches too, and like rows on their own."""
+    from colonnade.operators import shapley
+
+    df = sets["three"]
+    parts, outputs, _ = shapley.tree_parts(df, trees.extra_trees(df, trees=6, groups=3))
+    x = np.stack([v.toArray() for v in df.select("features").toPandas()["features"]])
+    explainer, asked, plain = shapley.Explainer(parts, outputs), [], shapley.Explainer.explain
+    monkeypatch.setattr(shapley.Explainer, "explain", lambda self, i, at, n: asked.append(len(at)) or plain(self, i, at, n))
+    first, again = explainer(x), explainer(x[::-1])
+    assert (first == again[::-1]).all() and sum(asked) < len(parts) * len(x) and len(asked) == len(parts)
+    alone = sum(plain(explainer, i, part.coordinates(x), x.shape[1]) for i, part in enumerate(parts))
+    assert np.allclose(first, alone, atol=1e-12)
+    monkeypatch.setattr(shapley, "KEPT_CELLS", 1)
+    assert np.allclose(shapley.Explainer(parts, outputs)(x), alone, atol=1e-12)
