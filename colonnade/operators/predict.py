@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 from colonnade.columns import col
 from colonnade.operators.metrics import classification_metrics, regression_metrics
 from colonnade.operators.univariate import box_statistics, compare_value_counts, kde_curves
+from colonnade.session import more_partitions, stored
 
 TOTAL = "Ensembled"
+ROWS_OF_ID = 8  # scored rows that an id is taken to have when tasks are counted
 
 
 def top_class(proba: str = "proba"):
@@ -22,13 +24,14 @@ def soft_ensemble(scores: DataFrame, id_col: str, overall: bool = False) -> Data
     """(id, model, class, proba, pred): mean probability over the folds of a model, or over
     all models and folds (`Ensembled`).
 
-    Rows are placed by (id[, model]) once; both the class means and the argmax are
-    aggregates on top of that same placement.
+    Rows are placed by id once; the class means and the argmax are aggregates on top of
+    that same placement, which the ensembles of models and the overall one share.
     """
-    source = scores.withColumn("model", F.lit(TOTAL)) if overall else scores
     group = [id_col] if overall else [id_col, "model"]
-    placed = source.select(id_col, "model", "class", "proba").repartition(*[col(g) for g in group])
-    means = placed.groupBy(id_col, "model", "class").agg(F.avg("proba").alias("proba"))
+    placed = scores.select(id_col, "model", "class", "proba").repartition(col(id_col))
+    sums = placed.groupBy(id_col, "model", "class").agg(F.sum("proba").alias("_s"), F.count("proba").alias("_n"))
+    mean = F.sum("_s") / F.nullif(F.sum("_n"), F.lit(0))
+    means = sums.groupBy(id_col, "class").agg(mean.alias("proba")) if overall else sums.select(id_col, "model", "class", (F.col("_s") / F.nullif(F.col("_n"), F.lit(0))).alias("proba"))
     per_row = means.groupBy(*[col(g) for g in group]).agg(
         F.collect_list(F.struct("class", "proba")).alias("_c"), top_class().alias("pred")
     )
@@ -68,9 +71,13 @@ def wide_predictions(ensembled: DataFrame, id_col: str, models: Sequence[str], c
 
 
 def evaluate_ensembles(ensembled: DataFrame, test: DataFrame, id_col: str, target: str, task: str = "classification", positive: str | None = None, n_features: int = 1) -> DataFrame:
-    """Metrics of every ensemble on labelled test data, one grouped job."""
+    """Metrics of every ensemble on labelled test data. The labelled rows are stored, as several
+    metrics read them and ensembling them is most of the work."""
     if task == "classification":
-        return classification_metrics(with_actuals(ensembled, test, id_col, target), ["model"], positive)
+        rows = with_actuals(ensembled, test, id_col, target).drop(id_col)
+        with more_partitions(test.sparkSession, ROWS_OF_ID * test.count()):
+            kept = stored(rows, "ensembles")
+        return classification_metrics(kept, ["model"], positive)
     labelled = ensembled.join(test.select(col(id_col), col(target).cast("double").alias("actual")), id_col)
     return regression_metrics(labelled, ["model"], n_features)
 

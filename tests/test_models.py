@@ -458,6 +458,25 @@ def test_boosted_models_get_whole_weights(spark, holed, tmp_path, monkeypatch):
     assert name == "weight_int" and min(weights) == 100 and all(w == int(w) for w in weights) and seen["Decision Tree"][0] == "weight"
 
 
+def test_ensembles_are_made_once_for_all_metrics(spark, monkeypatch):
+    """Several metrics read the labelled ensembles from where they are stored; both levels share a placement."""
+    from colonnade.operators import predict
+
+    scores = spark.createDataFrame([(i, m, f, c, p if c == "a" else 1 - p) for i in range(40) for m in ("m1", "m2") for f in range(3) for p in [((i * 7 + f * 3 + len(m)) % 11) / 11] for c in "ab"],
+                                   "id int, model string, fold int, class string, proba double")
+    test = spark.range(40).select(F.col("id").cast("int"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("target"))
+    seen, plain = [], predict.classification_metrics
+    monkeypatch.setattr(predict, "classification_metrics", lambda df, *more: seen.append(df) or plain(df, *more))
+    ensembles = P.full_ensemble(scores, "id")
+    assert P.evaluate_ensembles(ensembles, test, "id", "target").count() == 3 * (1 + 3 * 3 + 2 * 3)
+    assert seen[0].inputFiles()
+    means = {(r["id"], r["model"], r["class"]): r["proba"] for r in ensembles.collect()}
+    for row in scores.groupBy("id", "class").agg(F.avg("proba").alias("p")).collect():
+        assert means[row["id"], "Ensembled", row["class"]] == pytest.approx(row["p"])
+    for row in scores.groupBy("id", "model", "class").agg(F.avg("proba").alias("p")).collect():
+        assert means[row["id"], row["model"], row["class"]] == pytest.approx(row["p"])
+
+
 def test_shapley_values_are_computed_per_pattern(sets, monkeypatch):
     """Rows in the same intervals are explained once, in later batches too, and like rows on their own."""
     from colonnade.operators import shapley
