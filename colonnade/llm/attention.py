@@ -101,42 +101,64 @@ def inputs(v: Vocabulary, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
 SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
-def hidden(w: dict[str, np.ndarray], slots: np.ndarray) -> tuple:
-    """Last layer's vectors of windows of input slots, and what the gradient needs."""
-    x = w["slots"][slots]
+class Room:
+    """Arrays by name that are used again from one step to the next: the system takes longer to hand
+    out fresh ones of this size than the sums in them take."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        size, held = int(np.prod(shape)), self.held.get(name)
+        if held is None or held.dtype != kind or held.size < size:
+            held = self.held[name] = np.empty(size, kind)
+        return held[:size].reshape(shape)
+
+
+def _flat(t: np.ndarray) -> np.ndarray:
+    return t.reshape(-1, t.shape[-1])
+
+
+def hidden(w: dict[str, np.ndarray], slots: np.ndarray, room: Room | None = None) -> tuple:
+    """Last layer's vectors of windows of input slots, and what the gradient needs. They lie in
+    `room` and hold until it is used again."""
+    room, kind, shape, n = room or Room(), w["slots"].dtype, (*slots.shape, WIDTH), slots.size
+    x = np.take(w["slots"], slots, 0, out=room("x", shape, kind), mode="clip")
     x += w["places"]
-    asked = x @ (w["match"] * w["match"].dtype.type(WIDTH**-0.5))
-    scores = asked @ x.transpose(0, 2, 1)
-    a, total = _weighed(scores, SEEN)
-    held = x @ w["value"]
-    mixed = a @ held
-    mixed /= total
-    h = mixed
+    asked = np.matmul(_flat(x), w["match"] * kind.type(WIDTH**-0.5), out=room("asked", (n, WIDTH), kind)).reshape(shape)
+    scores = np.matmul(asked, x.transpose(0, 2, 1), out=room("scores", (*slots.shape, WINDOW), kind))
+    a, total = _weighed(scores, SEEN, room("a", scores.shape, kind))
+    held = np.matmul(_flat(x), w["value"], out=room("held", (n, WIDTH), kind)).reshape(shape)
+    h = np.matmul(a, held, out=room("h", shape, kind))
+    h /= total
     h += x
-    inner = h @ w["w1"]
+    inner = np.matmul(_flat(h), w["w1"], out=room("inner", (n, INNER), kind))
     inner += w["b1"]
     np.maximum(inner, 0, out=inner)
-    return h + inner @ w["w2"], (x, asked, a, total, held, h, inner)
+    top = np.matmul(inner, w["w2"], out=room("top", (n, WIDTH), kind)).reshape(shape)
+    top += h
+    return top, (x, asked, a, total, held, h, inner)
 
 
-def _weighed(scores: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of the positions that are seen, and their sums. Scores are small, so the largest
-    is taken off only where a sum is not finite."""
+def _weighed(scores: np.ndarray, seen: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the positions that are seen, in `a`, and their sums. Scores are small, so the
+    largest is taken off only where a sum is not finite."""
     with np.errstate(over="ignore", invalid="ignore"):
-        a = np.exp(scores)
+        np.exp(scores, out=a)
         a *= seen
-        total = a @ np.ones((a.shape[2], 1), a.dtype)
+        total = (_flat(a) @ np.ones(a.shape[2], a.dtype)).reshape(*a.shape[:2], 1)
     if not np.isfinite(total).all() or not total.all():
         scores = np.where(seen > 0, scores, -np.inf)
-        a = np.exp(scores - scores.max(2, keepdims=True))
+        np.exp(scores - scores.max(2, keepdims=True), out=a)
         total = a.sum(2, keepdims=True)
     return a, total
 
 
-def class_log_probabilities(w: dict[str, np.ndarray], vectors: np.ndarray, targets: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log probability of each target class; with `keep` also all classes' probabilities."""
-    scores, mass = vectors @ w["out"], np.exp(w["bias"])
-    at = scores[np.arange(len(targets)), targets] + w["bias"][targets]
+def class_log_probabilities(w: dict[str, np.ndarray], vectors: np.ndarray, targets: np.ndarray, keep: bool = False, room: Room | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log probability of each target class; with `keep` also all classes' probabilities, in `room`."""
+    room, mass, every = room or Room(), np.exp(w["bias"]), np.arange(len(targets))
+    scores = np.matmul(vectors, w["out"], out=room("classes", (len(targets), len(mass)), vectors.dtype))
+    at = scores[every, targets] + w["bias"][targets]
     with np.errstate(over="ignore", invalid="ignore"):
         np.exp(scores, out=scores)
         total = scores @ mass
@@ -147,46 +169,69 @@ def class_log_probabilities(w: dict[str, np.ndarray], vectors: np.ndarray, targe
         at, total = at - most, scores @ mass
     if keep:
         scores *= mass
-        scores /= total[:, None]
+        scores *= (1 / total)[:, None]
     return at - np.log(total), scores if keep else None
 
 
-def gradient(w: dict[str, np.ndarray], slots: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+def _at_scored(top: np.ndarray, scored: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the scored positions, and their vectors."""
+    places = np.flatnonzero(scored)
+    return places, np.take(_flat(top), places, 0, out=room("rows", (len(places), WIDTH), top.dtype), mode="clip")
+
+
+def gradient(w: dict[str, np.ndarray], slots: np.ndarray, targets: np.ndarray, scored: np.ndarray, room: Room | None = None) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the scored positions of windows, and its gradient."""
-    top, (x, asked, a, total, held, h, inner) = hidden(w, slots)
-    of, rows = targets[scored], top[scored]
-    logs, p = class_log_probabilities(w, rows, of, keep=True)
+    room = room or Room()
+    top, (x, asked, a, total, held, h, inner) = hidden(w, slots, room)
+    kind, shape, n = x.dtype, x.shape, slots.size
+    places, rows = _at_scored(top, scored, room)
+    of, ones = targets.ravel()[places], np.ones(max(n, len(places)), kind)
+    logs, p = class_log_probabilities(w, rows, of, keep=True, room=room)
     p[np.arange(len(of)), of] -= 1
-    p /= len(of)
-    g = {"out": rows.T @ p, "bias": p.sum(0)}
-    d_top = np.zeros_like(top)
-    d_top[scored] = p @ w["out"].T
-    flat_of = lambda t: t.reshape(-1, t.shape[-1])
-    g["w2"] = flat_of(inner).T @ flat_of(d_top)
-    d_inner = (d_top @ w["w2"].T) * (inner > 0)
-    g["w1"], g["b1"] = flat_of(h).T @ flat_of(d_inner), flat_of(d_inner).sum(0)
-    d_h = d_top + d_inner @ w["w1"].T
+    p *= kind.type(1 / len(of))
+    g = {"out": rows.T @ p, "bias": ones[: len(of)] @ p}
+    d_top = room("d_top", (n, WIDTH), kind)
+    d_top.fill(0)
+    d_top[places] = p @ w["out"].T
+    g["w2"] = inner.T @ d_top
+    d_inner = np.matmul(d_top, w["w2"].T, out=room("d_inner", inner.shape, kind))
+    d_inner *= inner > 0
+    g["w1"], g["b1"] = _flat(h).T @ d_inner, ones[:n] @ d_inner
+    d_h = np.matmul(d_inner, w["w1"].T, out=room("d_h", (n, WIDTH), kind))
+    d_h += d_top
+    d_h = d_h.reshape(shape)
     a /= total
-    d_a = d_h @ held.transpose(0, 2, 1)
-    d_s = a * (d_a - (d_a * a).sum(2, keepdims=True))
-    d_asked, d_held = d_s @ x * WIDTH**-0.5, a.transpose(0, 2, 1) @ d_h
-    g["match"], g["value"] = flat_of(x).T @ flat_of(d_asked), flat_of(x).T @ flat_of(d_held)
-    d_x = d_h + d_asked @ w["match"].T + d_s.transpose(0, 2, 1) @ asked + d_held @ w["value"].T
-    g["places"] = d_x.sum(0)
+    d_s = np.matmul(d_h, held.transpose(0, 2, 1), out=room("d_s", a.shape, kind))
+    h -= x  # the weighed values alone: their product with d_h is the sum of d_s weighed by a
+    d_s -= np.einsum("bij,bij->bi", d_h, h)[:, :, None]
+    d_s *= a
+    d_asked = np.matmul(d_s, x, out=room("d_asked", shape, kind))
+    d_asked *= kind.type(WIDTH**-0.5)
+    d_held = np.matmul(a.transpose(0, 2, 1), d_h, out=room("d_held", shape, kind))
+    g["match"], g["value"] = _flat(x).T @ _flat(d_asked), _flat(x).T @ _flat(d_held)
+    part = room("part", (n, WIDTH), kind)
+    d_x = _flat(d_h)
+    d_x += np.matmul(_flat(d_asked), w["match"].T, out=part)
+    d_x += np.matmul(_flat(d_held), w["value"].T, out=part)
+    d_x += _flat(np.matmul(d_s.transpose(0, 2, 1), asked, out=part.reshape(shape)))
+    g["places"] = (ones[: len(slots)] @ d_x.reshape(len(slots), -1)).reshape(shape[1:])
     # rows of one slot are added up by sorting, which is quicker than adding one by one
-    order = np.argsort(slots, axis=None, kind="stable")
-    named, first = np.unique(slots.ravel()[order], return_index=True)
+    flat_slots = slots.ravel()
+    order = np.argsort(flat_slots.astype(np.uint16) if len(w["slots"]) <= 1 << 16 else flat_slots, kind="stable")
+    named = flat_slots[order]
+    first = np.flatnonzero(np.concatenate([[True], named[1:] != named[:-1]]))
     g["slots"] = np.zeros_like(w["slots"])
-    g["slots"][named] = np.add.reduceat(flat_of(d_x)[order], first)
-    return float(-logs.mean()), {name: g[name].astype(np.float32) for name in w}
+    g["slots"][named[first]] = np.add.reduceat(d_x[order], first)
+    return float(-logs.mean()), {name: g[name].astype(np.float32, copy=False) for name in w}
 
 
 class Learner:
     """Adam over the windows it is given, in steps of `STEP` windows."""
 
     def __init__(self, v: Vocabulary, weights: np.ndarray, rate: float = 3e-3):
-        self.v, self.w, self.rate = v, shaped(v, weights), rate
-        self.m, self.s = ({n: np.zeros_like(x) for n, x in self.w.items()} for _ in range(2))
+        self.numbers = np.array(weights, np.float32)
+        self.v, self.w, self.rate, self.room = v, shaped(v, self.numbers), rate, Room()  # w: views of the numbers
+        self.m, self.s = np.zeros_like(self.numbers), np.zeros_like(self.numbers)
         self.steps = self.seen = 0
         self.rest: list[tuple[np.ndarray, ...]] = []
 
@@ -209,27 +254,28 @@ class Learner:
         self.rest = [tuple(part[upto:] for part in whole)] if upto < n else []
 
     def _step(self, slots: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> None:
-        _, g = gradient(self.w, slots, targets, scored)
+        g = flat(gradient(self.w, slots, targets, scored, self.room)[1])
         self.steps += 1
         self.seen += int(scored.sum())
         rate = self.rate * (1 - 0.999**self.steps) ** 0.5 / (1 - 0.9**self.steps)
-        for name, x in self.w.items():
-            self.m[name] += 0.1 * (g[name] - self.m[name])
-            self.s[name] += 0.001 * (g[name] ** 2 - self.s[name])
-            x -= rate * self.m[name] / (np.sqrt(self.s[name]) + 1e-8)
+        self.m += 0.1 * (g - self.m)
+        self.s += 0.001 * (g**2 - self.s)
+        self.numbers -= rate * self.m / (np.sqrt(self.s) + 1e-8)
 
 
 def score(v: Vocabulary, w: dict[str, np.ndarray], ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Natural log probability of every text of ids that lie in a row; 0 for a text without ids."""
     before, total = inputs(v, ids, begins), np.zeros(len(ids), np.float64)
     first, end, number = windows(begins)
+    room = Room()
     for i in range(0, len(first), BLOCK):
         at = first[i : i + BLOCK, None] + np.arange(WINDOW)
         valid = at < end[i : i + BLOCK, None]
         scored = valid & ((number[i : i + BLOCK] == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - STRIDE))
-        top, _ = hidden(w, before[np.minimum(at, len(ids) - 1)])
-        places = at[scored]
+        top, _ = hidden(w, before[np.minimum(at, len(ids) - 1)], room)
+        of, rows = _at_scored(top, scored, room)
+        places = at.ravel()[of]
         held = ids[places]
-        total[places] = class_log_probabilities(w, top[scored], v.of_class[held])[0] + v.within[held]
+        total[places] = class_log_probabilities(w, rows, v.of_class[held], room=room)[0] + v.within[held]
     summed = np.concatenate([[0.0], np.cumsum(total)])
     return summed[begins[1:]] - summed[begins[:-1]]

@@ -26,7 +26,7 @@ from xxhash import xxh64_intdigest
 
 from colonnade.llm import attention
 from colonnade.llm.common import small_batches, staged, uncollected
-from colonnade.llm.tokens import slices
+from colonnade.llm.tokens import Words, slices
 
 #: Rounds between which weights are averaged; every training window is learnt from in one of them.
 ROUNDS = 2
@@ -72,37 +72,43 @@ class Subwords:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Words()
         self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
-    def keep(self, words: list[str]) -> None:
-        slots = np.array([self.known[w] for w in words], np.int64)
+    def keep(self, slots: np.ndarray) -> None:
+        """Forget all words but those in these slots, which came again."""
         sizes = np.diff(self.begin)[slots]
         begin = np.concatenate([[0], np.cumsum(sizes)])
         held = self.flat[np.arange(int(begin[-1])) + np.repeat(self.begin[slots] - begin[:-1], sizes)]
-        self.known, self.begin, self.flat = dict(zip(words, range(len(words)))), begin, held
+        self.known.keep(slots)
+        self.begin, self.flat = begin, held
 
-    def learn(self, words: list[str]) -> None:
-        if words:
-            ids = self.model.encode(words, num_threads=1)
-            self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+    def learn(self, words: pa.Array) -> None:
+        if len(words):
+            ids = self.model.encode(words.to_pylist(), num_threads=1)
+            self.known.add(words)
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(i) for i in ids])])
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32)])
 
     def encode(self, begins: np.ndarray, words: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
         """Where each text's ids begin, and the ids, with an end id behind each text."""
-        names = words.dictionary.to_pylist()
+        names = words.dictionary
+        slots = self.known.find(names)
         if len(self.known) + len(names) > CACHE_WORDS:  # words that came again are worth keeping
-            self.keep([w for w in names if w in self.known])
-        self.learn([w for w in names if w not in self.known])
-        slots = np.array([self.known[w] for w in names], np.int64)[words.indices.to_numpy()]
-        sizes = np.diff(self.begin)[slots]
+            self.keep(slots[slots >= 0])
+            slots[slots >= 0] = np.arange(len(self.known))
+        missing, first = np.flatnonzero(slots < 0), len(self.known)
+        slots[missing] = np.arange(first, first + len(missing))
+        self.learn(names.take(pa.array(missing)))
+        of_word = words.indices.to_numpy()
+        sizes = np.diff(self.begin)[slots][of_word]
         summed = np.concatenate([[0], np.cumsum(sizes)])
         starts = summed[begins] + np.arange(len(begins))
-        out = np.empty(int(starts[-1]), np.int32)
-        at = np.arange(int(summed[-1]))
-        texts = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-        out[at + np.repeat(texts, sizes)] = self.flat[at + np.repeat(self.begin[slots] - summed[:-1], sizes)]
+        source = np.arange(int(summed[-1]))
+        source += np.repeat(self.begin[slots][of_word] - summed[:-1], sizes)
+        out, is_id = np.empty(int(starts[-1]), np.int32), np.ones(int(starts[-1]), bool)
+        is_id[starts[1:] - 1] = False
+        out[is_id] = self.flat[source]
         out[starts[1:] - 1] = self.end
         return starts, out
 

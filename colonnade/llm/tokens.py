@@ -14,6 +14,7 @@ import gc
 import os
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -42,6 +43,31 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+class Words:
+    """Distinct words in the order they were learnt; many are looked up at a time, by one Arrow kernel."""
+
+    def __init__(self):
+        self.held = pa.array([], pa.large_string())
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.held.to_pylist())
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, -1 if it is not held."""
+        return pc.fill_null(pc.index_in(words.cast(pa.large_string()), self.held), -1).to_numpy().copy()
+
+    def add(self, words: pa.Array) -> None:
+        """Words that are not held yet, each once."""
+        self.held = pa.concat_arrays([self.held, words.cast(pa.large_string())])
+
+    def keep(self, places: np.ndarray) -> None:
+        """Forget all words but these, whose places become 0, 1, ..."""
+        self.held = self.held.take(pa.array(places))
+
+
 class Encoder:
     """Encodes batches of texts with one vocabulary file."""
 
