@@ -109,7 +109,7 @@ class Aligner:
 
     def _a_ids(self, words: list[str]) -> list[list[int]]:
         self.a.reset()
-        self.a._learn([" " + w for w in words])
+        self.a._learn(pa.array([" " + w for w in words], pa.large_string()))
         flat, begin, size = self.a.flat.tolist(), self.a.begin.tolist(), self.a.size.tolist()
         return [flat[begin[i] : begin[i] + size[i]] for i in range(len(words))]
 

@@ -44,7 +44,6 @@ def encoded(docs: DataFrame, vocabulary: str, end: int, id_col: str = "doc_id",
                 before += int(begins[-1])
                 lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([some.column(0), lists, pa.array(sizes, pa.int64()), pa.array(np.full(some.num_rows, part, np.int32)), pa.array(starts, pa.int64())], names=schema.names)
-        encoder(vocabulary).reset()  # a worker that is used again starts small
         pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(id_col), F.col(text_col)).repartitionByRange(F.col(id_col).asc_nulls_first())

@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import gc
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +26,14 @@ import pyarrow.compute as pc
 CACHE_WORDS = 400_000
 #: Words of Latin letters with at most one mark behind them: their pre-tokens are known, so the
 #: vocabulary's merges are asked for directly. All other words go through the whole tokenizer.
-PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
+PLAIN = r"^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?\z"
 #: How byte-level vocabularies show bytes: printable Latin-1 as itself, the others from U+0100 on.
 BYTES_SHOWN = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+LINES_SHOWN = {b: s for b, s in BYTES_SHOWN.items() if b != ord("\n")}
+ID = attrgetter("id")
 #: Stands before a word that has no space before it.
 JOINED = "\ue000"
-EMPTY, JOIN = pa.scalar("", pa.large_string()), pa.scalar(JOINED, pa.large_string())
+EMPTY, SPACE, JOIN = (pa.scalar(s, pa.large_string()) for s in ("", " ", JOINED))
 #: White space beyond blanks, tabs and line ends, special tokens' brackets, and the stand-in itself.
 ODD = r"[\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}\x{000C}\x{001C}-\x{001F}\x{E000}]|<\|"
 #: Those, and white space beside white space or at an end of the text.
@@ -43,6 +45,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def joined_lines(texts: pa.Array) -> str:
+    """Texts without line ends in one string, quicker than value by value."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)
+    return pc.binary_join(whole, pa.scalar("\n", texts.type))[0].as_py()
+
+
 class Words:
     """Distinct words in the order they were learnt; many are looked up at a time, by one Arrow kernel."""
 
@@ -79,26 +87,25 @@ class Encoder:
         self.model = self.tokenizer.model
         #: Does a space belong to the word behind it? Else words are lower-cased and spaces dropped.
         self.spaced = self.tokenizer.encode(" A", add_special_tokens=False).ids != self.tokenizer.encode("a", add_special_tokens=False).ids
-        self.known: dict[str, int] = {}
-        self.marks = {"": [], ".": self._piece("."), ",": self._piece(",")}
+        self.marks = [[t.id for t in self.model.tokenize(mark)] for mark in ".,"]
         self.reset()
 
     def reset(self) -> None:
-        self.known = {}
+        self.known = Words()
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
-    def keep(self, words: list[str]) -> None:
-        """Forget all words but these, which came again."""
-        slots = np.array([self.known[w] for w in words], np.int64)
-        sizes = self.size[slots]
+    def keep(self, slots: np.ndarray) -> None:
+        """Forget all words but those in these slots, which came again."""
+        known, sizes = self.known, self.size[slots]
         begin = np.cumsum(sizes, dtype=np.int64) - sizes
         held = self.flat[np.arange(int(sizes.sum())) + np.repeat(self.begin[slots] - begin, sizes)]
+        known.keep(slots)
         self.reset()
-        self._room(len(words), len(held))
+        self._room(len(slots), len(held))
         self.flat[: len(held)], self.used = held, len(held)
-        self.begin[: len(words)], self.size[: len(words)] = begin, sizes
-        self.known = dict(zip(words, range(len(words))))
+        self.begin[: len(slots)], self.size[: len(slots)] = begin, sizes
+        self.known = known
 
     def _room(self, words: int, ids: int) -> None:
         while self.used + ids > len(self.flat):
@@ -107,41 +114,64 @@ class Encoder:
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode words that are not known yet and file their ids."""
-        ids, rest, piece, marks, stems = [None] * len(words), [], self._piece, self.marks, {}
-        for i, w in enumerate(words):
-            m = PLAIN(w)
-            if m is None:
-                rest.append(i)
-                continue
-            stem, mark = m.groups()
-            found = stems.get(stem)
-            if found is None:
-                found = stems[stem] = piece(stem)
-            ids[i] = found + marks[mark] if mark else found
+    def _learn(self, words: pa.Array) -> None:
+        """Encode words that are not known yet and file their ids. Plain ones are put together from their
+        letters (of which many are known already) and their mark."""
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
+        plain_at, rest_at = np.flatnonzero(plain), np.flatnonzero(~plain)
+        own = words.take(pa.array(plain_at))
+        stems = pc.utf8_rtrim(own, ".,").dictionary_encode()
+        slots = self.known.find(stems.dictionary)
+        new = np.flatnonzero(slots < 0)
+        sizes, ids, of_new = self._pieces(stems.dictionary.take(pa.array(new)))
+        rest, others = words.take(pa.array(rest_at)).to_pylist(), []
         for at in range(0, len(rest), 20_000):
-            some = rest[at : at + 20_000]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
-                ids[i] = e.ids
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
+            others += [e.ids for e in self.tokenizer.encode_batch_fast(rest[at : at + 20_000], add_special_tokens=False)]
+        others += self.marks
+        sizes = np.concatenate([sizes, np.fromiter(map(len, others), np.int64, len(others))])
+        begins = self.used + np.cumsum(sizes) - sizes
+        source = np.concatenate([self.flat[: self.used], ids, np.fromiter(chain.from_iterable(others), np.int32)])
+        # of each word two parts: its letters, or the whole of a word that is not plain, and its mark
+        begin, size = np.zeros((2, len(words), 2), np.int64)
+        stem_begin, stem_size = self.begin[slots], self.size[slots]
+        stem_begin[new], stem_size[new] = begins[of_new], sizes[of_new]
+        of_word = stems.indices.to_numpy()
+        begin[plain_at, 0], size[plain_at, 0] = stem_begin[of_word], stem_size[of_word]
+        whole = slice(len(sizes) - len(others), len(sizes) - len(self.marks))
+        begin[rest_at, 0], size[rest_at, 0] = begins[whole], sizes[whole]
+        for k, mark in enumerate(".,"):
+            marked = plain_at[pc.ends_with(own, mark).to_numpy(zero_copy_only=False)]
+            begin[marked, 1], size[marked, 1] = begins[k - 2], sizes[k - 2]
+        begin, size = begin.ravel(), size.ravel()
         total, first = int(size.sum()), len(self.known)
+        found = source[np.arange(total) + np.repeat(begin - np.cumsum(size) + size, size)]
+        size = size.reshape(-1, 2).sum(1)
         self._room(len(words), total)
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+        self.flat[self.used : self.used + total] = found
         self.begin[first : first + len(words)] = self.used + np.cumsum(size) - size
         self.size[first : first + len(words)] = size
         self.used += total
-        self.known.update(zip(words, range(first, first + len(words))))
-
-    def _piece(self, text: str) -> list[int]:
-        """Ids of one pre-token: letters with the space before them, or one mark."""
-        if not self.spaced:
-            text = text.lstrip(" ").lower()
-        if text.isascii():
-            shown = "Ġ" + text[1:] if text[0] == " " else text
-        else:
-            shown = text.encode().decode("latin-1").translate(BYTES_SHOWN)
-        return [t.id for t in self.model.tokenize(shown)]
+        self.known.add(words)
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pre-tokens (letters with the space before them) as the vocabulary shows them: how many ids each
+        distinct one has, all their ids, and which of them each text is."""
+        texts = texts if self.spaced else pc.utf8_lower(pc.utf8_ltrim(texts, " "))
+        coded = texts.dictionary_encode()
+        plain = pc.string_is_ascii(coded.dictionary).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        lines = lambda held: joined_lines(coded.dictionary.filter(pa.array(held)))
+        shown = lines(plain).replace(" ", "Ġ").split("\n") if plain.any() else []
+        if not plain.all():
+            shown += lines(~plain).encode().decode("latin-1").translate(LINES_SHOWN).split("\n")
+        sizes, ids = np.zeros(len(shown), np.int64), []
+        for at in range(0, len(shown), 10_000):
+            found = [*map(self.model.tokenize, shown[at : at + 10_000])]
+            sizes[at : at + len(found)] = [*map(len, found)]
+            ids.append(np.fromiter(map(ID, chain.from_iterable(found)), np.int32))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return sizes, np.concatenate([np.empty(0, np.int32), *ids]), place[coded.indices.to_numpy()]
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and where each begins (one more entry than texts).
@@ -169,13 +199,15 @@ class Encoder:
             safe = pc.replace_substring(safe, "\n", f" {JOINED}\n {JOINED}")
         lists = pc.split_pattern(pc.binary_join_element_wise(JOIN, safe, EMPTY), " ")
         offsets, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
-        names = [w[1:] if w[:1] == JOINED else f" {w}" for w in coded.dictionary.to_pylist()]
+        joined = pc.starts_with(coded.dictionary, JOINED)
+        names = pc.if_else(joined, pc.utf8_slice_codeunits(coded.dictionary, 1), pc.binary_join_element_wise(SPACE, coded.dictionary, EMPTY))
+        slot = self.known.find(names)
         if len(self.known) + len(names) > CACHE_WORDS:
-            self.keep([w for w in names if w in self.known])
-        slot = np.array([self.known.get(w, -1) for w in names], np.int32)
+            self.keep(slot[slot >= 0])
+            slot[slot >= 0] = np.arange(len(self.known))
         missing, first = np.flatnonzero(slot < 0), len(self.known)
         slot[missing] = np.arange(first, first + len(missing))
-        self._learn([names[i] for i in missing])
+        self._learn(names.take(pa.array(missing)))
         slots = slot[coded.indices.to_numpy()]
         sizes = self.size[slots]
         summed = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
