@@ -12,7 +12,9 @@ posting list tests its members against one of them, its pivot (the member whose
 stands earliest). After these links are joined up, only members of different components remain
 to be paired; the position of the shared shingle with the sizes (which bound the overlap) and odd
 sketches of the sets (which bound the difference) decide whether a pair can still be similar, before
-it becomes a row. No list is cut off.
+it becomes a row. No list is cut off: a member leaves a list only where these bounds exclude every
+other member of it. A pair's sketches as long as its sets are looked at before its prefixes, and its
+prefixes before its sets, so that few pairs of unlike sets move whole sets.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,6 +103,11 @@ def set_name(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(tokens.tobytes()).digest()[:8], "little", signed=True)
 
 
+def parity(own: np.ndarray, bits: int) -> np.ndarray:
+    """Odd sketch of a set: of each of `bits` (a power of two) the parity of the shingles that fall to it."""
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+
+
 def prefix_length(n: int, percent: int) -> int:
     """How many first tokens of a set of n must hold one that a similar set has among its own."""
     return n - -(-percent * n // 100) + 1
@@ -131,38 +138,39 @@ def frequency_classes(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """Per row: id, `row` (hash of id and text), `n`, `set` (name of its shingles, null if it
-    has none), the prefixes under the three orders, given once per set and task, and an odd sketch:
-    256 bits, each the parity of the shingles that fall to it."""
+    has none), the prefixes under the three orders and `parity`, an odd sketch of at least as many bits
+    as the set has shingles, given once per set and task, and an odd sketch of 256 bits."""
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(docs, text_col, words))
-    schema = T.StructType([docs.schema[id_col], T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set", T.LongType()), *(T.StructField(f"p{k}", T.ArrayType(T.LongType() if k == 1 else T.IntegerType(), False)) for k in (1, 2, 3)), *(T.StructField(o, T.LongType()) for o in ODD)])
+    schema = T.StructType([docs.schema[id_col], T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set", T.LongType()), *(T.StructField(f"p{k}", T.ArrayType(T.LongType() if k == 1 else T.IntegerType(), False)) for k in (1, 2, 3)), T.StructField("parity", T.ArrayType(T.LongType(), False)), *(T.StructField(o, T.LongType()) for o in ODD)])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = classes.value.astype(np.uint64) << np.uint64(56), set()
         for batch in batches:
             for some in slices(batch, 2, size=SLICE):
                 tokens, at = shingles(some.column(2), words)
-                sizes, names, odd = [], [], []
+                sizes, names, odd, parities = [], [], [], []
                 prefixes: tuple[list, list, list] = ([], [], [])
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                     own = np.unique(tokens[a:b])
                     sizes.append(len(own))
                     name = set_name(own) if len(own) else None
                     names.append(name)
-                    odd.append(np.packbits(np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64))
+                    odd.append(parity(own, 64 * len(ODD)))
                     if name is None or name in seen:
-                        for p in prefixes:
+                        for p in (*prefixes, parities):
                             p.append(None)
                         continue
                     seen.add(name)
+                    parities.append(parity(own, max(64 * len(ODD), 1 << (len(own) - 1).bit_length())))
                     length, first = prefix_length(len(own), percent), rank[_bucket(own)]
                     for k, factor in enumerate(ORDERS):
                         key = first | (mixed(own * np.uint64(factor)) >> np.uint64(8))
                         chosen = own[np.argsort(key, kind="stable")[:length]]
                         prefixes[k].append(chosen.view(np.int64) if k == 0 else (chosen >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 arrays = [pa.array(p, schema_type) for p, schema_type in zip(prefixes, (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())))]
-                parity = np.array(odd, np.int64).reshape(-1, len(ODD)).T
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), *arrays, *(pa.array(x) for x in parity)], names=schema.names)
+                odds = np.array(odd, np.int64).reshape(-1, len(ODD)).T
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), *arrays, pa.array(parities, pa.list_(pa.int64())), *(pa.array(x) for x in odds)], names=schema.names)
 
     rows = docs.select(F.col(id_col), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col))
     return rows.mapInArrow(describe, schema)
@@ -192,21 +200,29 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
         return staged(found.select("row", "text").mapInArrow(whole, "set long, tokens array<long>"), "full_sets")
 
 
+def _differing(left: str, right: str) -> Column:
+    """Bits in which two `parity` sketches differ, the longer one folded to the length of the other."""
+    length = F.least(F.size(left), F.size(right))
+    folded = lambda x, i: F.aggregate(F.sequence(i, F.size(x) - 1, length), F.lit(0).cast("long"), lambda bits, k: bits.bitwiseXOR(F.get(x, k)))
+    return F.aggregate(F.sequence(F.lit(0), length - 1), F.lit(0), lambda n, i: n + F.bit_count(folded(left, i).bitwiseXOR(folded(right, i))))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of sets that share prefixes under all orders and are similar enough."""
     pairs = staged(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
-    involved = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    known = staged(joined_small(sets.where("p2 is not null").select("set", "row", "n", "p2", "p3", *ODD), involved, ["set"], "left_semi", BROADCAST_ROWS).dropDuplicates(["set"]), "prefixes")
+    sides = lambda p, a, b: p.select(F.col(a).alias("set")).union(p.select(F.col(b).alias("set"))).distinct()
+    known = staged(joined_small(sets.where("p2 is not null").select("set", "row", "n", "p2", "p3", "parity"), sides(pairs, "a", "b"), ["set"], "left_semi", BROADCAST_ROWS).dropDuplicates(["set"]), "prefixes")
     side = lambda df, name: df.select(*[F.col(c).alias(name if c == "set" else f"{c}_{name}") for c in df.columns])
-    both = pairs.join(side(known, "a"), "a").join(side(known, "b"), "b")
-    unlike = sum((F.bit_count(F.col(f"{o}_a").bitwiseXOR(F.col(f"{o}_b"))) for o in ODD), F.lit(0))
-    few = (100 + percent) * unlike <= (100 - percent) * (F.col("n_a") + F.col("n_b"))  # as in _odd_bits_allow
-    likely = staged(both.where(few & F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b", "row_a", "row_b"), "likely")
+    both = lambda p, df: p.join(side(df, "a"), "a").join(side(df, "b"), "b")
+    few = (100 + percent) * _differing("parity_a", "parity_b") <= (100 - percent) * (F.col("n_a") + F.col("n_b"))  # as in _odd_bits_allow
+    close = staged(both(pairs, known.select("set", "n", "parity")).where(few).select("a", "b"), "close")
+    prefixed = joined_small(known.select("set", "row", "p2", "p3"), sides(close, "a", "b"), ["set"], "left_semi", BROADCAST_ROWS)
+    likely = staged(both(close, prefixed).where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b", "row_a", "row_b"), "likely")
     wanted = likely.select(F.col("row_a").alias("row")).union(likely.select(F.col("row_b").alias("row"))).distinct()
     full = _full_sets(docs, staged(wanted, "wanted"), id_col, text_col, words)
-    compared = likely.select("a", "b").join(side(full, "a"), "a").join(side(full, "b"), "b")
+    compared = both(likely.select("a", "b"), full)
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return compared.where(100 * shared >= percent * (F.size("tokens_a") + F.size("tokens_b") - shared)).select("a", "b").distinct()
 
@@ -224,11 +240,34 @@ def _odd_bits_allow(left: str, right: str, percent: int):
     return (100 + percent) * differing <= (100 - percent) * (F.col(f"{left}.n") + F.col(f"{right}.n"))
 
 
+def _list_members(postings: DataFrame, percent: int) -> DataFrame:
+    """`postings` (set, n, pos, token) that may have a similar set in their list, with the list's `pivot`.
+
+    By `_may_be_similar` a set's partner in a list has at most `most` shingles. So members leave whose
+    `most` is below the smallest size of the list, or whose size is above the largest `most`; lists
+    that hold one set alone, or two that exclude each other, leave as a whole.
+    """
+    most = F.floor(((100 + percent) * (F.col("n") - F.col("pos")) - percent * F.col("n")) / percent)
+    member = F.struct("pos", "n", "set")
+    lists = postings.groupBy("token").agg(F.min(member).alias("pivot"), F.max(member).alias("last"), F.min("n").alias("least"), F.max(most).alias("reach"), F.count(F.lit(1)).alias("length"))
+    lists = lists.where((F.col("pivot") != F.col("last")) & ((F.col("length") > 2) | _may_be_similar("pivot", "last", percent)))
+    lists = staged(lists.select("token", "pivot", "least", "reach"), "pivots")
+    return postings.join(lists, "token").where((most >= F.col("least")) & (F.col("n") <= F.col("reach"))).drop("least", "reach")
+
+
+def _undecided_lists(labelled: DataFrame, percent: int) -> DataFrame:
+    """`token`, `length` of lists whose members lie in several components. Of lists of two the
+    sizes, the place and the sketches (the bits in which they differ are the sums') already tell."""
+    lists = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("length"), F.sum("n").alias("n"), F.min(F.col("n") - F.col("pos")).alias("rest"), *[F.bit_xor(o).alias(o) for o in ODD])
+    differing = sum((F.bit_count(o) for o in ODD), F.lit(0))
+    possible = ((100 + percent) * F.col("rest") >= percent * F.col("n")) & ((100 + percent) * differing <= (100 - percent) * F.col("n"))
+    return lists.where((F.col("lo") < F.col("hi")) & ((F.col("length") > 2) | possible)).select("token", "length")
+
+
 def similar_sets(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """`node`, `component` of all sets that are linked to another one."""
     postings = sets.where("p1 is not null").select("set", "n", F.posexplode("p1").alias("pos", "token"))
-    pivots = staged(postings.groupBy("token").agg(F.min(F.struct("pos", "n", "set")).alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members"), "pivots")
-    members = staged(postings.join(pivots, "token"), "members")
+    members = staged(_list_members(postings, percent), "members")
     mine = members.select("token", F.struct("pos", "n", "set").alias("x"), "pivot")
     to_pivot = mine.where((F.col("x.set") != F.col("pivot.set")) & _may_be_similar("x", "pivot", percent))
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
@@ -236,8 +275,7 @@ def similar_sets(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, w
     so_far = components(links)
     described = sets.where("p1 is not null").select("set", *ODD).dropDuplicates(["set"]).join(so_far.withColumnRenamed("node", "set"), "set", "left")
     labelled = members.drop("pivot").join(described.withColumn("component", F.coalesce("component", "set")), "set")
-    mixed_lists = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("length"))
-    left = staged(labelled.join(mixed_lists.where("lo < hi").select("token", "length"), "token"), "left")
+    left = staged(labelled.join(_undecided_lists(labelled, percent), "token"), "left")
     size_class = lambda n: F.when(F.col("length") > SHORT_LIST, F.floor(F.log(n) / F.log(F.lit(SIZE_RATIO)))).otherwise(0)
     # the larger set looks for the smaller ones that its own place of the token still allows
     highest = F.floor(((100 + percent) * (F.col("n") - F.col("pos")) - percent * F.col("n")) / percent)

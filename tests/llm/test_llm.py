@@ -254,6 +254,59 @@ def test_near_groups_by_shuffle(spark, docs, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == want
 
 
+def test_long_unlike_texts_do_not_move_whole_sets(spark, monkeypatch):
+    """Pairs of texts of 2,000 shingles that share 2 in 3 of them, the rare ones, so all prefixes overlap."""
+    ends = [" ".join(f"e{k}_{i}" for i in range(400)) for k in range(2)]
+    rows = [(2 * g + k, " ".join(f"w{g}_{i}" for i in range(1600)) + " " + ends[k]) for g in range(5) for k in range(2)]
+    table = spark.createDataFrame([*rows, (100, rows[0][1] + " more")], "doc_id long, text string")
+    counts, write = defaultdict(list), jaccard_join.staged
+
+    def staged(df, label):
+        done = write(df, label)
+        counts[label].append(done.count())
+        return done
+
+    monkeypatch.setattr(jaccard_join, "staged", staged)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_groups(table).collect()}
+    assert got == {**{i: i for i, _ in rows}, 100: 0}
+    assert sum(counts["pairs"]) > 5
+    assert sum(counts["wanted"]) == 2  # the sets of 0 and 100
+
+
+def test_members_leave_lists_that_hold_nothing_similar(spark):
+    rng = np.random.default_rng(7)
+    sizes = [int(n) for n in rng.integers(40, 90, 60)]
+    rows = {(s, sizes[s], int(rng.integers(0, sizes[s] // 10 + 1)), t) for t in range(80) for s in map(int, rng.choice(60, 1 + t % 5))}
+    may = lambda x, y: x[0] != y[0] and 190 * min(x[1] - x[2], y[1] - y[2]) >= 90 * (x[1] + y[1])
+    lists = defaultdict(list)
+    for r in sorted(rows):
+        lists[r[3]].append(r)
+    needed = {x for m in lists.values() for x in m if any(may(x, y) for y in m)}
+    postings = spark.createDataFrame(sorted(rows), "set long, n long, pos int, token long").union(spark.createDataFrame([(7, 50, 1, 500)] * 2, "set long, n long, pos int, token long"))
+    found = jaccard_join._list_members(postings, 90).collect()
+    kept = {(r["set"], r["n"], r["pos"], r["token"]) for r in found}
+    assert needed <= kept <= rows
+    assert all(x in needed for x in kept if len(lists[x[3]]) == 2)
+    assert all(tuple(r["pivot"]) == min((p, n, s) for s, n, p, _ in lists[r["token"]]) for r in found)
+
+
+def test_undecided_lists(spark):
+    """Lists of two are judged by sizes, place and sketches; longer ones stay unless of one component."""
+    odd = ", ".join(f"{o} long" for o in jaccard_join.ODD)
+    member = lambda token, n, pos, component, bits: (token, n, pos, component, bits, 0, 0, -1)
+    rows = [
+        member(1, 100, 0, 1, 0), member(1, 100, 0, 2, 0),
+        member(2, 100, 0, 1, 0), member(2, 100, 0, 1, 0),  # one component
+        member(3, 100, 0, 1, 0), member(3, 60, 0, 2, 0),  # sizes
+        member(4, 100, 9, 1, 0), member(4, 100, 0, 2, 0),  # place
+        member(5, 100, 0, 1, 0b11_1111_1111_1100), member(5, 100, 0, 2, 1),  # 13 bits: over 10
+        member(6, 100, 0, 1, 0b11_1111_1111_1100), member(6, 100, 0, 2, 1), member(6, 60, 0, 3, 0),
+        member(7, 100, 0, 1, 0b11_1111_1100), member(7, 100, 0, 2, 1),  # 9 bits
+    ]
+    table = spark.createDataFrame(rows, f"token long, n long, pos int, component long, {odd}")
+    assert {tuple(r) for r in jaccard_join._undecided_lists(table, 90).collect()} == {(1, 2), (6, 3), (7, 2)}
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(5000, i) for i in range(5001, 5040)]
