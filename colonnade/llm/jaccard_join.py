@@ -245,13 +245,16 @@ def _list_members(postings: DataFrame, percent: int) -> DataFrame:
 
     By `_may_be_similar` a set's partner in a list has at most `most` shingles. So members leave whose
     `most` is below the smallest size of the list, or whose size is above the largest `most`; lists
-    that hold one set alone, or two that exclude each other, leave as a whole.
+    that hold one set alone, or two that exclude each other, leave as a whole. Lists are summed up
+    and joined with their members where one shuffle has put them.
     """
+    # nothing here is null; said before the shuffle, so that no filter is put in front of it on one side only
+    postings = postings.where("token is not null and n is not null and pos is not null").repartition("token")
     most = F.floor(((100 + percent) * (F.col("n") - F.col("pos")) - percent * F.col("n")) / percent)
     member = F.struct("pos", "n", "set")
     lists = postings.groupBy("token").agg(F.min(member).alias("pivot"), F.max(member).alias("last"), F.min("n").alias("least"), F.max(most).alias("reach"), F.count(F.lit(1)).alias("length"))
     lists = lists.where((F.col("pivot") != F.col("last")) & ((F.col("length") > 2) | _may_be_similar("pivot", "last", percent)))
-    lists = staged(lists.select("token", "pivot", "least", "reach"), "pivots")
+    lists = lists.select("token", "pivot", "least", "reach")
     return postings.join(lists, "token").where((most >= F.col("least")) & (F.col("n") <= F.col("reach"))).drop("least", "reach")
 
 
