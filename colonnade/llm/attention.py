@@ -12,6 +12,8 @@ Texts are read in overlapping windows: the first scores all its ids, each furthe
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
+from math import prod
 
 import numpy as np
 
@@ -109,7 +111,7 @@ class Room:
         self.held: dict[str, np.ndarray] = {}
 
     def __call__(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
-        size, held = int(np.prod(shape)), self.held.get(name)
+        size, held = prod(shape), self.held.get(name)
         if held is None or held.dtype != kind or held.size < size:
             held = self.held[name] = np.empty(size, kind)
         return held[:size].reshape(shape)
@@ -119,25 +121,51 @@ def _flat(t: np.ndarray) -> np.ndarray:
     return t.reshape(-1, t.shape[-1])
 
 
-def hidden(w: dict[str, np.ndarray], slots: np.ndarray, room: Room | None = None) -> tuple:
-    """Last layer's vectors of windows of input slots, and what the gradient needs. They lie in
-    `room` and hold until it is used again."""
-    room, kind, shape, n = room or Room(), w["slots"].dtype, (*slots.shape, WIDTH), slots.size
+def attended(w: dict[str, np.ndarray], slots: np.ndarray, room: Room, since: int = 0) -> tuple:
+    """Vectors behind the attention of windows of input slots, for the positions from `since` on (all of
+    a window's are looked at), and what the gradient needs. They lie in `room` and hold until it is used again."""
+    kind, shape, n = w["slots"].dtype, (*slots.shape, WIDTH), slots.size
     x = np.take(w["slots"], slots, 0, out=room("x", shape, kind), mode="clip")
     x += w["places"]
-    asked = np.matmul(_flat(x), w["match"] * kind.type(WIDTH**-0.5), out=room("asked", (n, WIDTH), kind)).reshape(shape)
-    scores = np.matmul(asked, x.transpose(0, 2, 1), out=room("scores", (*slots.shape, WINDOW), kind))
-    a, total = _weighed(scores, SEEN, room("a", scores.shape, kind))
-    held = np.matmul(_flat(x), w["value"], out=room("held", (n, WIDTH), kind)).reshape(shape)
-    h = np.matmul(a, held, out=room("h", shape, kind))
-    h /= total
-    h += x
-    inner = np.matmul(_flat(h), w["w1"], out=room("inner", (n, INNER), kind))
+    # what a position asks and what it holds, side by side
+    both = np.matmul(_flat(x), _match_and_value(w), out=room("both", (n, 2 * WIDTH), kind)).reshape(*slots.shape, 2 * WIDTH)
+    asked, held = both[:, :, :WIDTH], both[:, :, WIDTH:]
+    scores = np.matmul(asked[:, since:], _turned(x, room), out=room("scores", (len(slots), WINDOW - since, WINDOW), kind))
+    a, total = _weighed(scores, SEEN[since:], room("a", scores.shape, kind))
+    a *= 1 / total
+    h = np.matmul(a, held, out=room("h", (len(slots), WINDOW - since, WIDTH), kind))
+    h += x[:, since:]
+    return h, (x, asked, a, held)
+
+
+def _match_and_value(w: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([w["match"] * w["match"].dtype.type(WIDTH**-0.5), w["value"]], 1)
+
+
+def _turned(t: np.ndarray, room: Room) -> np.ndarray:
+    """Every window's matrix transposed and laid out anew: products with it are quicker than with a view."""
+    out = room("turned", (len(t), t.shape[2], t.shape[1]), t.dtype)
+    np.copyto(out, t.transpose(0, 2, 1))
+    return out
+
+
+def last_layer(w: dict[str, np.ndarray], h: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
+    """Last layer's vectors of rows of attended ones, with a one behind each for the bias, and the inner layer's."""
+    inner = np.matmul(h, w["w1"], out=room("inner", (len(h), INNER), h.dtype))
     inner += w["b1"]
     np.maximum(inner, 0, out=inner)
-    top = np.matmul(inner, w["w2"], out=room("top", (n, WIDTH), kind)).reshape(shape)
-    top += h
-    return top, (x, asked, a, total, held, h, inner)
+    top = room("top", (len(h), WIDTH + 1), h.dtype)
+    np.add(np.matmul(inner, w["w2"], out=room("part", h.shape, h.dtype)), h, out=top[:, :WIDTH])
+    top[:, WIDTH] = 1
+    return top, inner
+
+
+def hidden(w: dict[str, np.ndarray], slots: np.ndarray, room: Room | None = None) -> tuple:
+    """Last layer's vectors of windows of input slots, and the inner layer's. They lie in `room` and hold
+    until it is used again."""
+    room = room or Room()
+    top, inner = last_layer(w, _flat(attended(w, slots, room)[0]), room)
+    return top[:, :WIDTH].reshape(*slots.shape, WIDTH), inner
 
 
 def _weighed(scores: np.ndarray, seen: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,75 +182,85 @@ def _weighed(scores: np.ndarray, seen: np.ndarray, a: np.ndarray) -> tuple[np.nd
     return a, total
 
 
-def class_log_probabilities(w: dict[str, np.ndarray], vectors: np.ndarray, targets: np.ndarray, keep: bool = False, room: Room | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log probability of each target class; with `keep` also all classes' probabilities, in `room`."""
-    room, mass, every = room or Room(), np.exp(w["bias"]), np.arange(len(targets))
-    scores = np.matmul(vectors, w["out"], out=room("classes", (len(targets), len(mass)), vectors.dtype))
-    at = scores[every, targets] + w["bias"][targets]
+def _masses(w: dict[str, np.ndarray], top: np.ndarray, targets: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows with a one behind them: the target classes' scores, exponentials of all classes' scores,
+    and their sums."""
+    layer = np.concatenate([w["out"], w["bias"][None]])
+    scores = np.matmul(top, layer, out=room("classes", (len(top), layer.shape[1]), top.dtype))
+    place, ones = np.arange(len(top)) * scores.shape[1] + targets, np.ones(scores.shape[1], top.dtype)
+    at = scores.ravel()[place]
     with np.errstate(over="ignore", invalid="ignore"):
         np.exp(scores, out=scores)
-        total = scores @ mass
+        total = scores @ ones
     if not np.isfinite(total).all() or not total.all():
-        scores = vectors @ w["out"]
+        np.matmul(top, layer, out=scores)
         most = scores.max(1)
-        scores = np.exp(scores - most[:, None])
-        at, total = at - most, scores @ mass
-    if keep:
-        scores *= mass
-        scores *= (1 / total)[:, None]
-    return at - np.log(total), scores if keep else None
+        scores -= most[:, None]
+        np.exp(scores, out=scores)
+        at, total = at - most, scores @ ones
+    return at, scores, total
+
+
+def class_log_probabilities(w: dict[str, np.ndarray], vectors: np.ndarray, targets: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log probability of each target class; with `keep` also all classes' probabilities."""
+    at, masses, total = _masses(w, np.concatenate([vectors, np.ones((len(vectors), 1), vectors.dtype)], 1), targets, Room())
+    return at - np.log(total), masses / total[:, None] if keep else None
+
+
+@lru_cache(maxsize=2)
+def _places(n_slots: int) -> np.ndarray:
+    """Where each slot's numbers lie among those of all slots."""
+    return np.arange(n_slots * WIDTH).reshape(n_slots, WIDTH)
 
 
-def _at_scored(top: np.ndarray, scored: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the scored positions, and their vectors."""
+def _at_scored(h: np.ndarray, scored: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the scored positions, and their vectors: only these go through the last layer."""
     places = np.flatnonzero(scored)
-    return places, np.take(_flat(top), places, 0, out=room("rows", (len(places), WIDTH), top.dtype), mode="clip")
+    return places, np.take(_flat(h), places, 0, out=room("rows", (len(places), WIDTH), h.dtype), mode="clip")
 
 
 def gradient(w: dict[str, np.ndarray], slots: np.ndarray, targets: np.ndarray, scored: np.ndarray, room: Room | None = None) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the scored positions of windows, and its gradient."""
     room = room or Room()
-    top, (x, asked, a, total, held, h, inner) = hidden(w, slots, room)
+    h, (x, asked, a, held) = attended(w, slots, room)
     kind, shape, n = x.dtype, x.shape, slots.size
-    places, rows = _at_scored(top, scored, room)
+    places, rows = _at_scored(h, scored, room)
+    top, inner = last_layer(w, rows, room)
     of, ones = targets.ravel()[places], np.ones(max(n, len(places)), kind)
-    logs, p = class_log_probabilities(w, rows, of, keep=True, room=room)
-    p[np.arange(len(of)), of] -= 1
-    p *= kind.type(1 / len(of))
-    g = {"out": rows.T @ p, "bias": ones[: len(of)] @ p}
-    d_top = room("d_top", (n, WIDTH), kind)
-    d_top.fill(0)
-    d_top[places] = p @ w["out"].T
-    g["w2"] = inner.T @ d_top
+    at, p, mass = _masses(w, top, of, room)
+    loss = float((np.log(mass) - at).sum()) / len(of)
+    # masses stay as they are: what they are divided by goes to the narrow factors of their products
+    p.ravel()[np.arange(len(of)) * p.shape[1] + of] -= mass
+    share = 1 / (mass * kind.type(len(of)))
+    d_top = np.matmul(p, w["out"].T, out=room("d_top", rows.shape, kind))
+    d_top *= share[:, None]
+    top *= share[:, None]
+    g = {"out": (p.T @ top[:, :WIDTH]).T, "bias": share @ p, "w2": inner.T @ d_top}
     d_inner = np.matmul(d_top, w["w2"].T, out=room("d_inner", inner.shape, kind))
     d_inner *= inner > 0
-    g["w1"], g["b1"] = _flat(h).T @ d_inner, ones[:n] @ d_inner
-    d_h = np.matmul(d_inner, w["w1"].T, out=room("d_h", (n, WIDTH), kind))
-    d_h += d_top
+    g["w1"], g["b1"] = rows.T @ d_inner, ones[: len(of)] @ d_inner
+    d_top += np.matmul(d_inner, w["w1"].T, out=room("part", rows.shape, kind))
+    d_h = room("d_h", (n, WIDTH), kind)
+    d_h.fill(0)
+    d_h[places] = d_top
     d_h = d_h.reshape(shape)
-    a /= total
-    d_s = np.matmul(d_h, held.transpose(0, 2, 1), out=room("d_s", a.shape, kind))
+    d_s = np.matmul(d_h, _turned(held, room), out=room("d_s", a.shape, kind))
     h -= x  # the weighed values alone: their product with d_h is the sum of d_s weighed by a
     d_s -= np.einsum("bij,bij->bi", d_h, h)[:, :, None]
     d_s *= a
-    d_asked = np.matmul(d_s, x, out=room("d_asked", shape, kind))
-    d_asked *= kind.type(WIDTH**-0.5)
-    d_held = np.matmul(a.transpose(0, 2, 1), d_h, out=room("d_held", shape, kind))
-    g["match"], g["value"] = _flat(x).T @ _flat(d_asked), _flat(x).T @ _flat(d_held)
-    part = room("part", (n, WIDTH), kind)
+    d_both = room("d_both", (*slots.shape, 2 * WIDTH), kind)
+    np.matmul(d_s, x, out=d_both[:, :, :WIDTH])
+    np.matmul(a.transpose(0, 2, 1), d_h, out=d_both[:, :, WIDTH:])
+    of_both, part = _flat(x).T @ _flat(d_both), room("part", (n, WIDTH), kind)
+    g["match"], g["value"] = of_both[:, :WIDTH] * kind.type(WIDTH**-0.5), of_both[:, WIDTH:]
     d_x = _flat(d_h)
-    d_x += np.matmul(_flat(d_asked), w["match"].T, out=part)
-    d_x += np.matmul(_flat(d_held), w["value"].T, out=part)
+    d_x += np.matmul(_flat(d_both), _match_and_value(w).T, out=part)
     d_x += _flat(np.matmul(d_s.transpose(0, 2, 1), asked, out=part.reshape(shape)))
     g["places"] = (ones[: len(slots)] @ d_x.reshape(len(slots), -1)).reshape(shape[1:])
-    # rows of one slot are added up by sorting, which is quicker than adding one by one
-    flat_slots = slots.ravel()
-    order = np.argsort(flat_slots.astype(np.uint16) if len(w["slots"]) <= 1 << 16 else flat_slots, kind="stable")
-    named = flat_slots[order]
-    first = np.flatnonzero(np.concatenate([[True], named[1:] != named[:-1]]))
-    g["slots"] = np.zeros_like(w["slots"])
-    g["slots"][named[first]] = np.add.reduceat(d_x[order], first)
-    return float(-logs.mean()), {name: g[name].astype(np.float32, copy=False) for name in w}
+    # rows of one slot are added up number by number, by where the slot's numbers lie in the weights
+    lie = np.take(_places(len(w["slots"])), slots.ravel(), 0, out=room("lie", (n, WIDTH), np.dtype(np.intp)), mode="clip")
+    g["slots"] = np.bincount(lie.ravel(), d_x.ravel(), w["slots"].size).reshape(w["slots"].shape)
+    return loss, {name: g[name].astype(np.float32, copy=False) for name in w}
 
 
 class Learner:
@@ -233,34 +271,49 @@ class Learner:
         self.v, self.w, self.rate, self.room = v, shaped(v, self.numbers), rate, Room()  # w: views of the numbers
         self.m, self.s = np.zeros_like(self.numbers), np.zeros_like(self.numbers)
         self.steps = self.seen = 0
-        self.rest: list[tuple[np.ndarray, ...]] = []
+        #: Windows that did not fill a step yet.
+        self.rest: list[np.ndarray] = []
 
     def add(self, ids: np.ndarray, begins: np.ndarray, first: np.ndarray, end: np.ndarray, number: np.ndarray) -> None:
-        at = first[:, None] + np.arange(WINDOW)
-        valid = at < end[:, None]
-        at = np.minimum(at, len(ids) - 1)
-        self.rest.append((inputs(self.v, ids, begins)[at], self.v.of_class[ids[at]], valid & ((number == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - STRIDE))))
-        if sum(len(r[0]) for r in self.rest) >= STEP:
-            self.learn(False)
+        """Learn from windows as far as they fill steps; only a step's are laid out at a time."""
+        before, classes = inputs(self.v, ids, begins), self.v.of_class[ids]
+        done = 0
+        while done < len(first):
+            to = done + STEP - (len(self.rest[0]) if self.rest else 0)
+            at = first[done:to, None] + np.arange(WINDOW)
+            scored = at < end[done:to, None]
+            scored &= (number[done:to] == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - STRIDE)
+            np.minimum(at, len(ids) - 1, out=at)
+            some = [before[at], classes[at], scored]
+            self.rest = [np.concatenate(parts) for parts in zip(self.rest, some)] if self.rest else some
+            done = to
+            if len(self.rest[0]) == STEP:
+                self.learn(True)
 
     def learn(self, last: bool) -> None:
-        if not self.rest:
-            return
-        whole = [np.concatenate(parts) for parts in zip(*self.rest)]
-        n = len(whole[0])
-        upto = n if last else n - n % STEP
-        for i in range(0, upto, STEP):
-            self._step(*(part[i : min(i + STEP, upto)] for part in whole))
-        self.rest = [tuple(part[upto:] for part in whole)] if upto < n else []
+        """With `last`, a step of the windows that are left, however few."""
+        if last and self.rest:
+            self._step(*self.rest)
+            self.rest = []
 
     def _step(self, slots: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> None:
         g = flat(gradient(self.w, slots, targets, scored, self.room)[1])
         self.steps += 1
-        self.seen += int(scored.sum())
+        self.seen += int(np.count_nonzero(scored))
         rate = self.rate * (1 - 0.999**self.steps) ** 0.5 / (1 - 0.9**self.steps)
-        self.m += 0.1 * (g - self.m)
-        self.s += 0.001 * (g**2 - self.s)
-        self.numbers -= rate * self.m / (np.sqrt(self.s) + 1e-8)
+        part = self.room("adam", g.shape, g.dtype)
+        np.subtract(g, self.m, out=part)
+        part *= 0.1
+        self.m += part
+        g *= g
+        g -= self.s
+        g *= 0.001
+        self.s += g
+        np.sqrt(self.s, out=part)
+        part += 1e-8
+        np.multiply(self.m, rate, out=g)
+        g /= part
+        self.numbers -= g
 
 
 def score(v: Vocabulary, w: dict[str, np.ndarray], ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -268,14 +321,17 @@ def score(v: Vocabulary, w: dict[str, np.ndarray], ids: np.ndarray, begins: np.n
     before, total = inputs(v, ids, begins), np.zeros(len(ids), np.float64)
     first, end, number = windows(begins)
     room = Room()
-    for i in range(0, len(first), BLOCK):
-        at = first[i : i + BLOCK, None] + np.arange(WINDOW)
-        valid = at < end[i : i + BLOCK, None]
-        scored = valid & ((number[i : i + BLOCK] == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - STRIDE))
-        top, _ = hidden(w, before[np.minimum(at, len(ids) - 1)], room)
-        of, rows = _at_scored(top, scored, room)
-        places = at.ravel()[of]
-        held = ids[places]
-        total[places] = class_log_probabilities(w, rows, v.of_class[held], room=room)[0] + v.within[held]
+    # further windows only ask from where they score
+    for since, which in ((0, np.flatnonzero(number == 0)), (WINDOW - STRIDE, np.flatnonzero(number))):
+        for i in range(0, len(which), BLOCK):
+            some = which[i : i + BLOCK]
+            at = first[some, None] + np.arange(WINDOW)
+            scored = at[:, since:] < end[some, None]
+            h, _ = attended(w, before[np.minimum(at, len(ids) - 1)], room, since)
+            of, rows = _at_scored(h, scored, room)
+            places = at[:, since:].ravel()[of]
+            held = ids[places]
+            found, _, mass = _masses(w, last_layer(w, rows, room)[0], v.of_class[held], room)
+            total[places] = found - np.log(mass) + v.within[held]
     summed = np.concatenate([[0.0], np.cumsum(total)])
     return summed[begins[1:]] - summed[begins[:-1]]

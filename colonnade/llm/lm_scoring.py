@@ -22,7 +22,6 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh64_intdigest
 
 from colonnade.llm import attention
 from colonnade.llm.common import small_batches, staged, uncollected
@@ -113,6 +112,29 @@ class Subwords:
         return starts, out
 
 
+def id_kind(size: int) -> np.dtype:
+    """How ids of a vocabulary of `size` lie in packed lists."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<i4")
+
+
+def packed_lists(begins: np.ndarray, ids: np.ndarray, size: int) -> pa.Array:
+    """Lists of ids as bytes: a list is one value to Spark, not one for each id."""
+    kind = id_kind(size)
+    return pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer((begins * kind.itemsize).astype(np.int32)), pa.py_buffer(ids.astype(kind))])
+
+
+def unpacked(batch: pa.RecordBatch, column: int, size: int) -> pa.RecordBatch:
+    """Rows whose `column` holds lists of ids, whether they came as lists or as `packed_lists`."""
+    lists, kind = batch.column(column), id_kind(size)
+    if not pa.types.is_binary(lists.type):
+        return batch
+    _, offsets, data = lists.buffers()
+    ends = np.frombuffer(offsets, np.int32)[lists.offset : lists.offset + len(lists) + 1] if len(lists) else np.zeros(1, np.int32)
+    ids = np.frombuffer(data, kind, (int(ends[-1]) - int(ends[0])) // kind.itemsize, int(ends[0])) if data else np.zeros(0, kind)
+    found = pa.ListArray.from_arrays(pa.array((ends - ends[0]) // kind.itemsize), pa.array(ids))
+    return batch.set_column(column, batch.schema.names[column], found)
+
+
 def in_pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
     """Rows of a batch whose lists in `column` hold about `PIECE` entries: the rows, where each
     list begins, and the entries. A single longer list stays whole."""
@@ -126,10 +148,10 @@ def in_pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBat
         at = to
 
 
-def encoded(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col: str = "text", packed: bool = False) -> DataFrame:
     """One row per row of `docs`: id, `row` (its own number), `held_out`, `n_tokens` (words and one
-    end), `ids`, and the distinct `words` with their `times`. Null texts count as empty."""
-    fields = [T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("words", T.ArrayType(T.StringType(), False)), T.StructField("times", T.ArrayType(T.LongType(), False))]
+    end), `ids` (as bytes if `packed`), and the distinct `words` with their `times`. Null texts count as empty."""
+    fields = [T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType() if packed else T.ArrayType(T.IntegerType(), False)), T.StructField("words", T.ArrayType(T.StringType(), False)), T.StructField("times", T.ArrayType(T.LongType(), False))]
     schema = T.StructType([docs.schema[id_col], T.StructField("held_out", T.BooleanType()), *fields])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +166,8 @@ def encoded(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col: str
                 key, times = np.unique(np.repeat(np.arange(some.num_rows), np.diff(begins)) * n + coded.indices.to_numpy(), return_counts=True)
                 cut = pa.array(np.searchsorted(key, np.arange(some.num_rows + 1) * n), pa.int32())
                 held = coded.dictionary.cast(pa.string()).take(pa.array(key % n)) if len(key) else pa.array([], pa.string())
-                lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids)), pa.ListArray.from_arrays(cut, held), pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int64)))]
+                coded_ids = packed_lists(starts, ids, subwords(pieces).size) if packed else pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids))
+                lists = [coded_ids, pa.ListArray.from_arrays(cut, held), pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int64)))]
                 numbers = [pa.array(np.arange(row, row + some.num_rows)), pa.array(np.diff(begins) + 1)]
                 row += some.num_rows
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *numbers, *lists], names=schema.names)
@@ -171,6 +194,35 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return each.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
+def _factors(n: int) -> np.ndarray:
+    """A number of 64 random bits for each position of a word (splitmix64 of the position)."""
+    z = (np.arange(n, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))) | np.uint64(1)
+
+
+def word_keys(words: pa.Array, size: int = 1 << 17) -> np.ndarray:
+    """A 64-bit hash of each word, computed over the bytes of many words together (about `size` at a time)."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    words = words.cast(pa.large_string())
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    codes, keys, at = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), np.empty(len(words), np.uint64), 0
+    factors = _factors(int(np.diff(ends).max()))
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
+        cut = ends[at : to + 1] - ends[at]
+        terms = factors[np.arange(cut[-1]) - np.repeat(cut[:-1], np.diff(cut))]
+        terms *= codes[ends[at] : ends[to]].astype(np.uint64) + np.uint64(1)
+        terms ^= terms >> np.uint64(32)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+        keys[at:to] = sums[cut[1:]] - sums[cut[:-1]]
+        at = to
+    return keys.view(np.int64)
+
+
 def base_scores(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """Per `row` the sum over its words and its end of log10((c + 1) / (N + V + 1)), `n_known`
     (those with c > 0) and N as `train_tokens`. Rows and counts should be written tables."""
@@ -179,7 +231,12 @@ def base_scores(rows: DataFrame, counts: DataFrame) -> DataFrame:
     learnt = (n_train or 0) + ends
     below = float(np.log10(learnt + (distinct or 0) + (ends > 0) + 1))
     frequent = F.col("n") * FREQUENT_WORDS >= F.lit(n_all or 0)
-    words = counts.where(frequent).select(F.xxhash64("word").alias("key"), "c").toArrow()  # at most FREQUENT_WORDS
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(word_keys(batch.column(0))), batch.column(1)], names=["key", "c"])
+
+    words = counts.where(frequent).select("word", "c").mapInArrow(keyed, "key long, c long").toArrow()  # at most FREQUENT_WORDS
     keys, known_c = words.column(0).to_numpy(), words.column(1).to_numpy()
     order = np.argsort(keys)
     table = rows.sparkSession.sparkContext.broadcast((keys[order], known_c[order]))
@@ -193,13 +250,10 @@ def base_scores(rows: DataFrame, counts: DataFrame) -> DataFrame:
             for some, begins, words in in_pieces(batch, 1):
                 times, row = some.column(2).flatten().to_numpy(), some.column(0).to_numpy()
                 of_row = np.repeat(np.arange(some.num_rows), np.diff(begins))
-                coded = words.dictionary_encode()
-                with uncollected():
-                    hashes = np.fromiter((xxh64_intdigest(w, 42) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary)).view(np.int64)
-                at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-                is_known = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-                index = coded.indices.to_numpy()
-                found, count = is_known[index], (np.where(is_known, c[at], 0) if len(known) else np.zeros(len(hashes), np.int64))[index]
+                keys = word_keys(words)
+                at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+                found = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+                count = np.where(found, c[at], 0) if len(known) else np.zeros(len(keys), np.int64)
                 score = np.bincount(of_row, np.where(found, times * (np.log10(count + 1.0) - below), 0.0), some.num_rows) + of_end[0]
                 n_known = np.bincount(of_row, np.where(found & (count > 0), times, 0), some.num_rows).astype(np.int64) + of_end[1]
                 rest = np.flatnonzero(~found)
@@ -207,7 +261,7 @@ def base_scores(rows: DataFrame, counts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(row), none(pa.string(), len(row)), none(pa.int64(), len(row)), pa.array(score), pa.array(n_known)], names=names)
                 for i in range(0, len(rest), 50_000):
                     part = rest[i : i + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(row[of_row[part]]), coded.dictionary.take(pa.array(index[part])).cast(pa.string()), pa.array(times[part]), none(pa.float64(), len(part)), none(pa.int64(), len(part))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(row[of_row[part]]), words.take(pa.array(part)).cast(pa.string()), pa.array(times[part]), none(pa.float64(), len(part)), none(pa.int64(), len(part))], names=names)
 
     with small_batches(rows.sparkSession):
         looked = staged(rows.select("row", "words", "times").mapInArrow(look_up, schema), "looked_up")
@@ -222,9 +276,20 @@ def base_scores(rows: DataFrame, counts: DataFrame) -> DataFrame:
 
 def id_counts(rows: DataFrame, size: int) -> np.ndarray:
     """Counts of the ids of rows that are learnt from; as many numbers as the vocabulary has ids."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for _, _, ids in in_pieces(unpacked(batch, 0, size), 0):
+                total += np.bincount(ids.to_numpy(), minlength=size)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["id", "n"])
+
     counts = np.zeros(size, np.int64)
-    for r in rows.where(~F.col("held_out")).select(F.explode("ids").alias("id")).groupBy("id").count().collect():
-        counts[r["id"]] = r["count"]
+    with small_batches(rows.sparkSession):
+        each = rows.where(~F.col("held_out")).select("ids").mapInArrow(count, "id long, n long")
+        for r in each.groupBy("id").agg(F.sum("n").alias("n")).collect():
+            counts[r["id"]] = r["n"]
     return counts
 
 
@@ -257,7 +322,7 @@ def learn(rows: DataFrame, size: int) -> tuple[attention.Vocabulary, np.ndarray]
         def steps(batches: Iterator[pa.RecordBatch], start=weights, turn=turn) -> Iterator[pa.RecordBatch]:
             learner = attention.Learner(v, start)
             for batch in batches:
-                for some, begins, ids in in_pieces(batch, 1):
+                for some, begins, ids in in_pieces(unpacked(batch, 1, size), 1):
                     first, end, number = attention.windows(begins)
                     of_text = np.searchsorted(begins, first, "right") - 1
                     dealt = (some.column(0).to_numpy()[of_text] + number) % ROUNDS == turn
@@ -285,7 +350,7 @@ def model_scores(rows: DataFrame, v: attention.Vocabulary, weights: np.ndarray)
         vocabulary, numbers = shared.value
         w = attention.shaped(vocabulary, numbers)
         for batch in batches:
-            for some, begins, ids in in_pieces(batch, len(kept)):
+            for some, begins, ids in in_pieces(unpacked(batch, len(kept), len(vocabulary.slot)), len(kept)):
                 found = attention.score(vocabulary, w, ids.to_numpy(), begins) / LOG10
                 yield pa.RecordBatch.from_arrays([*some.columns[: len(kept)], pa.array(found)], names=schema.names)
 
@@ -302,7 +367,7 @@ def scored(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col: str =
     read; an empty table gives no rows.
     """
     with small_batches(docs.sparkSession):
-        rows = staged(encoded(docs, pieces, id_col, text_col), "encoded")
+        rows = staged(encoded(docs, pieces, id_col, text_col, packed=True), "encoded")
         counts = staged(word_counts(rows), "word_counts")
     model = learn(rows, subwords(pieces).size)
     with small_batches(docs.sparkSession):
