@@ -230,10 +230,14 @@ def decode_label(code: Column, classes: Sequence[str]) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in classes]), code.cast("int") + 1)
 
 
-def fit_class_weights(df: DataFrame, target: str, integer: bool = False) -> dict[str, float]:
+def class_counts(df: DataFrame, target: str) -> dict[str, int]:
+    return {r["c"]: r["n"] for r in df.groupBy(col(target).cast("string").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def fit_class_weights(df: DataFrame, target: str, integer: bool = False, counts: dict[str, int] | None = None) -> dict[str, float]:
     """Balanced weights n / (k * n_c) per class; `integer` rescales so that the smallest
-    is 100 and truncates (the form that boosted trees take)."""
-    counts = {r["c"]: r["n"] for r in df.groupBy(col(target).cast("string").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    is 100 and truncates (the form that boosted trees take). `counts`, where they are known."""
+    counts = counts or class_counts(df, target)
     total, k = sum(counts.values()), len(counts)
     weights = {c: total / (k * n) for c, n in counts.items()}
     if integer:

@@ -105,19 +105,22 @@ def ranking_scores(scored: DataFrame, by: Sequence[str] = (), buckets: int | Non
     AUC is the Mann-Whitney share of (positive, negative) pairs in the right order, ties
     one half; average precision is the sum of (R_n - R_n-1) P_n over distinct thresholds,
     highest first. Both are null where a class is absent. More scores than the set number of
-    tasks should take are ranked at once, by more tasks, and the result is stored.
+    tasks should take are counted once, by more tasks, and the distinct scores that this leaves
+    are stored and ranked by as many tasks as they need.
     """
     spark, rows = scored.sparkSession, scored.count()
     if shuffled_tasks(spark, rows) == shuffled_tasks(spark, 0):
-        return _ranking_scores(scored, by, buckets)
+        return _ranking_scores(score_counts(scored, by), range_edges(scored, "score", buckets), by)
     with more_partitions(spark, rows):
-        return stored(_ranking_scores(scored, by, buckets), "rankings")
+        counts = stored(score_counts(scored, by), "score_counts")
+    with more_partitions(spark, counts.count()):
+        return stored(_ranking_scores(counts, range_edges(counts, "score", buckets), by), "rankings")
 
 
-def _ranking_scores(scored: DataFrame, by: Sequence[str], buckets: int | None) -> DataFrame:
-    counts = score_counts(scored, by).withColumn("n", F.col("pos") + F.col("neg"))
+def _ranking_scores(counts: DataFrame, edges: list[float], by: Sequence[str]) -> DataFrame:
+    counts = counts.withColumn("n", F.col("pos") + F.col("neg"))
     walked = prefix_sum(
-        counts, "score", {"pos": "pos_below", "n": "n_below"}, by, edges=range_edges(scored, "score", buckets),
+        counts, "score", {"pos": "pos_below", "n": "n_below"}, by, edges=edges,
         totals={"pos": "all_pos", "n": "all_n"},
     )
     neg_below = F.col("n_below") - F.col("pos_below")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -12,9 +14,12 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomFor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colonnade.operators.models.common import FEATURES, LABEL, Scored, argmax, class_count, ml_classifier, ml_regressor, scorer, total, with_array, with_class_scores
-from colonnade.session import checkpoint
+from colonnade.session import checkpoint, stored
 
 MAX_BINS = 256
+MERGED_ROWS = 1_000_000  # rows of a training set from which rows that trees cannot tell apart are merged
+MERGED_WIDTH = 32  # features up to which many such rows can be expected
+ROWS = "_rows"
 CHECKPOINT_EVERY = 10  # rounds of a boosting loop between lineage cuts
 
 
@@ -22,6 +27,68 @@ def options_of(weight: str | None, **more) -> dict:
     return {**({"weightCol": weight} if weight else {}), **more}
 
 
+def cut_points(df: DataFrame, columns: Sequence[str], points: int = MAX_BINS - 1) -> dict[str, list[float]]:
+    """Per column its distinct finite numbers, or as many quantiles where there are more than `points`."""
+    if not columns:
+        return {}
+    value = lambda c: F.when(~F.isnan(c), F.col(c) + F.lit(0.0))  # -0.0 and 0.0 are one value
+    told = df.agg(*[F.approx_count_distinct(value(c)).alias(c) for c in columns]).first()
+    few = {c for c in columns if told[c] <= 2 * points}
+    probs = F.array(*[F.lit((i + 0.5) / points) for i in range(points)])
+    quantile = lambda c: F.percentile_approx(value(c), probs, 10 * points)
+    found = df.agg(*[(F.collect_set(value(c)) if c in few else quantile(c)).alias(c) for c in columns]).first().asDict()
+    long = [c for c in few if len(found[c]) > points]
+    found |= df.agg(*[quantile(c).alias(c) for c in long]).first().asDict() if long else {}
+    out = {}
+    for c in columns:
+        kept: list[float] = []
+        for v in sorted({v for v in found[c] or [] if math.isfinite(v)}):
+            if not kept or kept[-1] < (kept[-1] + v) / 2 < v:
+                kept.append(v)
+        out[c] = kept
+    return out
+
+
+def merged_rows(df: DataFrame, columns: Sequence[str], nominal: Sequence[str], keys: Sequence[str], weights: Sequence[str]) -> DataFrame | None:
+    """(columns..., keys..., weights..., ROWS): rows that a tree cannot tell apart as one row, weights and
+    rows summed; nothing where that leaves too many rows, or there are many columns.
+
+    A tree cuts a number half way between the values that it is shown, MAX_BINS of them at most.
+    Here every number goes to the nearest of these values, one half way between two of them to
+    the lower one, as in a tree. So the cuts of a tree fitted to the merged rows divide all rows just
+    as they divide the merged ones, and each of its sums is the sum over all rows. `nominal` columns
+    hold category numbers, which stay.
+    """
+    if not 0 < len(columns) <= MERGED_WIDTH:
+        return None
+    points = cut_points(df, [c for c in columns if c not in nominal])
+    cut = [c for c in points if len(points[c]) > 1]
+    # an interval of the Bucketizer has its lower end, one of a tree its upper end; what is not finite stays NaN, which MLlib refuses
+    turned = lambda c: F.when(F.abs(c) < float("inf"), -F.col(c)).otherwise(float("nan"))
+    flat = df.select(*keys, *weights, *[(turned(c) if c in cut else F.col(c) + F.lit(0.0)).alias(c) for c in columns])
+    if cut:
+        ends = [[(a + b) / 2 for a, b in zip(points[c], points[c][1:])] for c in cut]
+        splits = [[float("-inf"), *[-e for e in reversed(e)], float("inf")] for e in ends]
+        flat = Bucketizer(splitsArray=splits, inputCols=cut, outputCols=[f"{c}_place" for c in cut], handleInvalid="keep").transform(flat)
+    places = [f"{c}_place" if c in cut else c for c in columns]
+    cells = stored(flat.groupBy(*keys, *places).agg(F.count(F.lit(1)).cast("double").alias(ROWS), *[F.sum(w).alias(w) for w in weights]), "cells")
+    n, rows = cells.agg(F.count(F.lit(1)), F.sum(ROWS)).first()
+    if n * 4 > (rows or 0):
+        return None
+    # MLlib has no more bins than rows, so very few rows come in several equal parts
+    parts = -(-2 * MAX_BINS // n)
+    if parts > 1:
+        cells = cells.crossJoin(F.broadcast(df.sparkSession.range(parts).select(F.col("id").alias("_part"))))
+
+    def value(c: str) -> Column:
+        if c not in cut:
+            return F.col(c)
+        place = F.lit(len(points[c]) - 1) - F.col(f"{c}_place").cast("int")
+        return F.when(place >= 0, F.get(F.array(*[F.lit(v) for v in points[c]]), place)).otherwise(float("nan")).alias(c)
+
+    return cells.select(*[value(c) for c in columns], *keys, *[(F.col(w) / parts).alias(w) for w in (*weights, ROWS)])
+
+
 def decision_tree(df: DataFrame, max_depth: int = 5, weight: str | None = None) -> Scored:
     return ml_classifier(DecisionTreeClassifier(maxDepth=max_depth, maxBins=MAX_BINS, seed=42, **options_of(weight)).fit(df))
 

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from colonnade.columns import col
-from colonnade.operators.ordering import hash_rank, quantiles
-from colonnade.session import broadcast_checked
+from colonnade.operators.ordering import hash_digits, hash_rank, quantiles
+from colonnade.session import broadcast_checked, stored
 
 
 def quantile_edges(df: DataFrame, column: str, q: int) -> list[float]:
@@ -44,11 +44,12 @@ def bin_label(bin_col: str, edges: Sequence[float]) -> Column:
 def stratified_folds(df: DataFrame, id_col: str, target: str, folds: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
     """Fold per row: rows of a class are dealt out in md5 order, and each class starts
     where the previous one stopped, so class counts and fold sizes differ by at most 1."""
-    classes = df.groupBy(col(target).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
+    classes = stored(df.groupBy(col(target).alias("_class")).agg(F.count(F.lit(1)).alias("_n")), "strata")
+    rows = classes.agg(F.sum("_n")).first()[0] or 0
     # one row per class: the prefix runs over the class table, not over the data
     before = W.partitionBy(F.lit(0)).orderBy("_class").rowsBetween(W.unboundedPreceding, -1)
     starts = classes.select("_class", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    ranked = hash_rank(df, id_col, [target], seed, out="_rank")
+    ranked = hash_rank(df, id_col, [target], seed, hash_digits(rows), "_rank")
     return (
         ranked.join(broadcast_checked(starts), col(target).eqNullSafe(F.col("_class")))
         .withColumn(out, F.pmod(F.col("_start") + F.col("_rank") - 1, F.lit(folds)).cast("int"))

@@ -37,6 +37,7 @@ REGRESSORS: dict[str, Callable[..., Scored]] = {
     **{name: (lambda df, name=name, **o: trees.boosted_preset_regressor(df, name, **o)) for name in trees.PRESETS},
 }
 WEIGHTED = {"Decision Tree", "Extra Trees", "Random Forest", *trees.PRESETS}  # classifiers that take balanced weights
+MERGED = {"Decision Tree", "Gradient Boosting", *trees.PRESETS}  # classifiers that take merged rows
 
 
 @dataclass
@@ -77,7 +78,12 @@ def long_scores(scored: DataFrame, id_col: str, classes: list[str], extra: dict[
     return scored.select(col(id_col), *[e.alias(n) for n, e in extra.items()], pred.alias("pred"), F.inline(rows))
 
 
-def fit_one(spec: ModelSpec, config: TrainingConfig, train: DataFrame) -> tuple[Scored, float]:
+def takes_merged(spec: ModelSpec, config: TrainingConfig) -> bool:
+    return config.task == "classification" and spec.family in MERGED and spec.params.get("subsample", 1.0) == 1.0
+
+
+def fit_one(spec: ModelSpec, config: TrainingConfig, train: DataFrame, merged: DataFrame | None = None) -> tuple[Scored, float]:
+    """`merged`: the rows of `train` as trees see them, for the families that take them."""
     start = time.perf_counter()
     families = CLASSIFIERS if config.task == "classification" else REGRESSORS
     options = dict(spec.params)
@@ -85,6 +91,8 @@ def fit_one(spec: ModelSpec, config: TrainingConfig, train: DataFrame) -> tuple[
         options["weight"] = "weight_int" if spec.family in trees.PRESETS else "weight"  # boosted models take whole numbers
     if spec.family == "KNN":
         options |= {"id_col": X.safe_name(config.id_col), "task": config.task}
+    if merged is not None and takes_merged(spec, config):
+        train, options["weight"] = merged, options.get("weight", trees.ROWS)
     return families[spec.family](train, **options), time.perf_counter() - start
 
 
@@ -167,7 +175,8 @@ def best_models(metrics: DataFrame, metric: str, higher_is_better: bool = True)
 
 def train(df: DataFrame, config: TrainingConfig, path: str) -> TrainingRun:
     """Fit every model on every fold. The driver only loops; each fit is a distributed job
-    on the fold's persisted feature frame, models of a fold run a few at a time, and
+    on the fold's persisted feature frame (trees of a large one: on its rows merged as they see
+    them, once for all models), models of a fold run a few at a time, and
     predictions are written out by (split, model, fold) as soon as they exist, so a lost
     executor costs one fit at most."""
     spark = df.sparkSession
@@ -187,20 +196,43 @@ def train(df: DataFrame, config: TrainingConfig, path: str) -> TrainingRun:
         train_rows, valid_rows = split_fold(folded, fold)
         plan = FeaturePlan.fit(train_rows, options)
         plan.save(spark, f"{path}/fold_{fold}/plan")
-        weights = {n: X.fit_class_weights(train_rows, config.target, integer=n == "weight_int") for n in ("weight", "weight_int")} if classify and config.balanced else {}
+        counts = X.class_counts(train_rows, config.target) if classify and config.balanced else {}
+        weights = {n: X.fit_class_weights(train_rows, config.target, n == "weight_int", counts) for n in ("weight", "weight_int")} if counts else {}
 
-        def prepare(rows: DataFrame) -> DataFrame:
-            ready = plan.assembled(rows)
+        def told(ready: DataFrame) -> DataFrame:
             ready = X.encode_label(ready, target, classes, LABEL) if classify else ready.withColumn(LABEL, col(target).cast("double"))
             for name, of_class in weights.items():
                 ready = X.with_class_weight(ready, target, of_class, name)
             return ready
 
-        train_set = prepare(train_rows).persist()
+        def prepare(rows: DataFrame) -> DataFrame:
+            return told(plan.assembled(rows))
+
+        def merge() -> DataFrame | None:
+            """The rows as trees see them, assembled."""
+            wide = plan.transform(train_rows)
+            names = {c: f"_f{i}" for i, c in enumerate(plan.features)}
+            if any(kind == "vector" for c, kind in wide.dtypes if c in names):
+                return None
+            flat = told(wide.select(col(target), *[col(c).cast("double").alias(n) for c, n in names.items()]))
+            sizes = {names[c]: k for c, k in plan.nominal.items()}
+            cells = trees.merged_rows(flat, list(names.values()), list(sizes), [LABEL], list(weights))
+            return None if cells is None else X.assemble(X.as_nominal(cells, sizes), [LABEL, *weights, trees.ROWS])
+
+        train_set, merged, merge_seconds = prepare(train_rows), None, 0.0
+        merging = {spec.name for spec in config.models if takes_merged(spec, config)}
+        if merging and train_rows.count() >= trees.MERGED_ROWS:
+            start = time.perf_counter()
+            merged = merge()
+            merge_seconds = time.perf_counter() - start
+        read_often = merged is None or len(merging) < len(config.models)
+        if read_often:
+            train_set.persist()
         splits = {"Train": train_set, "Valid": prepare(valid_rows)}
 
         def run(spec: ModelSpec) -> tuple:
-            model, fit_seconds = fit_one(spec, config, train_set)
+            model, fit_seconds = fit_one(spec, config, train_set, merged)
+            fit_seconds += merge_seconds if spec.name in merging else 0.0
             start = time.perf_counter()
             for split, rows in splits.items():
                 extra = {"actual": col(target).cast("string") if classify else F.col(LABEL)}
@@ -214,7 +246,8 @@ def train(df: DataFrame, config: TrainingConfig, path: str) -> TrainingRun:
 
         with ThreadPoolExecutor(config.parallelism) as pool:
             runtimes += list(pool.map(run, config.models))
-        train_set.unpersist()
+        if read_often:
+            train_set.unpersist()
     literal_rows(spark, runtimes, "model string, fold int, fit_seconds double, predict_seconds double").coalesce(1).write.mode("overwrite").parquet(f"{path}/runtimes")
     state = {**asdict(config), "classes": classes}
     literal_rows(spark, [(json.dumps(state),)], "config string").coalesce(1).write.mode("overwrite").json(f"{path}/config")

@@ -156,3 +156,17 @@ def test_many_scores_are_ranked_by_more_tasks(spark, monkeypatch):
     assert not seen
     monkeypatch.setattr(session, "SHUFFLED_ROWS", 100)
     assert told() == few and seen == [40] and spark.conf.get(session.SHUFFLE) == before and spark.conf.get(session.COALESCE) == "true"
+
+
+def test_scores_are_counted_before_they_are_ranked(spark, monkeypatch):
+    """Many rows of few distinct scores: tasks for the rows count them, tasks for the distinct scores rank them."""
+    from colonnade import session
+    from colonnade.operators import metrics as M
+
+    draw = np.random.RandomState(17)
+    rows = spark.createDataFrame([(f"m{i % 2}", float(s) / 10, bool(h)) for i, (s, h) in enumerate(zip(draw.randint(0, 10, 4_000), draw.rand(4_000) < 0.4))], "model string, score double, hit boolean")
+    told = lambda: {r["model"]: (round(r["ROC AUC"], 12), round(r["Avg Precision"], 12)) for r in M.ranking_scores(rows, ["model"]).collect()}
+    few, asked, plain = told(), [], M.more_partitions
+    monkeypatch.setattr(session, "SHUFFLED_ROWS", 100)
+    monkeypatch.setattr(M, "more_partitions", lambda s, n: asked.append(n) or plain(s, n))
+    assert told() == few and asked == [4_000, 20]
