@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colonnade.columns import col
 from colonnade.operators.ordering import prefix_sum, quantiles, range_edges
-from colonnade.session import more_partitions, shuffled_tasks, stored
+from colonnade.session import checkpoint, more_partitions, shuffled_tasks, stored
 
 
 def keys(by: Sequence[str]) -> list[Column]:
@@ -105,8 +105,8 @@ def ranking_scores(scored: DataFrame, by: Sequence[str] = (), buckets: int | Non
     AUC is the Mann-Whitney share of (positive, negative) pairs in the right order, ties
     one half; average precision is the sum of (R_n - R_n-1) P_n over distinct thresholds,
     highest first. Both are null where a class is absent. More scores than the set number of
-    tasks should take are counted once, by more tasks, and the distinct scores that this leaves
-    are stored and ranked by as many tasks as they need.
+    tasks should take are counted once, by more tasks, and stored; the distinct scores that this
+    leaves are ranked at once, by as many tasks as they need.
     """
     spark, rows = scored.sparkSession, scored.count()
     if shuffled_tasks(spark, rows) == shuffled_tasks(spark, 0):
@@ -114,7 +114,7 @@ def ranking_scores(scored: DataFrame, by: Sequence[str] = (), buckets: int | Non
     with more_partitions(spark, rows):
         counts = stored(score_counts(scored, by), "score_counts")
     with more_partitions(spark, counts.count()):
-        return stored(_ranking_scores(counts, range_edges(counts, "score", buckets), by), "rankings")
+        return checkpoint(_ranking_scores(counts, range_edges(counts, "score", buckets), by))
 
 
 def _ranking_scores(counts: DataFrame, edges: list[float], by: Sequence[str]) -> DataFrame:
